@@ -105,7 +105,7 @@ def t_two_sided_p_sql(t: str, dof: str) -> str:
     th = f"atan(abs({t})/sqrt({dof}))"
     c2 = f"(cos({th})*cos({th}))"
     ser = (f"list_sum([CASE WHEN {dof}%2=1 THEN cos({th}) ELSE 1.0 END * "
-           f"list_product([(j-1.0)/j*{c2} for j in range(2+{dof}%2, m+1, 2)]) "
+           f"coalesce(list_product([(j-1.0)/j*{c2} for j in range(2+{dof}%2, m+1, 2)]), 1.0) "
            f"for m in range({dof}%2, {dof}-1, 2)])")
     return (f"(CASE WHEN {t} IS NULL OR {dof} < 1 THEN NULL ELSE greatest(0.0, 1.0-(CASE WHEN {dof}=1 THEN 2/pi()*{th} "
             f"WHEN {dof}%2=1 THEN 2/pi()*({th}+sin({th})*({ser.replace('range(' + dof + '%2,', 'range(1,')})) "

@@ -24,8 +24,10 @@ def apply_constant(test: DataFrame, model: DataFrame) -> DataFrame:
     return test.crossJoin(F.broadcast(model))     # the model is one row
 
 
-def raw_quantiles(members: DataFrame, keys: list[str], levels=S.LEVELS, extra=()) -> DataFrame:
-    return grouped_quantiles(members, keys, "t2m_forecast", levels, extra=extra)
+def raw_quantiles(members: DataFrame, keys: list[str], levels=S.LEVELS, extra=(), out: str = "q",
+                  largest: int | None = None) -> DataFrame:
+    """Ensemble quantiles per key; `largest` is the checked largest ensemble, if known."""
+    return grouped_quantiles(members, keys, "t2m_forecast", levels, out, extra, largest=largest)
 
 
 def persistence(jobs: DataFrame, n_levels: int = len(S.LEVELS)) -> DataFrame:
@@ -83,4 +85,4 @@ def inflation_curve(test: DataFrame, levels=S.LEVELS) -> DataFrame:
     return (q.groupBy("_l").agg(F.avg(S.covered(y, F.col("q"), levels)).alias("coverage_80pct"),
                                 F.avg(S.width(F.col("q"), levels)).alias("interval_width"),
                                 F.avg(S.crps(y, F.col("q"), levels)).alias("crps"))
-            .select((F.col("_l") / F.lit(100.0)).alias("lambda"), "coverage_80pct", "interval_width", "crps"))
+            .select((F.col("_l") / F.lit(100.0)).alias("multiplier"), "coverage_80pct", "interval_width", "crps"))

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from foresift.functions.hashing import draw, hash_key
 from foresift.functions.normal import cdf_sql, t_two_sided_p
 from foresift.operators.spread import position, running_sum
+from foresift.sources.storage import materialise
 
 # HAC lag, bootstrap block (days), replicates, confidence level, significance level, exact-test limit.
 HAC_LAG = 5
@@ -82,7 +83,7 @@ def moving_block_ci(daily: DataFrame, keys: list[str], block: int = BLOCK_DAYS,
 
 
 def robust_comparison(losses: DataFrame, keys: list[str], diff: Column, seed: int = 0) -> DataFrame:
-    daily = daily_series(losses, keys, diff)
+    daily = materialise(daily_series(losses, keys, diff))
     return hac_test(daily, keys).join(moving_block_ci(daily, keys, seed=seed), keys, "left").withColumn(
         "block_days", F.lit(BLOCK_DAYS))
 
@@ -112,6 +113,7 @@ def paired_block_test(blocks: DataFrame, keys: list[str], exact: bool = True) ->
     limited by one task. The rank test is exact for up to 50 blocks without zeros or ties, else a normal approximation with
     tie correction.
     """
+    blocks = materialise(blocks)
     t_part = blocks.groupBy(*keys).agg(
         F.count("d").alias("n_blocks"), F.avg("d").alias("block_mean_diff"), F.stddev_samp("d").alias("_sd"),
         F.count(F.when(F.col("d") == 0, 1)).alias("_zeros"))
@@ -145,7 +147,7 @@ def block_bootstrap_skill(losses: DataFrame, keys: list[str], block: Column, a:
                           n_boot: int = N_BOOT, ci: float = CI, seed: int = 0) -> DataFrame:
     """Skill 1 - mean(a) / mean(b) with an interval from resampling whole blocks; only block sums are resampled."""
     sums = losses.groupBy(*keys, block.alias("block_id")).agg(F.sum(a).alias("sa"), F.sum(b).alias("sb"))
-    sums = sums.withColumn("_h", hash_key(F.col("block_id")))
+    sums = materialise(sums.withColumn("_h", hash_key(F.col("block_id"))))
     numbered = position(sums, keys, F.substring("_h", 1, 2), [F.col("_h"), F.col("block_id")], "idx").select(
         *keys, "idx", "sa", "sb")
     totals = sums.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_blocks"), F.sum("sa").alias("_ta"),

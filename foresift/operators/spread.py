@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foresift.sources.storage import materialise
+
 HOT_GROUP_ROWS = 1_000_000
 N_CUTS = 512
 
@@ -66,21 +68,21 @@ def split_quantiles(df: DataFrame, keys: list[str], value: str, levels, out: str
                     kind: str = "linear") -> DataFrame:
     """Exact quantiles of groups of any size.
 
-    Equal values are counted before the shuffle, approximate cut points slice each group into ranges, and the running
-    count over (key, range) blocks locates the exact order statistics.
+    Equal values are counted before the shuffle and the counts are stored. Approximate cut points slice each group into
+    ranges, and the running count over (key, range) blocks locates the exact order statistics.
     """
-    counts = (df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_x"))
-              .agg(F.count(F.lit(1)).alias("_c")))
-    probs = F.array(*[F.lit(i / N_CUTS) for i in range(1, N_CUTS)])
-    cuts = counts.groupBy(*keys).agg(F.percentile_approx("_x", probs, F.lit(10 * N_CUTS)).alias("_cuts"),
-                                     F.sum("_c").alias("_n"))
-    cuts = cuts.withColumn("_cuts", F.array_distinct("_cuts"))
+    counts = materialise(df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_x"))
+                         .agg(F.count(F.lit(1)).alias("_c")))
+    probs = ", ".join(str(i / N_CUTS) for i in range(1, N_CUTS))
+    cuts = counts.groupBy(*keys).agg(
+        F.expr(f"array_distinct(percentile_approx(_x, array({probs}), {10 * N_CUTS}))").alias("_cuts"),
+        F.sum("_c").alias("_n"))
     if keys:
         sized = counts.join(cuts, keys)
     else:
         sized = counts.crossJoin(F.broadcast(cuts))     # exactly one row
-    # number of cut points below the value, by position of the first cut that is not smaller
-    bucket = F.aggregate("_cuts", F.lit(0), lambda acc, c: acc + F.when(c < F.col("_x"), 1).otherwise(0))
+    # number of cut points below the value
+    bucket = F.expr("size(filter(_cuts, c -> c < _x))")
     ranked = running_sum(sized.withColumn("_b", bucket).drop("_cuts"), keys, F.col("_b"), [F.col("_x")],
                          F.col("_c"), "_cum")
     aggs, finals = [], []
@@ -94,16 +96,24 @@ def split_quantiles(df: DataFrame, keys: list[str], value: str, levels, out: str
     return ranked.groupBy(*keys).agg(*aggs).select(*keys, F.array(*finals).alias(out))
 
 
+def largest_group(df: DataFrame, keys: list[str]) -> int:
+    """Rows of the largest group; one pass over the key columns."""
+    top = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
+    return top or 0
+
+
 def grouped_quantiles(df: DataFrame, keys: list[str], value: str, levels, out: str = "q", extra=(),
-                      hot_rows: int = HOT_GROUP_ROWS) -> DataFrame:
+                      hot_rows: int = HOT_GROUP_ROWS, largest: int | None = None) -> DataFrame:
     """Exact linear quantiles per key, plus further aggregates `extra`.
 
     Groups up to `hot_rows` use the built-in exact percentile. Larger ones, whose value table would not fit one task,
-    go through `split_quantiles`. Adaptive execution drops the second branch when no group is that large.
+    go through `split_quantiles`. `largest` is the checked size of the largest group, if the caller already knows it.
     """
-    hot = (df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-           .where(F.col("_n") > hot_rows).select(*keys))
     levels_col = F.array(*[F.lit(float(x)) for x in levels])
+    if (largest_group(df, keys) if largest is None else largest) <= hot_rows:
+        return df.groupBy(*keys).agg(F.percentile(value, levels_col).alias(out), *extra)
+    hot = materialise(df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+                      .where(F.col("_n") > hot_rows).select(*keys))
     small = (df.join(hot, keys, "left_anti").groupBy(*keys)
              .agg(F.percentile(value, levels_col).alias(out), *extra))
     big_rows = df.join(hot, keys, "left_semi")

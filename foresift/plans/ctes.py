@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from foresift.functions.scores import LEVELS
 from foresift.functions.normal import z_values
-from foresift.sources.tables import EVENT_LEADS, EVENT_UNIT, PRICE_UNIT, TEST_START
+from foresift.sources.tables import EVENT_LEADS, EVENT_UNIT, ORDER_STEP, PRICE_UNIT, TEST_START
 
 N = len(LEVELS)
 
@@ -74,7 +74,7 @@ CTES: dict[str, str] = {
         date_trunc('month', l_shipdate)::TIMESTAMP + to_hours(((l_linenumber-1)%3)*6) AS valid_time,
         l_extendedprice/{PRICE_UNIT}::DOUBLE AS f,
         CASE WHEN l_returnflag <> 'R' THEN l_extendedprice*(1-l_discount)*(1+l_tax)/{PRICE_UNIT}::DOUBLE END AS net,
-        {{'a': l_orderkey, 'b': l_linenumber, 'c': l_partkey, 'd': l_extendedprice}} AS ord FROM lineitem""",
+        (l_orderkey*8+l_linenumber)*{ORDER_STEP} + l_partkey%{ORDER_STEP} AS ord, l_linenumber AS line FROM lineitem""",
     "ac": """SELECT station_id, year_idx, time_idx, issue_time, step_hours, valid_time, avg(f) AS ens_mean,
         var_samp(f) AS ens_var, count(*) AS n_members, arg_min(net, ord) FILTER (net IS NOT NULL) AS t2m_obs,
         quantile_cont(f, """ + LIST_LEVELS + """) AS raw_q FROM am GROUP BY ALL""",
@@ -103,9 +103,10 @@ CTES: dict[str, str] = {
     "ei": "SELECT * FROM ec WHERE ens_var IS NOT NULL",
     "oser": """SELECT station_id, valid_time, arg_min(t2m_obs, step_hours) AS y,
         row_number() OVER (PARTITION BY station_id ORDER BY valid_time) AS rn FROM ei GROUP BY station_id, valid_time""",
-    "fresh": """SELECT station_id, valid_time, arg_min(m, step_hours) AS x, arg_min(s, step_hours) AS x_sd,
-        min(step_hours) AS freshest_step FROM (SELECT station_id, valid_time, step_hours, avg(f) AS m,
-        stddev_samp(f) AS s FROM em GROUP BY ALL) GROUP BY ALL""",
+    "fresh": """SELECT station_id, valid_time, best.m AS x, best.s AS x_sd, freshest_step FROM (
+        SELECT station_id, valid_time, arg_min({'m': m, 's': s}, step_hours) AS best, min(step_hours) AS freshest_step
+        FROM (SELECT station_id, valid_time, step_hours, avg(f) AS m, stddev_samp(f) AS s FROM em GROUP BY ALL)
+        GROUP BY ALL)""",
     "hist": """SELECT o.station_id, list(y ORDER BY rn) AS ys, list(x ORDER BY rn) AS xs, list(x_sd ORDER BY rn) AS sds
         FROM oser o LEFT JOIN fresh f USING (station_id, valid_time) GROUP BY o.station_id""",
     "iss": """SELECT i.station_id, i.issue_time, count(o.rn) AS idx FROM (SELECT DISTINCT station_id, issue_time FROM ei) i

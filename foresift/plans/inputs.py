@@ -11,12 +11,34 @@ from foresift.operators import baselines as B
 from foresift.operators import panel as P
 from foresift.operators import timeseries as TS
 from foresift.operators.emos import gaussian_quantiles
-from foresift.operators.spread import grouped_quantiles
+from foresift.operators.spread import largest_group
 from foresift.sources import tables as T
+from foresift.sources.storage import materialise
 
 KEY = T.KEY
 CONTEXTS = (4, 8, 16)
 
+# Inputs built once per session and folder, as stored tables: panels, prediction tables, run tables.
+_STORED: dict[tuple, object] = {}
+
+
+def stored(spark: SparkSession, sf: str, name: str, build):
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _STORED:
+        got = build()
+        _STORED[key] = materialise(got) if isinstance(got, DataFrame) else got
+    return _STORED[key]
+
+
+def forget() -> None:
+    """Drops the built inputs, so that the next query builds its own."""
+    _STORED.clear()
+
+
+def largest_ensemble(spark: SparkSession, sf: str) -> int:
+    """Checked once: the size of the largest archive ensemble decides how quantiles are computed."""
+    return stored(spark, sf, "largest", lambda: largest_group(T.archive_members(spark, sf), T.KEY))
+
 
 def cells(spark: SparkSession, sf: str, levels=()) -> DataFrame:
     """Archive cells: statistics and observation, optionally the ensemble quantiles, in one grouping."""
@@ -26,7 +48,7 @@ def cells(spark: SparkSession, sf: str, levels=()) -> DataFrame:
         return P.ensemble_stats(members, T.CELL, extra=[obs])
     stats = [F.avg("t2m_forecast").alias("ens_mean"), F.var_samp("t2m_forecast").alias("ens_var"),
              F.count("t2m_forecast").alias("n_members"), obs]
-    return grouped_quantiles(members, T.CELL, "t2m_forecast", levels, out="raw_q", extra=stats)
+    return B.raw_quantiles(members, T.CELL, levels, stats, "raw_q", largest_ensemble(spark, sf))
 
 
 def instances(spark: SparkSession, sf: str, levels=()) -> DataFrame:
@@ -39,20 +61,32 @@ def cases(spark: SparkSession, sf: str, cutoff: str = T.TEST_START) -> DataFrame
 
 def train(spark: SparkSession, sf: str) -> DataFrame:
     """Training panel. A case is one month here, so its dates follow from its rows and no join is needed."""
+    return stored(spark, sf, "train", lambda: _train(spark, sf))
+
+
+def _train(spark, sf):
     rows = instances(spark, sf).where(F.timestamp_add("HOUR", F.lit(12), F.col("issue_time"))
                                       < F.lit(T.TEST_START).cast("timestamp_ntz"))
     return rows.withColumn("case_date", F.to_date("issue_time"))
 
 
 def test(spark: SparkSession, sf: str, levels=()) -> DataFrame:
-    return instances(spark, sf, levels).where(F.col("issue_time") >= F.lit(T.TEST_START).cast("timestamp_ntz"))
+    """Test panel with the raw ensemble quantiles (`raw_q`) next to the statistics."""
+    return stored(spark, sf, "test", lambda: instances(spark, sf, LEVELS).where(
+        F.col("issue_time") >= F.lit(T.TEST_START).cast("timestamp_ntz")))
 
 
 METHODS = ("raw_ensemble", "gaussian_ensemble", "inflation_fixed", "inflation_fitted", "climatology")
 
 
 def predictions(spark: SparkSession, sf: str, methods=METHODS) -> DataFrame:
-    """Closed-form methods on the test instances. All quantile arrays are computed next to each other from one scan."""
+    """Prediction table of the closed-form methods, stored once; a subset of methods is a pushed-down filter."""
+    table = stored(spark, sf, "predictions", lambda: _predictions(spark, sf, METHODS))
+    return table if tuple(methods) == METHODS else table.where(F.col("method").isin(*methods))
+
+
+def _predictions(spark, sf, methods):
+    """All quantile arrays are computed next to each other from one scan of the test panel."""
     te = test(spark, sf, LEVELS if "raw_ensemble" in methods else ())
     tr = train(spark, sf)
     mean, sd = F.col("ens_mean"), F.sqrt("ens_var")
@@ -78,11 +112,12 @@ def event_cells(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def event_instances(spark: SparkSession, sf: str) -> DataFrame:
-    return event_cells(spark, sf).dropna(subset=["ens_var", "t2m_obs"])
+    return stored(spark, sf, "event_instances", lambda: event_cells(spark, sf).dropna(subset=["ens_var", "t2m_obs"]))
 
 
 def freshest(spark: SparkSession, sf: str, spread: bool = False) -> DataFrame:
-    return TS.freshest(T.event_members(spark, sf), spread=spread)
+    table = stored(spark, sf, "freshest", lambda: TS.freshest(T.event_members(spark, sf), spread=True))
+    return table if spread else table.drop("x_sd")
 
 
 def context_jobs(spark: SparkSession, sf: str, length: int, **kw) -> DataFrame:
@@ -110,9 +145,14 @@ def job_rows(jobs: DataFrame) -> DataFrame:
 
 def context_runs(spark: SparkSession, sf: str, lengths=CONTEXTS) -> DataFrame:
     """Two forecasters (climatology of the context, persistence) for several context lengths."""
+    table = stored(spark, sf, "context_runs", lambda: _context_runs(spark, sf, CONTEXTS))
+    return table if tuple(lengths) == CONTEXTS else table.where(F.col("context_steps").isin(*lengths))
+
+
+def _context_runs(spark, sf, lengths):
     parts = []
     for n in lengths:
-        rows = job_rows(context_jobs(spark, sf, n).withColumn("context", F.col("context")))
+        rows = job_rows(context_jobs(spark, sf, n))
         both = F.explode(F.array(
             F.struct(F.lit("context_climatology").alias("model"), array_quantiles(F.col("context"), n).alias("q")),
             F.struct(F.lit("persistence").alias("model"),
@@ -123,6 +163,10 @@ def context_runs(spark: SparkSession, sf: str, lengths=CONTEXTS) -> DataFrame:
 
 
 def gap_runs(spark: SparkSession, sf: str, length: int = 8, gap: int = 4) -> DataFrame:
+    return stored(spark, sf, "gap_runs", lambda: _gap_runs(spark, sf, length, gap))
+
+
+def _gap_runs(spark, sf, length, gap):
     parts = []
     for name, g in (("nogap", 0), (f"gap{gap}", gap)):
         rows = job_rows(context_jobs(spark, sf, length, gap=g))

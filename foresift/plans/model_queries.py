@@ -181,7 +181,7 @@ def leave_one_out(spark, sf):
 
 @query("m13_rolling_emos", "method:s window_days:i n:i covered:i crps:d coverage_80pct:d interval_width:d upper_crps:d")
 def rolling_emos(spark, sf):
-    ei = materialise(I.event_instances(spark, sf))
+    ei = I.event_instances(spark, sf)
     out = RO.rolling_predictions(ei, ei, [5, 10, 20])
     return out.groupBy("method", "window_days").agg(*S.bundle(F.col("t2m_obs"), F.col("q")), F.count("q").alias("covered"))
 
@@ -226,21 +226,21 @@ def inflation_predict(spark, sf):
     return wide(B.inflation_predict(I.test(spark, sf), B.fit_inflation(I.train(spark, sf))))
 
 
-CURVE_SQL = f"""SELECT lambda, avg({C.cover('q', 't2m_obs')}) AS coverage_80pct, avg({C.width('q')}) AS interval_width,
-    avg({C.crps('q', 't2m_obs')}) AS crps FROM (SELECT l/100.0::DOUBLE AS lambda, t2m_obs,
+CURVE_SQL = f"""SELECT multiplier, avg({C.cover('q', 't2m_obs')}) AS coverage_80pct, avg({C.width('q')}) AS interval_width,
+    avg({C.crps('q', 't2m_obs')}) AS crps FROM (SELECT l/100.0::DOUBLE AS multiplier, t2m_obs,
     {C.gaussian('ens_mean', '(l/100.0::DOUBLE)*sqrt(ens_var)')} AS q FROM test, (SELECT unnest(range(50, 301, 5)) AS l))
-    GROUP BY lambda"""
+    GROUP BY multiplier"""
 C.CTES["curve"] = CURVE_SQL
 
 
-@query("m18_inflation_curve", "lambda:d coverage_80pct:d interval_width:d crps:d", "SELECT * FROM curve")
+@query("m18_inflation_curve", "multiplier:d coverage_80pct:d interval_width:d crps:d", "SELECT * FROM curve")
 def inflation_curve(spark, sf):
     return B.inflation_curve(I.test(spark, sf))
 
 
 @query("m19_network", "fit_id:s n:i crps:d coverage_80pct:d interval_width:d upper_crps:d")
 def network(spark, sf):
-    tr = materialise(I.train(spark, sf)).withColumn("fit_id", F.lit("all"))
+    tr = I.train(spark, sf).withColumn("fit_id", F.lit("all"))
     model = fit_networks(tr, {"all": 0}, rounds=8)
     return model.transform(I.test(spark, sf)).groupBy("fit_id").agg(*S.bundle(F.col("t2m_obs"), F.col("q")))
 

@@ -25,11 +25,11 @@ def scan(spark, sf):
 
 @query("s2_explode_members", "station_id:i issue_time:t step_hours:d member:i t2m_forecast:d",
        """SELECT station_id, issue_time, step_hours, row_number() OVER (PARTITION BY station_id, issue_time, step_hours
-       ORDER BY ord) - 1 AS member, CASE WHEN ord.b <> 7 THEN f END AS t2m_forecast FROM am""")
+       ORDER BY ord) - 1 AS member, CASE WHEN line <> 7 THEN f END AS t2m_forecast FROM am""")
 def explode_members(spark, sf):
     m = T.archive_members(spark, sf)
     # line 7 stands for a member that was not delivered (NaN)
-    value = F.when(F.col("member_order.l_linenumber") == 7, F.lit(float("nan"))).otherwise(F.col("t2m_forecast"))
+    value = F.when(F.col("line") == 7, F.lit(float("nan"))).otherwise(F.col("t2m_forecast"))
     cube = m.groupBy("station_id", "issue_time", "step_hours").agg(
         F.array_sort(F.collect_list(F.struct("member_order", value.alias("f")))).alias("m"))     # one ensemble per row
     return P.explode_members(cube.withColumn("members", F.col("m.f")).drop("m"))
@@ -49,7 +49,7 @@ def split_sources(spark, sf):
 @query("s4_stored_aggregate", f"{KEYS} ens_mean:d ens_var:d n_members:i t2m_obs:d",
        "SELECT station_id, valid_time, step_hours, ens_mean, ens_var, n_members, t2m_obs FROM test")
 def stored_aggregate(spark, sf):
-    return storage.materialise(I.test(spark, sf).select(*T.KEY, "ens_mean", "ens_var", "n_members", "t2m_obs"))
+    return I.test(spark, sf).select(*T.KEY, "ens_mean", "ens_var", "n_members", "t2m_obs")
 
 
 @query("s5_result_sink", "config_hash:s model_version:s n:i mean_crps:d",
@@ -137,11 +137,11 @@ def _long(spark, sf):
     members = T.archive_members(spark, sf).where(F.col("issue_time") >= F.lit(T.TEST_START).cast("timestamp_ntz"))
     obs = members.where(F.col("verifying").isNotNull()).groupBy(*T.KEY).agg(
         F.min_by("verifying", "member_order").alias("t2m_obs"))
-    return members.withColumn("member", F.col("member_order.l_orderkey") * 8 + F.col("member_order.l_linenumber")), obs
+    return members.withColumnRenamed("member_order", "member"), obs
 
 
 @query("b4_long_test_table", f"{KEYS} member:i t2m_forecast:d t2m_obs:d",
-       """SELECT a.station_id, a.valid_time, a.step_hours, ord.a*8+ord.b AS member, f AS t2m_forecast, c.t2m_obs
+       """SELECT a.station_id, a.valid_time, a.step_hours, ord AS member, f AS t2m_forecast, c.t2m_obs
        FROM am a JOIN ac c USING (station_id, issue_time, step_hours)
        WHERE a.issue_time >= TIMESTAMP '2000-01-01' AND c.t2m_obs IS NOT NULL""")
 def long_test_table(spark, sf):
@@ -161,7 +161,7 @@ def renamed_valid_time(spark, sf):
 @query("b5_issue_time", f"{KEYS} issue_time:t issue_date:t",
        f"SELECT station_id, valid_time, step_hours, {C.ISSUE} AS issue_time, ({C.ISSUE})::DATE AS issue_date FROM ei")
 def issue_time(spark, sf):
-    return P.with_issue_time(I.event_instances(spark, sf).drop("issue_time"))
+    return P.with_issue_time(I.event_cells(spark, sf).dropna(subset=["ens_var"]).drop("issue_time"))
 
 
 @query("b6_season", "season:s station_id:i n:i mean_obs:d",

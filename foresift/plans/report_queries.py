@@ -45,7 +45,7 @@ REF_SPEC = (f"{RUN} eval_set:s {BUNDLE} bias:d mae:d rmse:d {B_CRPS} " + " ".joi
 
 
 def reference_rows(spark, sf):
-    runs = materialise(I.context_runs(spark, sf))
+    runs = I.context_runs(spark, sf)
     sets = {"matched": runs.where("context_steps = 8"), "common": runs.where("context_steps = 16")}
     return R.reference_scores(runs, ["model", "context_steps"], sets)
 
@@ -70,7 +70,7 @@ def context_sql(name: str, source: str, own: bool) -> str:
        context_sql("own", "runs", True) + " UNION ALL " + context_sql(
            "common", f"(SELECT * FROM runs SEMI JOIN {ALL_RUNS} k USING (station_id, valid_time, step_hours))", False))
 def context_summary(spark, sf):
-    return R.context_summary(materialise(I.context_runs(spark, sf)), ["model", "context_steps"], 6)
+    return R.context_summary(I.context_runs(spark, sf), ["model", "context_steps"], 6)
 
 
 @query("r3_common_set_summary", f"{RUN} n_instances:i n_own:i crps:d coverage_80pct:d interval_width:d",
@@ -79,7 +79,7 @@ def context_summary(spark, sf):
        avg({C.width()}) FILTER (one = 1) AS interval_width FROM runs r LEFT JOIN (SELECT *, 1 AS one FROM {ALL_RUNS}) k
        USING (station_id, valid_time, step_hours) GROUP BY ALL""")
 def common_set_summary(spark, sf):
-    return R.common_set_summary(materialise(I.context_runs(spark, sf)), ["model", "context_steps"], 6)
+    return R.common_set_summary(I.context_runs(spark, sf), ["model", "context_steps"], 6)
 
 
 def _lm(window: int) -> str:
@@ -99,7 +99,7 @@ C.CTES["lmref"] = "SELECT DISTINCT station_id, valid_time, step_hours FROM runs
        SELECT w, station_id, valid_time, step_hours FROM lmruns SEMI JOIN lmref USING (station_id, valid_time, step_hours)
        GROUP BY ALL HAVING count(DISTINCT model) = 2) k USING (w, station_id, valid_time, step_hours) GROUP BY ALL""")
 def lead_matched_summary(spark, sf):
-    base = materialise(I.context_runs(spark, sf, (4, 8)).where("model = 'context_climatology'"))
+    base = I.context_runs(spark, sf, (4, 8)).where("model = 'context_climatology'")
     lm = I.lead_matched_runs(spark, sf)
     six_hourly = base.where("context_steps = 8").withColumn(
         "window", F.explode(F.array(F.lit(5), F.lit(10)))).select(*lm.columns)
@@ -114,14 +114,14 @@ C.CTES["gapsum"] = f"""SELECT model, variant, CASE WHEN grouping(step_hours) = 1
 
 @query("r5_gap_control", f"model:s variant:s lead:s {BUNDLE}", "SELECT * FROM gapsum")
 def gap_control(spark, sf):
-    return R.variant_summary(materialise(I.gap_runs(spark, sf)))
+    return R.variant_summary(I.gap_runs(spark, sf))
 
 
 @query("r5_gap_delta", "model:s lead:s nogap:d gap4:d delta:d",
        """SELECT *, gap4 - nogap AS delta FROM (SELECT model, lead, any_value(crps) FILTER (variant = 'nogap') AS nogap,
        any_value(crps) FILTER (variant = 'gap4') AS gap4 FROM gapsum GROUP BY ALL)""")
 def gap_delta(spark, sf):
-    return R.variant_delta(R.variant_summary(materialise(I.gap_runs(spark, sf))), ["model"], "nogap", "gap4")
+    return R.variant_delta(R.variant_summary(I.gap_runs(spark, sf)), ["model"], "nogap", "gap4")
 
 
 @query("r6_seasonal_errors", "method:s season:s n:i bias:d mae:d rmse:d",
@@ -137,13 +137,13 @@ SIZE = ("method:s arm:s seed:i k:i n:i crps:d upper_crps:d coverage_80pct:d inte
 
 @query("r7_training_size", SIZE)
 def training_size(spark, sf):
-    tr, te = materialise(I.train(spark, sf)), materialise(I.test(spark, sf))
+    tr, te = I.train(spark, sf), I.test(spark, sf)
     return R.training_size_table(tr, te, [0, 7, 17, 50], [0, 1, 2])
 
 
 @query("r8_small_sizes", SIZE)
 def small_sizes(spark, sf):
-    tr, te = materialise(I.train(spark, sf)), materialise(I.test(spark, sf))
+    tr, te = I.train(spark, sf), I.test(spark, sf)
     return R.training_size_table(tr, te, [1, 2, 3, 5, 7], [0, 1, 2])
 
 
@@ -196,7 +196,7 @@ def breakpoint_table(spark, sf):
        "t_pvalue:d hac_mean_diff:d hac_dm_pvalue:d hac_ci_low:d hac_ci_high:d")
 def seasonal_sweep(spark, sf):
     reference = I.gaussian_quantiles(F.col("ens_mean"), F.lit(B.LAMBDA_CLIM) * F.sqrt("ens_var"))
-    tr, te = materialise(I.train(spark, sf)), materialise(I.test(spark, sf))
+    tr, te = I.train(spark, sf), I.test(spark, sf)
     return R.seasonal_sweep(tr, te, [2, 7, 15], reference)
 
 
@@ -244,7 +244,7 @@ def scored_rows(df, keys):
 @query("r14_emos_variants", VARIANT)
 def emos_variants(spark, sf):
     """Four EMOS variants by training size plus leave-one-station-out, one guarded score row each."""
-    tr, te = materialise(I.train(spark, sf)), materialise(I.test(spark, sf))
+    tr, te = I.train(spark, sf), I.test(spark, sf)
     ks = [7, 50]
     sets = SM.sweep_cases(SM.distinct_cases(tr), ks, [0]).where("arm = 'contiguous'")
     panel = materialise(SM.sweep_panel(tr, sets).select("k", "station_id", "step_hours", "ens_mean", "ens_var", "t2m_obs"))
@@ -267,7 +267,7 @@ def emos_variants(spark, sf):
 
 @query("r15_rolling_table", VARIANT.replace("k:i", "window_days:i"))
 def rolling_table(spark, sf):
-    ei = materialise(I.event_instances(spark, sf))
+    ei = I.event_instances(spark, sf)
     out = RO.rolling_predictions(ei, ei, [5, 10, 20])
     scored = materialise(scored_rows(out, ["method", "window_days"]))
     return G.guarded_scores(scored, ["method", "window_days"], ["fixed"], {"short": (0, 6)}, min_instances=100)
@@ -283,7 +283,7 @@ def rolling_table(spark, sf):
        avg({C.width()}) AS interval_width FROM runs WHERE model = 'context_climatology' GROUP BY ALL) x
        ANTI JOIN ref_scores r ON r.model = x.m AND r.context_steps = x.context_steps""")
 def append_runs(spark, sf):
-    runs = materialise(I.context_runs(spark, sf))
+    runs = I.context_runs(spark, sf)
     sets = {"matched": runs.where("context_steps = 8"), "common": runs.where("context_steps = 16")}
     have = R.reference_scores(runs, ["model", "context_steps"], sets)
     have = materialise(have.select("model", "context_steps", "eval_set", "crps", "coverage_80pct", "interval_width"))
@@ -322,13 +322,13 @@ def latest_row(spark, sf):
     return P.latest_per(s, ["model"], F.col("context_steps"))
 
 
-@query("r19_nearest_row", "lambda:d coverage_80pct:d interval_width:d crps:d",
-       """SELECT * FROM curve ORDER BY abs(lambda - (SELECT lam FROM lam)), lambda LIMIT 1""")
+@query("r19_nearest_row", "multiplier:d coverage_80pct:d interval_width:d crps:d",
+       """SELECT * FROM curve ORDER BY abs(multiplier - (SELECT lam FROM lam)), multiplier LIMIT 1""")
 def nearest_row(spark, sf):
     """Curve row nearest to the fitted multiplier; the multiplier stays a one-row table."""
     curve = B.inflation_curve(I.test(spark, sf))
-    fitted = B.fit_inflation(I.train(spark, sf)).select("multiplier")
-    near = curve.crossJoin(F.broadcast(fitted)).withColumn("gap", F.col("lambda") - F.col("multiplier"))     # one row
+    fitted = B.fit_inflation(I.train(spark, sf)).select(F.col("multiplier").alias("fitted"))
+    near = curve.crossJoin(F.broadcast(fitted)).withColumn("gap", F.col("multiplier") - F.col("fitted"))     # one row
     return R.nearest_row(near, "gap", 0.0)
 
 

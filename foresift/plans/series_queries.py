@@ -73,8 +73,8 @@ def interpolation(spark, sf):
 
 @query("t4_daily_calendar", "station_id:i step_hours:d day:t x:d y:d",
        """SELECT c.station_id, c.step_hours, c.day, e.ens_mean AS x, e.t2m_obs AS y FROM (
-       SELECT station_id, step_hours, unnest(generate_series(min(issue_time), max(issue_time), INTERVAL 1 DAY))::DATE AS day
-       FROM ei GROUP BY ALL) c LEFT JOIN ei e ON e.station_id = c.station_id AND e.step_hours = c.step_hours
+       SELECT station_id, step_hours, unnest(generate_series(lo, hi, INTERVAL 1 DAY))::DATE AS day FROM (SELECT station_id,
+       step_hours, min(issue_time) AS lo, max(issue_time) AS hi FROM ei GROUP BY ALL)) c LEFT JOIN ei e ON e.station_id = c.station_id AND e.step_hours = c.step_hours
        AND e.issue_time::DATE = c.day""")
 def daily_calendar(spark, sf):
     ei = I.event_instances(spark, sf).withColumnsRenamed({"ens_mean": "x", "t2m_obs": "y"})

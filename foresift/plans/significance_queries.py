@@ -16,7 +16,7 @@ from foresift.plans.series_queries import SWEEP_SETS
 from foresift.sources import tables as T
 from foresift.sources.storage import materialise
 
-REF = "climatology"
+REF = "raw_ensemble"
 
 
 def losses(spark, sf):
@@ -85,7 +85,7 @@ def block_sql(block: str, exact: bool) -> str:
     SELECT *, (wilcoxon_statistic - n*(n+1)/4.0)/sqrt(n*(n+1)*(2*n+1)/24.0 - ties/48.0) AS zz FROM (
     SELECT method, count(*) AS n_blocks, count(*)-1 AS dof, avg(d) AS block_mean_diff,
     avg(d)/(stddev_samp(d)/sqrt(count(*))) AS t_statistic, count(*) FILTER (d <> 0) AS n,
-    least(sum(r) FILTER (d > 0), sum(r) FILTER (d < 0)) AS wilcoxon_statistic, sum(CASE WHEN d <> 0 THEN c*c-1 END) AS ties
+    least(coalesce(sum(r) FILTER (d > 0), 0), coalesce(sum(r) FILTER (d < 0), 0)) AS wilcoxon_statistic, sum(CASE WHEN d <> 0 THEN c*c-1 END) AS ties
     FROM (SELECT method, d, count(*) OVER w AS c, rank() OVER (PARTITION BY method, d <> 0 ORDER BY abs(d))
       + (count(*) OVER w - 1)/2.0 AS r FROM (SELECT method, {block} AS block_id, avg(crps-ref) AS d FROM loss GROUP BY ALL)
       WINDOW w AS (PARTITION BY method, abs(d))) GROUP BY method))"""
@@ -197,8 +197,8 @@ def durable_significance(spark, sf):
 
 @query("h11_last_durable_crossing", "method:s status:s crossing:d",
        f"""SELECT method, CASE WHEN worse IS NULL THEN '<first' WHEN worse = last_n THEN 'none' ELSE 'crossed' END AS status,
-       CASE WHEN worse < last_n THEN cross END AS crossing FROM (SELECT method, any_value(worse) AS worse, max(n) AS last_n,
-       max(CASE WHEN n = worse THEN {CROSS} END) AS cross FROM (SELECT *, max(CASE WHEN NOT coalesce(value < ref, false)
+       CASE WHEN worse < last_n THEN cx END AS crossing FROM (SELECT method, any_value(worse) AS worse, max(n) AS last_n,
+       max(CASE WHEN n = worse THEN {CROSS} END) AS cx FROM (SELECT *, max(CASE WHEN NOT coalesce(value < ref, false)
        THEN n END) OVER (PARTITION BY method) AS worse FROM {SEG}) GROUP BY method)""")
 def last_durable_crossing(spark, sf):
     return G.last_durable_crossing(curves(spark, sf), ["method"])

@@ -21,6 +21,8 @@ EVENT_UNIT = 0.97
 # Lead hours of the event types and the start of the test period.
 EVENT_LEADS = {"click": 0.0, "error": 6.0, "purchase": 12.0, "signup": 18.0, "view": 24.0}
 TEST_START = "2000-01-01"
+# Fixed value: the member order is one 64-bit number (order line, then part), so that "first in order" hashes.
+ORDER_STEP = 1_000_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,7 +44,8 @@ def archive_members(spark: SparkSession, sf_dir: str) -> DataFrame:
         plus_hours(issue, step).alias("valid_time"), (price / F.lit(PRICE_UNIT)).alias("t2m_forecast"),
         F.when(F.col("l_returnflag") != "R",
                price * (1 - F.col("l_discount")) * (1 + F.col("l_tax")) / F.lit(PRICE_UNIT)).alias("verifying"),
-        F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice").alias("member_order"))
+        ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * F.lit(ORDER_STEP)
+         + F.col("l_partkey") % ORDER_STEP).alias("member_order"), F.col("l_linenumber").alias("line"))
 
 
 def event_members(spark: SparkSession, sf_dir: str) -> DataFrame:
