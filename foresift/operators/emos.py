@@ -22,6 +22,7 @@ from foresift.functions.scores import LEVELS
 from foresift.sources.storage import materialise
 
 MAX_GROUP_ROWS = 1_000_000
+WARM_ROWS = 20_000
 BUCKET_ROWS = 250_000
 CHUNK_ROWS = 1 << 17
 LOG_BOUND = 40.0
@@ -34,10 +35,12 @@ def param_names(predictors) -> list[str]:
 class Scoring:
     """State of all fits of one task or one lockstep run: damping, best parameters, and the sums at them."""
 
-    def __init__(self, n_fits: int, n_loc: int, tol: float = 1e-10):
+    def __init__(self, n_fits: int, n_loc: int, tol: float = 1e-10, start: np.ndarray | None = None):
         self.p, self.tol = n_loc, tol
         self.best = np.zeros((n_fits, n_loc + 2))
         self.best[:, 1] = 1.0
+        if start is not None:
+            self.best[:] = start
         self.trial = self.best.copy()
         self.loss = np.full(n_fits, np.inf)
         self.damp = np.full(n_fits, 1e-3)
@@ -205,9 +208,9 @@ def _lockstep_aggregates(predictors) -> list[Column]:
     return [F.sum(c).alias(f"_s{i}") for i, c in enumerate(cols)]
 
 
-def drive(n_fits: int, n_loc: int, evaluate, max_iter: int) -> Scoring:
+def drive(n_fits: int, n_loc: int, evaluate, max_iter: int, start: np.ndarray | None = None) -> Scoring:
     """Lockstep loop on the driver: one distributed evaluation per iteration, only sums come back."""
-    state = Scoring(n_fits, n_loc)
+    state = Scoring(n_fits, n_loc, start=start)
     with np.errstate(all="ignore"):
         for _ in range(max_iter):
             ids = np.flatnonzero(state.active)
@@ -217,10 +220,34 @@ def drive(n_fits: int, n_loc: int, evaluate, max_iter: int) -> Scoring:
     return state
 
 
+def _loc_scale(models: pd.DataFrame, predictors) -> np.ndarray:
+    """Parameter matrix (location parameters..., c, d) of a model frame."""
+    names = ["a", "b"] + (["e"] if len(predictors) > 1 else []) + ["c", "d"]
+    return models[names].to_numpy(dtype=float)
+
+
+def _warm_start(panel: DataFrame, keys: list[str], fits: pd.DataFrame, predictors, var: str, obs: str) -> np.ndarray:
+    share = min(1.0, WARM_ROWS / float(fits["_n"].min()))
+    some = panel.where(F.pmod(F.xxhash64(*panel.columns), F.lit(1 << 20)) < int(share * (1 << 20)))
+    start = np.zeros((len(fits), len(predictors) + 3))
+    start[:, 1] = 1.0
+    bucketed = some.withColumn("_bucket", F.pmod(F.hash(*keys), F.lit(max(1, len(fits)))))
+    got = fit_packed(bucketed, keys, ["_bucket"], predictors, var, obs, 40).toPandas()
+    at = {tuple(k): i for i, k in enumerate(fits[keys].itertuples(index=False, name=None))}
+    for k, row in zip(got[keys].itertuples(index=False, name=None), _loc_scale(got, predictors)):
+        if np.isfinite(row).all():
+            start[at[tuple(k)]] = row
+    return start
+
+
 def fit_lockstep(panel: DataFrame, keys: list[str], fits: pd.DataFrame, predictors, var: str, obs: str,
                  max_iter: int) -> DataFrame:
-    """Fits of any size. `panel` should be a stored table, since every iteration scans it."""
+    """Fits of any size. `panel` should be a stored table, since every iteration scans it.
+
+    A first fit on a hashed part of the rows only supplies the starting point; it saves most of the full scans.
+    """
     spark = panel.sparkSession
+    start = _warm_start(panel, keys, fits, predictors, var, obs)
     names = ["_" + n for n in param_names(predictors)]
     key_schema = T.StructType([panel.schema[k] for k in keys] + [T.StructField("_fit", T.LongType())]
                               + [T.StructField(n, T.DoubleType()) for n in names])
@@ -236,7 +263,7 @@ def fit_lockstep(panel: DataFrame, keys: list[str], fits: pd.DataFrame, predicto
         got = got.set_index("_fit").loc[ids]
         return got[[f"_s{i}" for i in range(got.shape[1])]].to_numpy(dtype=float)
 
-    state = drive(len(fits), len(predictors) + 1, evaluate, max_iter)
+    state = drive(len(fits), len(predictors) + 1, evaluate, max_iter, start)
     out = fits[keys].copy()
     for n, col in zip(param_names(predictors), _ordered(state.best, len(predictors))):
         out[n] = col
@@ -273,7 +300,7 @@ def fit_emos(panel: DataFrame, keys: list[str] = (), predictors=("ens_mean",), v
         bucketed = small.withColumn("_bucket", F.pmod(F.hash(*keys), F.lit(n_buckets)))
         out = materialise(fit_packed(bucketed, keys, ["_bucket"], predictors, var, obs, max_iter))
     if has_large:
-        fits = large.select(*keys).toPandas()
+        fits = large.toPandas()
         stored = materialise(rows.join(large.select(*keys), keys, "left_semi"))
         big = fit_lockstep(stored, keys, fits, predictors, var, obs, lockstep_iter)
         out = big if out is None else out.unionByName(big)
@@ -303,23 +330,43 @@ def emos_predict(test: DataFrame, models: DataFrame, keys: list[str] = (), predi
     return joined.withColumn("q", F.when(F.col("a").isNotNull(), emos_quantiles(predictors, var, levels))).drop(*names)
 
 
+def attach_models(test: DataFrame, models: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
+    """Left-joins each model table once, as a struct column `_m_<name>`."""
+    out = test
+    for name, (table, keys) in models.items():
+        m = table.select(*keys, F.struct("a", "b", "c", "d", "n_rows").alias(f"_m_{name}"))
+        out = out.join(m, list(keys), "left")
+    return out
+
+
+def choose_tier(tiers: list[tuple[str, int]]) -> Column:
+    """Parameters of the first attached model with at least its minimum rows, with the tier number; NULL if none."""
+    options = []
+    for i, (name, min_rows) in enumerate(tiers):
+        m = F.col(f"_m_{name}")
+        options.append(F.when(m["n_rows"] >= min_rows, F.struct(
+            F.lit(i).alias("tier"), m["a"].alias("a"), m["b"].alias("b"), m["c"].alias("c"), m["d"].alias("d"))))
+    return F.coalesce(*options)
+
+
+def predict_variants(test: DataFrame, models: dict[str, tuple[DataFrame, list[str]]],
+                     variants: dict[str, list[tuple[str, int]]], var: str = "ens_var", levels=LEVELS) -> DataFrame:
+    """All variants (fallback chains over shared models) in one pass: adds method, tier and q."""
+    joined = attach_models(test, models)
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("method"), choose_tier(t).alias("m")) for n, t in variants.items()]))
+    out = joined.withColumn("_v", each).select(*test.columns, "_v.method", "_v.m.tier", "_v.m.a", "_v.m.b", "_v.m.c", "_v.m.d")
+    return out.withColumn("q", F.when(F.col("a").isNotNull(), emos_quantiles(var=var, levels=levels))).drop(
+        "a", "b", "c", "d")
+
+
 def predict_tiers(test: DataFrame, tiers: list[tuple[DataFrame, list[str], int]], var: str = "ens_var",
                   levels=LEVELS) -> DataFrame:
     """First tier whose model exists and was fitted on at least its minimum rows; NULL when none applies.
 
     Adds `q` and `tier` (0-based). Only parameters are joined per tier, the quantiles are computed once.
     """
-    out = test
-    options, labels = [], []
-    for i, (models, keys, min_rows) in enumerate(tiers):
-        m = models.where(F.col("n_rows") >= min_rows).select(*keys, F.struct("a", "b", "c", "d").alias(f"_m{i}"))
-        out = out.join(m, list(keys), "left") if keys else out.join(m, F.lit(True), "left")
-        options.append(F.col(f"_m{i}"))
-        labels.append(F.when(F.col(f"_m{i}").isNotNull(), F.lit(i)))
-    out = out.withColumn("_m", F.coalesce(*options)).withColumn("tier", F.coalesce(*labels))
-    out = out.select(*test.columns, "tier", "_m.a", "_m.b", "_m.c", "_m.d")
-    return out.withColumn("q", F.when(F.col("a").isNotNull(), emos_quantiles(var=var, levels=levels))).drop(
-        "a", "b", "c", "d")
+    models = {str(i): (m, keys) for i, (m, keys, _) in enumerate(tiers)}
+    return predict_variants(test, models, {"": [(str(i), t[2]) for i, t in enumerate(tiers)]}, var, levels).drop("method")
 
 
 def fit_leave_one_out(train: DataFrame, lead_specific: bool = False, min_rows_lead: int = 20,
@@ -338,6 +385,12 @@ def fit_leave_one_out(train: DataFrame, lead_specific: bool = False, min_rows_le
     else:
         counts["total"] = counts["n"].sum()
     fits = counts[counts["total"] - counts["n"] >= (min_rows_lead if lead_specific else 1)].reset_index(drop=True)
+    # all stations together are one station away from every target: a good starting point
+    lead_keys = ["step_hours"] if lead_specific else []
+    near = fit_emos(stored, lead_keys).toPandas()
+    if lead_specific:
+        near = fits[["step_hours"]].merge(near, on="step_hours", how="left")
+    start = np.broadcast_to(_loc_scale(near, ("ens_mean",)), (len(fits), 4)).copy()
     schema = T.StructType([T.StructField("_fit", T.LongType())]
                           + [T.StructField(f"_s{i}", T.DoubleType()) for i in range(12)])
 
@@ -367,7 +420,7 @@ def fit_leave_one_out(train: DataFrame, lead_specific: bool = False, min_rows_le
         got = parts.groupBy("_fit").agg(*[F.sum(f"_s{i}").alias(f"_s{i}") for i in range(12)]).toPandas()
         return got.set_index("_fit").loc[ids].to_numpy(dtype=float)
 
-    state = drive(len(fits), 2, evaluate, max_iter)
+    state = drive(len(fits), 2, evaluate, max_iter, start)
     out = fits[keys].copy()
     for n, col in zip(param_names(("ens_mean",)), _ordered(state.best, 1)):
         out[n] = col

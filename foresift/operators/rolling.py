@@ -1,10 +1,12 @@
 """Rolling EMOS: at each issue time, models fitted on the verified pairs of the last W days."""
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foresift.operators.emos import fit_emos, fit_packed, predict_tiers
+from foresift.operators.emos import BUCKET_ROWS, fit_emos, fit_packed, predict_variants
 from foresift.operators.timeseries import day_number, rolling_pairs
 from foresift.sources.storage import materialise
 
@@ -13,33 +15,41 @@ MIN_HISTORY = 20
 MIN_LEAD = 20
 MIN_LOCAL = 5
 MIN_ADAPTIVE = 20
-VARIANTS = ("rolling_pooled_leadspec", "rolling_local", "rolling_local_leadspec", "rolling_local_adaptive")
 FIT = ["window_days", "at"]
+# Fallback chains: (models, minimum rows) in order of preference.
+VARIANTS = {
+    "rolling_pooled_leadspec": [("lead", MIN_LEAD), ("pooled", MIN_HISTORY)],
+    "rolling_local": [("station", MIN_LOCAL), ("pooled", MIN_HISTORY)],
+    "rolling_local_leadspec": [("cell", MIN_LOCAL), ("station", MIN_LOCAL), ("pooled", MIN_HISTORY)],
+    "rolling_local_adaptive": [("cell", MIN_ADAPTIVE), ("station", MIN_LOCAL), ("pooled", MIN_HISTORY)],
+}
 
 
 def local_models(history: DataFrame, issues: DataFrame, windows: list[int], keys: list[str]) -> DataFrame:
     """Rolling fits per station (and lead).
 
-    History rows are shuffled once by (series, window, block of W days), two copies each. The issues of a block are joined in
-    place, and the fits of one block run together in one group: a long series is spread over its blocks, and the pairs
-    (about W per row) exist only inside tasks.
+    History rows are shuffled once, two copies each: by series, window and block of W days, hashed into buckets. The issues
+    of a block are joined in place and the fits of a bucket run together, so the pairs (about W per row) exist only inside
+    tasks, and a long series is spread over its blocks.
     """
     sizes = F.array(*[F.lit(w) for w in windows])
-    day = day_number("issue_time")
-    blk = F.floor(day / F.col("window_days"))
+    n_buckets = max(math.ceil(history.count() * sum(windows) / BUCKET_ROWS),
+                    history.sparkSession.sparkContext.defaultParallelism)
+    blk = F.floor(day_number("issue_time") / F.col("window_days"))
     rows = (history.withColumn("window_days", F.explode(sizes))
-            .withColumn("_blk", F.explode(F.array(blk, blk + 1))))
-    targets = (issues.select(F.col("issue_time").alias("at")).distinct()
-               .withColumn("window_days", F.explode(sizes))
-               .withColumn("_blk", F.floor(day_number("at") / F.col("window_days"))))
-    group = [*keys, "window_days", "_blk"]
-    # An issue at the start of day t looks back to t - W, which lies in its own or the previous block.
-    spread = rows.repartition(*[F.col(g) for g in group])
+            .withColumn("_blk", F.explode(F.array(blk, blk + 1)))
+            .withColumn("_bucket", F.pmod(F.hash(*keys, "window_days", "_blk"), F.lit(n_buckets))))
+    targets = materialise(issues.select(F.col("issue_time").alias("at")).distinct()
+                          .withColumn("window_days", F.explode(sizes))
+                          .withColumn("_blk", F.floor(day_number("at") / F.col("window_days"))))
+    # An issue of day t looks back to day t - W, which lies in its own or the previous block. The issue list is one row per
+    # issue time and window and has a known size; while it is small the rows stay where the first shuffle put them.
+    spread = rows.repartition(F.col("_bucket"))
     pairs = spread.join(targets, ["window_days", "_blk"]).where(
         (F.col("issue_time") >= F.timestamp_add("DAY", -F.col("window_days"), F.col("at")))
         & (F.col("issue_time") < F.col("at")) & (F.col("valid_time") < F.col("at")))
-    cols = pairs.select(*group, "at", "ens_mean", "ens_var", "t2m_obs")
-    return materialise(fit_packed(cols, [*keys, *FIT], group, ("ens_mean",), "ens_var", "t2m_obs", 60))
+    cols = pairs.select("_bucket", *keys, *FIT, "ens_mean", "ens_var", "t2m_obs")
+    return materialise(fit_packed(cols, [*keys, *FIT], ["_bucket"], ("ens_mean",), "ens_var", "t2m_obs", 60))
 
 
 def rolling_predictions(history: DataFrame, test: DataFrame, windows: list[int]) -> DataFrame:
@@ -49,27 +59,15 @@ def rolling_predictions(history: DataFrame, test: DataFrame, windows: list[int])
     MIN_HISTORY verified pairs get no forecast.
     """
     hist = history.select("station_id", "step_hours", "issue_time", "valid_time", "ens_mean", "ens_var", "t2m_obs")
-    issues = test.select("issue_time").distinct()
+    issues = materialise(test.select("issue_time").distinct())
     pairs = rolling_pairs(hist, issues, windows)
-    pooled = fit_emos(pairs, FIT, min_rows=MIN_HISTORY)
-    by_lead = fit_emos(pairs, [*FIT, "step_hours"], min_rows=MIN_LEAD)
-    by_station = local_models(hist, issues, windows, ["station_id"])
-    by_cell = local_models(hist, issues, windows, ["station_id", "step_hours"])
-    sizes = F.array(*[F.lit(w) for w in windows])
-    rows = test.withColumn("window_days", F.explode(sizes)).withColumn("at", F.col("issue_time"))
-    enough = pooled.select(*FIT)
-    rows = rows.join(enough, FIT, "left_semi")
-    lead, stn = [*FIT, "step_hours"], [*FIT, "station_id"]
-    cell = [*FIT, "station_id", "step_hours"]
-    tiers = {
-        "rolling_pooled_leadspec": [(by_lead, lead, MIN_LEAD), (pooled, FIT, MIN_HISTORY)],
-        "rolling_local": [(by_station, stn, MIN_LOCAL), (pooled, FIT, MIN_HISTORY)],
-        "rolling_local_leadspec": [(by_cell, cell, MIN_LOCAL), (by_station, stn, MIN_LOCAL), (pooled, FIT, MIN_HISTORY)],
-        "rolling_local_adaptive": [(by_cell, cell, MIN_ADAPTIVE), (by_station, stn, MIN_LOCAL),
-                                   (pooled, FIT, MIN_HISTORY)],
+    models = {
+        "pooled": (fit_emos(pairs, FIT, min_rows=MIN_HISTORY), FIT),
+        "lead": (fit_emos(pairs, [*FIT, "step_hours"], min_rows=MIN_LEAD), [*FIT, "step_hours"]),
+        "station": (local_models(hist, issues, windows, ["station_id"]), [*FIT, "station_id"]),
+        "cell": (local_models(hist, issues, windows, ["station_id", "step_hours"]), [*FIT, "station_id", "step_hours"]),
     }
-    out = None
-    for name in VARIANTS:
-        part = predict_tiers(rows, tiers[name]).withColumn("method", F.lit(name))
-        out = part if out is None else out.unionByName(part)
-    return out.drop("at")
+    rows = test.withColumn("window_days", F.explode(F.array(*[F.lit(w) for w in windows]))).withColumn(
+        "at", F.col("issue_time"))
+    enough = rows.join(models["pooled"][0].select(*FIT), FIT, "left_semi")
+    return predict_variants(enough, models, VARIANTS).drop("at")

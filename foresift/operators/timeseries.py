@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foresift.operators.spread import running_sum, trailing_lists
+from foresift.sources.storage import materialise
 from foresift.sources.tables import plus_hours
 
 EPOCH = "1970-01-01"
@@ -130,24 +131,31 @@ def observed_series(instances: DataFrame) -> DataFrame:
     return instances.groupBy("station_id", "valid_time").agg(F.min_by("t2m_obs", "step_hours").alias("y"))
 
 
-def asof_contexts(instances: DataFrame, covariate: DataFrame, length: int, gap: int = 0, step: int = 6,
-                  use_covariate: bool = True, two_channel: bool = False) -> DataFrame:
-    """Forecast jobs per (station, issue time): the last `length` observations before the issue time, by row position.
+def asof_positions(instances: DataFrame, covariate: DataFrame) -> DataFrame:
+    """Observations and issue times of each station on one axis, with the number of observations up to them.
 
-    The number of earlier observations is a running count over the merged observation and issue events, cut into days,
-    so the as-of match is an equi-join on (station, position). With a gap the context ends `gap` rows earlier, the
-    covariate stays complete, and lead l maps to step l / 6 + gap, which needs the complete lead grid.
+    The count runs over the merged events, cut into days: the as-of match becomes an equi-join on (station, position).
+    Context jobs of any length start from this table, so it is worth storing.
     """
     series = observed_series(instances).join(covariate, ["station_id", "valid_time"], "left")
-    cols = ["y", "x"] + (["x_sd"] if two_channel else [])
+    cols = ["y", "x"] + (["x_sd"] if "x_sd" in covariate.columns else [])
     null = F.lit(None).cast("double")
     obs_ev = series.select("station_id", F.col("valid_time").alias("at"), F.lit(1).alias("is_obs"),
                            *[F.nanvl(F.col(c), null).alias(c) for c in cols])
     issues = instances.select("station_id", F.col("issue_time").alias("at")).distinct()
     issue_ev = issues.select("station_id", "at", F.lit(0).alias("is_obs"), *[null.alias(c) for c in cols])
     # issues sort before observations of the same time: only strictly earlier observations count
-    counted = running_sum(obs_ev.unionByName(issue_ev), ["station_id"], F.to_date("at"),
-                          [F.col("at"), F.col("is_obs")], F.col("is_obs"), "n_before")
+    return running_sum(obs_ev.unionByName(issue_ev), ["station_id"], F.to_date("at"),
+                       [F.col("at"), F.col("is_obs")], F.col("is_obs"), "n_before")
+
+
+def asof_contexts(instances: DataFrame, counted: DataFrame, length: int, gap: int = 0, step: int = 6,
+                  use_covariate: bool = True, two_channel: bool = False) -> DataFrame:
+    """Forecast jobs per (station, issue time): the last `length` observations before the issue time, by row position.
+
+    `counted` comes from `asof_positions`. With a gap the context ends `gap` rows earlier, the covariate stays complete,
+    and lead l maps to step l / 6 + gap, which needs the complete lead grid.
+    """
     frames = {"context": ("y", -(gap + length - 1), -gap), "past": ("x", -(gap + length - 1), 0)}
     if two_channel:
         frames["past_sd"] = ("x_sd", -(gap + length - 1), 0)
@@ -193,9 +201,10 @@ def rolling_pairs(history: DataFrame, issues: DataFrame, windows: list[int], key
     rows = (history.withColumn("window_days", F.explode(sizes))
             .withColumn("_blk", F.floor(day_number("issue_time") / F.col("window_days"))))
     at = F.floor(day_number("at") / F.col("window_days"))
-    targets = (issues.select(*keys, F.col("issue_time").alias("at")).distinct()
-               .withColumn("window_days", F.explode(sizes))
-               .withColumn("_blk", F.explode(F.array(at - 1, at))))
+    # one row per issue time, window and block: stored, so that its size is known when the join is planned
+    targets = materialise(issues.select(*keys, F.col("issue_time").alias("at")).distinct()
+                          .withColumn("window_days", F.explode(sizes))
+                          .withColumn("_blk", F.explode(F.array(at - 1, at))))
     lower = F.timestamp_add("DAY", -F.col("window_days"), F.col("at"))
     return (rows.join(targets, [*keys, "window_days", "_blk"])
             .where((F.col("issue_time") >= lower) & (F.col("issue_time") < F.col("at"))

@@ -121,8 +121,10 @@ def freshest(spark: SparkSession, sf: str, spread: bool = False) -> DataFrame:
 
 
 def context_jobs(spark: SparkSession, sf: str, length: int, **kw) -> DataFrame:
-    fresh = freshest(spark, sf, kw.get("two_channel", False)).drop("freshest_step")
-    return TS.asof_contexts(event_instances(spark, sf), fresh, length, **kw)
+    ei = event_instances(spark, sf)
+    counted = stored(spark, sf, "positions", lambda: TS.asof_positions(
+        ei, freshest(spark, sf, True).drop("freshest_step")))
+    return TS.asof_contexts(ei, counted, length, **kw)
 
 
 def array_quantiles(values: Column, size: int, levels=LEVELS) -> Column:

@@ -252,13 +252,10 @@ def emos_variants(spark, sf):
     k, lead, stn, cell = ["k"], ["k", "step_hours"], ["k", "station_id"], ["k", "station_id", "step_hours"]
     m = {"pooled": E.fit_emos(panel, k), "lead": E.fit_emos(panel, lead, min_rows=20),
          "local": E.fit_emos(panel, stn, min_rows=5), "cell": E.fit_emos(panel, cell, min_rows=5)}
-    tiers = {"emos_pooled": [(m["pooled"], k, 1)], "emos_local": [(m["local"], stn, 5)],
-             "emos_pooled_leadspec": [(m["lead"], lead, 20), (m["pooled"], k, 1)],
-             "emos_local_leadspec": [(m["cell"], cell, 5)]}
-    out = None
-    for name, t in tiers.items():
-        part = E.predict_tiers(rows, t).withColumn("method", F.lit(name))
-        out = part if out is None else out.unionByName(part)
+    models = {"pooled": (m["pooled"], k), "lead": (m["lead"], lead), "local": (m["local"], stn), "cell": (m["cell"], cell)}
+    out = E.predict_variants(rows, models, {
+        "emos_pooled": [("pooled", 1)], "emos_local": [("local", 5)],
+        "emos_pooled_leadspec": [("lead", 20), ("pooled", 1)], "emos_local_leadspec": [("cell", 5)]})
     loso = E.predict_tiers(te.withColumn("k", F.lit(-1)), [(E.fit_leave_one_out(tr), ["station_id"], 1)])
     out = out.unionByName(loso.withColumn("method", F.lit("emos_loso")).select(*out.columns))
     scored = materialise(scored_rows(out, ["method", "k"]))
@@ -275,12 +272,12 @@ def rolling_table(spark, sf):
 
 @query("r16_append_runs", f"{RUN} eval_set:s crps:d coverage_80pct:d interval_width:d",
        f"""SELECT model, context_steps, eval_set, crps, coverage_80pct, interval_width FROM ref_scores UNION ALL
-       SELECT m, context_steps, e, crps, coverage_80pct, interval_width FROM (SELECT model || '_nocov' AS m, context_steps,
-       unnest(['matched', 'common']) AS e, avg({C.crps()}) AS crps, avg({C.cover()}) AS coverage_80pct,
-       avg({C.width()}) AS interval_width FROM runs WHERE model = 'persistence' GROUP BY ALL) UNION ALL
-       SELECT m, context_steps, e, crps, coverage_80pct, interval_width FROM (SELECT model AS m, context_steps,
-       unnest(['matched', 'common']) AS e, avg({C.crps()}) AS crps, avg({C.cover()}) AS coverage_80pct,
-       avg({C.width()}) AS interval_width FROM runs WHERE model = 'context_climatology' GROUP BY ALL) x
+       SELECT m, context_steps, e, crps, coverage_80pct, interval_width FROM (SELECT model || '_nocov' AS m, context_steps, e,
+       avg({C.crps()}) AS crps, avg({C.cover()}) AS coverage_80pct, avg({C.width()}) AS interval_width FROM runs,
+       (SELECT unnest(['matched', 'common']) AS e) WHERE model = 'persistence' GROUP BY ALL) UNION ALL
+       SELECT m, context_steps, e, crps, coverage_80pct, interval_width FROM (SELECT model AS m, context_steps, e, avg({C.crps()}) AS crps,
+       avg({C.cover()}) AS coverage_80pct, avg({C.width()}) AS interval_width FROM runs, (SELECT unnest(['matched', 'common'])
+       AS e) WHERE model = 'context_climatology' GROUP BY ALL) x
        ANTI JOIN ref_scores r ON r.model = x.m AND r.context_steps = x.context_steps""")
 def append_runs(spark, sf):
     runs = I.context_runs(spark, sf)
@@ -348,7 +345,7 @@ def quick_check(spark, sf):
        AS obs, unnest(list_transform(means, lambda m: list_transform({C.LIST_LEVELS}, lambda t: context[8] + 0.5*(m - list_avg(
        list_concat(past, means)))))) AS q FROM ({C.jobs(8)} AND len(list_filter(h.sds[idx-7:idx], lambda x: x IS NULL)) = 0) UNION ALL
        SELECT 'two_covariates', station_id, issue_time, unnest(steps), unnest(obs), unnest(list_transform(list_zip(means, sds),
-       p -> list_transform([-1.2,-0.9,-0.6,-0.3,0.0,0.3,0.6,0.9,1.2]::DOUBLE[], lambda z: context[8] + 0.5*(p[1] - list_avg(list_concat(
+       lambda p: list_transform([-1.2,-0.9,-0.6,-0.3,0.0,0.3,0.6,0.9,1.2]::DOUBLE[], lambda z: context[8] + 0.5*(p[1] - list_avg(list_concat(
        past, means))) + z*p[2]))) FROM ({C.jobs(8)} AND len(list_filter(h.sds[idx-7:idx], lambda x: x IS NULL)) = 0)) GROUP BY method""")
 def two_covariates(spark, sf):
     """Scores of the two-channel run and of the mean-only run on the same keys."""
