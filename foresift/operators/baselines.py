@@ -71,18 +71,15 @@ def coverage_inflation(train: DataFrame, target: float, band=S.BAND) -> DataFram
 def inflation_predict(test: DataFrame, model: DataFrame, keys: list[str] = (), levels=S.LEVELS) -> DataFrame:
     m = model.select(*keys, "multiplier")
     joined = test.join(m, list(keys)) if keys else test.crossJoin(F.broadcast(m))    # one row without keys
-    q = gaussian_quantiles(F.col("ens_mean"), F.col("multiplier") * F.sqrt("ens_var"), levels)
-    return joined.withColumn("q", q).drop("multiplier")
+    return joined.withColumn("q", gaussian_quantiles("ens_mean", "multiplier*sqrt(ens_var)", levels)).drop("multiplier")
 
 
 def inflation_curve(test: DataFrame, levels=S.LEVELS) -> DataFrame:
     """Coverage, width and CRPS of N(mean, lambda^2 var) over the multiplier grid; the expansion is combined map-side."""
     lo, hi, step = CURVE_STEPS
     grid = test.withColumn("_l", F.explode(F.sequence(F.lit(lo), F.lit(hi), F.lit(step))))
-    lam = F.col("_l") / F.lit(100.0)
-    q = grid.withColumn("q", gaussian_quantiles(F.col("ens_mean"), lam * F.sqrt("ens_var"), levels))
-    y = F.col("t2m_obs")
-    return (q.groupBy("_l").agg(F.avg(S.covered(y, F.col("q"), levels)).alias("coverage_80pct"),
-                                F.avg(S.width(F.col("q"), levels)).alias("interval_width"),
-                                F.avg(S.crps(y, F.col("q"), levels)).alias("crps"))
+    q = grid.withColumn("q", gaussian_quantiles("ens_mean", "(_l/100D)*sqrt(ens_var)", levels))
+    return (q.groupBy("_l").agg(F.avg(S.covered("t2m_obs", "q", levels)).alias("coverage_80pct"),
+                                F.avg(S.width("q", levels)).alias("interval_width"),
+                                F.avg(S.crps("t2m_obs", "q", levels)).alias("crps"))
             .select((F.col("_l") / F.lit(100.0)).alias("multiplier"), "coverage_80pct", "interval_width", "crps"))

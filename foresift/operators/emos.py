@@ -35,7 +35,7 @@ def param_names(predictors) -> list[str]:
 class Scoring:
     """State of all fits of one task or one lockstep run: damping, best parameters, and the sums at them."""
 
-    def __init__(self, n_fits: int, n_loc: int, tol: float = 1e-10, start: np.ndarray | None = None):
+    def __init__(self, n_fits: int, n_loc: int, tol: float = 1e-9, start: np.ndarray | None = None):
         self.p, self.tol = n_loc, tol
         self.best = np.zeros((n_fits, n_loc + 2))
         self.best[:, 1] = 1.0
@@ -197,15 +197,14 @@ def _sum_terms(predictors, var: str, obs: str, rows: DataFrame) -> DataFrame:
 
 
 def _lockstep_aggregates(predictors) -> list[Column]:
-    x = [F.lit(1.0)] + [F.col(c) for c in predictors]
-    sg, z, cdf = F.col("_sg"), F.col("_z"), F.col("_cdf")
-    g_mu, g_sg = 1.0 - 2.0 * cdf, 2.0 * F.col("_pdf") - F.lit(INV_SQRT_PI)
-    jc, jd, w = F.col("_ec") / (2.0 * sg), F.col("_edv") / (2.0 * sg), F.lit(INV_SQRT_PI) / sg
-    cols = [F.lit(1.0), sg * (z * (2.0 * cdf - 1.0) + g_sg)]
-    cols += [g_mu * c for c in x] + [g_sg * jc, g_sg * jd]
-    cols += [w * x[i] * x[j] for i in range(len(x)) for j in range(i, len(x))]
-    cols += [0.5 * w * jc * jc, 0.5 * w * jc * jd, 0.5 * w * jd * jd]
-    return [F.sum(c).alias(f"_s{i}") for i, c in enumerate(cols)]
+    x = ["1D", *predictors]
+    g_mu, g_sg = "(1D - 2D*_cdf)", f"(2D*_pdf - {INV_SQRT_PI!r}D)"
+    jc, jd, w = "(_ec/(2D*_sg))", "(_edv/(2D*_sg))", f"({INV_SQRT_PI!r}D/_sg)"
+    terms = ["1D", f"_sg*(_z*(2D*_cdf - 1D) + {g_sg})"]
+    terms += [f"{g_mu}*{c}" for c in x] + [f"{g_sg}*{jc}", f"{g_sg}*{jd}"]
+    terms += [f"{w}*{x[i]}*{x[j]}" for i in range(len(x)) for j in range(i, len(x))]
+    terms += [f"0.5D*{w}*{jc}*{jc}", f"0.5D*{w}*{jc}*{jd}", f"0.5D*{w}*{jd}*{jd}"]
+    return [F.expr(f"sum({t})").alias(f"_s{i}") for i, t in enumerate(terms)]
 
 
 def drive(n_fits: int, n_loc: int, evaluate, max_iter: int, start: np.ndarray | None = None) -> Scoring:
@@ -307,17 +306,15 @@ def fit_emos(panel: DataFrame, keys: list[str] = (), predictors=("ens_mean",), v
     return out.drop("_all")
 
 
-def gaussian_quantiles(mu: Column, sigma: Column, levels=LEVELS) -> Column:
-    return F.array(*[mu + sigma * F.lit(z) for z in z_values(levels)])
+def gaussian_quantiles(mu: str, sigma: str, levels=LEVELS) -> Column:
+    """Quantiles of N(mu, sigma^2) from the SQL text of both parameters."""
+    return F.expr("array(" + ", ".join(f"({mu}) + ({sigma})*({z!r}D)" for z in z_values(levels)) + ")")
 
 
-def emos_quantiles(predictors=("ens_mean",), var: str = "ens_var", levels=LEVELS, prefix: str = "") -> Column:
+def emos_quantiles(predictors=("ens_mean",), var: str = "ens_var", levels=LEVELS) -> Column:
     """Quantiles from parameter columns a, b, c, d[, e] next to the predictors."""
-    c = lambda n: F.col(prefix + n)
-    mu = c("a") + c("b") * F.col(predictors[0])
-    if len(predictors) > 1:
-        mu = mu + c("e") * F.col(predictors[1])
-    return gaussian_quantiles(mu, F.sqrt(F.exp(c("c")) + F.exp(c("d")) * F.col(var)), levels)
+    mu = f"a + b*{predictors[0]}" + (f" + e*{predictors[1]}" if len(predictors) > 1 else "")
+    return gaussian_quantiles(mu, f"sqrt(exp(c) + exp(d)*{var})", levels)
 
 
 def emos_predict(test: DataFrame, models: DataFrame, keys: list[str] = (), predictors=("ens_mean",),

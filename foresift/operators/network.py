@@ -144,7 +144,7 @@ class NetworkModel:
                     yield out
 
         done = rows.mapInPandas(run, schema)
-        return done.withColumn("q", gaussian_quantiles(F.col("mu"), F.col("sigma"), levels))
+        return done.withColumn("q", gaussian_quantiles("mu", "sigma", levels))
 
 
 def _scales(train: DataFrame) -> DataFrame:

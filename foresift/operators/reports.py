@@ -17,7 +17,7 @@ from foresift.sources.tables import KEY
 
 def crps_by_bucket(half_open: bool = False) -> list[Column]:
     b = P.lead_bucket(F.col("step_hours"), half_open)
-    return [F.avg(F.when(b == name, S.crps(F.col("obs"), F.col("q")))).alias(f"crps_{name}") for name in P.BUCKETS]
+    return [F.avg(F.when(b == name, S.crps("obs", "q"))).alias(f"crps_{name}") for name in P.BUCKETS]
 
 
 def counts_by_bucket(half_open: bool = False) -> list[Column]:
@@ -27,18 +27,18 @@ def counts_by_bucket(half_open: bool = False) -> list[Column]:
 
 def crps_by_season() -> list[Column]:
     s = P.season(F.month("issue_date"))
-    return [F.avg(F.when(s == name, S.crps(F.col("obs"), F.col("q")))).alias(f"crps_{name}") for name in P.SEASONS]
+    return [F.avg(F.when(s == name, S.crps("obs", "q"))).alias(f"crps_{name}") for name in P.SEASONS]
 
 
 def rank_fractions() -> list[Column]:
-    r = S.quantile_rank(F.col("obs"), F.col("q"))
+    r = S.quantile_rank("obs", "q")
     return [F.avg(F.when(r == i, 1.0).otherwise(0.0)).alias(f"rank_bin_{i}") for i in range(len(S.LEVELS) + 1)]
 
 
 def lead_curves(predictions: DataFrame) -> DataFrame:
     """Mean CRPS by method and lead."""
     return predictions.groupBy("method", "step_hours").agg(F.count(F.lit(1)).alias("n"),
-                                                           F.avg(S.crps(F.col("obs"), F.col("q"))).alias("crps"))
+                                                           F.avg(S.crps("obs", "q")).alias("crps"))
 
 
 def in_sets(runs: DataFrame, run_cols: list[str], sets: dict[str, DataFrame]) -> DataFrame:
@@ -58,7 +58,7 @@ def reference_scores(runs: DataFrame, run_cols: list[str], sets: dict[str, DataF
     """One wide row per run and evaluation set, in a single conditional aggregation."""
     rows = P.with_issue_time(in_sets(runs, run_cols, sets))
     return rows.groupBy(*run_cols, "eval_set").agg(
-        *S.bundle(F.col("obs"), F.col("q")), *S.error_bundle(F.col("obs"), F.col("q")), *crps_by_bucket(), *crps_by_season(), *rank_fractions())
+        *S.bundle("obs", "q"), *S.error_bundle("obs", "q"), *crps_by_bucket(), *crps_by_season(), *rank_fractions())
 
 
 def context_summary(runs: DataFrame, run_cols: list[str], n_runs: int) -> DataFrame:
@@ -69,7 +69,7 @@ def context_summary(runs: DataFrame, run_cols: list[str], n_runs: int) -> DataFr
     rows = marked.withColumn("eval_set", F.explode(sets))
     own = F.col("eval_set") == "own"
     return rows.groupBy(*run_cols, "eval_set").agg(
-        *S.bundle(F.col("obs"), F.col("q")), *crps_by_bucket(True), *counts_by_bucket(True),
+        *S.bundle("obs", "q"), *crps_by_bucket(True), *counts_by_bucket(True),
         F.min(F.when(own, F.col("issue_time"))).alias("first_issue"),
         F.min(F.when(own, F.col("valid_time"))).alias("first_valid"))
 
@@ -81,8 +81,8 @@ def common_set_summary(runs: DataFrame, run_cols: list[str], n_runs: int) -> Dat
     c = F.col("_c")
     return marked.groupBy(*run_cols).agg(
         F.count(c).alias("n_instances"), F.count(F.lit(1)).alias("n_own"),
-        F.avg(F.when(c, S.crps(F.col("obs"), F.col("q")))).alias("crps"), F.avg(F.when(c, S.covered(F.col("obs"), F.col("q")))).alias("coverage_80pct"),
-        F.avg(F.when(c, S.width(F.col("q")))).alias("interval_width"))
+        F.avg(F.when(c, S.crps("obs", "q"))).alias("crps"), F.avg(F.when(c, S.covered("obs", "q"))).alias("coverage_80pct"),
+        F.avg(F.when(c, S.width("q"))).alias("interval_width"))
 
 
 def windowed_common_summary(runs: DataFrame, reference: DataFrame, window: str, run_cols: list[str],
@@ -94,7 +94,7 @@ def windowed_common_summary(runs: DataFrame, reference: DataFrame, window: str,
               .where(F.col("_m") == runs_per_window).drop("_m"))
     n_ref = ref.agg(F.count(F.lit(1)).alias("n_reference"))
     scored = hits.join(common, [window, *KEY], "left_semi").groupBy(window, *run_cols).agg(
-        *S.bundle(F.col("obs"), F.col("q")), *crps_by_bucket())
+        *S.bundle("obs", "q"), *crps_by_bucket())
     return scored.crossJoin(F.broadcast(n_ref)).withColumn("share_of_reference", F.col("n") / F.col("n_reference"))
 
 
@@ -106,7 +106,7 @@ def variant_summary(runs: DataFrame, run_cols: list[str] = ("model",), variant:
     rows = runs.join(both, [*cols, *KEY], "left_semi")
     by = [*cols, variant, "step_hours"]
     return (rows.groupingSets([by, by[:-1]], *by)
-            .agg(F.grouping("step_hours").alias("_all"), *S.bundle(F.col("obs"), F.col("q")))
+            .agg(F.grouping("step_hours").alias("_all"), *S.bundle("obs", "q"))
             .withColumn("lead", F.when(F.col("_all") == 1, "all").otherwise(F.col("step_hours").cast("string")))
             .drop("_all", "step_hours"))
 
@@ -122,13 +122,13 @@ def seasonal_errors(predictions: DataFrame) -> DataFrame:
     rows = P.with_issue_time(predictions).withColumn("season", P.season(F.month("issue_date")))
     by = ["method", "season"]
     return (rows.groupingSets([by, ["method"]], *by)
-            .agg(F.grouping("season").alias("_all"), F.count(F.lit(1)).alias("n"), *S.error_bundle(F.col("obs"), F.col("q")))
+            .agg(F.grouping("season").alias("_all"), F.count(F.lit(1)).alias("n"), *S.error_bundle("obs", "q"))
             .withColumn("season", F.when(F.col("_all") == 1, "all").otherwise(F.col("season"))).drop("_all"))
 
 
 def rank_histogram(predictions: DataFrame) -> DataFrame:
     """Fractions per method and bin, empty bins included."""
-    counts = predictions.groupBy("method", S.quantile_rank(F.col("obs"), F.col("q")).alias("bin_index")).agg(F.count(F.lit(1)).alias("c"))
+    counts = predictions.groupBy("method", S.quantile_rank("obs", "q").alias("bin_index")).agg(F.count(F.lit(1)).alias("c"))
     totals = counts.groupBy("method").agg(F.sum("c").alias("n_instances"))
     spine = totals.withColumn("bin_index", F.explode(F.sequence(F.lit(0), F.lit(len(S.LEVELS)))))
     return spine.join(counts, ["method", "bin_index"], "left").select(
@@ -139,7 +139,7 @@ def rank_histogram(predictions: DataFrame) -> DataFrame:
 
 def pit_histogram(predictions: DataFrame, bins: int = 10) -> DataFrame:
     """Relative frequencies of the PIT per method; the last bin is closed."""
-    b = F.least(F.floor(S.pit(F.col("obs"), F.col("q")) * bins), F.lit(bins - 1)).cast("int")
+    b = F.least(F.floor(S.pit("obs", "q") * bins), F.lit(bins - 1)).cast("int")
     counts = predictions.groupBy("method", b.alias("bin_index")).agg(F.count(F.lit(1)).alias("c"))
     totals = counts.groupBy("method").agg(F.sum("c").alias("n"))
     spine = totals.withColumn("bin_index", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
@@ -213,10 +213,10 @@ def interpolate_at(curve: DataFrame, x: str, y: str, targets: DataFrame, at: str
 
 def skill_table(predictions: DataFrame, reference: str) -> DataFrame:
     """Mean CRPS per method and the improvement over one of them."""
-    per = predictions.groupBy("method").agg(F.count(F.lit(1)).alias("n"), F.avg(S.crps(F.col("obs"), F.col("q"))).alias("crps"))
+    per = predictions.groupBy("method").agg(F.count(F.lit(1)).alias("n"), F.avg(S.crps("obs", "q")).alias("crps"))
     ref = per.where(F.col("method") == reference).select(F.col("crps").alias("ref_crps"))
     return per.crossJoin(F.broadcast(ref)).select("method", "n", "crps",     # one reference row
-                                                  S.skill(F.col("crps"), F.col("ref_crps")).alias("skill"))
+                                                  S.skill("crps", "ref_crps").alias("skill"))
 
 
 FIT = ["arm", "seed", "k"]
@@ -248,7 +248,7 @@ def score_models(test: DataFrame, models: DataFrame, fit_cols: list[str], q: Col
         rows = (test.crossJoin(F.broadcast(grid)).withColumn("_m", F.explode("_grid"))     # one row holding the grid
                 .select(*test.columns, "_m.*"))
     rows = rows.withColumn("q", q)
-    return rows.groupBy(*fit_cols).agg(*S.bundle(F.col("obs"), F.col("q")),
+    return rows.groupBy(*fit_cols).agg(*S.bundle("obs", "q"),
                                        F.countDistinct("station_id").alias("n_stations"))
 
 
@@ -273,7 +273,7 @@ def training_size_table(train: DataFrame, test: DataFrame, ks: list[int], seeds:
     scored = scored.unionByName(score_models(inst, local, FIT, emos_quantiles(), ["station_id"])
                                 .withColumn("method", F.lit("emos_local")))
     vi = sweep_inflation(sets.where("arm = 'contiguous'").join(case_sums(train), CASE))
-    vi_q = gaussian_quantiles(F.col("ens_mean"), F.col("multiplier") * F.sqrt("ens_var"))
+    vi_q = gaussian_quantiles("ens_mean", "multiplier*sqrt(ens_var)")
     scored = scored.unionByName(score_models(inst, vi, FIT, vi_q).withColumn("method", F.lit("inflation_fitted")))
     metrics = ["crps", "upper_crps", "coverage_80pct", "interval_width"]
     spread = [f"{m}_std" for m in metrics]
@@ -309,7 +309,7 @@ def size_independent(train: DataFrame, inst: DataFrame, target_coverage: float)
               .unionByName(one.select(F.lit("inflation_fixed").alias("method"), F.lit(LAMBDA_CLIM).alias("multiplier")))
               .unionByName(coverage_inflation(train, target_coverage).withColumn("method", F.lit("inflation_coverage")))
               .unionByName(coverage_inflation(leaky, target_coverage).withColumn("method", F.lit("inflation_leaky"))))
-    q = gaussian_quantiles(F.col("ens_mean"), F.col("multiplier") * F.sqrt("ens_var"))
+    q = gaussian_quantiles("ens_mean", "multiplier*sqrt(ens_var)")
     return score_models(inst, models, ["method"], q)
 
 
@@ -327,10 +327,10 @@ def seasonal_sweep(train: DataFrame, test: DataFrame, ks: list[int], reference:
     pooled = te.join(fit_emos(panel, ["season", "k"]), "season").withColumn("method", F.lit("emos_pooled"))
     local = te.join(fit_emos(panel, ["season", "k", "station_id"], min_rows=5), ["season", "station_id"]).withColumn(
         "method", F.lit("emos_local"))
-    rows = pooled.unionByName(local).withColumn("q", emos_quantiles()).withColumn("crps", S.crps(F.col("obs"), F.col("q")))
-    rows = rows.withColumn("ref_crps", S.crps(F.col("obs"), reference))
+    rows = pooled.unionByName(local).withColumn("q", emos_quantiles()).withColumn("crps", S.crps("obs", "q"))
+    rows = rows.withColumn("_ref", reference).withColumn("ref_crps", S.crps("obs", "_ref")).drop("_ref")
     keys = ["season", "k", "method"]
-    scored = rows.groupBy(*keys).agg(*S.bundle(F.col("obs"), F.col("q")), F.countDistinct("station_id").alias("n_stations"))
+    scored = rows.groupBy(*keys).agg(*S.bundle("obs", "q"), F.countDistinct("station_id").alias("n_stations"))
     diff = F.col("crps") - F.col("ref_crps")
     day = G.paired_block_test(G.block_means(rows, keys, F.to_date("valid_time"), diff), keys)
     hac = G.robust_comparison(rows, keys, diff)

@@ -55,24 +55,29 @@ def trailing_lists(df: DataFrame, keys: list[str], index: str, frames: dict[str,
     return out.where(F.col("_home") == F.col("_block")).drop("_home", "_block")
 
 
-def _rank_to_value(level: float, kind: str):
+def _rank_of(level: float, kind: str) -> tuple[str, str]:
+    """SQL texts of the 0-based rank below a level in a group of `_n` values, and of the fraction towards the next rank."""
     if kind == "linear":
-        h = F.lit(level) * (F.col("_n") - 1)
-        return F.floor(h), h - F.floor(h)
+        h = f"({level!r}D*(_n - 1))"
+        return f"floor({h})", f"({h} - floor({h}))"
     if kind == "inverted":
-        return F.greatest(F.ceil(F.lit(level) * F.col("_n")) - 1, F.lit(0)), F.lit(0.0)
+        return f"greatest(ceil({level!r}D*_n) - 1, 0)", "0D"
     raise ValueError(f"unknown quantile kind {kind!r}")
 
 
 def split_quantiles(df: DataFrame, keys: list[str], value: str, levels, out: str = "q",
-                    kind: str = "linear") -> DataFrame:
+                    kind: str = "linear", small_values: int = HOT_GROUP_ROWS) -> DataFrame:
     """Exact quantiles of groups of any size.
 
     Equal values are counted before the shuffle and the counts are stored. Approximate cut points slice each group into
-    ranges, and the running count over (key, range) blocks locates the exact order statistics.
+    ranges, and the running count over (key, range) blocks locates the exact order statistics. A single group with few
+    distinct values skips the slicing and takes the built-in percentile of the counts.
     """
     counts = materialise(df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_x"))
                          .agg(F.count(F.lit(1)).alias("_c")))
+    if not keys and kind == "linear" and counts.count() <= small_values:
+        return counts.agg(F.percentile("_x", F.expr(f"array({', '.join(repr(float(x)) + 'D' for x in levels)})"), "_c")
+                          .alias(out))
     probs = ", ".join(str(i / N_CUTS) for i in range(1, N_CUTS))
     cuts = counts.groupBy(*keys).agg(
         F.expr(f"array_distinct(percentile_approx(_x, array({probs}), {10 * N_CUTS}))").alias("_cuts"),
@@ -85,15 +90,13 @@ def split_quantiles(df: DataFrame, keys: list[str], value: str, levels, out: str
     bucket = F.expr("size(filter(_cuts, c -> c < _x))")
     ranked = running_sum(sized.withColumn("_b", bucket).drop("_cuts"), keys, F.col("_b"), [F.col("_x")],
                          F.col("_c"), "_cum")
-    aggs, finals = [], []
-    for i, level in enumerate(levels):
-        at, frac = _rank_to_value(level, kind)
-        nxt = F.least(at + 1, F.col("_n") - 1)
-        aggs += [F.min(F.when(F.col("_cum") > at, F.col("_x"))).alias(f"_lo{i}"),
-                 F.min(F.when(F.col("_cum") > nxt, F.col("_x"))).alias(f"_hi{i}"),
-                 F.first(frac).alias(f"_f{i}")]
-        finals.append(F.col(f"_lo{i}") + F.col(f"_f{i}") * (F.col(f"_hi{i}") - F.col(f"_lo{i}")))
-    return ranked.groupBy(*keys).agg(*aggs).select(*keys, F.array(*finals).alias(out))
+    terms = []
+    for level in levels:
+        at, frac = _rank_of(level, kind)
+        lo = f"min(CASE WHEN _cum > {at} THEN _x END)"
+        hi = f"min(CASE WHEN _cum > least({at} + 1, _n - 1) THEN _x END)"
+        terms.append(lo if kind == "inverted" else f"{lo} + max({frac})*({hi} - {lo})")
+    return ranked.groupBy(*keys).agg(F.expr(f"array({', '.join(terms)})").alias(out))
 
 
 def largest_group(df: DataFrame, keys: list[str]) -> int:

@@ -89,15 +89,14 @@ def _predictions(spark, sf, methods):
     """All quantile arrays are computed next to each other from one scan of the test panel."""
     te = test(spark, sf, LEVELS if "raw_ensemble" in methods else ())
     tr = train(spark, sf)
-    mean, sd = F.col("ens_mean"), F.sqrt("ens_var")
     if "inflation_fitted" in methods:
         te = te.crossJoin(F.broadcast(B.fit_inflation(tr).select("multiplier")))      # one row
     if "climatology" in methods:
         te = te.crossJoin(F.broadcast(B.climatology(tr).withColumnRenamed("q", "clim_q")))     # one row
     options = {"raw_ensemble": lambda: F.col("raw_q"),
-               "gaussian_ensemble": lambda: gaussian_quantiles(mean, sd),
-               "inflation_fixed": lambda: gaussian_quantiles(mean, F.lit(B.LAMBDA_CLIM) * sd),
-               "inflation_fitted": lambda: gaussian_quantiles(mean, F.col("multiplier") * sd),
+               "gaussian_ensemble": lambda: gaussian_quantiles("ens_mean", "sqrt(ens_var)"),
+               "inflation_fixed": lambda: gaussian_quantiles("ens_mean", f"{B.LAMBDA_CLIM}D*sqrt(ens_var)"),
+               "inflation_fitted": lambda: gaussian_quantiles("ens_mean", "multiplier*sqrt(ens_var)"),
                "climatology": lambda: F.col("clim_q")}
     each = F.explode(F.array(*[F.struct(F.lit(m).alias("method"), options[m]().alias("q")) for m in methods]))
     return te.select(*KEY, F.col("t2m_obs").alias("obs"), each.alias("_p")).select(
@@ -127,16 +126,16 @@ def context_jobs(spark: SparkSession, sf: str, length: int, **kw) -> DataFrame:
     return TS.asof_contexts(ei, counted, length, **kw)
 
 
-def array_quantiles(values: Column, size: int, levels=LEVELS) -> Column:
-    """Linear quantiles of an array of known length."""
-    s = F.array_sort(values)
+def array_quantiles(sorted_values: str, size: int, levels=LEVELS) -> Column:
+    """Linear quantiles of a sorted array of known length."""
     out = []
     for t in levels:
         h = t * (size - 1)
         lo = min(int(h), size - 1)
         hi = min(lo + 1, size - 1)
-        out.append(s[lo] + F.lit(h - lo) * (s[hi] - s[lo]))
-    return F.array(*out)
+        s = sorted_values
+        out.append(f"{s}[{lo}] + {h - lo!r}D*({s}[{hi}] - {s}[{lo}])")
+    return F.expr(f"array({', '.join(out)})")
 
 
 def job_rows(jobs: DataFrame) -> DataFrame:
@@ -154,9 +153,9 @@ def context_runs(spark: SparkSession, sf: str, lengths=CONTEXTS) -> DataFrame:
 def _context_runs(spark, sf, lengths):
     parts = []
     for n in lengths:
-        rows = job_rows(context_jobs(spark, sf, n))
+        rows = job_rows(context_jobs(spark, sf, n)).withColumn("sorted", F.array_sort("context"))
         both = F.explode(F.array(
-            F.struct(F.lit("context_climatology").alias("model"), array_quantiles(F.col("context"), n).alias("q")),
+            F.struct(F.lit("context_climatology").alias("model"), array_quantiles("sorted", n).alias("q")),
             F.struct(F.lit("persistence").alias("model"),
                      F.array_repeat(F.element_at("context", -1), len(LEVELS)).alias("q"))))
         parts.append(rows.withColumn("_m", both).select(
@@ -171,9 +170,9 @@ def gap_runs(spark: SparkSession, sf: str, length: int = 8, gap: int = 4) -> Dat
 def _gap_runs(spark, sf, length, gap):
     parts = []
     for name, g in (("nogap", 0), (f"gap{gap}", gap)):
-        rows = job_rows(context_jobs(spark, sf, length, gap=g))
+        rows = job_rows(context_jobs(spark, sf, length, gap=g)).withColumn("sorted", F.array_sort("context"))
         parts.append(rows.select(F.lit("context_climatology").alias("model"), F.lit(name).alias("variant"), *KEY, "obs",
-                                 array_quantiles(F.col("context"), length).alias("q")))
+                                 array_quantiles("sorted", length).alias("q")))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -187,8 +186,9 @@ def lead_matched_runs(spark: SparkSession, sf: str, windows=(5, 10)) -> DataFram
     parts = []
     for w in windows:
         got = TS.lead_matched(daily(spark, sf), ["station_id", "step_hours"], "step_hours", w, max_offset=2)
+        got = got.withColumn("sorted", F.array_sort("context"))
         valid = T.plus_hours(F.col("day").cast("timestamp_ntz"), F.col("step_hours"))
         parts.append(got.select(F.lit("lead_matched").alias("model"), F.lit(w).alias("window"), "station_id",
                                 valid.alias("valid_time"), "step_hours", "obs",
-                                array_quantiles(F.col("context"), w).alias("q")))
+                                array_quantiles("sorted", w).alias("q")))
     return reduce(DataFrame.unionByName, parts)

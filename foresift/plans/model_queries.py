@@ -37,7 +37,7 @@ def interface(spark, sf):
     models = {"climatology": Climatology(), "raw_ensemble": RawEnsemble(), "inflation_fitted": VarianceInflation()}
     out = None
     for name, model in models.items():
-        part = model.fit(tr).transform(te).agg(F.count(F.lit(1)).alias("n"), F.avg(S.crps(F.col("t2m_obs"), F.col("q"))).alias("crps"))
+        part = model.fit(tr).transform(te).agg(F.count(F.lit(1)).alias("n"), F.avg(S.crps("t2m_obs", "q")).alias("crps"))
         part = part.withColumn("method", F.lit(name))
         out = part if out is None else out.unionByName(part)
     return out
@@ -111,7 +111,7 @@ def emos_local(spark, sf):
 
 def tiered_scores(spark, sf, tiers):
     out = E.predict_tiers(I.test(spark, sf), tiers)
-    return out.groupBy("tier").agg(F.count(F.lit(1)).alias("n"), F.avg(S.crps(F.col("t2m_obs"), F.col("q"))).alias("crps"))
+    return out.groupBy("tier").agg(F.count(F.lit(1)).alias("n"), F.avg(S.crps("t2m_obs", "q")).alias("crps"))
 
 
 @query("m7_emos_lead", "tier:i n:i crps:d")
@@ -121,7 +121,7 @@ def emos_lead(spark, sf):
     by_lead = E.fit_emos(tr, ["step_hours"], min_rows=20)
     te = I.test(spark, sf).withColumn("_one", F.lit(1))
     out = E.predict_tiers(te, [(by_lead, ["step_hours"], 20), (pooled, ["_one"], 1)])
-    return out.groupBy("tier").agg(F.count(F.lit(1)).alias("n"), F.avg(S.crps(F.col("t2m_obs"), F.col("q"))).alias("crps"))
+    return out.groupBy("tier").agg(F.count(F.lit(1)).alias("n"), F.avg(S.crps("t2m_obs", "q")).alias("crps"))
 
 
 @query("m8_emos_local_lead", f"station_id:i step_hours:d {FIT_OUT}")
@@ -139,7 +139,7 @@ def emos_adaptive(spark, sf):
     out = E.predict_tiers(I.test(spark, sf).withColumn("_one", F.lit(1)),
                           [(E.fit_emos(tr, cell, min_rows=20), cell, 20), (E.fit_emos(tr, stn, min_rows=5), stn, 5),
                            (E.fit_emos(one, ["_one"]), ["_one"], 1)])
-    return out.groupBy("tier").agg(F.count(F.lit(1)).alias("n"), F.avg(S.crps(F.col("t2m_obs"), F.col("q"))).alias("crps"))
+    return out.groupBy("tier").agg(F.count(F.lit(1)).alias("n"), F.avg(S.crps("t2m_obs", "q")).alias("crps"))
 
 
 @query("m10_emos_last_obs", "predictors:i n_rows:i loss:d")
@@ -174,7 +174,7 @@ def leave_one_out(spark, sf):
     leads = E.fit_leave_one_out(tr, lead_specific=True)
     for name, tiers in (("loso", [(pooled, ["station_id"], 1)]),
                         ("loso_leadspec", [(leads, ["station_id", "step_hours"], 20), (pooled, ["station_id"], 1)])):
-        part = E.predict_tiers(te, tiers).agg(*S.bundle(F.col("t2m_obs"), F.col("q"))).withColumn("variant", F.lit(name))
+        part = E.predict_tiers(te, tiers).agg(*S.bundle("t2m_obs", "q")).withColumn("variant", F.lit(name))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -183,7 +183,7 @@ def leave_one_out(spark, sf):
 def rolling_emos(spark, sf):
     ei = I.event_instances(spark, sf)
     out = RO.rolling_predictions(ei, ei, [5, 10, 20])
-    return out.groupBy("method", "window_days").agg(*S.bundle(F.col("t2m_obs"), F.col("q")), F.count("q").alias("covered"))
+    return out.groupBy("method", "window_days").agg(*S.bundle("t2m_obs", "q"), F.count("q").alias("covered"))
 
 
 @query("m14_inflation_fitted", "station_id:i n_rows:i multiplier:d",
@@ -242,7 +242,7 @@ def inflation_curve(spark, sf):
 def network(spark, sf):
     tr = I.train(spark, sf).withColumn("fit_id", F.lit("all"))
     model = fit_networks(tr, {"all": 0}, rounds=8)
-    return model.transform(I.test(spark, sf)).groupBy("fit_id").agg(*S.bundle(F.col("t2m_obs"), F.col("q")))
+    return model.transform(I.test(spark, sf)).groupBy("fit_id").agg(*S.bundle("t2m_obs", "q"))
 
 
 @query("m20_network_seeds", "k:i n_seeds:i crps:d crps_std:d coverage_80pct:d coverage_80pct_std:d")
@@ -256,7 +256,7 @@ def network_seeds(spark, sf):
     seeds = F.explode(F.array(*[F.lit(s) for s in range(3)]))
     tr = materialise(tr.withColumn("seed", seeds).withColumn("fit_id", F.concat_ws("-", "k", "seed")))
     model = fit_networks(tr, {f"{k}-{s}": s for k in (12, 36) for s in range(3)}, use_lead=False, rounds=4)
-    scored = model.transform(I.test(spark, sf)).groupBy("fit_id").agg(*S.bundle(F.col("t2m_obs"), F.col("q")))
+    scored = model.transform(I.test(spark, sf)).groupBy("fit_id").agg(*S.bundle("t2m_obs", "q"))
     scored = scored.withColumn("k", F.split("fit_id", "-")[0].cast("int"))
     return R.random_arm(scored, ["k"], ["crps", "coverage_80pct"], population=True)
 
@@ -267,5 +267,5 @@ def refit_in_place(spark, sf):
     preds = I.predictions(spark, sf, ("gaussian_ensemble", "inflation_fixed"))
     out, change = E.refit_in_place(preds, "gaussian_ensemble", te, tr, T.KEY)
     scored = out.groupBy("method").agg(F.count(F.lit(1)).alias("n"),
-                                       F.avg(S.crps(F.col("obs"), F.col("q"))).alias("crps"))
+                                       F.avg(S.crps("obs", "q")).alias("crps"))
     return scored.crossJoin(F.broadcast(change.select("mean_abs_change")))     # one row

@@ -56,7 +56,7 @@ def stored_aggregate(spark, sf):
        f"""SELECT substr(sha256('{{"levels": 9, "window": [5, 10]}}'), 1, 16) AS config_hash, 'v1' AS model_version,
        count(*) AS n, avg(c) AS mean_crps FROM pl WHERE method = 'inflation_fixed'""")
 def result_sink(spark, sf):
-    preds = I.predictions(spark, sf, ("inflation_fixed",)).withColumn("crps", S.crps(F.col("obs"), F.col("q")))
+    preds = I.predictions(spark, sf, ("inflation_fixed",)).withColumn("crps", S.crps("obs", "q"))
     folder = f"{storage.shared_dir(spark)}/results"
     storage.write_result(preds, "inflation_fixed", "v1", {"window": [5, 10], "levels": 9}, folder, mode="overwrite")
     table, meta = storage.read_result(spark, "inflation_fixed", folder)
@@ -72,9 +72,9 @@ def upsert(spark, sf):
     old = I.predictions(spark, sf)
     te = I.test(spark, sf)
     new = te.select(F.lit("gaussian_ensemble").alias("method"), *T.KEY, F.col("t2m_obs").alias("obs"),
-                    I.gaussian_quantiles(F.col("ens_mean"), 2.0 * F.sqrt("ens_var")).alias("q"))
+                    I.gaussian_quantiles("ens_mean", "2D*sqrt(ens_var)").alias("q"))
     out = P.upsert_by_method(old, new, ["gaussian_ensemble", "climatology"])
-    return out.groupBy("method").agg(F.count(F.lit(1)).alias("n"), F.avg(S.crps(F.col("obs"), F.col("q"))).alias("crps"))
+    return out.groupBy("method").agg(F.count(F.lit(1)).alias("n"), F.avg(S.crps("obs", "q")).alias("crps"))
 
 
 @query("s7_optional_union", "run:s n:i crps:d",
@@ -88,7 +88,7 @@ def optional_union(spark, sf):
     pick = lambda c: runs.where((F.col("model") == "context_climatology") & (F.col("context_steps") == c))
     reference = runs.where((F.col("model") == "persistence") & (F.col("context_steps") == 8))
     out = P.union_complete({"ctx4": pick(4), "ctx8": pick(8), "ctx16": pick(16), "absent": None}, reference)
-    return out.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.avg(S.crps(F.col("obs"), F.col("q"))).alias("crps"))
+    return out.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.avg(S.crps("obs", "q")).alias("crps"))
 
 
 @query("b1_ensemble_stats", f"{KEYS} ens_mean:d ens_var:d ens_sd:d n_members:i t2m_obs:d",

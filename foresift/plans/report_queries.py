@@ -165,7 +165,7 @@ def random_arm(spark, sf):
     tr = I.train(spark, sf)
     sets = SM.sweep_cases(SM.distinct_cases(tr), [1, 3, 7, 17, 50], [0, 1, 2]).where("arm = 'random'")
     models = R.sweep_inflation(sets.join(R.case_sums(tr), SM.CASE))
-    q = I.gaussian_quantiles(F.col("ens_mean"), F.col("multiplier") * F.sqrt("ens_var"))
+    q = I.gaussian_quantiles("ens_mean", "multiplier*sqrt(ens_var)")
     scored = materialise(R.score_models(I.test(spark, sf).withColumnRenamed("t2m_obs", "obs"), models, R.FIT, q))
     metrics = ["crps", "coverage_80pct", "interval_width"]
     out = None
@@ -195,7 +195,7 @@ def breakpoint_table(spark, sf):
 @query("r11_seasonal_sweep", "season:s k:i method:s n:i crps:d coverage_80pct:d interval_width:d n_stations:i n_blocks:i "
        "t_pvalue:d hac_mean_diff:d hac_dm_pvalue:d hac_ci_low:d hac_ci_high:d")
 def seasonal_sweep(spark, sf):
-    reference = I.gaussian_quantiles(F.col("ens_mean"), F.lit(B.LAMBDA_CLIM) * F.sqrt("ens_var"))
+    reference = I.gaussian_quantiles("ens_mean", f"{B.LAMBDA_CLIM}D*sqrt(ens_var)")
     tr, te = I.train(spark, sf), I.test(spark, sf)
     return R.seasonal_sweep(tr, te, [2, 7, 15], reference)
 
@@ -233,12 +233,12 @@ VARIANT = ("method:s k:i n_instances:i covered_fraction:d crps:d covered:d width
 
 def scored_rows(df, keys):
     """Instance rows for the guarded score table: score columns and the reference score, computed side by side."""
-    fixed = I.gaussian_quantiles(F.col("ens_mean"), F.lit(B.LAMBDA_CLIM) * F.sqrt("ens_var"))
-    y = F.col("t2m_obs")
-    have = F.col("q").isNotNull()
-    return df.select(*keys, *T.KEY, F.when(have, S.crps(y, F.col("q"))).alias("crps"),
-                     F.when(have, S.upper_crps(y, F.col("q"))).alias("upper_crps"), F.when(have, S.covered(y, F.col("q"))).alias("covered"),
-                     F.when(have, S.width(F.col("q"))).alias("width"), S.crps(y, fixed).alias("crps_fixed"))
+    df = df.withColumn("fixed", I.gaussian_quantiles("ens_mean", f"{B.LAMBDA_CLIM}D*sqrt(ens_var)"))
+    y, have = "t2m_obs", F.col("q").isNotNull()
+    return df.select(*keys, *T.KEY, F.when(have, S.crps(y, "q")).alias("crps"),
+                     F.when(have, S.upper_crps(y, "q")).alias("upper_crps"),
+                     F.when(have, S.covered(y, "q")).alias("covered"), F.when(have, S.width("q")).alias("width"),
+                     S.crps(y, "fixed").alias("crps_fixed"))
 
 
 @query("r14_emos_variants", VARIANT)
@@ -285,8 +285,8 @@ def append_runs(spark, sf):
     have = R.reference_scores(runs, ["model", "context_steps"], sets)
     have = materialise(have.select("model", "context_steps", "eval_set", "crps", "coverage_80pct", "interval_width"))
     extra = runs.groupBy("model", "context_steps").agg(
-        F.avg(S.crps(F.col("obs"), F.col("q"))).alias("crps"), F.avg(S.covered(F.col("obs"), F.col("q"))).alias("coverage_80pct"),
-        F.avg(S.width(F.col("q"))).alias("mean_width_80pct")).withColumn("covariate", F.col("model") != "persistence")
+        F.avg(S.crps("obs", "q")).alias("crps"), F.avg(S.covered("obs", "q")).alias("coverage_80pct"),
+        F.avg(S.width("q")).alias("mean_width_80pct")).withColumn("covariate", F.col("model") != "persistence")
     return R.append_missing_runs(have, extra)
 
 
@@ -305,7 +305,7 @@ def seasonal_table(spark, sf):
     rows = P.with_issue_time(I.predictions(spark, sf)).withColumn("season", P.season(F.month("issue_date")))
     by = ["method", "season"]
     totals = rows.groupingSets([by, ["method"]], *by).agg(
-        F.grouping("season").alias("_all"), F.avg(S.crps(F.col("obs"), F.col("q"))).alias("crps")).withColumn(
+        F.grouping("season").alias("_all"), F.avg(S.crps("obs", "q")).alias("crps")).withColumn(
         "season", F.when(F.col("_all") == 1, "all").otherwise(F.col("season")))
     return R.wide_scores(totals, "season", [*P.SEASONS, "all"])
 
@@ -315,7 +315,7 @@ def seasonal_table(spark, sf):
        GROUP BY ALL""")
 def latest_row(spark, sf):
     s = I.context_runs(spark, sf).groupBy("model", "context_steps").agg(
-        F.count(F.lit(1)).alias("n"), F.avg(S.crps(F.col("obs"), F.col("q"))).alias("crps"))
+        F.count(F.lit(1)).alias("n"), F.avg(S.crps("obs", "q")).alias("crps"))
     return P.latest_per(s, ["model"], F.col("context_steps"))
 
 
@@ -354,4 +354,4 @@ def two_covariates(spark, sf):
     run = lambda j, name: TS.apply_forecaster(j, spread_sensitive, 9).withColumn("method", F.lit(name))
     both = run(two, "two_covariates")
     mean = P.matched(run(one, "mean_only"), both)
-    return mean.unionByName(both).groupBy("method").agg(*S.bundle(F.col("obs"), F.col("q")))
+    return mean.unionByName(both).groupBy("method").agg(*S.bundle("obs", "q"))

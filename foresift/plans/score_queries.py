@@ -29,39 +29,39 @@ def lead_sql(*cols: str) -> str:
        lead_sql(*[f"avg(CASE WHEN obs >= q[{i}] THEN {t}*(obs-q[{i}]) ELSE ({t}-1.0)*(obs-q[{i}]) END) AS p{round(100*t)}"
                   for i, t in ((1, 0.1), (5, 0.5), (9, 0.9))]))
 def pinball(spark, sf):
-    return by_lead(spark, sf, *[F.avg(S.pinball(F.col("obs"), F.col("q")[i], t)).alias(f"p{round(100 * t)}")
+    return by_lead(spark, sf, *[F.avg(S.pinball("obs", f"q[{i}]", t).alias(f"p{round(100 * t)}")
                                 for i, t in ((0, 0.1), (4, 0.5), (8, 0.9))])
 
 
 @query("q2_crps", f"method:s {KEYS} crps:d",
        f"SELECT method, station_id, valid_time, step_hours, {C.crps()} AS crps FROM preds")
 def crps(spark, sf):
-    return I.predictions(spark, sf).select("method", *T.KEY, S.crps(F.col("obs"), F.col("q")).alias("crps"))
+    return I.predictions(spark, sf).select("method", *T.KEY, S.crps("obs", "q").alias("crps"))
 
 
 @query("q3_upper_crps", f"{BY_LEAD} upper_crps:d", lead_sql(f"avg({C.upper_crps()}) AS upper_crps"))
 def upper_crps(spark, sf):
-    return by_lead(spark, sf, F.avg(S.upper_crps(F.col("obs"), F.col("q"))).alias("upper_crps"))
+    return by_lead(spark, sf, F.avg(S.upper_crps("obs", "q")).alias("upper_crps"))
 
 
 @query("q4_median_error", f"{BY_LEAD} abs_error:d", lead_sql("avg(abs(obs-q[5])) AS abs_error"))
 def median_error(spark, sf):
-    return by_lead(spark, sf, F.avg(S.abs_error(F.col("obs"), F.col("q"))).alias("abs_error"))
+    return by_lead(spark, sf, F.avg(S.abs_error("obs", "q")).alias("abs_error"))
 
 
 @query("q5_coverage", f"{BY_LEAD} coverage:d", lead_sql(f"avg({C.cover()}) AS coverage"))
 def coverage(spark, sf):
-    return by_lead(spark, sf, F.avg(S.covered(F.col("obs"), F.col("q"))).alias("coverage"))
+    return by_lead(spark, sf, F.avg(S.covered("obs", "q")).alias("coverage"))
 
 
 @query("q6_width", f"{BY_LEAD} interval_width:d", lead_sql(f"avg({C.width()}) AS interval_width"))
 def width(spark, sf):
-    return by_lead(spark, sf, F.avg(S.width(F.col("q"))).alias("interval_width"))
+    return by_lead(spark, sf, F.avg(S.width("q")).alias("interval_width"))
 
 
 @query("q7_errors", f"{BY_LEAD} bias:d mae:d rmse:d", lead_sql(C.errors()))
 def errors(spark, sf):
-    return by_lead(spark, sf, *S.error_bundle(F.col("obs"), F.col("q")))
+    return by_lead(spark, sf, *S.error_bundle("obs", "q"))
 
 
 BUNDLE = "n:i crps:d upper_crps:d coverage_80pct:d interval_width:d"
@@ -69,7 +69,7 @@ BUNDLE = "n:i crps:d upper_crps:d coverage_80pct:d interval_width:d"
 
 @query("q8_metric_bundle", f"{BY_LEAD} {BUNDLE}", lead_sql(C.bundle()))
 def metric_bundle(spark, sf):
-    return by_lead(spark, sf, *S.bundle(F.col("obs"), F.col("q")))
+    return by_lead(spark, sf, *S.bundle("obs", "q"))
 
 
 PIT_SQL = ("CASE WHEN obs >= q[9] THEN 0.9 WHEN obs < q[1] THEN 0.1 ELSE list_extract(list_filter(["
@@ -84,7 +84,7 @@ C.CTES["pit_hist"] = """SELECT g.method, g.b AS bin_index, coalesce(c.c, 0)/g.n:
 
 @query("q9_pit", f"method:s {KEYS} pit:d", "SELECT method, station_id, valid_time, step_hours, pit FROM pits")
 def pit(spark, sf):
-    return I.predictions(spark, sf).select("method", *T.KEY, S.pit(F.col("obs"), F.col("q")).alias("pit"))
+    return I.predictions(spark, sf).select("method", *T.KEY, S.pit("obs", "q").alias("pit"))
 
 
 @query("q10_pit_histogram", "method:s bin_index:i frequency:d", "SELECT method, bin_index, frequency FROM pit_hist")
@@ -117,17 +117,17 @@ def quantile_order(spark, sf):
     """Crossing quantiles (here: reversed arrays) are counted, then sorted."""
     p = I.predictions(spark, sf).withColumn("q", F.when(F.col("step_hours") == 6, F.reverse("q")).otherwise(F.col("q")))
     p = p.withColumn("s", F.array_sort("q"))
-    return p.groupBy("method").agg(F.count(F.lit(1)).alias("n"), F.count_if(S.is_monotone(F.col("q"))).alias("n_monotone"),
-                                   F.count_if(S.is_monotone(F.col("s"))).alias("n_sorted"),
+    return p.groupBy("method").agg(F.count(F.lit(1)).alias("n"), F.count_if(S.is_monotone("q")).alias("n_monotone"),
+                                   F.count_if(S.is_monotone("s")).alias("n_sorted"),
                                    F.avg(F.col("s")[8] - F.col("s")[0]).alias("spread"))
 
 
 @query("q14_shape_check", "method:s n:i crps:d", f"SELECT method, count(*) AS n, avg({C.crps()}) AS crps FROM preds GROUP BY 1")
 def shape_check(spark, sf):
     """Scores over arrays that passed the run-time length check."""
-    q = S.checked(F.col("q"))
+    q = S.checked("q")
     return (I.predictions(spark, sf).withColumn("q", q).groupBy("method")
-            .agg(F.count(F.lit(1)).alias("n"), F.avg(S.crps(F.col("obs"), F.col("q"))).alias("crps")))
+            .agg(F.count(F.lit(1)).alias("n"), F.avg(S.crps("obs", "q")).alias("crps")))
 
 
 @query("q15_skill", "method:s n:i crps:d skill:d",
@@ -150,5 +150,5 @@ def interpolated_lookup(spark, sf):
     """Width of the inflation curve at the coverage of two methods."""
     curve = B.inflation_curve(I.test(spark, sf))
     targets = (I.predictions(spark, sf, ("raw_ensemble", "climatology")).groupBy("method")
-               .agg(F.avg(S.covered(F.col("obs"), F.col("q"))).alias("at")))
+               .agg(F.avg(S.covered("obs", "q")).alias("at")))
     return R.interpolate_at(curve, "coverage_80pct", "interval_width", targets)

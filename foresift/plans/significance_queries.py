@@ -21,7 +21,7 @@ REF = "raw_ensemble"
 
 def losses(spark, sf):
     """CRPS of each method next to that of the reference on the same instance, from one scan of the predictions."""
-    p = I.predictions(spark, sf).withColumn("crps", S.crps(F.col("obs"), F.col("q"))).drop("q", "obs")
+    p = I.predictions(spark, sf).withColumn("crps", S.crps("obs", "q")).drop("q", "obs")
     ref = p.where(F.col("method") == REF).select(*T.KEY, F.col("crps").alias("ref"))
     return p.where(F.col("method") != REF).join(ref, T.KEY)
 
@@ -134,7 +134,7 @@ def sweep_scores(spark, sf, ks=KS):
     tr = I.train(spark, sf)
     sets = SM.sweep_cases(SM.distinct_cases(tr), ks, [0]).where("arm = 'contiguous'")
     models = R.sweep_inflation(sets.join(R.case_sums(tr), SM.CASE))
-    q = I.gaussian_quantiles(F.col("ens_mean"), F.col("multiplier") * F.sqrt("ens_var"))
+    q = I.gaussian_quantiles("ens_mean", "multiplier*sqrt(ens_var)")
     return R.score_models(I.test(spark, sf).withColumnRenamed("t2m_obs", "obs"), models, R.FIT, q)
 
 
@@ -207,7 +207,7 @@ def last_durable_crossing(spark, sf):
 def guarded_input(spark, sf):
     """Instances with two reference scores; one method lacks predictions on 12-hour leads."""
     p = I.predictions(spark, sf)
-    y, q = F.col("obs"), F.col("q")
+    y, q = "obs", "q"
     p = p.select("method", *T.KEY, S.crps(y, q).alias("crps"), S.upper_crps(y, q).alias("upper_crps"),
                  S.covered(y, q).alias("covered"), S.width(q).alias("width"))
     p = materialise(p)
