@@ -29,7 +29,7 @@ def lead_sql(*cols: str) -> str:
        lead_sql(*[f"avg(CASE WHEN obs >= q[{i}] THEN {t}*(obs-q[{i}]) ELSE ({t}-1.0)*(obs-q[{i}]) END) AS p{round(100*t)}"
                   for i, t in ((1, 0.1), (5, 0.5), (9, 0.9))]))
 def pinball(spark, sf):
-    return by_lead(spark, sf, *[F.avg(S.pinball("obs", f"q[{i}]", t).alias(f"p{round(100 * t)}")
+    return by_lead(spark, sf, *[F.avg(S.pinball("obs", f"q[{i}]", t)).alias(f"p{round(100 * t)}")
                                 for i, t in ((0, 0.1), (4, 0.5), (8, 0.9))])
 
 
