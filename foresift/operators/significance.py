@@ -133,7 +133,7 @@ def paired_block_test(blocks: DataFrame, keys: list[str], exact: bool = True) ->
                 F.col("_sd") / F.sqrt(F.col("n_blocks").cast("double")), F.lit(0.0)))
             .withColumn("wilcoxon_statistic", stat)
             .withColumn("_z", (stat - n * (n + 1) / 4.0) / F.nullif(F.sqrt(se2), F.lit(0.0))))
-    p_norm = F.least(F.lit(1.0), 2.0 * F.expr(cdf_sql("(-abs(_z))")))
+    p_norm = F.when(F.col("_z").isNotNull(), F.least(F.lit(1.0), 2.0 * F.expr(cdf_sql("(-abs(_z))"))))
     p_rank = p_norm
     if exact:
         small = (F.col("_n") <= EXACT_LIMIT) & (F.col("_ties") == 0) & (F.col("_zeros") == 0)

@@ -76,8 +76,7 @@ def split_quantiles(df: DataFrame, keys: list[str], value: str, levels, out: str
     counts = materialise(df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_x"))
                          .agg(F.count(F.lit(1)).alias("_c")))
     if not keys and kind == "linear" and counts.count() <= small_values:
-        return counts.agg(F.percentile("_x", F.expr(f"array({', '.join(repr(float(x)) + 'D' for x in levels)})"), "_c")
-                          .alias(out))
+        return counts.agg(F.expr(f"percentile(_x, array({', '.join(map(str, levels))}), _c)").alias(out))
     probs = ", ".join(str(i / N_CUTS) for i in range(1, N_CUTS))
     cuts = counts.groupBy(*keys).agg(
         F.expr(f"array_distinct(percentile_approx(_x, array({probs}), {10 * N_CUTS}))").alias("_cuts"),
