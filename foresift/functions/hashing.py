@@ -11,10 +11,10 @@ def hash_key(*parts) -> Column:
 
 
 def hash_int(*parts) -> Column:
-    """Non-negative integer below 2^32."""
-    return F.conv(F.substring(hash_key(*parts), 1, 8), 16, 10).cast("bigint")
+    """Non-negative integer below 2^32; never NULL, so that a join on it does not compute the hash twice."""
+    return F.coalesce(F.conv(F.substring(hash_key(*parts), 1, 8), 16, 10).cast("bigint"), F.lit(0).cast("bigint"))
 
 
 def draw(n: Column, *parts) -> Column:
     """Uniform integer in [0, n)."""
-    return F.pmod(hash_int(*parts), n)
+    return F.coalesce(F.pmod(hash_int(*parts), n), F.lit(0).cast("bigint"))

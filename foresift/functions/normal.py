@@ -65,11 +65,13 @@ def z_values(levels) -> list[float]:
 
 def cdf_np(z: np.ndarray) -> np.ndarray:
     """Vectorised counterpart of `cdf_sql` for the grouped fits."""
-    a = np.abs(z)
+    a = np.abs(np.atleast_1d(z))
     e = np.exp(-0.5 * a * a)
-    body = e * np.polyval(HART_NUM, a) / np.polyval(HART_DEN, a)
-    tail = e / (a + 1 / (a + 2 / (a + 3 / (a + 4 / (a + 0.65))))) / SQRT_2PI
-    low = np.where(a < HART_SPLIT, body, tail)
+    low = e * np.polyval(HART_NUM, a) / np.polyval(HART_DEN, a)
+    far = a >= HART_SPLIT
+    if far.any():
+        b = a[far]
+        low[far] = e[far] / (b + 1 / (b + 2 / (b + 3 / (b + 4 / (b + 0.65))))) / SQRT_2PI
     return np.where(z > 0, 1.0 - low, low)
 
 

@@ -37,6 +37,7 @@ class Scoring:
 
     def __init__(self, n_fits: int, n_loc: int, tol: float = 1e-9, start: np.ndarray | None = None):
         self.p, self.tol = n_loc, tol
+        self.patience = 2 if start is None else 1      # small gains in a row that end a fit
         self.best = np.zeros((n_fits, n_loc + 2))
         self.best[:, 1] = 1.0
         if start is not None:
@@ -69,7 +70,7 @@ class Scoring:
         small = ok & (gain <= self.tol * (1.0 + np.abs(loss)))
         self.calm[ids[small]] += 1
         self.calm[ids[ok & ~small]] = 0
-        self.active[ids] = (self.calm[ids] < 2) & (self.damp[ids] < 1e8)
+        self.active[ids] = (self.calm[ids] < self.patience) & (self.damp[ids] < 1e8)
         self._propose(ids[self.active[ids]])
 
     def _propose(self, ids: np.ndarray) -> None:
@@ -118,6 +119,20 @@ def row_terms(theta: np.ndarray, x: np.ndarray, v: np.ndarray, y: np.ndarray) ->
     return np.stack(cols, axis=1)
 
 
+def theta_sums(theta: np.ndarray, x: np.ndarray, v: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Sums of `row_terms` over all rows for one parameter vector and one predictor, as inner products."""
+    ec = np.exp(theta[2])
+    edv = np.exp(theta[3]) * v
+    sg = np.sqrt(ec + edv + 1e-300)
+    z = (y - (theta[0] + theta[1] * x)) / sg
+    cdf, g_sg = cdf_np(z), np.exp(-0.5 * z * z) * (2.0 / SQRT_2PI) - INV_SQRT_PI
+    g_mu, w = 1.0 - 2.0 * cdf, INV_SQRT_PI / sg
+    jc, jd = ec / (2.0 * sg), edv / (2.0 * sg)
+    wx, wc = w * x, 0.5 * w * jc
+    return np.array([len(y), sg @ (g_sg - z * g_mu), g_mu.sum(), g_mu @ x, g_sg @ jc, g_sg @ jd, w.sum(), wx.sum(), wx @ x,
+                     wc @ jc, wc @ jd, 0.5 * (w * jd) @ jd])
+
+
 def fit_segments(x: np.ndarray, v: np.ndarray, y: np.ndarray, fit: np.ndarray, n_fits: int,
                  max_iter: int) -> Scoring:
     """All fits of one task; `fit` is the ascending fit number of each row."""
@@ -366,12 +381,30 @@ def predict_tiers(test: DataFrame, tiers: list[tuple[DataFrame, list[str], int]]
     return predict_variants(test, models, {"": [(str(i), t[2]) for i, t in enumerate(tiers)]}, var, levels).drop("method")
 
 
+def held_out_sums(theta: np.ndarray, targets: np.ndarray, station: np.ndarray, x: np.ndarray, v: np.ndarray,
+                  y: np.ndarray, shared: bool) -> np.ndarray:
+    """Sums over the rows of other stations for each target; `shared` says that all targets have the same parameters."""
+    if shared:
+        total = np.repeat(theta_sums(theta[0], x, v, y)[None, :], len(targets), axis=0)
+    else:
+        total = np.stack([theta_sums(t, x, v, y) for t in theta])
+    order = np.argsort(station, kind="stable")
+    at = {s: i for i, s in enumerate(targets)}
+    names, starts = np.unique(station[order], return_index=True)
+    for s, rows in zip(names, np.split(order, starts[1:])):
+        if s in at:
+            total[at[s]] -= theta_sums(theta[at[s]], x[rows], v[rows], y[rows])
+    return total
+
+
 def fit_leave_one_out(train: DataFrame, lead_specific: bool = False, min_rows_lead: int = 20,
                       max_iter: int = 30) -> DataFrame:
     """One model per held-out station (and lead), fitted on all other stations.
 
-    Every batch evaluates the parameters of all targets on its rows as a matrix and emits one row of sums per fit, so the
-    (row, target) pairs never become rows. Lead-specific fits with too few rows are left out for the pooled fallback.
+    The sums of a target are those of all rows minus those of its own rows. All targets start from the fit on all stations,
+    where one grouped pass gives every target's sums. Later each batch evaluates the parameters of all targets on its rows and
+    emits one row of sums per fit, so (row, target) pairs never become rows; two or three such passes are enough. Lead-specific
+    fits with too few rows are left out for the pooled fallback.
     """
     spark = train.sparkSession
     keys = ["station_id"] + (["step_hours"] if lead_specific else [])
@@ -391,24 +424,24 @@ def fit_leave_one_out(train: DataFrame, lead_specific: bool = False, min_rows_le
     schema = T.StructType([T.StructField("_fit", T.LongType())]
                           + [T.StructField(f"_s{i}", T.DoubleType()) for i in range(12)])
 
+    station = fits["station_id"].to_numpy()
+    lead = fits["step_hours"].to_numpy() if lead_specific else np.zeros(len(fits))
+    passes = []
+
     def evaluate(ids, theta):
-        station = fits["station_id"].to_numpy()[ids]
-        lead = fits["step_hours"].to_numpy()[ids] if lead_specific else None
+        first = not passes
+        passes.append(len(ids))
 
         def run(batches):
             total = np.zeros((len(ids), 12))
             for pdf in batches:
-                st, ld = pdf["station_id"].to_numpy(), pdf["step_hours"].to_numpy()
-                x = np.column_stack([np.ones(len(pdf)), pdf["ens_mean"].to_numpy()])
-                v, y = pdf["ens_var"].to_numpy(), pdf["t2m_obs"].to_numpy()
+                ld = pdf["step_hours"].to_numpy() if lead_specific else np.zeros(len(pdf))
+                cols = [pdf[c].to_numpy() for c in ("station_id", "ens_mean", "ens_var", "t2m_obs")]
                 with np.errstate(all="ignore"):
-                    for i in range(len(ids)):
-                        use = st != station[i]
-                        if lead is not None:
-                            use &= ld == lead[i]
-                        if use.any():
-                            th = np.broadcast_to(theta[i], (int(use.sum()), theta.shape[1]))
-                            total[i] += row_terms(th, x[use], v[use], y[use]).sum(axis=0)
+                    for h in np.unique(ld):
+                        fit = np.flatnonzero(lead[ids] == h)
+                        if len(fit):
+                            total[fit] += held_out_sums(theta[fit], station[ids][fit], *[c[ld == h] for c in cols], first)
             out = pd.DataFrame(total, columns=[f"_s{i}" for i in range(12)])
             out.insert(0, "_fit", ids)
             yield out

@@ -26,7 +26,7 @@ from foresift.sources.storage import materialise
 EMBEDDING, HIDDEN = 4, 64
 LEARNING_RATE, BATCH, PATIENCE = 1e-3, 4096, 5
 FALLBACK_ROWS, FALLBACK_STEPS = 200, 200
-SHARD_ROWS = 100_000
+SHARD_ROWS, MIN_SHARD_ROWS = 500_000, 20_000
 
 
 @dataclass(frozen=True)
@@ -194,7 +194,9 @@ def fit_networks(train: DataFrame, seeds: dict[str, int], use_lead: bool = True,
                                 row_key=["station_id", "step_hours"] if use_lead else ["station_id"])
         split = part if split is None else split.unionByName(part)
     rows = _features(split, scales, stations, leads)
-    n_shards = F.ceil(F.col("fit_rows") / SHARD_ROWS)
+    cores = spark.sparkContext.defaultParallelism
+    n_shards = F.greatest(F.ceil(F.col("fit_rows") / SHARD_ROWS),
+                          F.least(F.lit(cores), F.ceil(F.col("fit_rows") / MIN_SHARD_ROWS)))
     key = [c for c in ("station_id", *CASE, "step_hours") if c in rows.columns]
     rows = rows.withColumn("shard", F.pmod(F.hash(*key), n_shards).cast("int"))
     cols = ["fit_id", "shard", "is_val", "m", "v", "y", "base_mu", "base_ls2", "s", *(["l"] if use_lead else []),

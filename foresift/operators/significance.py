@@ -4,6 +4,8 @@ Rows are reduced to day or block means first; everything after that works on one
 """
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -23,6 +25,7 @@ CI = 0.95
 ALPHA = 0.05
 EXACT_LIMIT = 50
 MIN_INSTANCES = 1000
+DRAWS_PER_TASK = 2_000_000
 
 
 def daily_series(losses: DataFrame, keys: list[str], diff: Column, time: str = "valid_time") -> DataFrame:
@@ -148,11 +151,15 @@ def block_bootstrap_skill(losses: DataFrame, keys: list[str], block: Column, a:
     """Skill 1 - mean(a) / mean(b) with an interval from resampling whole blocks; only block sums are resampled."""
     sums = losses.groupBy(*keys, block.alias("block_id")).agg(F.sum(a).alias("sa"), F.sum(b).alias("sb"))
     sums = materialise(sums.withColumn("_h", hash_key(F.col("block_id"))))
-    numbered = position(sums, keys, F.substring("_h", 1, 2), [F.col("_h"), F.col("block_id")], "idx").select(
-        *keys, "idx", "sa", "sb")
-    totals = sums.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_blocks"), F.sum("sa").alias("_ta"),
+    # one row per block: stored, so that the join of the draws is planned with its size
+    numbered = materialise(position(sums, keys, F.substring("_h", 1, 2), [F.col("_h"), F.col("block_id")], "idx").select(
+        *keys, "idx", "sa", "sb"))
+    totals = numbered.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_blocks"), F.sum("sa").alias("_ta"),
                                      F.sum("sb").alias("_tb"))
     slots = numbered.select(*keys, F.col("idx").alias("slot")).join(totals.select(*keys, "n_blocks"), keys)
+    # the draws multiply the rows: spread the slots over enough tasks first
+    tasks = max(losses.sparkSession.sparkContext.defaultParallelism, math.ceil(numbered.count() * n_boot / DRAWS_PER_TASK))
+    slots = slots.repartition(tasks)
     draws = (slots.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
              .withColumn("idx", draw(F.col("n_blocks"), F.lit(seed), F.col("rep"), F.col("slot"))))
     reps = (draws.join(numbered, [*keys, "idx"]).groupBy(*keys, "rep")

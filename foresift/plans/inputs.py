@@ -40,9 +40,9 @@ def largest_ensemble(spark: SparkSession, sf: str) -> int:
     return stored(spark, sf, "largest", lambda: largest_group(T.archive_members(spark, sf), T.KEY))
 
 
-def cells(spark: SparkSession, sf: str, levels=()) -> DataFrame:
+def cells(spark: SparkSession, sf: str, levels=(), since: str | None = None, before: str | None = None) -> DataFrame:
     """Archive cells: statistics and observation, optionally the ensemble quantiles, in one grouping."""
-    members = T.archive_members(spark, sf)
+    members = T.archive_members(spark, sf, since, before)
     obs = P.first_in_order("verifying", "member_order").alias("t2m_obs")
     if not levels:
         return P.ensemble_stats(members, T.CELL, extra=[obs])
@@ -51,8 +51,8 @@ def cells(spark: SparkSession, sf: str, levels=()) -> DataFrame:
     return B.raw_quantiles(members, T.CELL, levels, stats, "raw_q", largest_ensemble(spark, sf))
 
 
-def instances(spark: SparkSession, sf: str, levels=()) -> DataFrame:
-    return cells(spark, sf, levels).dropna(subset=["ens_var", "t2m_obs"])
+def instances(spark: SparkSession, sf: str, levels=(), since: str | None = None, before: str | None = None) -> DataFrame:
+    return cells(spark, sf, levels, since, before).dropna(subset=["ens_var", "t2m_obs"])
 
 
 def cases(spark: SparkSession, sf: str, cutoff: str = T.TEST_START) -> DataFrame:
@@ -65,15 +65,13 @@ def train(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _train(spark, sf):
-    rows = instances(spark, sf).where(F.timestamp_add("HOUR", F.lit(12), F.col("issue_time"))
-                                      < F.lit(T.TEST_START).cast("timestamp_ntz"))
+    rows = instances(spark, sf, before=T.TEST_START)
     return rows.withColumn("case_date", F.to_date("issue_time"))
 
 
 def test(spark: SparkSession, sf: str, levels=()) -> DataFrame:
     """Test panel with the raw ensemble quantiles (`raw_q`) next to the statistics."""
-    return stored(spark, sf, "test", lambda: instances(spark, sf, LEVELS).where(
-        F.col("issue_time") >= F.lit(T.TEST_START).cast("timestamp_ntz")))
+    return stored(spark, sf, "test", lambda: instances(spark, sf, LEVELS, since=T.TEST_START))
 
 
 METHODS = ("raw_ensemble", "gaussian_ensemble", "inflation_fixed", "inflation_fitted", "climatology")

@@ -134,7 +134,7 @@ def panel_lead(spark, sf):
 
 
 def _long(spark, sf):
-    members = T.archive_members(spark, sf).where(F.col("issue_time") >= F.lit(T.TEST_START).cast("timestamp_ntz"))
+    members = T.archive_members(spark, sf, since=T.TEST_START)
     obs = members.where(F.col("verifying").isNotNull()).groupBy(*T.KEY).agg(
         F.min_by("verifying", "member_order").alias("t2m_obs"))
     return members.withColumnRenamed("member_order", "member"), obs
@@ -270,7 +270,7 @@ def season_counts(spark, sf):
 
 def _stations(spark, sf):
     # stations count as used if they have a test instance in the last month of the archive
-    late = I.instances(spark, sf).where(F.col("issue_time") >= F.lit("2001-10-01").cast("timestamp_ntz"))
+    late = I.instances(spark, sf, since="2001-10-01")
     return P.flag_used_stations(T.station_metadata(spark, sf), late)
 
 

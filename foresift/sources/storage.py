@@ -9,13 +9,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_FALLBACK: dict[str, str] = {}      # application id -> local folder, for sessions without the setting
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in `spark.checkpoint.dir`; only where it is unset (tests) a new local one is set."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    path = spark.conf.get("spark.checkpoint.dir", None) or _FALLBACK.get(spark.sparkContext.applicationId)
     if not path:
         path = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", path)
+        _FALLBACK[spark.sparkContext.applicationId] = path
     return path.rstrip("/")
 
 

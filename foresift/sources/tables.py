@@ -33,8 +33,17 @@ def plus_hours(ts: Column, hours: Column) -> Column:
     return F.timestamp_add("HOUR", hours.cast("bigint"), ts)
 
 
-def archive_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+def archive_members(spark: SparkSession, sf_dir: str, since: str | None = None, before: str | None = None) -> DataFrame:
+    """Members of all issue times, or of those from `since` on and before `before` (starts of months).
+
+    The bounds are applied to the stored date, where the scan can use them to skip row groups.
+    """
     li = read_table(spark, sf_dir, "lineitem")
+    kind = li.schema["l_shipdate"].dataType.simpleString()
+    if since:
+        li = li.where(F.col("l_shipdate") >= F.lit(since).cast(kind))
+    if before:
+        li = li.where(F.col("l_shipdate") < F.lit(before).cast(kind))
     price = F.col("l_extendedprice")
     issue = F.trunc(F.to_date("l_shipdate"), "MM").cast("timestamp_ntz")
     step = (((F.col("l_linenumber") - 1) % 3) * 6).cast("double")
