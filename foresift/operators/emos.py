@@ -287,11 +287,12 @@ def fit_lockstep(panel: DataFrame, keys: list[str], fits: pd.DataFrame, predicto
 
 def fit_emos(panel: DataFrame, keys: list[str] = (), predictors=("ens_mean",), var: str = "ens_var",
              obs: str = "t2m_obs", min_rows: int = 1, max_group_rows: int = MAX_GROUP_ROWS,
-             max_iter: int = 60, lockstep_iter: int = 30) -> DataFrame:
+             max_iter: int = 60, lockstep_iter: int = 30, cheap_scan: bool = False) -> DataFrame:
     """One model row (keys, a, b, c, d[, e], n_rows, loss) per key group with at least `min_rows` rows.
 
     The models are stored, so that every use reads parameters instead of fitting again, and the join to the rows to predict
-    is planned with their true size.
+    is planned with their true size. `cheap_scan` says that the panel is a stored table behind narrow steps: large fits then
+    rescan it instead of storing their own copy of the rows.
     """
     keys = list(keys) or ["_all"]
     rows = panel if keys != ["_all"] else panel.withColumn("_all", F.lit(0))
@@ -309,13 +310,14 @@ def fit_emos(panel: DataFrame, keys: list[str] = (), predictors=("ens_mean",), v
         small = rows
         if has_large:
             small = small.join(large.select(*keys), keys, "left_anti")
-        if min_rows > 1:
-            small = small.join(sizes.select(*keys), keys, "left_semi")
         bucketed = small.withColumn("_bucket", F.pmod(F.hash(*keys), F.lit(n_buckets)))
-        out = materialise(fit_packed(bucketed, keys, ["_bucket"], predictors, var, obs, max_iter))
+        # groups below the minimum cost next to nothing to fit; dropping their models saves a join of the panel
+        out = materialise(fit_packed(bucketed, keys, ["_bucket"], predictors, var, obs, max_iter)
+                          .where(F.col("n_rows") >= min_rows))
     if has_large:
         fits = large.toPandas()
-        stored = materialise(rows.join(large.select(*keys), keys, "left_semi"))
+        of_large = rows.join(large.select(*keys), keys, "left_semi") if out is not None else rows
+        stored = of_large if cheap_scan else materialise(of_large)
         big = fit_lockstep(stored, keys, fits, predictors, var, obs, lockstep_iter)
         out = big if out is None else out.unionByName(big)
     return out.drop("_all")

@@ -267,9 +267,9 @@ def training_size_table(train: DataFrame, test: DataFrame, ks: list[int], seeds:
     sets = sets.where((F.col("arm") == "contiguous") | (F.col("k") < n_full))
     panel = sweep_panel(train, sets)
     inst = test.withColumnRenamed("t2m_obs", "obs")
-    pooled = fit_emos(panel, FIT)
+    pooled = fit_emos(panel, FIT, cheap_scan=True)
     scored = score_models(inst, pooled, FIT, emos_quantiles()).withColumn("method", F.lit("emos_pooled"))
-    local = fit_emos(panel.where("arm = 'contiguous'"), [*FIT, "station_id"], min_rows=5)
+    local = fit_emos(panel.where("arm = 'contiguous'"), [*FIT, "station_id"], min_rows=5, cheap_scan=True)
     scored = scored.unionByName(score_models(inst, local, FIT, emos_quantiles(), ["station_id"])
                                 .withColumn("method", F.lit("emos_local")))
     vi = sweep_inflation(sets.where("arm = 'contiguous'").join(case_sums(train), CASE))
@@ -293,7 +293,6 @@ def training_size_table(train: DataFrame, test: DataFrame, ks: list[int], seeds:
     out = base.unionByName(mean).unionByName(full).unionByName(size_rows)
     empty = [k for k in ks if k <= 0]
     if empty:
-        blank = base.limit(0)
         methods = ["emos_pooled", "emos_local", "inflation_fitted"]
         rows = [(m, "contiguous", -1, int(k)) for k in empty for m in methods]
         blanks = train.sparkSession.createDataFrame(rows, "method string, arm string, seed int, k int")

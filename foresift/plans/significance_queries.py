@@ -29,18 +29,24 @@ def losses(spark, sf):
 C.CTES["loss"] = f"""SELECT a.method, station_id, valid_time, step_hours, a.c AS crps, b.c AS ref FROM pl a
     JOIN (SELECT station_id, valid_time, step_hours, c FROM pl WHERE method = '{REF}') b
     USING (station_id, valid_time, step_hours) WHERE a.method <> '{REF}'"""
-C.CTES["dser"] = """SELECT method, valid_time::DATE AS day, avg(crps-ref) AS d FROM loss GROUP BY ALL"""
-C.CTES["devs"] = """SELECT method, day, d, d - avg(d) OVER (PARTITION BY method) AS e,
-    row_number() OVER (PARTITION BY method ORDER BY day) AS rn, count(*) OVER (PARTITION BY method) AS n FROM dser"""
-C.CTES["lrv"] = """SELECT method, count(*) AS n_days, avg(d) AS mean_diff, (sum(e*e) + sum(coalesce(2*(1-k1)*e*e1, 0)))/count(*)
-    AS lrv FROM (SELECT a.*, 0 AS k1, 0 AS e1 FROM devs a) GROUP BY method"""
-C.CTES["lrv"] = ("SELECT method, any_value(n) AS n_days, avg(d) AS mean_diff, (sum(e*e)"
-                 + "".join(f" + 2.0*(1.0-{k}/6.0)*coalesce(sum(e*e{k}), 0)" for k in range(1, 6))
-                 + ")/any_value(n) AS lrv FROM (SELECT *, "
-                 + ", ".join(f"lag(e, {k}) OVER (PARTITION BY method ORDER BY day) AS e{k}" for k in range(1, 6))
-                 + " FROM devs) GROUP BY method")
-C.CTES["hac"] = f"""SELECT *, {t_two_sided_p_sql('dm_stat', 'dof')} AS dm_pvalue FROM (SELECT method, n_days, mean_diff,
-    n_days - 1 AS dof, mean_diff/sqrt(lrv/n_days)*sqrt((n_days+1-12+30.0/n_days)/n_days) AS dm_stat FROM lrv)"""
+
+
+def hac_ctes(tag: str, loss: str) -> None:
+    """Daily series, long-run variance and HAC test of one table of losses, one comparison per `method`."""
+    C.CTES[f"dser{tag}"] = f"SELECT method, valid_time::DATE AS day, avg(crps-ref) AS d FROM {loss} GROUP BY ALL"
+    C.CTES[f"devs{tag}"] = f"""SELECT method, day, d, d - avg(d) OVER (PARTITION BY method) AS e,
+        count(*) OVER (PARTITION BY method) AS n FROM dser{tag}"""
+    C.CTES[f"lrv{tag}"] = ("SELECT method, any_value(n) AS n_days, avg(d) AS mean_diff, (sum(e*e)"
+                           + "".join(f" + 2.0*(1.0-{k}/6.0)*coalesce(sum(e*e{k}), 0)" for k in range(1, 6))
+                           + ")/any_value(n) AS lrv FROM (SELECT *, "
+                           + ", ".join(f"lag(e, {k}) OVER (PARTITION BY method ORDER BY day) AS e{k}" for k in range(1, 6))
+                           + f" FROM devs{tag}) GROUP BY method")
+    C.CTES[f"hac{tag}"] = f"""SELECT *, {t_two_sided_p_sql('dm_stat', 'dof')} AS dm_pvalue FROM (SELECT method, n_days,
+        mean_diff, n_days - 1 AS dof, mean_diff/sqrt(lrv/n_days)*sqrt((n_days+1-12+30.0/n_days)/n_days) AS dm_stat
+        FROM lrv{tag})"""
+
+
+hac_ctes("", "loss")
 C.CTES["mbb"] = f"""SELECT method, quantile_cont(m, 0.025) AS ci_low, quantile_cont(m, 0.975) AS ci_high FROM (
     SELECT method, rep, sum(list_sum(ds[s+1:s+len]))/any_value(n) AS m FROM (
     SELECT method, ds, n, rep, b, {C.hash_int('0', 'rep', 'b')} % (n-6) AS s, CASE WHEN b < nb-1 THEN 7 ELSE n-7*(nb-1) END AS len
@@ -181,18 +187,34 @@ def crossing_direction(spark, sf):
         G.crossing_with_direction(c.where("method = 'coverage'"), ["method"], "coverage_80pct"))
 
 
-SIG_SQL = """SELECT station_id % 5 AS g, step_hours, dense_rank() OVER (PARTITION BY station_id % 5 ORDER BY year(valid_time)*12
-    + month(valid_time)) AS k, crps - ref AS d FROM loss WHERE method = 'inflation_fitted'"""
-C.CTES["sigrows"] = f"""SELECT method, k, d, p FROM (SELECT method, month(valid_time) AS k, avg(crps-ref) AS d,
-    abs(avg(crps-ref))/10 AS p FROM loss GROUP BY ALL)"""
+C.CTES["lossk"] = f"""SELECT k AS method, valid_time, {C.crps('q', 't2m_obs')} AS crps, {C.crps('g', 't2m_obs')} AS ref FROM (
+    SELECT k, valid_time, t2m_obs, {C.gaussian('ens_mean', 'm*sqrt(ens_var)')} AS q, raw_q AS g FROM test, (SELECT k,
+    sqrt(sum((t2m_obs-ens_mean)*(t2m_obs-ens_mean))/sum(ens_var)) AS m FROM train JOIN (SELECT unnest({KS}) AS k, * FROM
+    (SELECT year_idx, time_idx, row_number() OVER (ORDER BY case_date DESC, year_idx, time_idx) - 1 AS r FROM cases)) c
+    USING (year_idx, time_idx) WHERE r < k GROUP BY k))"""
+hac_ctes("k", "lossk")
 
 
-@query("h10_durable_significance", "method:s first_k:i",
-       """SELECT method, min(k) FILTER (last_bad IS NULL OR k > last_bad) AS first_k FROM (SELECT *, max(CASE WHEN NOT
-       (d < 0 AND p < 0.05) THEN k END) OVER (PARTITION BY method) AS last_bad FROM sigrows) GROUP BY method""")
+@query("h10_durable_significance", "alpha:d n_sizes:i first_k:i",
+       """SELECT alpha, count(*) AS n_sizes, min(k) FILTER (last_bad IS NULL OR k > last_bad) AS first_k FROM (SELECT alpha,
+       method AS k, max(CASE WHEN NOT (mean_diff < 0 AND dm_pvalue < alpha) THEN method END) OVER (PARTITION BY alpha) AS last_bad
+       FROM hack, (SELECT unnest([1e-6, 1e-4, 0.05]::DOUBLE[]) AS alpha)) GROUP BY alpha""")
 def durable_significance(spark, sf):
-    rows = losses(spark, sf).groupBy("method", F.month("valid_time").alias("k")).agg(F.avg(F.col("crps") - F.col("ref")).alias("d"))
-    return G.first_durable_significance(rows.withColumn("p", F.abs("d") / 10), ["method"], "k", "d", "p")
+    """Smallest training size from which fitted inflation stays significantly better than the raw ensemble."""
+    tr = I.train(spark, sf)
+    sets = SM.sweep_cases(SM.distinct_cases(tr), KS, [0]).where("arm = 'contiguous'")
+    models = R.sweep_inflation(sets.join(R.case_sums(tr), SM.CASE)).select("k", "multiplier")
+    grid = models.agg(F.collect_list(F.struct("k", "multiplier")).alias("grid"))
+    rows = (I.test(spark, sf).crossJoin(F.broadcast(grid)).withColumn("m", F.explode("grid"))      # one row with the sizes
+            .select("*", "m.k", "m.multiplier").withColumn("q", I.gaussian_quantiles("ens_mean", "multiplier*sqrt(ens_var)")))
+    rows = rows.select("k", "valid_time", S.crps("t2m_obs", "q").alias("crps"), S.crps("t2m_obs", "raw_q").alias("ref"))
+    hac = materialise(G.hac_test(G.daily_series(rows, ["k"], F.col("crps") - F.col("ref")), ["k"]))
+    n_sizes = hac.agg(F.count(F.lit(1)).alias("n_sizes"))
+    out = None
+    for alpha in (1e-6, 1e-4, 0.05):
+        row = G.first_durable_significance(hac.withColumn("alpha", F.lit(alpha)), ["alpha"], "k", "mean_diff", "dm_pvalue", alpha)
+        out = row if out is None else out.unionByName(row)
+    return out.crossJoin(F.broadcast(n_sizes))     # one row
 
 
 @query("h11_last_durable_crossing", "method:s status:s crossing:d",
