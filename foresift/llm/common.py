@@ -25,15 +25,16 @@ def arrow_schema(ddl: str) -> tuple[T.StructType, pa.Schema]:
     return spark_schema, to_arrow_schema(spark_schema)
 
 
-def map_rows(df: DataFrame, cols: list[str], ddl: str, make: Callable[[], Callable[[list[list]], list[list]]]) -> DataFrame:
+def map_rows(df: DataFrame, cols: list[str], ddl: str, make: Callable[[], Callable[[list[list]], list[list]]],
+             slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Applies a function of column lists to slices of rows; make() runs once per task and returns that function."""
     spark_schema, schema = arrow_schema(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(at, SLICE_ROWS)
+            for at in range(0, batch.num_rows, slice_rows):
+                part = batch.slice(at, slice_rows)
                 out = fn([c.to_pylist() for c in part.columns])
                 arrays = [pa.array(v, type=f.type) for v, f in zip(out, schema)]
                 yield pa.RecordBatch.from_arrays(arrays, schema=schema)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foresift.llm import langid, license_scan, secret_scan, warc
+from foresift.llm import decontam, html_wrapper, langid, license_scan, packing, secret_scan, token_store, warc
 from foresift.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +33,32 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+@query
+def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_wrapper.extract_main_text(table(spark, sf_dir, "pages")) \
+        .withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, written to coded files and read back."""
+    return token_store.token_round_trip(spark, table(spark, sf_dir, "documents")) \
+        .select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that documents leak."""
+    return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document packed into sequences of 4096 ids."""
+    return packing.piece_digest(packing.pack_documents(table(spark, sf_dir, "documents")))
+
+
 @query
 def op8_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archive of every page, written and read back."""
