@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foresift.llm import langid, secret_scan
+from foresift.llm import decontam, langid, packing, secret_scan
 from foresift.llm.common import shared_dir, table
 
 # least calibrated probability of the language that a document must have
@@ -23,15 +23,27 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return rows.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
 
 
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that leak a benchmark item go."""
+    return decontam.drop_leaks(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
+
+
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays, with the secrets in its text masked and its length counted anew."""
     masked = secret_scan.mask_secrets(docs)
     return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document in sequences of 4096 ids: a row per piece."""
+    return packing.piece_digest(packing.pack_documents(docs))
+
+
 STAGES = [
     ("language_id", identify_language),
+    ("decontamination", decontaminate),
     ("secret_scan", mask_secrets),
+    ("packing", pack),
 ]
 
 # language models, fuzzy verification and tokenizers have no SQL form
