@@ -6,7 +6,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foresift.llm import decontam, html_wrapper, langid, license_scan, packing, secret_scan, token_store, warc
+from foresift.llm import (ann, decontam, html_wrapper, langid, license_scan, packing, parity_join, secret_scan,
+                           token_store, warc)
 from foresift.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,6 +41,12 @@ def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumn("n_chars", F.length("text").cast("long"))
 
 
+@query
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows of every twentieth vector."""
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 @query
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document, written to coded files and read back."""
@@ -75,6 +82,12 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM f"""
 
 
+@query
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose shingle sets link."""
+    return parity_join.similarity_components(table(spark, sf_dir, "documents"))
+
+
 @query
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence phrases and notices in every document."""
