@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foresift.llm import decontam, langid, packing, secret_scan
+from foresift.llm import decontam, langid, packing, parity_join, secret_scan
 from foresift.llm.common import shared_dir, table
 
 # least calibrated probability of the language that a document must have
@@ -23,6 +23,18 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return rows.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the least id stays; documents without words or id all stay."""
+    groups = parity_join.similarity_components(docs)
+    kept = groups.where((F.col("doc_id") == F.col("component_id")) & (F.col("n_shingles") > 0))
+    alone = docs.join(kept.select("doc_id").distinct(), "doc_id", "left_semi")
+    # rows that share an id are told apart as whole rows
+    again = kept.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    once = alone.join(again, "doc_id", "left_anti").unionByName(alone.join(again, "doc_id", "left_semi").dropDuplicates())
+    bare = docs.where(F.col("doc_id").isNull() | F.col("text").isNull() | ~F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return once.unionByName(bare.join(kept.select("doc_id").distinct(), "doc_id", "left_anti")).select(*docs.columns)
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that leak a benchmark item go."""
     return decontam.drop_leaks(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
@@ -41,6 +53,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("language_id", identify_language),
+    ("ngram_join", drop_near_copies),
     ("decontamination", decontaminate),
     ("secret_scan", mask_secrets),
     ("packing", pack),
