@@ -39,7 +39,7 @@ def map_rows(df: DataFrame, cols: list[str], ddl: str, make: Callable[[], Callab
                 arrays = [pa.array(v, type=f.type) for v, f in zip(out, schema)]
                 yield pa.RecordBatch.from_arrays(arrays, schema=schema)
 
-    return df.select(*[F.col(f"`{c}`") for c in cols]).mapInArrow(run, spark_schema)
+    return df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(cols)]).mapInArrow(run, spark_schema)
 
 
 # any odd multipliers do; fixed so that every worker hashes alike

@@ -213,8 +213,7 @@ def predict_language(docs: DataFrame, model: LanguageModel, cols: list[str] | No
             return [*columns[:-1], [g[0] for g in got], [g[1] for g in got]]
         return run
     ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), "lang_pred string", "score double"])
-    named = docs.select(*[F.col(f"`{c}`") for c in cols], F.col(f"`{text_col}`").alias("_text"))
-    return map_rows(named, named.columns, ddl, make)
+    return map_rows(docs, [*cols, text_col], ddl, make)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
