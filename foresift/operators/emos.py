@@ -35,9 +35,9 @@ def param_names(predictors) -> list[str]:
 class Scoring:
     """State of all fits of one task or one lockstep run: damping, best parameters, and the sums at them."""
 
-    def __init__(self, n_fits: int, n_loc: int, tol: float = 1e-9, start: np.ndarray | None = None):
+    def __init__(self, n_fits: int, n_loc: int, tol: float = 1e-12, start: np.ndarray | None = None):
         self.p, self.tol = n_loc, tol
-        self.patience = 2 if start is None else 1      # small gains in a row that end a fit
+        self.patience = 2           # small gains in a row that end a fit
         self.best = np.zeros((n_fits, n_loc + 2))
         self.best[:, 1] = 1.0
         if start is not None:
@@ -73,6 +73,12 @@ class Scoring:
         self.active[ids] = (self.calm[ids] < self.patience) & (self.damp[ids] < 1e8)
         self._propose(ids[self.active[ids]])
 
+    def settled(self, max_iter: int) -> Scoring:
+        """The state itself, once every fit has met the stop rule."""
+        if self.active.any():
+            raise RuntimeError(f"{int(self.active.sum())} fits did not converge in {max_iter} iterations")
+        return self
+
     def _propose(self, ids: np.ndarray) -> None:
         if not len(ids):
             return
@@ -154,7 +160,7 @@ def fit_segments(x: np.ndarray, v: np.ndarray, y: np.ndarray, fit: np.ndarray, n
                     sums = np.zeros((n_fits, part.shape[1]))
                 sums[f[starts]] += part
             state.update(ids, sums[ids])
-    return state
+    return state.settled(max_iter)
 
 
 def fit_frame(pdf: pd.DataFrame, keys: list[str], predictors, var: str, obs: str, max_iter: int) -> pd.DataFrame:
@@ -231,7 +237,7 @@ def drive(n_fits: int, n_loc: int, evaluate, max_iter: int, start: np.ndarray |
             if not len(ids):
                 break
             state.update(ids, evaluate(ids, state.trial[ids]))
-    return state
+    return state.settled(max_iter)
 
 
 def _loc_scale(models: pd.DataFrame, predictors) -> np.ndarray:
@@ -246,7 +252,7 @@ def _warm_start(panel: DataFrame, keys: list[str], fits: pd.DataFrame, predictor
     start = np.zeros((len(fits), len(predictors) + 3))
     start[:, 1] = 1.0
     bucketed = some.withColumn("_bucket", F.pmod(F.hash(*keys), F.lit(max(1, len(fits)))))
-    got = fit_packed(bucketed, keys, ["_bucket"], predictors, var, obs, 40).toPandas()
+    got = fit_packed(bucketed, keys, ["_bucket"], predictors, var, obs, 5000).toPandas()
     at = {tuple(k): i for i, k in enumerate(fits[keys].itertuples(index=False, name=None))}
     for k, row in zip(got[keys].itertuples(index=False, name=None), _loc_scale(got, predictors)):
         if np.isfinite(row).all():
@@ -287,7 +293,7 @@ def fit_lockstep(panel: DataFrame, keys: list[str], fits: pd.DataFrame, predicto
 
 def fit_emos(panel: DataFrame, keys: list[str] = (), predictors=("ens_mean",), var: str = "ens_var",
              obs: str = "t2m_obs", min_rows: int = 1, max_group_rows: int = MAX_GROUP_ROWS,
-             max_iter: int = 60, lockstep_iter: int = 30, cheap_scan: bool = False) -> DataFrame:
+             max_iter: int = 5000, lockstep_iter: int = 1000, cheap_scan: bool = False) -> DataFrame:
     """One model row (keys, a, b, c, d[, e], n_rows, loss) per key group with at least `min_rows` rows.
 
     The models are stored, so that every use reads parameters instead of fitting again, and the join to the rows to predict
@@ -400,7 +406,7 @@ def held_out_sums(theta: np.ndarray, targets: np.ndarray, station: np.ndarray, x
 
 
 def fit_leave_one_out(train: DataFrame, lead_specific: bool = False, min_rows_lead: int = 20,
-                      max_iter: int = 30) -> DataFrame:
+                      max_iter: int = 1000) -> DataFrame:
     """One model per held-out station (and lead), fitted on all other stations.
 
     The sums of a target are those of all rows minus those of its own rows. All targets start from the fit on all stations,

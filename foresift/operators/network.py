@@ -173,9 +173,13 @@ def _features(df: DataFrame, scales: DataFrame, stations: DataFrame, leads: Data
             .withColumn("base_ls2", F.log(F.greatest(F.col("ens_var"), sc2 * 1e-6) / sc2)))
 
 
-def fit_networks(train: DataFrame, seeds: dict[str, int], use_lead: bool = True, rounds: int = 12,
-                 local_steps: int = 100, val_fraction: float = 0.1) -> NetworkModel:
-    """Trains one network per fit id (keys of `seeds`; column `fit_id` of `train`)."""
+def fit_networks(train: DataFrame, seeds: dict[str, int], use_lead: bool = True, rounds: int = 100,
+                 local_steps: int = 100, val_fraction: float = 0.1, min_updates: int = 2000) -> NetworkModel:
+    """Trains one network per fit id (keys of `seeds`; column `fit_id` of `train`).
+
+    Patience may end a fit only after `min_updates` steps. Sets under FALLBACK_ROWS rows, and sets of a single case, which
+    leave no rows to validate on, take FALLBACK_STEPS steps in all.
+    """
     spark = train.sparkSession
     use_lead = use_lead and "step_hours" in train.columns
     stations = position(train.select("station_id").distinct(), [], F.floor(F.col("station_id") / 1024),
@@ -202,13 +206,15 @@ def fit_networks(train: DataFrame, seeds: dict[str, int], use_lead: bool = True,
     cols = ["fit_id", "shard", "is_val", "m", "v", "y", "base_mu", "base_ls2", "s", *(["l"] if use_lead else []),
             "obs_scale", "fit_rows"]
     stored = materialise(rows.select(*cols))
+    held = {r["fit_id"] for r in stored.where("is_val").select("fit_id").distinct().collect()}     # one row per fit
+    brief = {f for f in sizes if sizes[f] < FALLBACK_ROWS or f not in held}
     current = {f: shape.initial(s) for f, s in seeds.items() if f in sizes}
     best, best_val = dict(current), {f: math.inf for f in current}
     bad = {f: 0 for f in current}
     history: dict[str, list[float]] = {f: [] for f in current}
     schema = "fit_id string, pos int, value double, weight double"
     for r in range(rounds + 1):
-        live = [f for f in current if bad[f] < PATIENCE and (sizes[f] >= FALLBACK_ROWS or r <= 1)]
+        live = [f for f in current if (r == 0 if f in brief else bad[f] < PATIENCE or r * local_steps < min_updates)]
         if not live:
             break
         weights = {f: current[f] for f in live}
@@ -227,8 +233,7 @@ def fit_networks(train: DataFrame, seeds: dict[str, int], use_lead: bool = True,
             if not score_only and not held.all():
                 x = _inputs(pdf[~held])
                 n = len(x["y"])
-                tiny = pdf["fit_rows"].iloc[0] < FALLBACK_ROWS
-                w = adam_steps(shape, flat, x, FALLBACK_STEPS if tiny else local_steps,
+                w = adam_steps(shape, flat, x, FALLBACK_STEPS if fit in brief else local_steps,
                                max(1, min(BATCH, max(256, n // 20))), seeds[fit] * 1000 + r)
                 out.append(pd.DataFrame({"pos": np.arange(len(w)), "value": w * n, "weight": float(n)}))
             frame = pd.concat(out) if out else pd.DataFrame({"pos": [-2], "value": [0.0], "weight": [0.0]})
@@ -251,6 +256,6 @@ def fit_networks(train: DataFrame, seeds: dict[str, int], use_lead: bool = True,
             new = part[part["pos"] >= 0]
             if len(new):
                 current[fit] = (new["value"] / new["weight"]).to_numpy()
-                if not len(val):
+                if fit in brief:
                     best[fit] = current[fit]
     return NetworkModel(shape, best, scales, stations, leads, history)

@@ -228,11 +228,6 @@ def apply_forecaster(jobs: DataFrame, forecaster, n_levels: int, last_step_only:
     has_cov = "covariate" in jobs.columns
     wide = jobs.select("station_id", "issue_time", "context", *(["covariate"] if has_cov else []), "horizon",
                        "steps", "lead_pos", "obs")
-    schema = T.StructType([PREDICTION_SCHEMA["station_id"], PREDICTION_SCHEMA["issue_time"],
-                           T.StructField("steps", T.ArrayType(T.DoubleType())),
-                           T.StructField("obs", T.ArrayType(T.DoubleType())),
-                           T.StructField("qs", T.ArrayType(T.ArrayType(T.DoubleType())))])
-
     def run(batches):
         for pdf in batches:
             for horizon, part in pdf.groupby("horizon", sort=True):
@@ -241,17 +236,18 @@ def apply_forecaster(jobs: DataFrame, forecaster, n_levels: int, last_step_only:
                 pred = np.asarray(forecaster(ctx, cov, int(horizon)), dtype=float)
                 if pred.shape != (len(part), horizon, n_levels):
                     raise ValueError(f"forecaster returned shape {pred.shape}")
-                qs = []
-                for i, pos in enumerate(part["lead_pos"]):
-                    qs.append(pred[i, [int(horizon) - 1] if last_step_only else np.asarray(pos, dtype=int)].tolist())
-                out = part[["station_id", "issue_time", "steps", "obs"]].copy()
-                out["qs"] = qs
+                # one output row per lead, or for the last lead alone
+                leads = [slice(-1, None) if last_step_only else slice(None)] * len(part)
+                steps, obs, pos = ([np.asarray(v)[s] for v, s in zip(part[c], leads)] for c in ("steps", "obs", "lead_pos"))
+                job = np.repeat(np.arange(len(part)), [len(s) for s in steps])
+                at = np.full(len(job), int(horizon) - 1) if last_step_only else np.concatenate(pos).astype(int)
+                out = part[["station_id", "issue_time"]].iloc[job].reset_index(drop=True)
+                out["step_hours"] = np.concatenate(steps).astype(float)
+                out["obs"] = np.concatenate(obs).astype(float)
+                out["q"] = list(pred[job, at])
                 yield out
 
-    done = wide.mapInPandas(run, schema)
-    zipped = done.withColumn("_z", F.explode(F.arrays_zip("steps", "obs", "qs")))
-    return zipped.select("station_id", "issue_time", F.col("_z.steps").alias("step_hours"),
-                         F.col("_z.obs").alias("obs"), F.col("_z.qs").alias("q")).withColumn(
+    return wide.mapInPandas(run, PREDICTION_SCHEMA).withColumn(
         "valid_time", plus_hours(F.col("issue_time"), F.col("step_hours")))
 
 

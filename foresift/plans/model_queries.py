@@ -241,13 +241,13 @@ def inflation_curve(spark, sf):
 @query("m19_network", "fit_id:s n:i crps:d coverage_80pct:d interval_width:d upper_crps:d")
 def network(spark, sf):
     tr = I.train(spark, sf).withColumn("fit_id", F.lit("all"))
-    model = fit_networks(tr, {"all": 0}, rounds=8)
+    model = fit_networks(tr, {"all": 0})
     return model.transform(I.test(spark, sf)).groupBy("fit_id").agg(*S.bundle("t2m_obs", "q"))
 
 
 @query("m20_network_seeds", "k:i n_seeds:i crps:d crps_std:d coverage_80pct:d coverage_80pct_std:d")
 def network_seeds(spark, sf):
-    """Three seeds for two training sizes, trained together; mean and population F.sqrt("ens_var") of the scores."""
+    """Three seeds for two training sizes, trained together; mean and population standard deviation of the scores."""
     tr = I.train(spark, sf)
     ranked = SM.rank_recent(SM.distinct_cases(tr))
     cases = materialise(ranked.withColumn("k", F.explode(F.filter(F.array(F.lit(12), F.lit(36)),
@@ -255,7 +255,7 @@ def network_seeds(spark, sf):
     tr = tr.join(cases.select(*SM.CASE, "k"), SM.CASE)
     seeds = F.explode(F.array(*[F.lit(s) for s in range(3)]))
     tr = materialise(tr.withColumn("seed", seeds).withColumn("fit_id", F.concat_ws("-", "k", "seed")))
-    model = fit_networks(tr, {f"{k}-{s}": s for k in (12, 36) for s in range(3)}, use_lead=False, rounds=4)
+    model = fit_networks(tr, {f"{k}-{s}": s for k in (12, 36) for s in range(3)}, use_lead=False)
     scored = model.transform(I.test(spark, sf)).groupBy("fit_id").agg(*S.bundle("t2m_obs", "q"))
     scored = scored.withColumn("k", F.split("fit_id", "-")[0].cast("int"))
     return R.random_arm(scored, ["k"], ["crps", "coverage_80pct"], population=True)

@@ -1,6 +1,8 @@
 """Registered queries: scans, sinks and panel building (S, B)."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from foresift.functions import scores as S
@@ -57,8 +59,8 @@ def stored_aggregate(spark, sf):
        count(*) AS n, avg(c) AS mean_crps FROM pl WHERE method = 'inflation_fixed'""")
 def result_sink(spark, sf):
     preds = I.predictions(spark, sf, ("inflation_fixed",)).withColumn("crps", S.crps("obs", "q"))
-    folder = f"{storage.shared_dir(spark)}/results"
-    storage.write_result(preds, "inflation_fixed", "v1", {"window": [5, 10], "levels": 9}, folder, mode="overwrite")
+    folder = f"{storage.shared_dir(spark)}/results-{uuid.uuid4().hex}"
+    storage.write_result(preds, "inflation_fixed", "v1", {"window": [5, 10], "levels": 9}, folder)
     table, meta = storage.read_result(spark, "inflation_fixed", folder)
     stats = table.agg(F.count(F.lit(1)).alias("n"), F.avg("crps").alias("mean_crps"))
     return meta.crossJoin(F.broadcast(stats))     # one row each
@@ -269,16 +271,14 @@ def season_counts(spark, sf):
 
 
 def _stations(spark, sf):
-    # stations count as used if they have a test instance in the last month of the archive
-    late = I.instances(spark, sf, since="2001-10-01")
-    return P.flag_used_stations(T.station_metadata(spark, sf), late)
+    return P.flag_used_stations(T.station_metadata(spark, sf), I.test(spark, sf))
 
 
-LATE = "(SELECT DISTINCT station_id FROM ai WHERE issue_time >= TIMESTAMP '2001-10-01')"
+USED = "(SELECT DISTINCT station_id FROM test)"
 
 
 @query("b16_station_flag", "station_id:i station_name:s station_altitude:d used_in_study:b",
-       f"""SELECT station_id, station_name, alt AS station_altitude, station_id IN {LATE} AS used_in_study FROM stn""")
+       f"""SELECT station_id, station_name, alt AS station_altitude, station_id IN {USED} AS used_in_study FROM stn""")
 def station_flag(spark, sf):
     return _stations(spark, sf)
 
@@ -287,23 +287,23 @@ def station_flag(spark, sf):
        "n_used:i lat_min:d lat_max:d lon_min:d lon_max:d alt_min:d alt_max:d alt_median:d highest:s n_high:i",
        f"""SELECT count(*) AS n_used, min(lat) AS lat_min, max(lat) AS lat_max, min(lon) AS lon_min, max(lon) AS lon_max,
        min(alt) AS alt_min, max(alt) AS alt_max, median(alt) AS alt_median, arg_max(station_name, alt) AS highest,
-       count(*) FILTER (alt > 500) AS n_high FROM stn WHERE station_id IN {LATE}""")
+       count(*) FILTER (alt > 500) AS n_high FROM stn WHERE station_id IN {USED}""")
 def station_extent(spark, sf):
     return P.station_extent(_stations(spark, sf))
 
 
 @query("b18_excluded_names", "station_name:s",
-       f"SELECT station_name FROM stn WHERE station_id NOT IN {LATE}")
+       f"SELECT station_name FROM stn WHERE station_id NOT IN {USED}")
 def excluded_names(spark, sf):
     return _stations(spark, sf).where(~F.col("used_in_study"))
 
 
-@query("b18_issue_subset", "station_id:i issue_time:t ens_mean:d",
-       """SELECT station_id, issue_time, ens_mean FROM (SELECT *, row_number() OVER (PARTITION BY station_id
-       ORDER BY issue_time) - 1 AS pos FROM ei WHERE step_hours = 0) WHERE pos % 3 = 0""")
+@query("b18_issue_subset", "station_id:i step_hours:d issue_time:t ens_mean:d",
+       """SELECT station_id, step_hours, issue_time, ens_mean FROM (SELECT *, row_number() OVER (PARTITION BY station_id,
+       step_hours ORDER BY issue_time) - 1 AS pos FROM ei) WHERE pos % 3 = 0""")
 def issue_subset(spark, sf):
-    rows = I.event_instances(spark, sf).where("step_hours = 0").select("station_id", "issue_time", "ens_mean")
-    return P.every_nth_issue(rows, ["station_id"], 3)
+    rows = I.event_instances(spark, sf).select("station_id", "step_hours", "issue_time", "ens_mean")
+    return P.every_nth_issue(rows, ["station_id", "step_hours"], 3)
 
 
 @query("b18_first_stations", "station_id:i n:i",

