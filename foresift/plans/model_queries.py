@@ -14,6 +14,7 @@ from foresift.operators import sampling as SM
 from foresift.operators.models import Climatology, Emos, RawEnsemble, VarianceInflation
 from foresift.operators.network import fit_networks
 from foresift.plans import ctes as C
+from foresift.plans import fit_sql as X
 from foresift.plans import inputs as I
 from foresift.plans.panel_queries import KEYS, SQL_WIDE, WIDE
 from foresift.plans.registry import query
@@ -74,6 +75,29 @@ def gaussian_crps_query(spark, sf):
 
 
 FIT_OUT = "n_rows:i loss:d raw_loss:d"
+RAW_SQL = crps_sql("((t2m_obs-ens_mean)/sqrt(1.0+ens_var))", "sqrt(1.0+ens_var)")
+ONE = "(SELECT *, 0 AS _one FROM {})"
+CELL, STN = ["station_id", "step_hours"], ["station_id"]
+
+
+def fit_sql(keys: list[str], min_rows: int = 1) -> str:
+    """Loss of each converged fit next to that of the raw Gaussian on the same rows."""
+    if not keys:
+        return f"SELECT * FROM {X.emos_fits('train', [])} f, (SELECT avg({RAW_SQL}) AS raw_loss FROM train)"
+    k = ", ".join(keys)
+    return (f"SELECT * FROM {X.emos_fits('train', keys, min_rows)} f JOIN (SELECT {k}, avg({RAW_SQL}) AS raw_loss FROM train "
+            f"GROUP BY {k}) USING ({k})")
+
+
+def tier_sql(tiers) -> str:
+    return f"""SELECT tier, count(*) AS n, avg({C.crps('q', 't2m_obs')}) AS crps FROM (
+        {X.tiered(ONE.format('test'), tiers)}) GROUP BY tier"""
+
+
+POOLED = (X.emos_fits(ONE.format("train"), ["_one"]), ["_one"], 1)
+OTHERS = "(SELECT o.station_id AS target, t.* EXCLUDE (station_id) FROM (SELECT DISTINCT station_id FROM train) o JOIN train t ON t.station_id <> o.station_id)"
+LOSO = (f"(SELECT target AS station_id, * EXCLUDE (target) FROM {X.emos_fits(OTHERS, ['target'])})", STN, 1)
+LOSO_LEAD = (f"(SELECT target AS station_id, * EXCLUDE (target) FROM {X.emos_fits(OTHERS, ['target', 'step_hours'], 20)})", CELL, 20)
 
 
 def fit_summary(models, panel, keys):
@@ -85,21 +109,23 @@ def fit_summary(models, panel, keys):
     return models.join(start, keys)
 
 
-@query("m5_emos_pooled", FIT_OUT)
+@query("m5_emos_pooled", FIT_OUT, fit_sql([]))
 def emos_pooled(spark, sf):
     """Pooled fit by lockstep aggregation: the mode for fits of unlimited size."""
     tr = I.train(spark, sf)
     return fit_summary(E.fit_emos(tr, max_group_rows=0), tr, [])
 
 
-@query("m5_emos_by_source", f"year_idx:i {FIT_OUT}")
+@query("m5_emos_by_source", f"year_idx:i {FIT_OUT}", fit_sql(["year_idx"]))
 def emos_by_year(spark, sf):
     """Packed mode: one fit per archive year."""
     tr = I.train(spark, sf)
     return fit_summary(E.fit_emos(tr, ["year_idx"]), tr, ["year_idx"])
 
 
-@query("m6_emos_local", f"station_id:i {FIT_OUT} covered_stations:d")
+@query("m6_emos_local", f"station_id:i {FIT_OUT} covered_stations:d",
+       f"""SELECT *, (SELECT count(*) FILTER (n >= 5)::DOUBLE/count(*) FROM (SELECT DISTINCT station_id FROM test) LEFT JOIN
+       (SELECT station_id, count(*) AS n FROM train GROUP BY 1) USING (station_id)) AS covered_stations FROM ({fit_sql(STN, 5)})""")
 def emos_local(spark, sf):
     tr = I.train(spark, sf)
     models = E.fit_emos(tr, ["station_id"], min_rows=5)
@@ -114,7 +140,7 @@ def tiered_scores(spark, sf, tiers):
     return out.groupBy("tier").agg(F.count(F.lit(1)).alias("n"), F.avg(S.crps("t2m_obs", "q")).alias("crps"))
 
 
-@query("m7_emos_lead", "tier:i n:i crps:d")
+@query("m7_emos_lead", "tier:i n:i crps:d", tier_sql([(X.emos_fits("train", ["step_hours"], 20), ["step_hours"], 20), POOLED]))
 def emos_lead(spark, sf):
     tr = I.train(spark, sf)
     pooled = E.fit_emos(tr.withColumn("_one", F.lit(1)), ["_one"])
@@ -124,14 +150,15 @@ def emos_lead(spark, sf):
     return out.groupBy("tier").agg(F.count(F.lit(1)).alias("n"), F.avg(S.crps("t2m_obs", "q")).alias("crps"))
 
 
-@query("m8_emos_local_lead", f"station_id:i step_hours:d {FIT_OUT}")
+@query("m8_emos_local_lead", f"station_id:i step_hours:d {FIT_OUT}", fit_sql(CELL, 5))
 def emos_local_lead(spark, sf):
     tr = I.train(spark, sf)
     keys = ["station_id", "step_hours"]
     return fit_summary(E.fit_emos(tr, keys, min_rows=5), tr, keys)
 
 
-@query("m9_emos_adaptive", "tier:i n:i crps:d")
+@query("m9_emos_adaptive", "tier:i n:i crps:d",
+       tier_sql([(X.emos_fits("train", CELL, 20), CELL, 20), (X.emos_fits("train", STN, 5), STN, 5), POOLED]))
 def emos_adaptive(spark, sf):
     tr = I.train(spark, sf)
     one = tr.withColumn("_one", F.lit(1))
@@ -166,7 +193,21 @@ def emos_predict(spark, sf):
     return wide(E.emos_predict(I.test(spark, sf), model))
 
 
-@query("m12_leave_one_out", "variant:s n:i crps:d coverage_80pct:d interval_width:d upper_crps:d")
+BUNDLE_OUT = "crps:d coverage_80pct:d interval_width:d upper_crps:d"
+
+
+def coarse_sql(body: str, keys: str) -> str:
+    """Scores to 4 digits: the fits start elsewhere or sum in another order, and their parameters agree to 6 or so."""
+    return f"SELECT {keys}, {', '.join(f'round({c.split(":")[0]}, 4) AS {c.split(":")[0]}' for c in BUNDLE_OUT.split())} FROM ({body})"
+
+
+def coarse(df, *keys):
+    return df.select(*keys, *[F.round(c.split(":")[0], 4).alias(c.split(":")[0]) for c in BUNDLE_OUT.split()])
+
+
+@query("m12_leave_one_out", f"variant:s n:i {BUNDLE_OUT}",
+       coarse_sql(f"""SELECT 'loso' AS variant, {C.bundle('q', 't2m_obs')} FROM ({X.tiered('test', [LOSO])}) UNION ALL
+       SELECT 'loso_leadspec', {C.bundle('q', 't2m_obs')} FROM ({X.tiered('test', [LOSO_LEAD, LOSO])})""", "variant, n"))
 def leave_one_out(spark, sf):
     tr, te = I.train(spark, sf), I.test(spark, sf)
     out = None
@@ -176,14 +217,34 @@ def leave_one_out(spark, sf):
                         ("loso_leadspec", [(leads, ["station_id", "step_hours"], 20), (pooled, ["station_id"], 1)])):
         part = E.predict_tiers(te, tiers).agg(*S.bundle("t2m_obs", "q")).withColumn("variant", F.lit(name))
         out = part if out is None else out.unionByName(part)
-    return out
+    return coarse(out, "variant", "n")
+
 
+# history rows of each issue time and window, and the fits on them
+C.CTES["rolled"] = """SELECT w AS window_days, i.issue_time AS issued, h.station_id, h.step_hours, h.ens_mean, h.ens_var, h.t2m_obs
+    FROM (SELECT DISTINCT issue_time FROM ei) i CROSS JOIN (SELECT unnest([5, 10, 20]) AS w) JOIN ei h
+    ON h.issue_time >= i.issue_time - to_days(CAST(w AS INT)) AND h.issue_time < i.issue_time AND h.valid_time < i.issue_time"""
+ROLL = ["window_days", "issued"]
+for _name, _keys, _least in (("pooled", [], RO.MIN_HISTORY), ("lead", ["step_hours"], RO.MIN_LEAD), ("station", STN, 1),
+                             ("cell", CELL, 1)):
+    C.CTES[f"rolled_{_name}"] = f"SELECT * FROM {X.emos_fits('rolled', [*ROLL, *_keys], _least)}"
+_ROLLED_KEYS = {"pooled": ROLL, "lead": [*ROLL, "step_hours"], "station": [*ROLL, *STN], "cell": [*ROLL, *CELL]}
 
-@query("m13_rolling_emos", "method:s window_days:i n:i covered:i crps:d coverage_80pct:d interval_width:d upper_crps:d")
+
+def rolled_sql(name: str, chain) -> str:
+    tiers = [(f"rolled_{m}", _ROLLED_KEYS[m], n) for m, n in chain]
+    return f"""SELECT '{name}' AS method, window_days, {C.bundle('q', 't2m_obs')}, count(q) AS covered FROM (
+        {X.tiered('(SELECT * FROM (SELECT *, issue_time AS issued FROM ei, (SELECT unnest([5, 10, 20]) AS window_days)) SEMI JOIN '
+                  'rolled_pooled USING (window_days, issued))', tiers)}) GROUP BY window_days"""
+
+
+@query("m13_rolling_emos", f"method:s window_days:i n:i covered:i {BUNDLE_OUT}",
+       coarse_sql(" UNION ALL ".join(rolled_sql(n, c) for n, c in RO.VARIANTS.items()), "method, window_days, n, covered"))
 def rolling_emos(spark, sf):
     ei = I.event_instances(spark, sf)
     out = RO.rolling_predictions(ei, ei, [5, 10, 20])
-    return out.groupBy("method", "window_days").agg(*S.bundle("t2m_obs", "q"), F.count("q").alias("covered"))
+    scored = out.groupBy("method", "window_days").agg(*S.bundle("t2m_obs", "q"), F.count("q").alias("covered"))
+    return coarse(scored, "method", "window_days", "n", "covered")
 
 
 @query("m14_inflation_fitted", "station_id:i n_rows:i multiplier:d",
@@ -261,7 +322,14 @@ def network_seeds(spark, sf):
     return R.random_arm(scored, ["k"], ["crps", "coverage_80pct"], population=True)
 
 
-@query("m21_refit_in_place", "method:s n:i crps:d mean_abs_change:d")
+REFIT = X.tiered(ONE.format("test"), [POOLED])
+
+
+@query("m21_refit_in_place", "method:s n:i crps:d mean_abs_change:d",
+       f"""SELECT *, (SELECT avg(abs(t.q[5]-p.q[5])) FROM preds p JOIN ({REFIT}) t USING (station_id, valid_time, step_hours)
+       WHERE p.method = 'gaussian_ensemble') AS mean_abs_change FROM (SELECT method, count(*) AS n, avg({C.crps()}) AS crps FROM (
+       SELECT method, obs, q FROM preds WHERE method = 'inflation_fixed' UNION ALL SELECT 'gaussian_ensemble', t2m_obs, q
+       FROM ({REFIT})) GROUP BY method)""")
 def refit_in_place(spark, sf):
     tr, te = I.train(spark, sf), I.test(spark, sf)
     preds = I.predictions(spark, sf, ("gaussian_ensemble", "inflation_fixed"))

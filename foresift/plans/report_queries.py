@@ -13,10 +13,11 @@ from foresift.operators import sampling as SM
 from foresift.operators import significance as G
 from foresift.operators import timeseries as TS
 from foresift.plans import ctes as C
+from foresift.plans import fit_sql as X
 from foresift.plans import inputs as I
 from foresift.plans import significance_queries as H
 from foresift.plans.registry import query
-from foresift.plans.score_queries import BUNDLE
+from foresift.plans.score_queries import BUNDLE, PIT_SQL
 from foresift.plans.series_queries import SWEEP_SETS, spread_sensitive
 from foresift.sources import tables as T
 from foresift.sources.storage import materialise
@@ -329,7 +330,19 @@ def nearest_row(spark, sf):
     return R.nearest_row(near, "gap", 0.0)
 
 
-@query("r20_quick_check", "method:s n:i crps:d skill:d reliability:d")
+EMOS_Q = X.tiered("(SELECT *, 0 AS _one FROM test)", [(X.emos_fits("(SELECT *, 0 AS _one FROM train)", ["_one"]), ["_one"], 1)])
+C.CTES["quick"] = f"""SELECT method, obs, q FROM preds WHERE method IN ('raw_ensemble', 'climatology') UNION ALL
+    SELECT 'emos', t2m_obs, q FROM ({EMOS_Q})"""
+C.CTES["quick_pit"] = f"SELECT method, {PIT_SQL} AS pit FROM quick"
+
+
+@query("r20_quick_check", "method:s n:i crps:d skill:d reliability:d",
+       f"""SELECT method, n, crps, 1 - crps/(SELECT avg({C.crps()}) FROM quick WHERE method = 'raw_ensemble') AS skill, reliability FROM
+       (SELECT method, count(*) AS n, avg({C.crps()}) AS crps FROM quick GROUP BY method) JOIN
+       (SELECT g.method, sqrt(avg((coalesce(c.c, 0)/g.n::DOUBLE-0.1)*(coalesce(c.c, 0)/g.n::DOUBLE-0.1))) AS reliability FROM
+       (SELECT method, count(*) AS n, unnest(range(10)) AS b FROM quick_pit GROUP BY method) g LEFT JOIN
+       (SELECT method, least(floor(pit*10), 9)::BIGINT AS b, count(*) AS c FROM quick_pit GROUP BY ALL) c USING (method, b)
+       GROUP BY g.method) USING (method)""")
 def quick_check(spark, sf):
     """Raw ensemble, pooled EMOS and climatology: CRPS, improvement over the raw ensemble, PIT reliability."""
     tr, te = I.train(spark, sf), I.test(spark, sf)

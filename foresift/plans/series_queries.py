@@ -156,7 +156,21 @@ def spread_sensitive(contexts, covariates, horizon):
     return centre[..., None] + sd[:, -horizon:, None] * np.linspace(-1.2, 1.2, 9)
 
 
-@query("t13_sensitivity", "variant:s n_series:i max_mean_change:d passes:b")
+# the spread channel of each variant, from the context and the leads; its mean absolute change times the mean |z| of the levels
+SPREADS = f"""(SELECT station_id, issue_time, len(steps) AS h, list_concat(past_sd, sds) AS c, list_transform(list_sort(
+    list_transform(range(len(past_sd)+len(sds)), lambda i: {{'h': md5(CAST(i AS VARCHAR)), 'i': i}})), lambda p: p.i) AS o
+    FROM ({C.jobs(8)}) WHERE len(list_filter(past_sd, lambda x: x IS NULL)) = 0 AND len(list_filter(sds, lambda x: x IS NULL)) = 0)"""
+
+
+def change_sql(name: str, other: str) -> str:
+    return f"""SELECT '{name}' AS variant, station_id, (2.0/3.0)*abs(c[k]-{other}) AS d FROM (SELECT *,
+        unnest(range(len(c)-h+1, len(c)+1)) AS k FROM {SPREADS})"""
+
+
+@query("t13_sensitivity", "variant:s n_series:i max_mean_change:d passes:b",
+       f"""SELECT variant, count(*) AS n_series, max(d) AS max_mean_change, max(d) > 1e-3 AS passes FROM (SELECT variant, station_id,
+       avg(d) AS d FROM ({change_sql('permuted', 'c[o[k]+1]')} UNION ALL {change_sql('constant', 'list_avg(c)')} UNION ALL
+       {change_sql('mean_only', '0.0')}) GROUP BY ALL) GROUP BY variant""")
 def sensitivity(spark, sf):
     jobs = I.context_jobs(spark, sf, 8, two_channel=True)
     c0, c1 = F.col("covariate")[0], F.col("covariate")[1]
