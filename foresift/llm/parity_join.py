@@ -7,11 +7,13 @@ of p > T (pigeonhole). Sets of n shingles can only link with sets of at most n /
 its parts to its own band and the next, and T = (a + b) / 9 follows from the largest sizes of the band. Empty parts are sent
 only by the few sets that have no more than T parts with shingles; of a pair whose equal parts are all empty, both do so.
 
-Keys are dealt into buckets of bounded size, sorted in arrays, and only keys that several sets share leave the bucket. Small
-groups give all pairs; in large ones every set is paired with one member. Pairs are verified on whole texts. What a large
-group may still hide are links between components that verification left apart; a set that shares s parts with every partner
-but has fewer than s such keys is found elsewhere, and for the others the pairs across components are verified as well.
-A key that is frequent within one slice of rows is combined there before the shuffle. Equal sets are one node throughout.
+Keys are dealt into buckets of bounded size, sorted in arrays, and only keys that several sets share leave the bucket. More
+parts than T + 1 make sure that linked sets share several keys, so each set may drop its most frequent ones (one less than it
+surely shares): the rarest shared key is dropped by neither. This rids the join of keys that a common passage makes, and of
+all sets that share too few. Of each key's sets, all are paired with the first and the last; pairs are verified on whole
+texts. Where a key's sets are then still in several components, the pairs across components are verified as well, so no link
+between components is lost, while a group of near copies costs two pairs a document. A key that is frequent within one slice
+of rows is combined there before the shuffle. Equal sets are one node throughout.
 
 Defined cases: a null text or one without words has an empty set, links with nothing and is its own component; fewer words
 than the width make one shingle; repeated rows are one node; rows with a null id report their size, link with nothing and
@@ -24,7 +26,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foresift.llm.common import arrow_schema, map_rows, materialise, mix64, shingle_set
@@ -33,8 +35,8 @@ from foresift.llm.components import connected_components
 WIDTH = 5
 BUCKET_KEYS = 2_000_000         # keys in a bucket, about
 SLICE = 2048                    # rows whose keys are dealt out together
-SMALL_GROUP = 6                 # sets that share a key and are paired with each other at once
 HOT_IN_SLICE = 64               # sets of one slice that share a key and are combined before the shuffle
+HOT_WEIGHT = 1 << 40            # of keys that are combined in some slice
 NUM, DEN = 80, 100              # links: DEN * intersection >= NUM * union
 _U = np.uint64
 
@@ -169,11 +171,9 @@ def dealt_keys(docs: DataFrame, buckets: int, id_col: str, text_col: str) -> Dat
             order = np.lexsort((nd, k))
             k, nd = k[order], nd[order]
             first = np.flatnonzero(np.diff(k, prepend=k[0] - _U(1)) != 0)
-            least = nd[first]
             full = ((k >> _U(32)) * _U(buckets) >> _U(32) << _U(32) | k & _U(0xFFFFFFFF)).astype(np.int64)
-            yield (int(k[0] % _U(buckets)), lane, True, full.tobytes(), nd.tobytes(),
-                   np.repeat(least, np.diff(np.append(first, len(k)))).tobytes())
-            yield from _deal(k[first], least, buckets, -1, True)
+            yield (int(k[0] % _U(buckets)), lane, True, full.tobytes(), nd.tobytes(), b"")
+            yield from _deal(k[first], nd[first], buckets, -1, True)
         yield from _deal(keys[~hot], nodes[~hot], buckets, -1, False)
 
     def run(batches):
@@ -189,52 +189,39 @@ def dealt_keys(docs: DataFrame, buckets: int, id_col: str, text_col: str) -> Dat
     return docs.where(F.col(id_col).isNotNull()).select(text_col).mapInArrow(run, schema)
 
 
-def _bucket_pairs(table: pa.Table, schema: pa.Schema) -> pa.Table:
-    """Pairs to verify (key null), and members of large groups (key, node)."""
+def _shared_keys(table: pa.Table, schema: pa.Schema) -> pa.Table:
+    """(key, node, weight) of the keys of a bucket that several sets have; the weight orders keys by frequency."""
     cols = {c: table.column(c).to_pylist() for c in ("bucket", "lane", "hot", "keys", "nodes", "counts")}
-    pairs, members = [], []
     if cols["lane"][0] >= 0:
-        for keys, nodes, least in zip(cols["keys"], cols["nodes"], cols["counts"]):
-            k, n, m = (np.frombuffer(x, np.int64) for x in (keys, nodes, least))
-            members.append(np.stack([k, n], axis=1))
-            pairs.append(np.stack([m, n], axis=1)[m != n])
+        key = np.concatenate([np.frombuffer(k, np.int64) for k in cols["keys"]])
+        nodes = np.concatenate([np.frombuffer(n, np.int64) for n in cols["nodes"]])
+        return pa.Table.from_arrays([pa.array(key), pa.array(nodes), pa.array(np.full(len(key), HOT_WEIGHT))], schema=schema)
+    keys = np.concatenate([np.frombuffer(k, "<u4") for k in cols["keys"]])
+    nodes = np.concatenate([np.repeat(np.frombuffer(n, np.int64), np.frombuffer(c, "<u4"))
+                            for n, c in zip(cols["nodes"], cols["counts"])])
+    hot = np.concatenate([np.full(len(k) // 4, h, bool) for k, h in zip(cols["keys"], cols["hot"])])
+    # keys that stand alone are the most; they go before the sort by node
+    order = np.argsort(keys, kind="stable")
+    if len(order) > 1:
+        same = keys[order[1:]] == keys[order[:-1]]
+        order = order[np.append(same, False) | np.append(False, same)]
     else:
-        keys = np.concatenate([np.frombuffer(k, "<u4") for k in cols["keys"]])
-        nodes = np.concatenate([np.repeat(np.frombuffer(n, np.int64), np.frombuffer(c, "<u4"))
-                                for n, c in zip(cols["nodes"], cols["counts"])])
-        hot = np.concatenate([np.full(len(k) // 4, h, bool) for k, h in zip(cols["keys"], cols["hot"])])
-        # keys that stand alone are the most; they go before the sort by node
-        order = np.argsort(keys, kind="stable")
-        sorted_keys = keys[order]
-        same = sorted_keys[1:] == sorted_keys[:-1]
-        order = order[np.append(same, False) | np.append(False, same)] if len(keys) > 1 else order[:0]
-        keys, nodes, hot = keys[order], nodes[order], hot[order]
-        order = np.lexsort((nodes, keys))
-        keys, nodes, hot = keys[order], nodes[order], hot[order]
-        new = np.ones(len(keys), bool)
-        new[1:] = (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])
-        at = np.flatnonzero(new)
-        if len(at):
-            hot = np.logical_or.reduceat(hot, at)
-        keys, nodes = keys[at], nodes[at]
-        first = np.flatnonzero(np.diff(keys.astype(np.int64), prepend=-1))
-        size = np.diff(np.append(first, len(keys)))
-        warm = np.logical_or.reduceat(hot, first) if len(first) else np.zeros(0, bool)
-        large = (size > SMALL_GROUP) | warm & (size > 1)
-        for s in range(2, SMALL_GROUP + 1):
-            grid = nodes[first[(size == s) & ~large][:, None] + np.arange(s)]
-            i, j = np.triu_indices(s, 1)
-            pairs.append(np.stack([grid[:, i].ravel(), grid[:, j].ravel()], axis=1))
-        inside = np.repeat(large, size)
-        least = np.repeat(nodes[first], size) if len(first) else nodes
-        pairs.append(np.stack([least, nodes], axis=1)[inside & (least != nodes)])
-        full = np.int64(cols["bucket"][0]) << 32 | keys.astype(np.int64)
-        members.append(np.stack([full, nodes], axis=1)[inside])
-    pairs = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
-    members = np.concatenate(members) if members else np.zeros((0, 2), np.int64)
-    key = pa.concat_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(members[:, 0])])
-    return pa.Table.from_arrays([key, pa.array(np.concatenate([pairs[:, 0], members[:, 1]])),
-                                 pa.concat_arrays([pa.array(pairs[:, 1]), pa.nulls(len(members), pa.int64())])], schema=schema)
+        order = order[:0]
+    keys, nodes, hot = keys[order], nodes[order], hot[order]
+    order = np.lexsort((nodes, keys))
+    keys, nodes, hot = keys[order], nodes[order], hot[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])
+    at = np.flatnonzero(new)
+    hot = np.logical_or.reduceat(hot, at) if len(at) else hot
+    keys, nodes = keys[at], nodes[at]
+    first = np.flatnonzero(np.diff(keys.astype(np.int64), prepend=-1))
+    size = np.diff(np.append(first, len(keys)))
+    weight = np.where(np.logical_or.reduceat(hot, first), HOT_WEIGHT, size) if len(first) else size
+    keep = np.repeat(size > 1, size)
+    full = np.int64(cols["bucket"][0]) << 32 | keys.astype(np.int64)
+    return pa.Table.from_arrays([pa.array(full[keep]), pa.array(nodes[keep]), pa.array(np.repeat(weight, size)[keep])],
+                                schema=schema)
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -286,32 +273,34 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
                                                    F.first("shared").alias("shared")))
     total = nodes.agg(F.sum("n")).first()[0] or 0
     buckets = max(1, int(total * 0.7) // BUCKET_KEYS)
-    schema, arrow = arrow_schema("key bigint, a bigint, b bigint")
+    schema, arrow = arrow_schema("key bigint, node bigint, weight bigint")
 
     def in_bucket(table: pa.Table) -> pa.Table:
-        return _bucket_pairs(table, arrow)
-
-    met = materialise(dealt_keys(docs, buckets, id_col, text_col).groupBy("bucket", "lane").applyInArrow(in_bucket, schema))
-    pairs = met.where(F.col("key").isNull()).select("a", "b").distinct()
+        return _shared_keys(table, arrow)
+
+    met = dealt_keys(docs, buckets, id_col, text_col).groupBy("bucket", "lane").applyInArrow(in_bucket, schema).distinct()
+    # linked sets share `shared` keys at least, and the rarest of them survives when each set drops that many less one
+    common_first = Window.partitionBy("node").orderBy(F.desc("weight"), "key")
+    kept = materialise(met.join(nodes.select("node", "n", "shared"), "node").withColumn("place", F.row_number().over(common_first))
+                       .where("place >= shared").select("key", "node", "n"))
+    ends = kept.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
+    star = kept.join(ends, "key")
+    pairs = star.select(F.col("low").alias("a"), F.col("node").alias("b")) \
+        .union(star.select(F.col("node").alias("a"), F.col("high").alias("b"))).where("a <> b").distinct()
     links = materialise(verify(pairs, nodes, docs, id_col, text_col))
     labels = connected_components(links)
-    # large groups whose members are still in several components
-    named = met.where(F.col("key").isNotNull()).select("key", F.col("a").alias("node")).distinct() \
-        .join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    split = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+    # keys whose sets are still in several components
+    named = kept.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    split = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
     open_ = materialise(named.join(split, "key"))
-    if not open_.isEmpty():
-        # a node with fewer such keys than the parts it shares with any partner meets that partner elsewhere
-        many = open_.groupBy("node").agg(F.count("*").alias("keys")).join(nodes.select("node", "n", "shared"), "node") \
-            .where("keys >= shared").select("node", "n")
-        rest = materialise(open_.join(many, "node"))
-        other = rest.select("key", F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("n").alias("n_b"))
-        near = F.least("n", "n_b") * DEN >= F.greatest("n", "n_b") * NUM
-        across = rest.join(other, "key").where((F.col("label") < F.col("label_b")) & near) \
-            .select(F.col("node").alias("a"), "b").distinct()
-        more = materialise(verify(across, nodes, docs, id_col, text_col))
-        if not more.isEmpty():
-            labels = connected_components(links.unionByName(more))
+    other = open_.select("key", F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("n").alias("n_b"))
+    near = F.least("n", "n_b") * DEN >= F.greatest("n", "n_b") * NUM
+    across = open_.join(other, "key").where((F.col("label") < F.col("label_b")) & near) \
+        .select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct() \
+        .join(pairs, ["a", "b"], "left_anti")
+    more = materialise(verify(across, nodes, docs, id_col, text_col))
+    if not more.isEmpty():
+        labels = connected_components(links.unionByName(more))
     rows = sizes.join(labels, "node", "left").withColumn("part", F.coalesce("label", "node"))
     least = rows.where(F.col("part").isNotNull()).groupBy("part").agg(F.min(id_col).alias("component_id"))
     return rows.join(least, "part", "left") \
