@@ -103,11 +103,14 @@ def tokenize_pieces(docs: DataFrame, path: str, tokenizer: str | None, max_lengt
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, max_length: int = MAX_LENGTH, end_id: int = END_ID,
                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per piece: doc_id, start, length, doc_tokens, ids, sequence_id, offset."""
+    """A row per piece: doc_id, start, length, doc_tokens, ids, ids_crc32, sequence_id, offset.
+
+    The checksum is taken where the stored pieces are read, so a result without `ids` moves none of them.
+    """
     spark = docs.sparkSession
     path = f"{shared_dir(spark)}/pieces-{uuid.uuid4().hex}"
     tokenize_pieces(docs, path, tokenizer, max_length, end_id, id_col, text_col)
-    pieces = spark.read.parquet(path)
+    pieces = spark.read.parquet(path).withColumn("ids_crc32", F.crc32("ids"))
     counts = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
     earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.select("part", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
@@ -129,10 +132,10 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, max_length: in
         return pd.DataFrame({"sequence_id": sequence, "offset": offset})
 
     ranked = pieces.join(before, ["part", "length"])
-    return ranked.select("doc_id", "start", "length", "doc_tokens", "ids",
+    return ranked.select("doc_id", "start", "length", "doc_tokens", "ids", "ids_crc32",
                          place(F.col("length"), F.col("before") + F.col("place")).alias("at")) \
-        .select(F.col("doc_id").alias(id_col), "start", "length", "doc_tokens", "ids", "at.sequence_id", "at.offset")
+        .select(F.col("doc_id").alias(id_col), "start", "length", "doc_tokens", "ids", "ids_crc32", "at.sequence_id", "at.offset")
 
 
 def piece_digest(pieces: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    return pieces.select(id_col, "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return pieces.select(id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")

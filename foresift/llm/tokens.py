@@ -10,6 +10,7 @@ import json
 import re
 import unicodedata
 from itertools import islice
+from os.path import commonprefix
 
 import numpy as np
 
@@ -44,9 +45,10 @@ class TextEncoder:
         steps = [s.get("type") for s in (spec.get("normalizer") or {}).get("normalizers", [])]
         cuts = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
         suffix = spec["model"].get("end_of_word_suffix")
-        self.fast = bool(steps == STEPS and cuts[0].get("pattern", {}).get("Regex") == PATTERN and suffix
+        # a chunk without the common start of all special tokens holds none
+        self.mark = commonprefix([t["content"] for t in spec.get("added_tokens", [])])
+        self.fast = bool(self.mark and steps == STEPS and cuts[0].get("pattern", {}).get("Regex") == PATTERN and suffix
                          and not spec["model"].get("dropout"))
-        self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.chunks: dict[str, bytes] = {"": b""}
         self.pieces: dict[str, bytes] = {}
         if self.fast:
@@ -79,7 +81,7 @@ class TextEncoder:
     def _learn(self, new: set[str]) -> None:
         cut: dict[str, list[str]] = {}
         for chunk in new:
-            plain = chunk.isprintable() and not any(s in chunk for s in self.special)
+            plain = chunk.isprintable() and self.mark not in chunk
             if plain and chunk.isascii():
                 cut[chunk] = [low] if (low := chunk.lower()).isalpha() else _ASCII.findall(low)
             elif plain and max(chunk) < "ɐ" and unicodedata.is_normalized("NFC", chunk):
