@@ -35,9 +35,9 @@ def param_names(predictors) -> list[str]:
 class Scoring:
     """State of all fits of one task or one lockstep run: damping, best parameters, and the sums at them."""
 
-    def __init__(self, n_fits: int, n_loc: int, tol: float = 1e-12, start: np.ndarray | None = None):
+    def __init__(self, n_fits: int, n_loc: int, tol: float = 1e-13, start: np.ndarray | None = None):
         self.p, self.tol = n_loc, tol
-        self.patience = 2           # small gains in a row that end a fit
+        self.patience = 3           # small gains in a row that end a fit
         self.best = np.zeros((n_fits, n_loc + 2))
         self.best[:, 1] = 1.0
         if start is not None:
@@ -247,8 +247,10 @@ def _loc_scale(models: pd.DataFrame, predictors) -> np.ndarray:
 
 
 def _warm_start(panel: DataFrame, keys: list[str], fits: pd.DataFrame, predictors, var: str, obs: str) -> np.ndarray:
-    share = min(1.0, WARM_ROWS / float(fits["_n"].min()))
-    some = panel.where(F.pmod(F.xxhash64(*panel.columns), F.lit(1 << 20)) < int(share * (1 << 20)))
+    # every fit gives about WARM_ROWS rows, however much larger than the others it is
+    sizes = F.broadcast(panel.sparkSession.createDataFrame(fits[[*keys, "_n"]]))         # one row per large fit
+    draw = F.pmod(F.xxhash64(*panel.columns), F.lit(1 << 30)) / float(1 << 30)
+    some = panel.join(sizes, keys).where(draw < F.lit(float(WARM_ROWS)) / F.col("_n")).select(*panel.columns)
     start = np.zeros((len(fits), len(predictors) + 3))
     start[:, 1] = 1.0
     bucketed = some.withColumn("_bucket", F.pmod(F.hash(*keys), F.lit(max(1, len(fits)))))

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from foresift.functions.normal import INV_SQRT_PI, cdf_sql, phi_sql
 
-TOL, CALM, DAMP_END, BOUND = 1e-12, 2, 1e8, 40.0
+TOL, CALM, DAMP_END, BOUND = 1e-13, 3, 1e8, 40.0
 LOC = ("h00", "h01", "h11")
 SUMS = ("g0", "g1", "gc", "gd", "h00", "h01", "h11", "hcc", "hcd", "hdd")
 

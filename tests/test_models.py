@@ -195,3 +195,30 @@ def test_model_interface(spark, panel):
     raw = df.withColumn("raw_q", F.array(*[F.lit(float(i)) for i in range(9)])).withColumn("last_obs", F.lit(4.0))
     assert RawEnsemble().fit(df).transform(raw).first()["q"] == [float(i) for i in range(9)]
     assert Persistence().fit(df).transform(raw).first()["q"] == [4.0] * 9
+
+
+def test_fits_run_to_convergence(spark):
+    """Every (station, lead) fit has the loss of a run that only stops when no step gains anything."""
+    from foresift.plans import inputs as I
+    rows = I.train(spark, "/root/testdata/sf0.01").select("station_id", "step_hours", "ens_mean", "ens_var", "t2m_obs").toPandas()
+    rows = rows.sort_values(["station_id", "step_hours"]).reset_index(drop=True)
+    fit = rows.groupby(["station_id", "step_hours"]).ngroup().to_numpy()
+    x = np.column_stack([np.ones(len(rows)), rows["ens_mean"]])
+    args = (x, rows["ens_var"].to_numpy(), rows["t2m_obs"].to_numpy(), fit, int(fit[-1]) + 1)
+    state = E.fit_segments(*args, 5000)
+    far = E.Scoring(args[-1], 2, tol=0.0)
+    ids, starts = np.arange(args[-1]), np.flatnonzero(np.r_[True, fit[1:] != fit[:-1]])
+    with np.errstate(all="ignore"):
+        for i in range(2000):
+            far.update(ids, np.add.reduceat(E.row_terms(far.trial[fit], *args[:3]), starts, axis=0))
+            far.damp = np.minimum(far.damp, 1e100)
+            if i % 60 == 59:                    # begin again from little damping
+                far.damp[:] = 1e-3
+                far._propose(ids)
+    assert (state.loss - far.loss < 1e-9).all()
+
+
+def test_stalled_fits_fail():
+    x = np.column_stack([np.ones(50), np.arange(50.0)])
+    with pytest.raises(RuntimeError, match="did not converge"):
+        E.fit_segments(x, np.ones(50), np.sin(np.arange(50.0)), np.zeros(50, int), 1, 2)

@@ -162,6 +162,10 @@ def test_forecaster_checks_shape_and_keeps_lead_positions(spark):
     step_number = lambda ctx, cov, h: np.broadcast_to(np.arange(h, dtype=float)[None, :, None], (len(ctx), h, 3))
     got = TS.apply_forecaster(jobs, step_number, 3).collect()
     assert all(r["q"] == [r["step_hours"] / 6 + 2] * 3 for r in got)
+    last = TS.apply_forecaster(jobs, step_number, 3, last_step_only=True).collect()
+    want = {(r["station_id"], r["issue_time"]): (r["steps"][-1], r["obs"][-1], r["horizon"] - 1) for r in jobs.collect()}
+    assert {(r["station_id"], r["issue_time"]): (r["step_hours"], r["obs"], r["q"][0]) for r in last} == want
+    assert len(last) == len(want)
     with pytest.raises(PySparkException):
         TS.apply_forecaster(jobs, lambda c, x, h: np.zeros((len(c), h, 2)), 3).collect()
 
