@@ -10,8 +10,8 @@ only by the few sets that have no more than T parts with shingles; of a pair who
 Keys are dealt into buckets of bounded size, sorted in arrays, and only keys that several sets share leave the bucket. More
 parts than T + 1 make sure that linked sets share several keys, so each set may drop its most frequent ones (one less than it
 surely shares): the rarest shared key is dropped by neither. This rids the join of keys that a common passage makes, and of
-all sets that share too few. Of each key's sets, all are paired with the first and the last; pairs are verified on whole
-texts. Where a key's sets are then still in several components, the pairs across components are verified as well, so no link
+all sets that share too few. Of each key's sets, all are paired with the one that has the most shared keys and with the first; pairs are verified by a short
+sketch of which the differing bits are never more than the differing shingles, then on whole texts. Where a key's sets are then still in several components, the pairs across components are verified as well, so no link
 between components is lost, while a group of near copies costs two pairs a document. A key that is frequent within one slice
 of rows is combined there before the shuffle. Equal sets are one node throughout.
 
@@ -26,7 +26,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foresift.llm.common import arrow_schema, map_rows, materialise, mix64, shingle_set
@@ -37,6 +37,7 @@ BUCKET_KEYS = 2_000_000         # keys in a bucket, about
 SLICE = 2048                    # rows whose keys are dealt out together
 HOT_IN_SLICE = 64               # sets of one slice that share a key and are combined before the shuffle
 HOT_WEIGHT = 1 << 40            # of keys that are combined in some slice
+WORDS = 16                      # 64-bit words of the short parity sketch that pairs are compared by before their texts
 NUM, DEN = 80, 100              # links: DEN * intersection >= NUM * union
 _U = np.uint64
 
@@ -73,7 +74,7 @@ _bands = Bands()
 
 def parts_of(band: int) -> int:
     top = _bands.top(band)
-    return most_apart(top, top) + 1 + max(3, top // 16)
+    return most_apart(top, top) * 2 + 4
 
 
 @dataclass
@@ -104,6 +105,23 @@ def sketch(shingles: np.ndarray) -> Sketch:
     return Sketch(np.concatenate(keys), min(shared))
 
 
+def parity_words(shingles: np.ndarray) -> np.ndarray:
+    """The short sketch: one bit toggled for each shingle, as signed 64-bit words."""
+    at = (mix64(shingles ^ _U(0x5851F42D4C957F2D)) & _U(64 * WORDS - 1)).astype(np.int64)
+    odd = np.bincount(at, minlength=64 * WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view("<i8")
+
+
+SKETCH = [f"w{i}" for i in range(WORDS)]
+
+
+def may_link(n_a: str, n_b: str, a: str, b: str) -> Column:
+    """Sizes and sketches that linked sets can have: differing bits are never more than differing shingles."""
+    apart = " + ".join(f"bit_count({a}{i} ^ {b}{i})" for i in range(WORDS))
+    return F.expr(f"least({n_a}, {n_b}) * {DEN} >= greatest({n_a}, {n_b}) * {NUM} AND "
+                  f"{apart} <= ({n_a} + {n_b}) * {DEN - NUM} div {DEN + NUM}")
+
+
 def node_of(shingles: np.ndarray) -> int:
     """Name of a shingle set: equal sets have equal names."""
     with np.errstate(over="ignore"):
@@ -117,17 +135,19 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def make():
         def run(cols):
-            sizes, nodes, shared = [], [], []
+            sizes, nodes, shared, words = [], [], [], []
             for name, text in zip(*cols):
                 s = shingle_set(text, WIDTH)
                 sizes.append(len(s))
                 linked = len(s) > 0 and name is not None
                 nodes.append(node_of(s) if linked else None)
                 shared.append(sketch(s).shared if linked else None)
-            return [cols[0], sizes, nodes, shared]
+                words.append(parity_words(s).tolist() if linked else [None] * WORDS)
+            return [cols[0], sizes, nodes, shared, *(list(c) for c in zip(*words))]
         return run
 
-    return map_rows(docs, [id_col, text_col], f"{id_col} {kind}, n_shingles bigint, node bigint, shared int", make)
+    ddl = f"{id_col} {kind}, n_shingles bigint, node bigint, shared int, " + ", ".join(f"{w} bigint" for w in SKETCH)
+    return map_rows(docs, [id_col, text_col], ddl, make)
 
 
 def _deal(keys, nodes, buckets, lane, hot):
@@ -232,10 +252,10 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The pairs (a, b) of nodes whose whole texts link. `nodes` has a document of each node."""
     texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
-    one = nodes.select(F.col("node").alias("a"), F.col("doc").alias("doc_a"), F.col("n").alias("n_a"))
-    two = nodes.select(F.col("node").alias("b"), F.col("doc").alias("doc_b"), F.col("n").alias("n_b"))
-    near = F.least("n_a", "n_b") * DEN >= F.greatest("n_a", "n_b") * NUM
-    sized = materialise(pairs.join(one, "a").join(two, "b").where(near).select("a", "b", "doc_a", "doc_b"))
+    one, two = (nodes.select(F.col("node").alias(x), F.col("doc").alias(f"doc_{x}"), F.col("n").alias(f"n_{x}"),
+                             *[F.col(w).alias(f"{x}{w[1:]}") for w in SKETCH]) for x in "ab")
+    sized = materialise(pairs.join(one, "a").join(two, "b").where(may_link("n_a", "n_b", "a", "b"))
+                        .select("a", "b", "doc_a", "doc_b"))
     left = texts.select(F.col("doc").alias("doc_a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("doc").alias("doc_b"), F.col("text").alias("text_b"))
     rows = sized.join(left, "doc_a").join(right, "doc_b")
@@ -270,7 +290,7 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     sizes = materialise(signatures(docs, id_col, text_col))
     linked = sizes.where(F.col("node").isNotNull())
     nodes = materialise(linked.groupBy("node").agg(F.min(id_col).alias("doc"), F.first("n_shingles").alias("n"),
-                                                   F.first("shared").alias("shared")))
+                                                   F.first("shared").alias("shared"), *[F.first(w).alias(w) for w in SKETCH]))
     total = nodes.agg(F.sum("n")).first()[0] or 0
     buckets = max(1, int(total * 0.7) // BUCKET_KEYS)
     schema, arrow = arrow_schema("key bigint, node bigint, weight bigint")
@@ -282,26 +302,29 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     # linked sets share `shared` keys at least, and the rarest of them survives when each set drops that many less one
     common_first = Window.partitionBy("node").orderBy(F.desc("weight"), "key")
     kept = materialise(met.join(nodes.select("node", "n", "shared"), "node").withColumn("place", F.row_number().over(common_first))
-                       .where("place >= shared").select("key", "node", "n"))
-    ends = kept.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
+                       .withColumn("keys", F.count("*").over(Window.partitionBy("node"))).where("place >= shared")
+                       .select("key", "node", "n", "keys"))
+    # the set with the most shared keys is the likeliest centre of a group of near copies
+    ends = kept.groupBy("key").agg(F.max(F.struct("keys", "node"))["node"].alias("hub"), F.min("node").alias("low"),
+                                   F.max("node").alias("high")).where("low < high")
     star = kept.join(ends, "key")
-    pairs = star.select(F.col("low").alias("a"), F.col("node").alias("b")) \
-        .union(star.select(F.col("node").alias("a"), F.col("high").alias("b"))).where("a <> b").distinct()
+    pairs = star.select(F.explode(F.array("hub", "low")).alias("end"), "node").where("end <> node") \
+        .select(F.least("end", "node").alias("a"), F.greatest("end", "node").alias("b")).distinct()
     links = materialise(verify(pairs, nodes, docs, id_col, text_col))
     labels = connected_components(links)
     # keys whose sets are still in several components
     named = kept.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     split = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-    open_ = materialise(named.join(split, "key"))
-    other = open_.select("key", F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("n").alias("n_b"))
-    near = F.least("n", "n_b") * DEN >= F.greatest("n", "n_b") * NUM
-    across = open_.join(other, "key").where((F.col("label") < F.col("label_b")) & near) \
-        .select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct() \
-        .join(pairs, ["a", "b"], "left_anti")
+    open_ = materialise(named.join(split, "key").join(nodes.select("node", *SKETCH), "node"))
+    one, two = (open_.select("key", F.col("node").alias(f"node_{x}"), F.col("label").alias(f"label_{x}"), F.col("n").alias(f"n_{x}"),
+                             *[F.col(w).alias(f"{x}{w[1:]}") for w in SKETCH]) for x in "ab")
+    near = (one["key"] == two["key"]) & (F.col("label_a") < F.col("label_b")) & may_link("n_a", "n_b", "a", "b")
+    across = one.join(two, near).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")) \
+        .distinct().join(pairs, ["a", "b"], "left_anti")
     more = materialise(verify(across, nodes, docs, id_col, text_col))
     if not more.isEmpty():
         labels = connected_components(links.unionByName(more))
-    rows = sizes.join(labels, "node", "left").withColumn("part", F.coalesce("label", "node"))
+    rows = sizes.drop(*SKETCH).join(labels, "node", "left").withColumn("part", F.coalesce("label", "node"))
     least = rows.where(F.col("part").isNotNull()).groupBy("part").agg(F.min(id_col).alias("component_id"))
     return rows.join(least, "part", "left") \
         .select(id_col, "n_shingles", F.coalesce("component_id", id_col).alias("component_id"))
