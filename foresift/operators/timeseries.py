@@ -86,9 +86,11 @@ def known_offset(lead: Column) -> Column:
 
 
 def lead_matched(daily: DataFrame, keys: list[str], lead: str, window: int, y: str = "y", x: str = "x",
-                 x2: str | None = None, day: str = "day", max_offset: int = 6) -> DataFrame:
+                 x2: str | None = None, day: str = "day", max_offset: int = 6, scored: DataFrame | None = None) -> DataFrame:
     """Instances of one context per (series, issue day): W known targets, W + k covariates, the scored target.
 
+    With `scored` (keys and day) only the listed instances are returned; their contexts still come from all days.
+
     Offsets k take few values, so each gets one pair of frames. A frame is valid when it holds exactly as many non-null
     values as days; days without a row therefore need not be inserted.
     """
@@ -108,10 +110,24 @@ def lead_matched(daily: DataFrame, keys: list[str], lead: str, window: int, y: s
         if x2:
             ok = ok & (F.size("covariate2") == window + k)
         got = got.where(ok)
+        if scored is not None:
+            got = got.join(scored.select(*keys, day), [*keys, day], "left_semi")
         parts = got if parts is None else parts.unionByName(got)
     return parts.withColumnRenamed(y, "obs")
 
 
+def lead_matched_jobs(matched: DataFrame, lead: str = "step_hours", day: str = "day") -> DataFrame:
+    """Lead-matched instances as forecaster jobs of one lead, whose value is the last step: the offset is the horizon.
+
+    Covariates keep the days that a job of this context and horizon has; a second channel is stacked below the first.
+    """
+    channels = [F.col(c) for c in ("covariate", "covariate2") if c in matched.columns]
+    return matched.select("station_id", F.col(day).cast("timestamp_ntz").alias("issue_time"), "context",
+                          (F.array(*channels) if len(channels) > 1 else channels[0]).alias("covariate"), "horizon",
+                          F.array(F.col(lead).cast("double")).alias("steps"), F.array(F.col("horizon") - 1).alias("lead_pos"),
+                          F.array("obs").alias("obs"))
+
+
 def freshest(members: DataFrame, keys: list[str] = ("station_id", "valid_time"), forecast: str = "t2m_forecast",
              spread: bool = False) -> DataFrame:
     """Ensemble mean (and spread) at the shortest lead available for each valid time.

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from foresift.functions import scores as S
 from foresift.functions.hashing import hash_key
+from foresift.operators import panel as P
 from foresift.operators import sampling as SM
 from foresift.operators import timeseries as TS
 from foresift.plans import ctes as C
@@ -102,6 +103,47 @@ def lead_matched(spark, sf):
     return lm_summary(TS.lead_matched(I.daily(spark, sf), ["station_id", "step_hours"], "step_hours", 5, max_offset=2))
 
 
+# every second scored day of each series, with the spread as second channel
+SCORED_SQL = """(SELECT station_id, step_hours, day FROM (SELECT *, row_number() OVER (PARTITION BY station_id, step_hours ORDER BY day)
+    - 1 AS pos FROM dly WHERE y IS NOT NULL) WHERE pos % 2 = 0)"""
+C.CTES["lm2"] = f"""SELECT t.station_id, t.step_hours, t.day, t.k, list(c.y ORDER BY c.day) FILTER (c.day <= t.day - t.k) AS context,
+    list(c.x ORDER BY c.day) AS covariate, list(c.x_sd ORDER BY c.day) AS covariate2, any_value(t.y) AS obs
+    FROM dly t SEMI JOIN {SCORED_SQL} s ON s.station_id = t.station_id AND s.step_hours = t.step_hours AND s.day = t.day
+    JOIN dly c ON c.station_id = t.station_id AND c.step_hours = t.step_hours AND c.day BETWEEN t.day - t.k - 4 AND t.day
+    WHERE t.y IS NOT NULL GROUP BY ALL HAVING count(c.x) = 5 + t.k AND count(c.x_sd) = 5 + t.k
+    AND count(*) FILTER (c.day <= t.day - t.k AND c.y IS NOT NULL) = 5"""
+
+
+def scored_matches(spark, sf):
+    daily = I.daily(spark, sf)
+    scored = P.every_nth_issue(daily.where("y IS NOT NULL").withColumn("issue_time", F.col("day").cast("timestamp_ntz")),
+                               ["station_id", "step_hours"], 2)
+    return TS.lead_matched(daily, ["station_id", "step_hours"], "step_hours", 5, x2="x_sd", max_offset=2, scored=scored)
+
+
+@query("t6_scored_two_channel", LM_SPEC + " sd_weighted:d",
+       f"""SELECT station_id, step_hours, day AS idx, k AS horizon, len(context) AS n_context, len(covariate) AS n_cov,
+       {weighted_sql('context')} AS weighted, {weighted_sql('covariate')} AS cov_weighted, obs,
+       {weighted_sql('covariate2')} AS sd_weighted FROM lm2""")
+def lead_matched_scored(spark, sf):
+    got = scored_matches(spark, sf)
+    return got.select("station_id", "step_hours", "idx", "horizon", F.size("context").alias("n_context"),
+                      F.size("covariate").alias("n_cov"), weighted("context").alias("weighted"),
+                      weighted("covariate").alias("cov_weighted"), "obs", weighted("covariate2").alias("sd_weighted"))
+
+
+@query("t12_lead_matched", "station_id:i issue_time:t step_hours:d obs:d median:d upper:d",
+       """SELECT station_id, DATE '1970-01-01' + CAST(day AS INT) AS issue_time, step_hours, obs,
+       context[-1] + 0.5*(covariate[-1]-list_avg(covariate)) AS median,
+       context[-1] + 0.5*(covariate[-1]-list_avg(covariate)) + 1.2*covariate2[-1] AS upper FROM lm2""")
+def forecaster_lead_matched(spark, sf):
+    """The two-channel stand-in over lead-matched jobs; only the last step of a job is its lead."""
+    jobs = TS.lead_matched_jobs(scored_matches(spark, sf))
+    out = TS.apply_forecaster(jobs, spread_sensitive, 9, last_step_only=True)
+    return out.select("station_id", F.date_format("issue_time", "yyyy-MM-dd").alias("issue_time"), "step_hours", "obs",
+                      F.col("q")[4].alias("median"), F.col("q")[8].alias("upper"))
+
+
 @query("t7_freshest", "station_id:i valid_time:t freshest_step:d x:d x_sd:d",
        "SELECT station_id, valid_time, freshest_step, x, x_sd FROM fresh")
 def freshest(spark, sf):
