@@ -324,7 +324,9 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     more = materialise(verify(across, nodes, docs, id_col, text_col))
     if not more.isEmpty():
         labels = connected_components(links.unionByName(more))
-    rows = sizes.drop(*SKETCH).join(labels, "node", "left").withColumn("part", F.coalesce("label", "node"))
-    least = rows.where(F.col("part").isNotNull()).groupBy("part").agg(F.min(id_col).alias("component_id"))
-    return rows.join(least, "part", "left") \
+    # a row per set, stored: the join below is plain, so Spark may split the partition of a hot set
+    named = nodes.select("node", "doc").join(labels, "node", "left").withColumn("part", F.coalesce("label", "node"))
+    least = named.groupBy("part").agg(F.min("doc").alias("component_id"))
+    placed = materialise(named.join(least, "part").select("node", "component_id"))
+    return sizes.select(id_col, "n_shingles", "node").join(placed, "node", "left") \
         .select(id_col, "n_shingles", F.coalesce("component_id", id_col).alias("component_id"))

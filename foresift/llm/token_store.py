@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foresift.llm import range_coder
@@ -71,17 +71,17 @@ def unpack_file(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
 def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text",
                  end_id: int = END_ID) -> None:
     tokenizer = tokenizer or default_path()
-    schema, arrow = arrow_schema("segment bigint, seq bigint, n_docs bigint, n_ids bigint, data binary")
+    schema, arrow = arrow_schema("segment bigint, at bigint, n_docs bigint, n_ids bigint, data binary")
     tail = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, segment, seq = encoder(tokenizer), TaskContext.get().partitionId(), 0
-        names, parts, total = [], [], 0
+        enc, segment = encoder(tokenizer), TaskContext.get().partitionId()
+        names, parts, total, before = [], [], 0, 0
 
         def flush():
             ids = np.frombuffer(b"".join(parts), "<u4").astype(np.int64)
             data = pack_file(names, [len(p) // 4 for p in parts], ids)
-            row = [[segment], [seq], [len(names)], [len(ids)], [data]]
+            row = [[segment], [before], [len(names)], [len(ids)], [data]]
             return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(row, arrow)], schema=arrow)
 
         for batch in batches:
@@ -93,7 +93,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, id_co
                     total += len(ids) // 4 + 1
                     if total >= FILE_IDS:
                         yield flush()
-                        names, parts, total, seq = [], [], 0, seq + 1
+                        names, parts, total, before = [], [], 0, before + total
         if names:
             yield flush()
 
@@ -104,34 +104,29 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, id_co
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids (little-endian unsigned 32-bit) of each document."""
+    files = spark.read.parquet(path)
+    # one row per segment, which is a shuffle partition of the writer: their number is a setting and no matter of the data
+    before, total = {}, 0
+    for segment, n in sorted(tuple(r) for r in files.groupBy("segment").agg(F.sum("n_ids")).collect()):
+        before[segment], total = total, total + n
+
     def make():
         def run(cols):
-            out = [[], [], [], [], [], []]
-            for segment, seq, data in zip(*cols):
+            out = [[], [], [], []]
+            for segment, at, data in zip(*cols):
                 names, lengths, ids = unpack_file(data)
                 raw = ids.astype("<u4").tobytes()
                 ends = np.cumsum(lengths)
                 starts = ends - lengths
-                out[0] += [segment] * len(names)
-                out[1] += [seq] * len(names)
-                out[2] += names
-                out[3] += starts.tolist()
-                out[4] += lengths.tolist()
-                out[5] += [raw[a * 4:b * 4] for a, b in zip(starts.tolist(), ends.tolist())]
+                out[0] += names
+                out[1] += (starts + before[segment] + at).tolist()
+                out[2] += lengths.tolist()
+                out[3] += [raw[a * 4:b * 4] for a, b in zip(starts.tolist(), ends.tolist())]
             return out
         return run
 
-    files = spark.read.parquet(path)
-    # a row per file, then a row per segment: neither carries ids
-    sizes = files.groupBy("segment").agg(F.sum("n_ids").alias("ids"))
-    before = sizes.select("segment", (F.sum("ids").over(Window.orderBy("segment")) - F.col("ids")).alias("segment_start"))
-    inner = Window.partitionBy("segment").orderBy("seq")
-    base = files.select("segment", "seq", (F.sum("n_ids").over(inner) - F.col("n_ids")).alias("file_start")) \
-        .join(before, "segment").select("segment", "seq", (F.col("segment_start") + F.col("file_start")).alias("base"))
-    # one file in an Arrow batch: ids of a batch are in memory at once
-    docs = map_rows(files, ["segment", "seq", "data"],
-                    "segment bigint, seq bigint, doc_id bigint, at bigint, n_tokens bigint, ids binary", make, 1)
-    return docs.join(base, ["segment", "seq"]).select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids")
+    # one file at a time: its ids are in memory at once
+    return map_rows(files, ["segment", "at", "data"], "doc_id bigint, start bigint, n_tokens bigint, ids binary", make, 1)
 
 
 def token_round_trip(spark: SparkSession, docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
