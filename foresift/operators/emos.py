@@ -254,7 +254,7 @@ def _warm_start(panel: DataFrame, keys: list[str], fits: pd.DataFrame, predictor
     start = np.zeros((len(fits), len(predictors) + 3))
     start[:, 1] = 1.0
     bucketed = some.withColumn("_bucket", F.pmod(F.hash(*keys), F.lit(max(1, len(fits)))))
-    got = fit_packed(bucketed, keys, ["_bucket"], predictors, var, obs, 5000).toPandas()
+    got = fit_packed(bucketed, keys, ["_bucket"], predictors, var, obs, 100_000).toPandas()
     at = {tuple(k): i for i, k in enumerate(fits[keys].itertuples(index=False, name=None))}
     for k, row in zip(got[keys].itertuples(index=False, name=None), _loc_scale(got, predictors)):
         if np.isfinite(row).all():
@@ -295,7 +295,7 @@ def fit_lockstep(panel: DataFrame, keys: list[str], fits: pd.DataFrame, predicto
 
 def fit_emos(panel: DataFrame, keys: list[str] = (), predictors=("ens_mean",), var: str = "ens_var",
              obs: str = "t2m_obs", min_rows: int = 1, max_group_rows: int = MAX_GROUP_ROWS,
-             max_iter: int = 5000, lockstep_iter: int = 1000, cheap_scan: bool = False) -> DataFrame:
+             max_iter: int = 100_000, lockstep_iter: int = 1000, cheap_scan: bool = False) -> DataFrame:
     """One model row (keys, a, b, c, d[, e], n_rows, loss) per key group with at least `min_rows` rows.
 
     The models are stored, so that every use reads parameters instead of fitting again, and the join to the rows to predict

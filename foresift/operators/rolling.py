@@ -49,7 +49,7 @@ def local_models(history: DataFrame, issues: DataFrame, windows: list[int], keys
         (F.col("issue_time") >= F.timestamp_add("DAY", -F.col("window_days"), F.col("at")))
         & (F.col("issue_time") < F.col("at")) & (F.col("valid_time") < F.col("at")))
     cols = pairs.select("_bucket", *keys, *FIT, "ens_mean", "ens_var", "t2m_obs")
-    return materialise(fit_packed(cols, [*keys, *FIT], ["_bucket"], ("ens_mean",), "ens_var", "t2m_obs", 5000))
+    return materialise(fit_packed(cols, [*keys, *FIT], ["_bucket"], ("ens_mean",), "ens_var", "t2m_obs", 100_000))
 
 
 def rolling_predictions(history: DataFrame, test: DataFrame, windows: list[int]) -> DataFrame:
