@@ -244,10 +244,12 @@ def scored_rows(df, keys):
 
 @query("r14_emos_variants", VARIANT)
 def emos_variants(spark, sf):
-    """Four EMOS variants by training size plus leave-one-station-out, one guarded score row each."""
+    """Four EMOS variants by training size up to the whole archive, and two kinds of leave-one-station-out."""
     tr, te = I.train(spark, sf), I.test(spark, sf)
-    ks = [7, 50]
-    sets = SM.sweep_cases(SM.distinct_cases(tr), ks, [0]).where("arm = 'contiguous'")
+    cases = SM.distinct_cases(tr)
+    n_cases = cases.count()
+    ks = sorted({min(k, n_cases) for k in (7, 50)} | {n_cases})
+    sets = SM.sweep_cases(cases, ks, [0]).where("arm = 'contiguous'")
     panel = materialise(SM.sweep_panel(tr, sets).select("k", "station_id", "step_hours", "ens_mean", "ens_var", "t2m_obs"))
     rows = te.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks])))
     k, lead, stn, cell = ["k"], ["k", "step_hours"], ["k", "station_id"], ["k", "station_id", "step_hours"]
@@ -257,8 +259,10 @@ def emos_variants(spark, sf):
     out = E.predict_variants(rows, models, {
         "emos_pooled": [("pooled", 1)], "emos_local": [("local", 5)],
         "emos_pooled_leadspec": [("lead", 20), ("pooled", 1)], "emos_local_leadspec": [("cell", 5)]})
-    loso = E.predict_tiers(te.withColumn("k", F.lit(-1)), [(E.fit_leave_one_out(tr), ["station_id"], 1)])
-    out = out.unionByName(loso.withColumn("method", F.lit("emos_loso")).select(*out.columns))
+    one, own = te.withColumn("k", F.lit(-1)), (E.fit_leave_one_out(tr), ["station_id"], 1)
+    by_lead = (E.fit_leave_one_out(tr, lead_specific=True), ["station_id", "step_hours"], 20)
+    for name, tiers in (("emos_loso", [own]), ("emos_loso_leadspec", [by_lead, own])):
+        out = out.unionByName(E.predict_tiers(one, tiers).withColumn("method", F.lit(name)).select(*out.columns))
     scored = materialise(scored_rows(out, ["method", "k"]))
     return G.guarded_scores(scored, ["method", "k"], ["fixed"], {"short": (0, 6)}, min_instances=100)
 
