@@ -1,6 +1,8 @@
 """Helpers of the training-data operators: tables, row-wise Arrow maps, stored tables, 64-bit hashes of words."""
 from __future__ import annotations
 
+import gc
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -25,12 +27,21 @@ def arrow_schema(ddl: str) -> tuple[T.StructType, pa.Schema]:
     return spark_schema, to_arrow_schema(spark_schema)
 
 
+def release_caches() -> None:
+    """Workers serve one operator after another: the chunk cache of the tokenizer goes when another one begins."""
+    tokens = sys.modules.get("foresift.llm.tokens")
+    if tokens is not None and tokens._loaded:
+        tokens._loaded.clear()
+        gc.collect()
+
+
 def map_rows(df: DataFrame, cols: list[str], ddl: str, make: Callable[[], Callable[[list[list]], list[list]]],
              slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Applies a function of column lists to slices of rows; make() runs once per task and returns that function."""
     spark_schema, schema = arrow_schema(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_caches()
         fn = make()
         for batch in batches:
             for at in range(0, batch.num_rows, slice_rows):

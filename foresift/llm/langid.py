@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foresift.llm.common import arrow_schema, map_rows
+from foresift.llm.common import arrow_schema, map_rows, release_caches
 
 FEATURES = 1 << 15
 ORDERS = 3
@@ -140,6 +140,7 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[np.nd
     schema, arrow = arrow_schema("v binary")
 
     def count(batches):
+        release_caches()
         total = np.zeros(FEATURES + 1, dtype=np.int64)
         for batch in batches:
             for text in batch.column(0):

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foresift.llm.common import arrow_schema, map_rows, materialise, mix64, shingle_set
+from foresift.llm.common import arrow_schema, map_rows, materialise, mix64, release_caches, shingle_set
 from foresift.llm.components import connected_components
 
 WIDTH = 5
@@ -197,6 +197,7 @@ def dealt_keys(docs: DataFrame, buckets: int, id_col: str, text_col: str) -> Dat
         yield from _deal(keys[~hot], nodes[~hot], buckets, -1, False)
 
     def run(batches):
+        release_caches()
         lane = TaskContext.get().partitionId() << 20
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
