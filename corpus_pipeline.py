@@ -13,7 +13,7 @@ from foresift.llm import decontam, langid, packing, parity_join, secret_scan
 from foresift.llm.common import shared_dir, table
 
 # least calibrated probability of the language that a document must have
-LEAST_SCORE = 0.5
+LEAST_SCORE = 0.35
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
