@@ -1,11 +1,12 @@
 """Main-text extraction by wrapper induction (operator 3).
 
 Pages become DOM trees. Pages of one host are aligned by simple tree matching: equal labels at the root, then the best
-ordered matching of the children, recursively. Merging all pages of a host this way gives a template whose nodes say in how
-many pages they stand and whether their text is constant (template) or varies (slot). The text of a page comes from its
-article; where a page names none, from the subtree of the template that holds most of the varying text, without the nodes
-whose text is constant over the host. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
-comments are left out by element and class name; nothing inside the article is dropped for being repeated.
+ordered matching of the children, recursively. Merging all pages of a host this way gives a template whose nodes say whether
+they stand in several distinct pages and whether their text is constant (template) or varies (slot). The text of a page comes
+from its article; where a page names none, it is everything in page order but the nodes whose text is constant over the host.
+A page without a second one to compare loses headers without a title and blocks of nothing but links instead. Menus, footers,
+sidebars, notices, adverts, forms, scripts, styles and reader comments are left out by element and class name; nothing inside
+the article is dropped for being repeated.
 
 Runs of like siblings count as one node, which keeps templates small. Every task merges its own pages of a host first, so a
 host with a third of all pages sends one partial template a task; rules meet their pages in a join that Spark may split.
@@ -53,7 +54,8 @@ DROP_ROLES = frozenset("navigation banner contentinfo complementary search form
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-TEMPLATE_PAGES = 3          # pages that must agree before a text counts as constant
+TEMPLATE_PAGES = 3          # distinct pages that must agree before a text counts as constant; both of a host with two
+LINK_SHARE = 0.8            # share of link text that makes a block a menu, on pages without a template
 MAX_NODES = 2000            # nodes of a template; pages that would add more are aligned with what is there
 
 
@@ -205,11 +207,12 @@ def blocks(nodes: list[Node], skip=frozenset()) -> str:
     return "\n".join(out)
 
 
-# ---- templates: [label, pages, text hash or None when it varies, varying characters, children]
+# ---- templates: [label, least keys of distinct pages, text hash or None when it varies, varying characters, children]
 
 def skeleton(node: Node) -> tuple[list, list[Node]]:
     """Template of one page and its page nodes in the same preorder; runs of like siblings are one node."""
     order: list[list[Node]] = []
+    key = zlib.crc32(blocks([node]).encode("utf-8", "replace"))         # copies count as one page
 
     def build(nodes: list[Node]) -> list:
         order.append(nodes)
@@ -223,7 +226,7 @@ def skeleton(node: Node) -> tuple[list, list[Node]]:
                     runs[-1].append(c)
                 else:
                     runs.append([c])
-        return [label(nodes[0]), 1, zlib.crc32(text.encode("utf-8", "replace")), len(text), [build(r) for r in runs]]
+        return [label(nodes[0]), [key], zlib.crc32(text.encode("utf-8", "replace")), len(text), [build(r) for r in runs]]
 
     return build([node]), order
 
@@ -279,68 +282,88 @@ def merge(a: list, b: list, memo: dict | None = None, room: int = MAX_NODES) ->
         if i < len(a[4]):
             children.append(merge(a[4][i], b[4][j], memo, room))
         at, bt = i + 1, j + 1
-    return [a[0], a[1] + b[1], a[2] if same else None, a[3] + b[3], children]
+    return [a[0], sorted({*a[1], *b[1]})[:TEMPLATE_PAGES], a[2] if same else None, a[3] + b[3], children]
 
 
 def learn(template: list | None, page: list) -> list:
     return page if template is None else merge(template, page, room=MAX_NODES - count(template))
 
 
-def content_path(template: list) -> list[int]:
-    """Path to the deepest template node that holds most of the varying text outside menus and the like."""
-    def mass(t):
-        if is_boilerplate(_named(t[0])):
-            return 0
-        return (t[3] if t[2] is None else 0) + sum(mass(c) for c in t[4])
-
-    path, node = [], template
-    total = mass(template)
-    while total:
-        best = max(range(len(node[4])), key=lambda i: mass(node[4][i]), default=None)
-        if best is None or mass(node[4][best]) < 0.7 * total or node[4][best][0].split(".")[0] in ("p", "h1", "span", "b"):
-            break
-        path.append(best)
-        node = node[4][best]
-    return path
-
+def text_mass(node: Node, skip=frozenset()) -> int:
+    """Characters of a subtree without what is skipped and without menus and the like."""
+    if id(node) in skip or is_boilerplate(node):
+        return 0
+    return sum(len(" ".join(x.split())) if isinstance(x, str) else text_mass(x, skip) for x in node.items)
 
-def _named(name: str) -> Node:
-    tag, _, cls = name.partition(".")
-    return Node(tag, f' class="{cls}"' if cls else "")
 
+def constant_nodes(root: Node, template: list) -> set[int]:
+    """Ids of the outermost page nodes whose whole text is constant over the host; none when nothing varies.
 
-def extract(html: str | None, template: list | None) -> str:
-    """Main text of a page by the template of its host."""
-    root = parse(html)
-    found = articles(root)
-    if found:
-        return blocks(found)
-    if template is None or template[1] < TEMPLATE_PAGES:
-        return blocks([root])
+    A constant inline element stays where text stands around it, since it is part of a sentence.
+    """
     page, order = skeleton(root)
+    need = min(TEMPLATE_PAGES, len(template[1]))
+    if template[0] != page[0] or need < 2:
+        return set()
+    skip: set[int] = set()
     memo: dict = {}
-    skip, region = set(), [root]
-    want = content_path(template)
     numbers = iter(range(len(order)))
 
     def number(t):
         mine = next(numbers)
         return (mine, [number(c) for c in t[4]])
 
-    tree = number(page)
+    def align(t, p, places):
+        found = [(j, align(t[4][i], p[4][j], places[1][j])) for i, j in pairs(t[4], p[4], memo)]
+        if t[2] is not None and len(t[1]) >= need and len(found) == len(p[4]) and all(fixed for _, fixed in found):
+            return True
+        for j, fixed in found:
+            if fixed and (not p[3] or p[4][j][0].split(".")[0] in BLOCKS):
+                skip.update(id(n) for n in order[places[1][j][0]])
+        return False
+
+    return set() if align(template, page, number(page)) else skip
+
+
+def page_frame(root: Node) -> set[int]:
+    """Ids of what a page without a template can tell as its frame: headers without a title, blocks of nothing but links."""
+    skip: set[int] = set()
+    total = text_mass(root)
+
+    def links(node):
+        if is_boilerplate(node):
+            return 0, 0
+        if node.tag == "a":
+            return 1, text_mass(node)
+        found = [links(c) for c in node.children()]
+        return sum(n for n, _ in found), sum(m for _, m in found)
+
+    def titled(node):
+        return node.tag == "h1" or any(titled(c) for c in node.children())
+
+    def walk(node):
+        for c in node.children():
+            if is_boilerplate(c):
+                continue
+            mass = text_mass(c)
+            n, linked = links(c) if c.tag in BLOCKS and c.tag != "body" else (0, 0)
+            if mass * 2 < total and (n > 1 and linked >= LINK_SHARE * mass or c.tag == "header" and not titled(c)):
+                skip.add(id(c))
+            else:
+                walk(c)
 
-    def align(t, p, places, path):
-        nonlocal region
-        if path is not None and not path:
-            region = order[places[0]]
-        if t[2] is not None and t[1] >= TEMPLATE_PAGES and t[3] and not t[4] and not p[4]:
-            skip.update(id(n) for n in order[places[0]])
-        for i, j in pairs(t[4], p[4], memo):
-            align(t[4][i], p[4][j], places[1][j], path[1:] if path and path[0] == i else None)
+    walk(root)
+    return skip
 
-    if template[0] == page[0]:
-        align(template, page, tree, want)
-    return blocks(region, skip)
+
+def extract(html: str | None, template: list | None) -> str:
+    """Main text of a page by the template of its host: everything outside menus and the like that is not constant."""
+    root = parse(html)
+    found = articles(root)
+    if found:
+        return blocks(found)
+    skip = constant_nodes(root, template) if template else set()
+    return blocks([root], skip or page_frame(root))
 
 
 def _host(url: str = "url"):

@@ -34,6 +34,20 @@ def test_template_finds_content_without_an_article(spark):
     assert got == {i: f"Title {i}\nBody & text {i}\nMore {i * i} words and a line" for i in range(6)}
 
 
+def test_same_text_on_small_hosts_and_titles_outside_the_content(spark):
+    def page(i):
+        return (f"<body><header><h2>Our site</h2></header><div class=top><a href=/>Home</a> <a href=/a>About</a></div><h1>Title {i}</h1>"
+                f"<p>Lead {i}<div class=content><p>{f'Long body of page {i}. ' * 20}</div><div class=box>Always <b>the</b> same</div>")
+    rows = [(10 * n + i, f"http://h{n}.example/", page(i)) for n in (2, 6) for i in range(n)]
+    rows += [(100 + i, "http://copies.example/", page(0)) for i in range(4)]
+    got = {r.page_id: r.text for r in H.extract_main_text(spark.createDataFrame(rows, PAGES)).collect()}
+    want = [f"Title {i}\nLead {i}\n{(f'Long body of page {i}. ' * 20).strip()}" for i in range(6)]
+    assert [got[20 + i] for i in range(2)] == want[:2]
+    assert [got[60 + i] for i in range(6)] == want
+    # copies prove nothing constant: only the header and the links go
+    assert all(got[100 + i] == want[0] + "\nAlways the same" for i in range(4))
+
+
 def test_boilerplate_inside_an_article():
     page = ("<body><nav>x</nav><main><article><header><h1>A&nbsp; B</h1></header><p>one<p>two <b>bold</b><aside>no</aside>"
             "<div class='share-buttons'>no</div><form>no</form><script>no</script><ul><li>i<li>j</ul><article class='comment'>no</article>"
