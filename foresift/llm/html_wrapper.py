@@ -2,11 +2,11 @@
 
 Pages become DOM trees. Pages of one host are aligned by simple tree matching: equal labels at the root, then the best
 ordered matching of the children, recursively. Merging all pages of a host this way gives a template whose nodes say whether
-they stand in several distinct pages and whether their text is constant (template) or varies (slot). The text of a page comes
-from its article; where a page names none, it is everything in page order but the nodes whose text is constant over the host.
-A page without a second one to compare loses headers without a title and blocks of nothing but links instead. Menus, footers,
-sidebars, notices, adverts, forms, scripts, styles and reader comments are left out by element and class name; nothing inside
-the article is dropped for being repeated.
+they stand in several distinct pages and whether their text is constant (template) or varies (slot). The text of a page is
+everything in page order but the nodes whose text is constant over the host. A page without a second one to compare loses
+headers without a title and blocks of nothing but links instead. Menus, footers, sidebars, notices, adverts, forms, scripts,
+styles and reader comments are left out by element and class name. An article tag is a hint that the slots confirm: where
+articles hold half of the varying text of a page, nothing inside them is dropped for being repeated.
 
 Runs of like siblings count as one node, which keeps templates small. Every task merges its own pages of a host first, so a
 host with a third of all pages sends one partial template a task; rules meet their pages in a join that Spark may split.
@@ -357,13 +357,20 @@ def page_frame(root: Node) -> set[int]:
 
 
 def extract(html: str | None, template: list | None) -> str:
-    """Main text of a page by the template of its host: everything outside menus and the like that is not constant."""
+    """Main text of a page by the template of its host: everything outside menus and the like that is not constant.
+
+    Articles whose varying text is at least half of that of the page stay whole; other article tags count for nothing.
+    """
     root = parse(html)
+    skip = (constant_nodes(root, template) if template else set()) or page_frame(root)
     found = articles(root)
-    if found:
-        return blocks(found)
-    skip = constant_nodes(root, template) if template else set()
-    return blocks([root], skip or page_frame(root))
+    if found and 2 * sum(text_mass(a, skip) for a in found) >= text_mass(root, skip):
+        skip.difference_update(id(n) for a in found for n in subtree(a))
+    return blocks([root], skip)
+
+
+def subtree(node: Node) -> list[Node]:
+    return [node, *(n for c in node.children() for n in subtree(c))]
 
 
 def _host(url: str = "url"):

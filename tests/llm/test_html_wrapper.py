@@ -48,6 +48,22 @@ def test_same_text_on_small_hosts_and_titles_outside_the_content(spark):
     assert all(got[100 + i] == want[0] + "\nAlways the same" for i in range(4))
 
 
+def test_templates_overrule_article_tags(spark):
+    def teasers(i):
+        cards = "".join(f"<article class=card>Teaser {i} {k}</article>" for k in range(2))
+        return f"<body><div class=top>Our site</div><div class=text><h1>Title {i}</h1><p>{f'Body {i} words. ' * 20}</div>{cards}"
+
+    def marked(i):
+        return (f"<body><div class=top>Our site</div><h1>Title {i}</h1><article><p>{f'Body {i} words. ' * 20}</p><h2>Terms</h2>"
+                f"<div>Repeated in all</div></article><div class=box>Always the same</div>")
+    rows = [(10 * k + i, f"http://h{k}.example/", f(i)) for k, f in enumerate([teasers, marked]) for i in range(5)]
+    got = {r.page_id: r.text for r in H.extract_main_text(spark.createDataFrame(rows, PAGES)).collect()}
+    for i in range(5):
+        body = f"Title {i}\n" + (f"Body {i} words. " * 20).strip()
+        assert got[i] == f"{body}\nTeaser {i} 0\nTeaser {i} 1"
+        assert got[10 + i] == f"{body}\nTerms\nRepeated in all"
+
+
 def test_boilerplate_inside_an_article():
     page = ("<body><nav>x</nav><main><article><header><h1>A&nbsp; B</h1></header><p>one<p>two <b>bold</b><aside>no</aside>"
             "<div class='share-buttons'>no</div><form>no</form><script>no</script><ul><li>i<li>j</ul><article class='comment'>no</article>"
