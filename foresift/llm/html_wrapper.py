@@ -8,8 +8,9 @@ headers without a title and blocks of nothing but links instead. Menus, footers,
 styles and reader comments are left out by element and class name. An article tag is a hint that the slots confirm: where
 articles hold half of the varying text of a page, nothing inside them is dropped for being repeated.
 
-Runs of like siblings count as one node, which keeps templates small. Every task merges its own pages of a host first, so a
-host with a third of all pages sends one partial template a task; rules meet their pages in a join that Spark may split.
+Pages of a host are grouped by their layout, each with a template of its own, from which no node is dropped. Runs of like
+siblings count as one node, which keeps templates small. Every task merges its own pages of a host and layout first, so a host
+with a third of all pages sends one partial template a layout and task; rules meet their pages in a join that Spark may split.
 
 Defined cases: a null or empty html gives an empty text; a null url belongs to the empty host; broken markup is closed at the
 end of the page; copies of pages are extracted alike; extra columns are ignored; an empty table gives an empty result.
@@ -24,6 +25,7 @@ import zlib
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from foresift.llm.common import arrow_schema, map_rows, materialise
 
@@ -42,6 +44,8 @@ ENDS = {"li": (("li",), ("ul", "ol", "menu")), "dd": (("dd", "dt"), ("dl",)), "d
         "tfoot": (("tbody", "thead", "tfoot", "tr", "td", "th"), ("table",))}
 SCOPES = frozenset("table td th button article section div body html main aside nav header footer form blockquote ul ol".split())
 
+# elements that make the layout of a page
+BOXES = frozenset("body div section article main header ul ol table".split())
 # elements and class names that are no main text
 DROP_TAGS = frozenset("head nav aside footer form script style noscript template iframe button select option textarea input "
                       "dialog svg canvas object audio video noframes xmp menu".split())
@@ -56,7 +60,6 @@ TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)
 ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 TEMPLATE_PAGES = 3          # distinct pages that must agree before a text counts as constant; both of a host with two
 LINK_SHARE = 0.8            # share of link text that makes a block a menu, on pages without a template
-MAX_NODES = 2000            # nodes of a template; pages that would add more are aligned with what is there
 
 
 class Node:
@@ -134,11 +137,11 @@ def parse(html: str | None) -> Node:
 
 
 def label(node: Node) -> str:
-    """Tag with its first class or its id: what must be equal for nodes to match."""
+    """Tag with its first class, or the id of a box: what must be equal for nodes to match."""
     if not node.attrs:
         return node.tag
     a = node.attributes()
-    name = (a.get("class") or a.get("id") or "").split()
+    name = (a.get("class") or node.tag in BOXES and a.get("id") or "").split()
     return f"{node.tag}.{re.sub(r'[0-9]+', '0', name[0])}" if name else node.tag
 
 
@@ -231,6 +234,23 @@ def skeleton(node: Node) -> tuple[list, list[Node]]:
     return build([node]), order
 
 
+def layout(root: Node) -> int:
+    """Signature of the boxes of a page outside menus and the like: those down to the first fork and two levels below it.
+
+    How many like boxes there are does not count, nor do plain lists and tables.
+    """
+    def boxes(node):
+        return [c for c in node.children() if c.tag in BOXES and (c.attrs or c.tag not in ("ul", "ol", "table")) and not is_boilerplate(c)]
+
+    names, node, below = [], root, boxes(root)
+    while len(below) == 1:
+        node = below[0]
+        names.append(label(node))
+        below = boxes(node)
+    fork = {label(c) for c in below} | {f"{label(c)} {label(d)}" for c in below for d in boxes(c)}
+    return zlib.crc32("\n".join([*names, "", *sorted(fork)]).encode("utf-8", "replace"))
+
+
 def tree_match(a: list, b: list, memo: dict) -> int:
     """Simple tree matching: the most node pairs of an order-preserving mapping between two trees."""
     if a[0] != b[0]:
@@ -266,27 +286,21 @@ def pairs(xs: list, ys: list, memo: dict) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def count(t: list) -> int:
-    return 1 + sum(count(c) for c in t[4])
-
-
-def merge(a: list, b: list, memo: dict | None = None, room: int = MAX_NODES) -> list:
+def merge(a: list, b: list, memo: dict | None = None) -> list:
     """Both templates as one; a text that differs varies from then on."""
     memo = {} if memo is None else memo
     same = a[2] is not None and a[2] == b[2]
     children, at, bt = [], 0, 0
     for i, j in [*pairs(a[4], b[4], memo), (len(a[4]), len(b[4]))]:
-        children += a[4][at:i]
-        if room > 0:
-            children += b[4][bt:j]
+        children += a[4][at:i] + b[4][bt:j]
         if i < len(a[4]):
-            children.append(merge(a[4][i], b[4][j], memo, room))
+            children.append(merge(a[4][i], b[4][j], memo))
         at, bt = i + 1, j + 1
     return [a[0], sorted({*a[1], *b[1]})[:TEMPLATE_PAGES], a[2] if same else None, a[3] + b[3], children]
 
 
 def learn(template: list | None, page: list) -> list:
-    return page if template is None else merge(template, page, room=MAX_NODES - count(template))
+    return page if template is None else merge(template, page)
 
 
 def text_mass(node: Node, skip=frozenset()) -> int:
@@ -378,19 +392,21 @@ def _host(url: str = "url"):
 
 
 def learn_templates(pages: DataFrame) -> DataFrame:
-    """host, template (JSON): each task merges its own pages of a host, then the partial templates of a host are merged."""
-    schema, arrow = arrow_schema("host string, template string")
+    """host, layout, template (JSON): each task merges its own pages of a host and layout, then partial templates are merged."""
+    schema, arrow = arrow_schema("host string, layout bigint, template string")
 
     def rows(found):
-        hosts = sorted(found)
-        return pa.RecordBatch.from_arrays([pa.array(hosts), pa.array([json.dumps(found[h]) for h in hosts])], schema=arrow)
+        keys = sorted(found)
+        return pa.RecordBatch.from_arrays([pa.array([h for h, _ in keys], pa.string()), pa.array([k for _, k in keys], pa.int64()),
+                                           pa.array([json.dumps(found[k]) for k in keys], pa.string())], schema=arrow)
 
     def partial(batches):
-        found: dict[str, list] = {}
+        found: dict[tuple, list] = {}
         for batch in batches:
             for host, html in zip(batch.column(0), batch.column(1)):
-                name = host.as_py()
-                found[name] = learn(found.get(name), skeleton(parse(html.as_py()))[0])
+                root = parse(html.as_py())
+                key = host.as_py(), layout(root)
+                found[key] = learn(found.get(key), skeleton(root)[0])
                 if len(found) > 2000:
                     yield rows(found)
                     found = {}
@@ -402,17 +418,24 @@ def learn_templates(pages: DataFrame) -> DataFrame:
         whole = None
         for text in texts:
             whole = learn(whole, json.loads(text))
-        return pa.table({"host": [table.column("host")[0].as_py()], "template": [json.dumps(whole)]}, schema=arrow)
+        return pa.table({"host": [table.column("host")[0].as_py()], "layout": [table.column("layout")[0].as_py()],
+                         "template": [json.dumps(whole)]}, schema=arrow)
 
     return pages.select(_host().alias("host"), "html").mapInArrow(partial, schema) \
-        .groupBy("host").applyInArrow(total, schema)
+        .groupBy("host", "layout").applyInArrow(total, schema)
+
+
+@F.arrow_udf(T.LongType())
+def _layout(html: pa.Array) -> pa.Array:
+    return pa.array([layout(parse(x.as_py())) for x in html], pa.int64())
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
     """page_id, url and text of every page."""
     templates = materialise(learn_templates(pages))
     kind = pages.schema["page_id"].dataType.simpleString()
-    rows = pages.select("page_id", "url", "html", _host().alias("host")).join(templates, "host", "left")
+    rows = pages.select("page_id", "url", "html", _host().alias("host"), _layout("html").alias("layout")) \
+        .join(templates, ["host", "layout"], "left")
 
     def make():
         known: dict[str | None, list | None] = {None: None}

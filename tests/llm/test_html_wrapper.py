@@ -64,6 +64,15 @@ def test_templates_overrule_article_tags(spark):
         assert got[10 + i] == f"{body}\nTerms\nRepeated in all"
 
 
+def test_host_with_many_layouts(spark):
+    def page(k, i):
+        parts = "".join(f"<div class='l{chr(97 + k % 26)}{chr(97 + k // 26)}{chr(97 + m)}'><b>Part {i} {m}</b></div>" for m in range(20))
+        return f"<body><div class='view{chr(97 + k % 26)}{chr(97 + k // 26)}'>{parts}<div class=box>Always the same {k}</div></div>"
+    rows = [(10 * k + i, "http://big.example/", page(k, i)) for k in range(100) for i in range(3)]
+    got = {r.page_id: r.text for r in H.extract_main_text(spark.createDataFrame(rows, PAGES)).collect()}
+    assert got == {10 * k + i: "\n".join(f"Part {i} {m}" for m in range(20)) for k in range(100) for i in range(3)}
+
+
 def test_boilerplate_inside_an_article():
     page = ("<body><nav>x</nav><main><article><header><h1>A&nbsp; B</h1></header><p>one<p>two <b>bold</b><aside>no</aside>"
             "<div class='share-buttons'>no</div><form>no</form><script>no</script><ul><li>i<li>j</ul><article class='comment'>no</article>"
