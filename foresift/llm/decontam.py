@@ -1,13 +1,14 @@
 """Benchmark decontamination (operator 6): BM25 over test items, searched by block-max WAND with every training passage.
 
 An inverted index of the items holds BM25 impacts, divided by the score that an item has with all of its own words, so one
-threshold serves all items; each posting list carries its maximum and the maxima of its blocks. A document is cut into
-overlapping passages that are twice as long as the longest item and start every half of that, so that each occurrence of an
-item lies whole in one of them. Maxima of its terms over ranges of items, summed, bound the score of a passage; passages below the threshold in every
+threshold serves all items; each posting list carries its maximum and the maxima of its blocks. For each class of items
+with lengths up to 32, 64, 128 and so on words, a document is cut into overlapping passages that are twice that long and start
+every half of it, so that each occurrence of an item lies whole in one of them. Maxima of its terms over ranges of items, summed, bound the score of a passage; passages below the threshold in every
 range can hold no result, the others go through block-max WAND, which finds every item at or above it. An item counts as leaked
 when at least half of the word trigrams of its question and of its answer (its last sentence) stand in the passage.
 
-Items are indexed in shards of `SHARD_ITEMS`, which bounds what is broadcast; every shard sees all documents.
+Items are indexed in shards of `SHARD_ITEMS`, which bounds what is broadcast; every shard sees all documents. Document
+frequencies, number and mean length of the items are those of all items, so results do not depend on the shards.
 Defined cases: null or empty texts and items have no hits; equal items are all reported; repeated documents are each
 reported; texts count whole; extra columns are ignored; empty tables give an empty result. Words are runs of a-z, 0-9 and
 characters above 7F (hexadecimal) after A-Z is lower-cased.
@@ -22,9 +23,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foresift.llm.common import hash_spans, lower_bytes, map_rows, spans_of
+from foresift.llm.common import hash_spans, lower_bytes, map_rows, materialise, spans_of
 
 SHARD_ITEMS = 2048
+SHORT_WORDS = 32                # words of the items of the shortest length class
 THRESHOLD = 0.75                # share of an item's own score
 OVERLAP = 0.5                   # share of trigrams of question and answer
 K1, B = 1.2, 0.75
@@ -50,15 +52,32 @@ def split_item(text: str) -> tuple[str, str]:
     return (" ".join(parts[:-1]), parts[-1]) if len(parts) > 1 else (text, text)
 
 
+def length_class(words: int) -> int:
+    """The least of 32, 64, 128 and so on that is not under the number of words."""
+    return max(SHORT_WORDS, 1 << max(0, words - 1).bit_length())
+
+
+def statistics(items: list[tuple[int, str | None]]) -> tuple[int, float, dict[int, int]]:
+    """Number of items with words, their mean length, and in how many of them each word hash stands."""
+    words = [w for _, t in items for w in [word_hashes(t)] if len(w)]
+    df = Counter(t for w in words for t in np.unique(w).tolist())
+    return len(words), sum(map(len, words)) / len(words) if words else 1.0, df
+
+
 class ItemIndex:
-    """Inverted index of (id, text) items with block maxima; terms are numbers in the order of `terms`."""
+    """Inverted index of (id, text) items with block maxima; terms are numbers in the order of `terms`.
 
-    def __init__(self, items: list[tuple[int, str | None]], threshold: float = THRESHOLD, overlap: float = OVERLAP):
+    The items should be of one length class; `stats` are those of all items, where there are others.
+    """
+
+    def __init__(self, items: list[tuple[int, str | None]], threshold: float = THRESHOLD, overlap: float = OVERLAP,
+                 stats: tuple[int, float, dict[int, int]] | None = None):
         self.threshold, self.overlap = threshold, overlap
+        total, mean, frequency = stats or statistics(items)
         items = [(i, t, word_hashes(t)) for i, t in items if t]
         items = [x for x in items if len(x[2])]
         self.ids = [x[0] for x in items]
-        self.half = max([32, *(len(x[2]) for x in items)])
+        self.half = max([length_class(len(x[2])) for x in items], default=SHORT_WORDS)
         self.terms = np.unique(np.concatenate([np.zeros(0, np.uint64), *(x[2] for x in items)]))
         words = [np.searchsorted(self.terms, x[2]) for x in items]
         self.question, self.answer = [], []
@@ -66,12 +85,12 @@ class ItemIndex:
             q, a = (_trigrams(np.searchsorted(self.terms, word_hashes(p)).tolist()) for p in split_item(text))
             self.question.append(q)
             self.answer.append(a)
-        df = Counter(t for w in words for t in np.unique(w).tolist())
-        n, mean = len(words), np.mean([len(w) for w in words]) if words else 1.0
+        df = [frequency[t] for t in self.terms.tolist()]
+        n = len(words)
         postings = defaultdict(list)
         for item, w in enumerate(words):
             tf = Counter(w.tolist())
-            impact = {t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * c * (K1 + 1)
+            impact = {t: math.log(1 + (total - df[t] + 0.5) / (df[t] + 0.5)) * c * (K1 + 1)
                       / (c + K1 * (1 - B + B * len(w) / mean)) for t, c in tf.items()}
             own = sum(impact.values())
             for t, v in impact.items():
@@ -88,9 +107,9 @@ class ItemIndex:
         for t, (docs, scores, *_) in enumerate(self.lists):
             np.maximum.at(self.bound[t], np.array(docs) * self.bound.shape[1] // n, np.array(scores, np.float32))
 
-    def numbers(self, text: str | None) -> np.ndarray:
-        """Term numbers of the words of a text; -1 for words of no item."""
-        words = word_hashes(text)
+    def numbers(self, text: str | None, words: np.ndarray | None = None) -> np.ndarray:
+        """Term numbers of the words of a text, or of its word hashes; -1 for words of no item."""
+        words = word_hashes(text) if words is None else words
         if not len(self.terms) or not len(words):
             return np.full(len(words), -1)
         at = np.minimum(np.searchsorted(self.terms, words), len(self.terms) - 1)
@@ -161,9 +180,9 @@ class ItemIndex:
             out.append(a + np.flatnonzero((sums[:-1] + sums[1:]).max(axis=1) >= self.threshold - 1e-4))
         return np.concatenate(out)
 
-    def search(self, text: str | None) -> list[tuple[int, float, float, float]]:
+    def search(self, text: str | None, words: np.ndarray | None = None) -> list[tuple[int, float, float, float]]:
         """(item id, score, question overlap, answer overlap) of each verified item, with its best passage."""
-        terms = self.numbers(text)
+        terms = self.numbers(text, words)
         found: dict[int, tuple] = {}
         known = np.flatnonzero(terms >= 0)
         if not len(known):
@@ -183,13 +202,50 @@ class ItemIndex:
         return sorted((self.ids[i], s, q, a) for i, (_, s, q, a) in found.items())
 
 
+class ShardIndex:
+    """An index for each length class of the items of a shard; results do not depend on the other items of the shard."""
+
+    def __init__(self, items: list[tuple[int, str | None]], threshold: float, overlap: float,
+                 stats: tuple[int, float, dict[int, int]] | None = None):
+        stats = stats or statistics(items)
+        classes = defaultdict(list)
+        for item in items:
+            classes[length_class(len(word_hashes(item[1])))].append(item)
+        self.indexes = [ItemIndex(classes[k], threshold, overlap, stats) for k in sorted(classes)]
+
+    def search(self, text: str | None) -> list[tuple[int, float, float, float]]:
+        words = word_hashes(text)
+        return sorted(hit for index in self.indexes for hit in index.search(text, words))
+
+
+def item_words(items: DataFrame, text_col: str) -> DataFrame:
+    """word, n_words: a row for each distinct word hash of each item, and the length of the item."""
+    def make():
+        def run(cols):
+            words = [w for w in map(word_hashes, cols[0]) if len(w)]
+            rows = [(t, len(w), i == 0) for w in words for i, t in enumerate(np.unique(w).view(np.int64).tolist())]
+            return [list(c) for c in zip(*rows)] if rows else [[]] * 3
+        return run
+    return map_rows(items, [text_col], "word bigint, n_words bigint, first boolean", make)
+
+
 def item_shards(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", shard_items: int = SHARD_ITEMS):
-    """The items in lists of about shard_items; each list alone is on the driver."""
+    """The items in lists of about shard_items, and what BM25 needs of all items for the words of each; each list alone is on the
+    driver."""
     items = benchmark.select(id_col, text_col)
     n = max(1, -(-items.count() // shard_items))
+    if n > 1:
+        words = item_words(items, text_col)
+        total, length = words.where("first").agg(F.count("*"), F.sum("n_words")).first()
+        frequency = materialise(words.groupBy("word").agg(F.count("*").alias("items")))
     for k in range(n):
         part = items.where(F.pmod(F.xxhash64(id_col, text_col), F.lit(n)) == k) if n > 1 else items
-        yield sorted(((r[0], r[1]) for r in part.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+        shard = sorted(((r[0], r[1]) for r in part.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+        stats = None
+        if n > 1:
+            own = frequency.join(item_words(part, text_col).select("word").distinct(), "word", "left_semi")
+            stats = total, length / total if total else 1.0, {r[0] & (1 << 64) - 1: r[1] for r in own.collect()}
+        yield shard, stats
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP,
@@ -202,7 +258,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
         shared = docs.sparkSession.sparkContext.broadcast(shard)
 
         def make(shared=shared):
-            index = ItemIndex(shared.value, threshold, overlap)
+            index = ShardIndex(shared.value[0], threshold, overlap, shared.value[1])
 
             def run(cols):
                 rows = [(d, *hit) for d, t in zip(*cols) for hit in index.search(t)]
@@ -223,7 +279,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
         shared = docs.sparkSession.sparkContext.broadcast(shard)
 
         def make(shared=shared):
-            index = ItemIndex(shared.value, threshold, overlap)
+            index = ShardIndex(shared.value[0], threshold, overlap, shared.value[1])
 
             def run(cols):
                 keep = [not index.search(t) for t in cols[place]]

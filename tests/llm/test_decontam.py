@@ -69,3 +69,26 @@ def test_awkward_rows(spark, monkeypatch):
     nothing = spark.createDataFrame([], ITEMS)
     assert D.find_leaks(docs, nothing).count() == 0
     assert D.drop_leaks(awkward(spark), nothing).count() == 8
+
+
+def test_results_do_not_depend_on_shards(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(150)]
+    texts = [" ".join(rng.choice(words, 20)) + ". " + " ".join(rng.choice(words, 10)) + "." for _ in range(40)]
+    texts.append(" ".join(f"long{i}" for i in range(3000)) + ".")
+    bench = spark.createDataFrame(list(enumerate(texts)), ITEMS)
+    docs = []
+    for t in texts[:40]:
+        kept = [w if rng.random() > 0.12 else "changed" for w in t.split()]
+        docs.append(" ".join(rng.choice(words, 50)) + " " + " ".join(kept))
+    # the words of an item, in two halves of its trigrams far apart, are no copy of it
+    w = texts[7].split()
+    pieces = [w[:8], w[8:16], w[16:24], w[24:]]
+    docs.append((" filler" * 300).join(" " + " ".join(p) for p in pieces))
+    docs = documents(spark, docs)
+    seen = []
+    for shard in (2048, 10, 3):
+        monkeypatch.setattr(D.item_shards, "__defaults__", ("item_id", "text", shard))
+        seen.append(sorted((r.doc_id, r.item_id, round(r.score, 9)) for r in D.find_leaks(docs, bench).collect()))
+    assert seen[0] and seen[0] == seen[1] == seen[2]
+    assert all(d != 40 for d, *_ in seen[0])
