@@ -5,7 +5,8 @@ threshold serves all items; each posting list carries its maximum and the maxima
 with lengths up to 32, 64, 128 and so on words, a document is cut into overlapping passages that are twice that long and start
 every half of it, so that each occurrence of an item lies whole in one of them. Maxima of its terms over ranges of items, summed, bound the score of a passage; passages below the threshold in every
 range can hold no result, the others go through block-max WAND, which finds every item at or above it. An item counts as leaked
-when at least half of the word trigrams of its question and of its answer (its last sentence) stand in the passage.
+when at least half of the word trigrams of its question and of its answer (its last sentence) stand in the passage; where one of
+the two has under `LEAST_WORDS` words, the whole item takes the place of both.
 
 Items are indexed in shards of `SHARD_ITEMS`, which bounds what is broadcast; every shard sees all documents. Document
 frequencies, number and mean length of the items are those of all items, so results do not depend on the shards.
@@ -28,6 +29,7 @@ from foresift.llm.common import hash_spans, lower_bytes, map_rows, materialise,
 SHARD_ITEMS = 2048
 SHORT_WORDS = 32                # words of the items of the shortest length class
 THRESHOLD = 0.75                # share of an item's own score
+LEAST_WORDS = 8                 # of question and answer: so many that one changed word leaves half of the trigrams
 OVERLAP = 0.5                   # share of trigrams of question and answer
 K1, B = 1.2, 0.75
 BLOCK_POSTINGS = 16
@@ -47,9 +49,10 @@ def _trigrams(words) -> set:
 
 
 def split_item(text: str) -> tuple[str, str]:
-    """Question and answer: all sentences but the last, and the last; a single sentence is both."""
+    """Question and answer: all sentences but the last, and the last; the whole text is both where either would be too short."""
     parts = [p for p in re.split(r"(?<=[.!?])\s+", text.strip()) if word_hashes(p).size]
-    return (" ".join(parts[:-1]), parts[-1]) if len(parts) > 1 else (text, text)
+    question, answer = " ".join(parts[:-1]), parts[-1] if parts else ""
+    return (question, answer) if min(word_hashes(question).size, word_hashes(answer).size) >= LEAST_WORDS else (text, text)
 
 
 def length_class(words: int) -> int:

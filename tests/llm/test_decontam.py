@@ -92,3 +92,18 @@ def test_results_do_not_depend_on_shards(spark, monkeypatch):
         seen.append(sorted((r.doc_id, r.item_id, round(r.score, 9)) for r in D.find_leaks(docs, bench).collect()))
     assert seen[0] and seen[0] == seen[1] == seen[2]
     assert all(d != 40 for d, *_ in seen[0])
+
+
+def test_near_copies_with_another_end(spark):
+    rng = np.random.default_rng(9)
+    body = [". ".join(" ".join(f"w{k}" for k in rng.integers(0, 400, 14)) for _ in range(3)) for _ in range(4)]
+    items = [f"{body[0]}. B.", f"{body[1]}. Not one sank.", f"Why? {body[2].replace('. ', ' ')}.",
+             f"{body[3]}. All of those ships came back to the harbour in autumn."]
+    texts = [f"{body[0]}. C.", f"{body[0]}.", f"{body[1]}. Not one", f"How? {body[2].replace('. ', ' ')}.",
+             f"{body[3]}. All of those ships came back to the harbour in winter.", "B. Not one sank. Why? " + body[3][:40],
+             f"{body[3]}."]
+    bench = spark.createDataFrame(list(enumerate(items)), ITEMS)
+    found = sorted((r.doc_id, r.item_id) for r in D.find_leaks(documents(spark, texts), bench).collect())
+    # an answer of some length that is missing is no leak of its item
+    assert found == [(0, 0), (1, 0), (2, 1), (3, 2), (4, 3)]
+    assert sorted(r.doc_id for r in D.drop_leaks(documents(spark, texts), bench).collect()) == [5, 6]
