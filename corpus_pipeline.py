@@ -17,8 +17,10 @@ LEAST_SCORE = 0.35
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters or without a clear language go."""
+    """Documents without letters or without a clear language go; where no row names a language, only those without letters."""
     model = langid.train_language_model(docs)
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     rows = langid.predict_language(docs, model)
     return rows.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
 

@@ -37,6 +37,12 @@ def test_awkward_documents(spark, sf):
         assert out.count() == 0, name
 
 
+def test_documents_stay_where_no_language_is_named(spark, sf):
+    texts = ["the quick brown fox", "été", None, "", "12 34", "\U0001d4d0"]
+    docs = spark.createDataFrame([(i, t, None, "s", 1) for i, t in enumerate(texts)], DOCS)
+    assert sorted(r.doc_id for r in corpus_pipeline.identify_language(spark, docs, sf).collect()) == [0, 1, 5]
+
+
 def test_run_returns_pieces_of_what_is_kept(spark, sf):
     rows = corpus_pipeline.run(spark, sf).collect()
     assert rows
