@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foresift.llm import (ann, decontam, html_wrapper, langid, license_scan, packing, parity_join, secret_scan,
+from foresift.llm import (ann, decontam, html_wrapper, langid, license_scan, packing, parity_join, quality_rules, secret_scan,
                            token_store, warc)
 from foresift.llm.common import table
 
@@ -93,3 +93,36 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence phrases and notices in every document."""
     return license_scan.scan_licenses(table(spark, sf_dir, "documents")) \
         .select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+@query
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict of the quality rules on every document, with the base measures of all of them."""
+    Q = quality_rules
+    return Q.judge(table(spark, sf_dir, "documents"), ["doc_id"], Q.BASE_MEASURES) \
+        .select("doc_id", *Q.BASE_MEASURES, F.expr(Q.BASE_FAILS).alias("base_failed"), "kept")
+
+
+ORACLE["op12_quality_rules"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+     w AS (SELECT r, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), x -> x <> '') AS words,
+           list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+     win AS (SELECT r, i, words[i] AS a, words[i+1] AS b, words[i+2] AS c FROM (
+             SELECT r, words, unnest(range(1, len(words) - 1)) AS i FROM w)),
+     rep AS (SELECT r, count(DISTINCT i + k) AS n FROM (SELECT r, i, count(*) OVER (PARTITION BY r, a, b, c) AS times FROM win),
+             (SELECT unnest([0, 1, 2]) AS k) WHERE times > 1 GROUP BY r),
+     m AS (SELECT doc_id, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars,
+           length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) AS n_lines,
+           len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words,
+           len(list_filter(words, x -> regexp_matches(x, '\p{L}'))) AS n_wordlike,
+           len(list_filter(words, x -> regexp_matches(x, '^[^\p{Ll}]*\p{Lu}[^\p{Ll}]*\p{Lu}[^\p{Ll}]*$'))) AS n_capital_words,
+           len(list_filter(lines, x -> regexp_matches(x, '^[\x20\x09]*[-*\x{2022}]'))) AS n_bullet_lines,
+           len(list_filter(lines, x -> regexp_matches(x, '(\.\.\.|\x{2026})[\x20\x09\x0D]*$'))) AS n_ellipsis_lines
+           FROM d JOIN w USING (r) LEFT JOIN rep USING (r)),
+     v AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+       CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+       NOT (base_failed OR 10 * n_symbols > n_words OR word_chars < 3 * n_words OR word_chars > 10 * n_words
+            OR 2 * n_dup_lines > n_lines OR 10 * n_wordlike < 6 * n_words OR 2 * n_capital_words > n_words
+            OR 10 * n_bullet_lines > 9 * n_lines OR 10 * n_ellipsis_lines > 3 * n_lines) AS kept
+FROM v"""
