@@ -6,8 +6,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foresift.llm import (ann, decontam, html_wrapper, langid, license_scan, packing, parity_join, quality_rules, secret_scan,
-                           token_store, warc)
+from foresift.llm import (ann, decontam, divergence, html_wrapper, langid, license_scan, packing, parity_join, quality_rules,
+                           secret_scan, token_alignment, token_store, warc)
 from foresift.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,6 +95,38 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+@query
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence of all sources of each language, and the terms that set each apart from its language."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op11_source_divergence"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+     w AS (SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+     kept AS (SELECT lang, term, count(*) AS c FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= 10),
+     langs AS (SELECT lang, count(*) AS v, sum(c) AS n FROM kept GROUP BY lang),
+     groups AS (SELECT DISTINCT lang, source FROM d),
+     cells AS (SELECT w.lang, w.source, w.term, count(*) AS c FROM w SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+     totals AS (SELECT lang, source, sum(c) AS n FROM cells GROUP BY ALL),
+     p AS (SELECT g.lang, g.source, k.term, coalesce(c.c, 0) AS c,
+           1 + (1000000000::HUGEINT * (coalesce(c.c, 0) + 2)) // (coalesce(t.n, 0) + 2 * l.v) AS p,
+           1 + (1000000000::HUGEINT * (k.c + 2)) // (l.n + 2 * l.v) AS q
+           FROM groups g JOIN kept k USING (lang) JOIN langs l USING (lang) LEFT JOIN totals t USING (lang, source)
+           LEFT JOIN cells c USING (lang, source, term)),
+     pairs AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+               FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+     results AS (SELECT g.lang, g.source, 'pair' AS part, o.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+                 FROM groups g JOIN groups o ON g.lang = o.lang AND g.source <> o.source
+                 LEFT JOIN pairs ON pairs.lang = g.lang AND pairs.source = g.source AND pairs.item = o.source
+                 UNION ALL
+                 SELECT lang, source, 'term', term, CAST(((p - q) * (p - q)) // (p + q) AS BIGINT) FROM p WHERE c > 0 AND p > q)
+SELECT lang, source, part, item, value,
+       CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM results QUALIFY part = 'pair' OR rank <= 10"""
+
+
 @query
 def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict of the quality rules on every document, with the base measures of all of them."""
@@ -105,8 +137,8 @@ def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE["op12_quality_rules"] = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
-     w AS (SELECT r, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), x -> x <> '') AS words,
-           list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+     w AS (SELECT r, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
+           list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
      win AS (SELECT r, i, words[i] AS a, words[i+1] AS b, words[i+2] AS c FROM (
              SELECT r, words, unnest(range(1, len(words) - 1)) AS i FROM w)),
      rep AS (SELECT r, count(DISTINCT i + k) AS n FROM (SELECT r, i, count(*) OVER (PARTITION BY r, a, b, c) AS times FROM win),
@@ -114,10 +146,10 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FRO
      m AS (SELECT doc_id, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars,
            length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) AS n_lines,
            len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words,
-           len(list_filter(words, x -> regexp_matches(x, '\p{L}'))) AS n_wordlike,
-           len(list_filter(words, x -> regexp_matches(x, '^[^\p{Ll}]*\p{Lu}[^\p{Ll}]*\p{Lu}[^\p{Ll}]*$'))) AS n_capital_words,
-           len(list_filter(lines, x -> regexp_matches(x, '^[\x20\x09]*[-*\x{2022}]'))) AS n_bullet_lines,
-           len(list_filter(lines, x -> regexp_matches(x, '(\.\.\.|\x{2026})[\x20\x09\x0D]*$'))) AS n_ellipsis_lines
+           len(list_filter(words, lambda x: regexp_matches(x, '\p{L}'))) AS n_wordlike,
+           len(list_filter(words, lambda x: regexp_matches(x, '^[^\p{Ll}]*\p{Lu}[^\p{Ll}]*\p{Lu}[^\p{Ll}]*$'))) AS n_capital_words,
+           len(list_filter(lines, lambda x: regexp_matches(x, '^[\x20\x09]*[-*\x{2022}]'))) AS n_bullet_lines,
+           len(list_filter(lines, lambda x: regexp_matches(x, '(\.\.\.|\x{2026})[\x20\x09\x0D]*$'))) AS n_ellipsis_lines
            FROM d JOIN w USING (r) LEFT JOIN rep USING (r)),
      v AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
@@ -126,3 +158,9 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
             OR 2 * n_dup_lines > n_lines OR 10 * n_wordlike < 6 * n_words OR 2 * n_capital_words > n_words
             OR 10 * n_bullet_lines > 9 * n_lines OR 10 * n_ellipsis_lines > 3 * n_lines) AS kept
 FROM v"""
+
+
+@query
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of tokens of two tokenizers over the same bytes, and how usual their links are in the corpus."""
+    return token_alignment.align_documents(table(spark, sf_dir, "documents"), keep=["doc_id"])
