@@ -1,7 +1,7 @@
 """Distributional regression N(a + b mean [+ e last_obs], exp(c) + exp(d) var) by minimum CRPS, for many fits at once.
 
-A step is damped Fisher scoring. It needs only per-fit sums of loss, gradient and expected curvature, and the location and
-scale blocks separate. Two ways to get the sums:
+A step is damped Fisher scoring, and Newton's near the minimum. It needs only per-fit sums of loss, gradient, expected and exact
+curvature. Two ways to get the sums:
 
 * small fits are packed into hash buckets of bounded size, and a task runs all fits of its bucket to convergence;
 * a fit with more than `max_group_rows` rows never meets in one task: each iteration is one aggregation with map-side
@@ -26,6 +26,10 @@ WARM_ROWS = 20_000
 BUCKET_ROWS = 250_000
 CHUNK_ROWS = 1 << 17
 LOG_BOUND = 40.0
+# gain, as part of the loss, below which Newton steps are taken
+NEAR = 1e-4
+# a fit met the stop rule, met it with a log variance at its bound, or kept its best parameters when iterations ran out
+CONVERGED, AT_BOUND, STOPPED = "converged", "bound", "stopped"
 
 
 def param_names(predictors) -> list[str]:
@@ -48,10 +52,11 @@ class Scoring:
         self.sums = None
         self.active = np.ones(n_fits, dtype=bool)
         self.calm = np.zeros(n_fits, dtype=int)
+        self.near = np.zeros(n_fits, dtype=bool)        # the last step gained little: scoring has found the valley
         self.n_rows = np.zeros(n_fits)
 
     def update(self, ids: np.ndarray, sums: np.ndarray) -> None:
-        """Takes the sums at the trial parameters of fits `ids` (columns: n, loss, gradient, curvature)."""
+        """Takes the sums at the trial parameters of fits `ids` (columns: n, loss, gradient, both curvatures)."""
         if self.sums is None:
             self.sums = np.zeros((len(self.loss), sums.shape[1]))
         n = sums[:, 0]
@@ -68,36 +73,58 @@ class Scoring:
         self.damp[good] = np.maximum(self.damp[good] * 0.2, 1e-8)
         self.damp[ids[~ok]] *= 8.0
         small = ok & (gain <= self.tol * (1.0 + np.abs(loss)))
+        self.near[ids] = ok & (gain <= NEAR * (1.0 + np.abs(loss)))
         self.calm[ids[small]] += 1
         self.calm[ids[ok & ~small]] = 0
         self.active[ids] = (self.calm[ids] < self.patience) & (self.damp[ids] < 1e8)
         self._propose(ids[self.active[ids]])
 
-    def settled(self, max_iter: int) -> Scoring:
-        """The state itself, once every fit has met the stop rule."""
-        if self.active.any():
-            raise RuntimeError(f"{int(self.active.sum())} fits did not converge in {max_iter} iterations")
-        return self
+    def status(self) -> np.ndarray:
+        """Of each fit: whether it met the stop rule, and with a log variance at its bound, or ran out of iterations."""
+        bound = (np.abs(self.best[:, self.p:]) >= LOG_BOUND).any(axis=1)
+        return np.where(self.active, STOPPED, np.where(bound, AT_BOUND, CONVERGED))
 
     def _propose(self, ids: np.ndarray) -> None:
+        """Next trial: a scoring step, or a Newton step where the fit is near a minimum and the exact curvature positive definite.
+
+        Scoring finds the valley, and takes the long steps of a log variance that runs off to its bound; near the minimum, Newton
+        needs a few steps where scoring may creep for thousands.
+        """
         if not len(ids):
             return
         p, s, lam = self.p, self.sums[ids], self.damp[ids]
-        g_loc, g_sc = s[:, 2:2 + p], s[:, 2 + p:4 + p]
+        g = s[:, 2:4 + p]
+        pairs = p * (p + 1) // 2
         k = 4 + p
-        h_loc = np.zeros((len(ids), p, p))
-        for i in range(p):
-            for j in range(i, p):
-                h_loc[:, i, j] = h_loc[:, j, i] = s[:, k]
-                k += 1
-        h_sc = np.zeros((len(ids), 2, 2))
-        h_sc[:, 0, 0], h_sc[:, 1, 1] = s[:, k], s[:, k + 2]
-        h_sc[:, 0, 1] = h_sc[:, 1, 0] = s[:, k + 1]
-        step = np.concatenate([_damped(h_loc, g_loc, lam), np.clip(_damped(h_sc, g_sc, lam), -3.0, 3.0)], axis=1)
-        self.trial[ids] = self.best[ids] - step
+        h_loc = _symmetric(s[:, k:k + pairs], p)
+        h_sc = _symmetric(s[:, k + pairs:k + pairs + 3], 2)
+        k += pairs + 3
+        exact = np.zeros((len(ids), p + 2, p + 2))
+        exact[:, :p, :p] = _symmetric(s[:, k:k + pairs], p)
+        mixed = s[:, k + pairs:k + pairs + 2 * p].reshape(-1, 2, p)
+        exact[:, p:, :p] = mixed
+        exact[:, :p, p:] = mixed.transpose(0, 2, 1)
+        exact[:, p:, p:] = _symmetric(s[:, k + pairs + 2 * p:], 2)
+        step = np.concatenate([_damped(h_loc, g[:, :p], lam), np.clip(_damped(h_sc, g[:, p:], lam), -3.0, 3.0)], axis=1)
+        unit = np.sqrt(np.concatenate([np.einsum("fii->fi", h_loc), np.einsum("fii->fi", h_sc)], axis=1) + 1e-300)
+        scaled = exact / (unit[:, :, None] * unit[:, None, :]) + lam[:, None, None] * np.eye(p + 2)
+        fine = self.near[ids] & np.isfinite(scaled).all(axis=(1, 2)) & (np.abs(step[:, p:]) < 3.0).all(axis=1)
+        value, vector = np.linalg.eigh(np.where(fine[:, None, None], scaled, np.eye(p + 2)))
+        fine &= value[:, 0] > 1e-9
+        newton = np.einsum("fij,fj->fi", vector, np.einsum("fji,fj->fi", vector, g / unit) / np.maximum(value, 1e-9)) / unit
+        fine &= np.isfinite(newton).all(axis=1) & (np.abs(newton[:, p:]) < 3.0).all(axis=1)
+        self.trial[ids] = self.best[ids] - np.where(fine[:, None], newton, step)
         self.trial[ids, p:] = np.clip(self.trial[ids, p:], -LOG_BOUND, LOG_BOUND)
 
 
+def _symmetric(upper: np.ndarray, n: int) -> np.ndarray:
+    """Symmetric matrices from their upper triangles, row by row."""
+    out = np.zeros((len(upper), n, n))
+    i, j = np.triu_indices(n)
+    out[:, i, j] = out[:, j, i] = upper
+    return out
+
+
 def _damped(h: np.ndarray, g: np.ndarray, lam: np.ndarray) -> np.ndarray:
     diag = np.einsum("fii->fi", h)
     ridge = diag * lam[:, None] + 1e-14 * (1.0 + diag.max(axis=1, keepdims=True))
@@ -109,7 +136,7 @@ def _damped(h: np.ndarray, g: np.ndarray, lam: np.ndarray) -> np.ndarray:
 
 
 def row_terms(theta: np.ndarray, x: np.ndarray, v: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Per-row loss, gradient and curvature terms; `theta` has one parameter row per data row."""
+    """Per-row loss, gradient, expected and exact curvature terms; `theta` has one parameter row per data row."""
     p = x.shape[1]
     ec, edv = np.exp(theta[:, p]), np.exp(theta[:, p + 1]) * v
     sg = np.sqrt(ec + edv + 1e-300)
@@ -122,23 +149,14 @@ def row_terms(theta: np.ndarray, x: np.ndarray, v: np.ndarray, y: np.ndarray) ->
     cols += [g_mu * x[:, i] for i in range(p)] + [g_sg * jc, g_sg * jd]
     cols += [w * x[:, i] * x[:, j] for i in range(p) for j in range(i, p)]
     cols += [0.5 * w * jc * jc, 0.5 * w * jc * jd, 0.5 * w * jd * jd]
+    mm = 2.0 * pdf / sg
+    ms, ss, bend = mm * z, mm * z * z, g_sg / sg
+    cols += [mm * x[:, i] * x[:, j] for i in range(p) for j in range(i, p)]
+    cols += [ms * x[:, i] * j for j in (jc, jd) for i in range(p)]
+    cols += [(ss - bend) * jc * jc + g_sg * jc, (ss - bend) * jc * jd, (ss - bend) * jd * jd + g_sg * jd]
     return np.stack(cols, axis=1)
 
 
-def theta_sums(theta: np.ndarray, x: np.ndarray, v: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Sums of `row_terms` over all rows for one parameter vector and one predictor, as inner products."""
-    ec = np.exp(theta[2])
-    edv = np.exp(theta[3]) * v
-    sg = np.sqrt(ec + edv + 1e-300)
-    z = (y - (theta[0] + theta[1] * x)) / sg
-    cdf, g_sg = cdf_np(z), np.exp(-0.5 * z * z) * (2.0 / SQRT_2PI) - INV_SQRT_PI
-    g_mu, w = 1.0 - 2.0 * cdf, INV_SQRT_PI / sg
-    jc, jd = ec / (2.0 * sg), edv / (2.0 * sg)
-    wx, wc = w * x, 0.5 * w * jc
-    return np.array([len(y), sg @ (g_sg - z * g_mu), g_mu.sum(), g_mu @ x, g_sg @ jc, g_sg @ jd, w.sum(), wx.sum(), wx @ x,
-                     wc @ jc, wc @ jd, 0.5 * (w * jd) @ jd])
-
-
 def fit_segments(x: np.ndarray, v: np.ndarray, y: np.ndarray, fit: np.ndarray, n_fits: int,
                  max_iter: int) -> Scoring:
     """All fits of one task; `fit` is the ascending fit number of each row."""
@@ -160,7 +178,7 @@ def fit_segments(x: np.ndarray, v: np.ndarray, y: np.ndarray, fit: np.ndarray, n
                     sums = np.zeros((n_fits, part.shape[1]))
                 sums[f[starts]] += part
             state.update(ids, sums[ids])
-    return state.settled(max_iter)
+    return state
 
 
 def fit_frame(pdf: pd.DataFrame, keys: list[str], predictors, var: str, obs: str, max_iter: int) -> pd.DataFrame:
@@ -180,7 +198,7 @@ def fit_frame(pdf: pd.DataFrame, keys: list[str], predictors, var: str, obs: str
     for name, col in zip(names, _ordered(state.best, len(predictors))):
         out[name] = col
     out["n_rows"] = state.n_rows.astype("int64")
-    out["loss"] = state.loss
+    out["loss"], out["status"] = state.loss, state.status()
     return out
 
 
@@ -194,7 +212,8 @@ def _ordered(theta: np.ndarray, n_pred: int) -> list[np.ndarray]:
 def model_schema(panel: DataFrame, keys: list[str], predictors) -> T.StructType:
     fields = [panel.schema[k] for k in keys]
     fields += [T.StructField(n, T.DoubleType()) for n in param_names(predictors)]
-    return T.StructType(fields + [T.StructField("n_rows", T.LongType()), T.StructField("loss", T.DoubleType())])
+    return T.StructType(fields + [T.StructField("n_rows", T.LongType()), T.StructField("loss", T.DoubleType()),
+                                  T.StructField("status", T.StringType())])
 
 
 def fit_packed(panel: DataFrame, keys: list[str], group: list, predictors, var: str, obs: str,
@@ -225,6 +244,10 @@ def _lockstep_aggregates(predictors) -> list[Column]:
     terms += [f"{g_mu}*{c}" for c in x] + [f"{g_sg}*{jc}", f"{g_sg}*{jd}"]
     terms += [f"{w}*{x[i]}*{x[j]}" for i in range(len(x)) for j in range(i, len(x))]
     terms += [f"0.5D*{w}*{jc}*{jc}", f"0.5D*{w}*{jc}*{jd}", f"0.5D*{w}*{jd}*{jd}"]
+    mm, ms, turn = "(2D*_pdf/_sg)", "(2D*_pdf*_z/_sg)", f"((2D*_pdf*_z*_z - {g_sg})/_sg)"
+    terms += [f"{mm}*{x[i]}*{x[j]}" for i in range(len(x)) for j in range(i, len(x))]
+    terms += [f"{ms}*{c}*{j}" for j in (jc, jd) for c in x]
+    terms += [f"{turn}*{jc}*{jc} + {g_sg}*{jc}", f"{turn}*{jc}*{jd}", f"{turn}*{jd}*{jd} + {g_sg}*{jd}"]
     return [F.expr(f"sum({t})").alias(f"_s{i}") for i, t in enumerate(terms)]
 
 
@@ -237,7 +260,13 @@ def drive(n_fits: int, n_loc: int, evaluate, max_iter: int, start: np.ndarray |
             if not len(ids):
                 break
             state.update(ids, evaluate(ids, state.trial[ids]))
-    return state.settled(max_iter)
+    return state
+
+
+def status_of(settled: str, c: Column, d: Column) -> Column:
+    """Status of fits whose convergence is a column of theirs."""
+    bound = (F.abs(c) >= LOG_BOUND - 1e-9) | (F.abs(d) >= LOG_BOUND - 1e-9)
+    return F.when(~F.col(settled), STOPPED).when(bound, AT_BOUND).otherwise(CONVERGED)
 
 
 def _loc_scale(models: pd.DataFrame, predictors) -> np.ndarray:
@@ -254,7 +283,7 @@ def _warm_start(panel: DataFrame, keys: list[str], fits: pd.DataFrame, predictor
     start = np.zeros((len(fits), len(predictors) + 3))
     start[:, 1] = 1.0
     bucketed = some.withColumn("_bucket", F.pmod(F.hash(*keys), F.lit(max(1, len(fits)))))
-    got = fit_packed(bucketed, keys, ["_bucket"], predictors, var, obs, 100_000).toPandas()
+    got = fit_packed(bucketed, keys, ["_bucket"], predictors, var, obs, 5000).toPandas()
     at = {tuple(k): i for i, k in enumerate(fits[keys].itertuples(index=False, name=None))}
     for k, row in zip(got[keys].itertuples(index=False, name=None), _loc_scale(got, predictors)):
         if np.isfinite(row).all():
@@ -289,14 +318,14 @@ def fit_lockstep(panel: DataFrame, keys: list[str], fits: pd.DataFrame, predicto
     out = fits[keys].copy()
     for n, col in zip(param_names(predictors), _ordered(state.best, len(predictors))):
         out[n] = col
-    out["n_rows"], out["loss"] = state.n_rows.astype("int64"), state.loss
+    out["n_rows"], out["loss"], out["status"] = state.n_rows.astype("int64"), state.loss, state.status()
     return spark.createDataFrame(out, model_schema(panel, keys, predictors))
 
 
 def fit_emos(panel: DataFrame, keys: list[str] = (), predictors=("ens_mean",), var: str = "ens_var",
              obs: str = "t2m_obs", min_rows: int = 1, max_group_rows: int = MAX_GROUP_ROWS,
-             max_iter: int = 100_000, lockstep_iter: int = 1000, cheap_scan: bool = False) -> DataFrame:
-    """One model row (keys, a, b, c, d[, e], n_rows, loss) per key group with at least `min_rows` rows.
+             max_iter: int = 5000, lockstep_iter: int = 500, cheap_scan: bool = False) -> DataFrame:
+    """One model row (keys, a, b, c, d[, e], n_rows, loss, status) per key group with at least `min_rows` rows.
 
     The models are stored, so that every use reads parameters instead of fitting again, and the join to the rows to predict
     is planned with their true size. `cheap_scan` says that the panel is a stored table behind narrow steps: large fits then
@@ -389,91 +418,3 @@ def predict_tiers(test: DataFrame, tiers: list[tuple[DataFrame, list[str], int]]
     """
     models = {str(i): (m, keys) for i, (m, keys, _) in enumerate(tiers)}
     return predict_variants(test, models, {"": [(str(i), t[2]) for i, t in enumerate(tiers)]}, var, levels).drop("method")
-
-
-def held_out_sums(theta: np.ndarray, targets: np.ndarray, station: np.ndarray, x: np.ndarray, v: np.ndarray,
-                  y: np.ndarray, shared: bool) -> np.ndarray:
-    """Sums over the rows of other stations for each target; `shared` says that all targets have the same parameters."""
-    if shared:
-        total = np.repeat(theta_sums(theta[0], x, v, y)[None, :], len(targets), axis=0)
-    else:
-        total = np.stack([theta_sums(t, x, v, y) for t in theta])
-    order = np.argsort(station, kind="stable")
-    at = {s: i for i, s in enumerate(targets)}
-    names, starts = np.unique(station[order], return_index=True)
-    for s, rows in zip(names, np.split(order, starts[1:])):
-        if s in at:
-            total[at[s]] -= theta_sums(theta[at[s]], x[rows], v[rows], y[rows])
-    return total
-
-
-def fit_leave_one_out(train: DataFrame, lead_specific: bool = False, min_rows_lead: int = 20,
-                      max_iter: int = 1000) -> DataFrame:
-    """One model per held-out station (and lead), fitted on all other stations.
-
-    The sums of a target are those of all rows minus those of its own rows. All targets start from the fit on all stations,
-    where one grouped pass gives every target's sums. Later each batch evaluates the parameters of all targets on its rows and
-    emits one row of sums per fit, so (row, target) pairs never become rows; two or three such passes are enough. Lead-specific
-    fits with too few rows are left out for the pooled fallback.
-    """
-    spark = train.sparkSession
-    keys = ["station_id"] + (["step_hours"] if lead_specific else [])
-    stored = materialise(train.select("station_id", "step_hours", "ens_mean", "ens_var", "t2m_obs"))
-    counts = stored.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).toPandas()    # stations x leads
-    if lead_specific:
-        counts["total"] = counts.groupby("step_hours")["n"].transform("sum")
-    else:
-        counts["total"] = counts["n"].sum()
-    fits = counts[counts["total"] - counts["n"] >= (min_rows_lead if lead_specific else 1)].reset_index(drop=True)
-    # all stations together are one station away from every target: a good starting point
-    lead_keys = ["step_hours"] if lead_specific else []
-    near = fit_emos(stored, lead_keys).toPandas()
-    if lead_specific:
-        near = fits[["step_hours"]].merge(near, on="step_hours", how="left")
-    start = np.broadcast_to(_loc_scale(near, ("ens_mean",)), (len(fits), 4)).copy()
-    schema = T.StructType([T.StructField("_fit", T.LongType())]
-                          + [T.StructField(f"_s{i}", T.DoubleType()) for i in range(12)])
-
-    station = fits["station_id"].to_numpy()
-    lead = fits["step_hours"].to_numpy() if lead_specific else np.zeros(len(fits))
-    passes = []
-
-    def evaluate(ids, theta):
-        first = not passes
-        passes.append(len(ids))
-
-        def run(batches):
-            total = np.zeros((len(ids), 12))
-            for pdf in batches:
-                ld = pdf["step_hours"].to_numpy() if lead_specific else np.zeros(len(pdf))
-                cols = [pdf[c].to_numpy() for c in ("station_id", "ens_mean", "ens_var", "t2m_obs")]
-                with np.errstate(all="ignore"):
-                    for h in np.unique(ld):
-                        fit = np.flatnonzero(lead[ids] == h)
-                        if len(fit):
-                            total[fit] += held_out_sums(theta[fit], station[ids][fit], *[c[ld == h] for c in cols], first)
-            out = pd.DataFrame(total, columns=[f"_s{i}" for i in range(12)])
-            out.insert(0, "_fit", ids)
-            yield out
-
-        parts = stored.mapInPandas(run, schema)
-        got = parts.groupBy("_fit").agg(*[F.sum(f"_s{i}").alias(f"_s{i}") for i in range(12)]).toPandas()
-        return got.set_index("_fit").loc[ids].to_numpy(dtype=float)
-
-    state = drive(len(fits), 2, evaluate, max_iter, start)
-    out = fits[keys].copy()
-    for n, col in zip(param_names(("ens_mean",)), _ordered(state.best, 1)):
-        out[n] = col
-    out["n_rows"], out["loss"] = state.n_rows.astype("int64"), state.loss
-    return spark.createDataFrame(out, model_schema(stored, keys, ("ens_mean",)))
-
-
-def refit_in_place(predictions: DataFrame, method: str, test: DataFrame, train: DataFrame,
-                   keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Replaces the rows of one pooled method by a fresh fit; also returns the mean absolute change of the median."""
-    old = predictions.where(F.col("method") == method)
-    covariates = test.select(*keys, "ens_mean", "ens_var")
-    new = emos_predict(old.drop("q").join(covariates, keys), fit_emos(train)).select(*predictions.columns)
-    change = (old.select(*keys, F.col("q")[4].alias("_m0")).join(new.select(*keys, F.col("q")[4].alias("_m1")), keys)
-              .agg(F.avg(F.abs(F.col("_m1") - F.col("_m0"))).alias("mean_abs_change"), F.count(F.lit(1)).alias("n")))
-    return predictions.where(F.col("method") != method).unionByName(new), change

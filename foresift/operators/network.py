@@ -1,8 +1,10 @@
 """Distributional regression network trained by local SGD with weight averaging.
 
-The rows of each fit are hashed into shards of bounded size. In a round every shard scores the current weights on its
-held-out rows and then takes some Adam steps from them; Spark sums the weights, and one averaged vector per fit returns to
-the driver. The best round by held-out CRPS wins, the untrained network (the raw-ensemble Gaussian) included.
+The rows of each fit are dealt to shards of bounded size by station; a station with more rows than a shard is split over several.
+In a round every shard scores the current weights on its held-out rows and then takes some Adam steps from them. The station
+embeddings are a keyed table that lies with the rows: a shard gets those of its stations, and Spark averages what comes back by
+station, weighted by rows. Only the shared layers, whose size depends neither on stations nor on rows, are averaged on the
+driver. The best round by held-out CRPS wins, the untrained network (the raw-ensemble Gaussian) included.
 """
 from __future__ import annotations
 
@@ -18,7 +20,7 @@ from pyspark.sql import types as T
 from foresift.functions.normal import INV_SQRT_PI, SQRT_2PI, cdf_np
 from foresift.functions.scores import LEVELS
 from foresift.operators.emos import gaussian_quantiles
-from foresift.operators.sampling import CASE, validation_split
+from foresift.operators.sampling import CASE, validation_splits
 from foresift.operators.spread import position
 from foresift.sources.storage import materialise
 
@@ -118,26 +120,41 @@ def adam_steps(shape: Shape, flat: np.ndarray, x: dict, steps: int, batch: int,
     return w
 
 
+def initial_embedding(seed: int, stations: np.ndarray) -> np.ndarray:
+    """First embedding of each station, a function of seed and station alone."""
+    return np.stack([np.random.default_rng([seed, int(s)]).standard_normal(EMBEDDING) for s in stations]) \
+        if len(stations) else np.zeros((0, EMBEDDING))
+
+
 class NetworkModel:
-    """Fitted networks, one weight vector per fit id."""
+    """Fitted networks: a vector of shared layers per fit id, and a table of embeddings by fit id and station."""
 
-    def __init__(self, shape, weights, scales, stations, leads, history):
-        self.shape, self.weights, self.scales = shape, weights, scales
+    def __init__(self, shape, shared, embeddings, scales, stations, leads, history):
+        self.shape, self.shared, self.embeddings, self.scales = shape, shared, embeddings, scales
         self.stations, self.leads, self.history = stations, leads, history
 
     def transform(self, test: DataFrame, levels=LEVELS) -> DataFrame:
         """Rows of `test` per fit id with mu, sigma and q; unseen stations and leads use index 0."""
         rows = _features(test.withColumn("t2m_obs", F.lit(0.0)) if "t2m_obs" not in test.columns else test,
                          self.scales, self.stations, self.leads)
-        shape, weights = self.shape, self.weights
+        # stations that the set of a fit does not hold are unseen by that fit
+        unseen = self.embeddings.where("s = 0").select("fit_id", F.col("value").alias("_unseen"))
+        rows = rows.join(self.embeddings, ["fit_id", "s"], "left").join(unseen, "fit_id") \
+            .withColumn("es", F.coalesce("value", "_unseen"))
+        shape, shared = self.shape, self.shared
         keep = [c for c in test.columns if c != "fit_id"]
+        rows = rows.select("fit_id", *keep, "es", "m", "v", "base_mu", "base_ls2", "y", *(["l"] if shape.leads else []),
+                           "obs_scale", "obs_loc")
         schema = T.StructType([rows.schema["fit_id"]] + [test.schema[c] for c in keep]
                               + [T.StructField("mu", T.DoubleType()), T.StructField("sigma", T.DoubleType())])
 
         def run(batches):
             for pdf in batches:
                 for fit, part in pdf.groupby("fit_id", sort=False):
-                    mu, sg, *_ = forward(shape, weights[fit], _inputs(part))
+                    # each row brings its own embedding
+                    own = Shape(len(part), shape.leads)
+                    flat = np.concatenate([np.concatenate(part["es"].to_list()), shared[fit]])
+                    mu, sg, *_ = forward(own, flat, _inputs(part) | {"s": np.arange(len(part))})
                     out = part[["fit_id", *keep]].copy()
                     out["mu"] = mu * part["obs_scale"].to_numpy() + part["obs_loc"].to_numpy()
                     out["sigma"] = sg * part["obs_scale"].to_numpy()
@@ -191,28 +208,33 @@ def fit_networks(train: DataFrame, seeds: dict[str, int], use_lead: bool = True,
     stations = materialise(stations)
     scales = materialise(_scales(train))
     sizes = {r["fit_id"]: r["fit_rows"] for r in scales.select("fit_id", "fit_rows").collect()}     # one row per fit
-    shape = Shape(stations.count(), leads.count() if leads is not None else 0)
-    split = None
-    for fit, seed in seeds.items():
-        part = validation_split(train.where(F.col("fit_id") == fit), seed, val_fraction,
-                                row_key=["station_id", "step_hours"] if use_lead else ["station_id"])
-        split = part if split is None else split.unionByName(part)
+    shape = Shape(0, leads.count() if leads is not None else 0)       # of the shared layers
+    split = validation_splits(train.where(F.col("fit_id").isin(list(seeds))), seeds, val_fraction,
+                              row_key=["station_id", "step_hours"] if use_lead else ["station_id"])
     rows = _features(split, scales, stations, leads)
     cores = spark.sparkContext.defaultParallelism
     n_shards = F.greatest(F.ceil(F.col("fit_rows") / SHARD_ROWS),
                           F.least(F.lit(cores), F.ceil(F.col("fit_rows") / MIN_SHARD_ROWS)))
+    # a station with more rows than an average shard is split
+    sizes_of = rows.groupBy("fit_id", "s").agg(F.count(F.lit(1)).alias("_own"))
     key = [c for c in ("station_id", *CASE, "step_hours") if c in rows.columns]
-    rows = rows.withColumn("shard", F.pmod(F.hash(*key), n_shards).cast("int"))
+    parts = F.ceil(F.col("_own") * n_shards / F.col("fit_rows"))
+    rows = rows.join(sizes_of, ["fit_id", "s"]).withColumn(
+        "shard", F.pmod(F.hash("s") + F.pmod(F.hash(*key), parts), n_shards).cast("int"))
     cols = ["fit_id", "shard", "is_val", "m", "v", "y", "base_mu", "base_ls2", "s", *(["l"] if use_lead else []),
             "obs_scale", "fit_rows"]
     stored = materialise(rows.select(*cols))
+    places = materialise(stored.select("fit_id", "s", "shard").distinct())
     held = {r["fit_id"] for r in stored.where("is_val").select("fit_id").distinct().collect()}     # one row per fit
     brief = {f for f in sizes if sizes[f] < FALLBACK_ROWS or f not in held}
     current = {f: shape.initial(s) for f, s in seeds.items() if f in sizes}
     best, best_val = dict(current), {f: math.inf for f in current}
     bad = {f: 0 for f in current}
     history: dict[str, list[float]] = {f: [] for f in current}
-    schema = "fit_id string, pos int, value double, weight double"
+    schema = "fit_id string, key bigint, value array<double>, weight double"
+    first = embedded = _initial_embeddings(places, seeds)
+    best_table: dict[str, DataFrame] = {f: embedded for f in current}
+    n_leads = shape.leads
     for r in range(rounds + 1):
         live = [f for f in current if (r == 0 if f in brief else bad[f] < PATIENCE or r * local_steps < min_updates)]
         if not live:
@@ -220,42 +242,90 @@ def fit_networks(train: DataFrame, seeds: dict[str, int], use_lead: bool = True,
         weights = {f: current[f] for f in live}
         score_only = r == rounds
 
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            fit = pdf["fit_id"].iloc[0]
-            flat = weights[fit]
-            held = pdf["is_val"].to_numpy()
-            out = []
-            if held.any():
-                x = _inputs(pdf[held])
-                mu, sg, *_ = forward(shape, flat, x)
-                val = losses(mu, sg, x["y"]) * pdf["obs_scale"].to_numpy()[held]
-                out.append(pd.DataFrame({"pos": [-1], "value": [val.sum()], "weight": [float(len(val))]}))
-            if not score_only and not held.all():
-                x = _inputs(pdf[~held])
-                n = len(x["y"])
-                w = adam_steps(shape, flat, x, FALLBACK_STEPS if fit in brief else local_steps,
-                               max(1, min(BATCH, max(256, n // 20))), seeds[fit] * 1000 + r)
-                out.append(pd.DataFrame({"pos": np.arange(len(w)), "value": w * n, "weight": float(n)}))
-            frame = pd.concat(out) if out else pd.DataFrame({"pos": [-2], "value": [0.0], "weight": [0.0]})
-            frame.insert(0, "fit_id", fit)
-            return frame
-
-        got = (stored.where(F.col("fit_id").isin(live)).groupBy("fit_id", "shard").applyInPandas(run, schema)
-               .groupBy("fit_id", "pos").agg(F.sum("value").alias("value"), F.sum("weight").alias("weight"))
-               .toPandas())
-        for fit, part in got.groupby("fit_id"):
-            part = part.sort_values("pos")
-            val = part[part["pos"] == -1]
-            if len(val):
-                score = float(val["value"].iloc[0] / val["weight"].iloc[0])
-                history[fit].append(score)
-                if score < best_val[fit]:
-                    best_val[fit], best[fit], bad[fit] = score, current[fit], 0
+        def run(pdf: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+            # a set that has ended leaves its embeddings only
+            if not len(pdf) or pdf["fit_id"].iloc[0] not in weights:
+                return pd.DataFrame({"fit_id": [], "key": [], "value": [], "weight": []})
+            return train_shard(pdf, own, weights, n_leads, seeds, r, brief, local_steps, score_only)
+
+        of_shard = embedded.join(places, ["fit_id", "s"])
+        done = materialise(stored.where(F.col("fit_id").isin(live)).groupBy("fit_id", "shard")
+                           .cogroup(of_shard.groupBy("fit_id", "shard")).applyInPandas(run, schema))
+        got = _weighted_mean(done.where("key < 0")).toPandas()      # shared layers and the score: two rows per fit
+        for fit, key, value, weight in got[["fit_id", "key", "value", "weight"]].itertuples(index=False):
+            if key == SCORE:
+                history[fit].append(float(value[0]))
+                if value[0] < best_val[fit]:
+                    best_val[fit], best[fit], best_table[fit], bad[fit] = float(value[0]), current[fit], embedded, 0
                 else:
                     bad[fit] += 1
-            new = part[part["pos"] >= 0]
-            if len(new):
-                current[fit] = (new["value"] / new["weight"]).to_numpy()
+        embedded = _weighted_mean(done.where("key >= 0")).select("fit_id", F.col("key").alias("s"), "value")
+        for fit, key, value in got[["fit_id", "key", "value"]].itertuples(index=False):
+            if key == SHARED:
+                current[fit] = np.array(value)
                 if fit in brief:
-                    best[fit] = current[fit]
-    return NetworkModel(shape, best, scales, stations, leads, history)
+                    best[fit], best_table[fit] = current[fit], embedded
+    kept = None
+    for table in {id(t): t for t in best_table.values()}.values():
+        part = table.where(F.col("fit_id").isin([f for f, t in best_table.items() if t is table]))
+        kept = part if kept is None else kept.unionByName(part)
+    kept = kept.unionByName(first.where("s = 0").join(kept, ["fit_id", "s"], "left_anti"))
+    return NetworkModel(shape, best, materialise(kept), scales, stations, leads, history)
+
+
+# keys of the rows that a shard returns besides those of its stations
+SCORE, SHARED = -1, -2
+
+
+def train_shard(pdf: pd.DataFrame, own: pd.DataFrame, weights: dict, n_leads: int, seeds: dict[str, int], r: int, brief: set,
+                local_steps: int, score_only: bool = False) -> pd.DataFrame:
+    """One shard of one round: its score, and after some steps the shared layers and the embeddings of its stations."""
+    fit = pdf["fit_id"].iloc[0]
+    own = own.sort_values("s")
+    names = own["s"].to_numpy()
+    shape = Shape(len(names), n_leads)
+    flat = np.concatenate([np.concatenate(own["value"].to_list()), weights[fit]])
+    # in an order of their own: a shard that runs again, elsewhere, takes the same steps
+    pdf = pdf.iloc[np.lexsort((pdf["y"].to_numpy(), pdf["m"].to_numpy()))]
+    pdf = pdf.assign(s=np.searchsorted(names, pdf["s"].to_numpy()))
+    held = pdf["is_val"].to_numpy()
+    out = []
+    if held.any():
+        x = _inputs(pdf[held])
+        mu, sg, *_ = forward(shape, flat, x)
+        val = losses(mu, sg, x["y"]) * pdf["obs_scale"].to_numpy()[held]
+        out.append((SCORE, [val.mean()], float(len(val))))
+    if not score_only and not held.all():
+        x = _inputs(pdf[~held])
+        n = len(x["y"])
+        w = adam_steps(shape, flat, x, FALLBACK_STEPS if fit in brief else local_steps,
+                       max(1, min(BATCH, max(256, n // 20))), seeds[fit] * 1000 + r)
+        cut = len(names) * EMBEDDING
+        out.append((SHARED, w[cut:], float(n)))
+        times = np.bincount(x["s"], minlength=len(names))
+        # a station that this shard holds for validation alone keeps its embedding, at next to no weight
+        out += [(int(s), e, max(float(t), 1e-9)) for s, e, t in zip(names, w[:cut].reshape(-1, EMBEDDING), times)]
+    frame = pd.DataFrame(out, columns=["key", "value", "weight"])
+    frame.insert(0, "fit_id", fit)
+    return frame
+
+
+def _initial_embeddings(places: DataFrame, seeds: dict[str, int]) -> DataFrame:
+    def run(batches):
+        for pdf in batches:
+            for fit, part in pdf.groupby("fit_id", sort=False):
+                yield pd.DataFrame({"fit_id": fit, "s": part["s"].to_numpy(),
+                                    "value": list(initial_embedding(seeds[fit], part["s"].to_numpy()))})
+    pairs = places.select("fit_id", "s").distinct()
+    # unseen stations take index 0, whether or not the set has rows of it
+    zero = places.select("fit_id", F.lit(0).cast("bigint").alias("s")).distinct()
+    return materialise(pairs.unionByName(zero).distinct().mapInPandas(run, "fit_id string, s bigint, value array<double>"))
+
+
+def _weighted_mean(rows: DataFrame) -> DataFrame:
+    """Mean vectors by fit and key, element by element."""
+    cells = rows.select("fit_id", "key", "weight", F.posexplode("value").alias("pos", "x"))
+    means = cells.groupBy("fit_id", "key", "pos").agg((F.sum(F.col("x") * F.col("weight")) / F.sum("weight")).alias("x"),
+                                                      F.sum("weight").alias("weight"))
+    ordered = F.array_sort(F.collect_list(F.struct("pos", "x")))
+    return means.groupBy("fit_id", "key").agg(F.transform(ordered, lambda p: p["x"]).alias("value"), F.max("weight").alias("weight"))

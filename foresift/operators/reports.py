@@ -12,9 +12,12 @@ from foresift.operators import panel as P
 from foresift.operators import significance as G
 from foresift.operators.baselines import LAMBDA_CLIM, coverage_inflation, fit_inflation
 from foresift.operators.emos import emos_quantiles, fit_emos, gaussian_quantiles
-from foresift.operators.sampling import CASE, sweep_cases, sweep_panel
+from foresift.operators.network import fit_networks
+from foresift.operators.sampling import CASE, cases_to_days, exact_days, full_and_smaller, sweep_cases, sweep_panel
+from foresift.sources.storage import materialise
 from foresift.sources.tables import KEY
 
+
 def crps_by_bucket(half_open: bool = False) -> list[Column]:
     b = P.lead_bucket(F.col("step_hours"), half_open)
     return [F.avg(F.when(b == name, S.crps("obs", "q"))).alias(f"crps_{name}") for name in P.BUCKETS]
@@ -252,12 +255,16 @@ def score_models(test: DataFrame, models: DataFrame, fit_cols: list[str], q: Col
                                        F.countDistinct("station_id").alias("n_stations"))
 
 
-def training_size_table(train: DataFrame, test: DataFrame, ks: list[int], seeds: list[int],
-                        target_coverage: float = 0.8) -> DataFrame:
-    """Scores by training size: pooled and local EMOS and fitted inflation on recent cases, pooled EMOS on random cases,
-    the mean over seeds, and the references that do not depend on size, repeated for each size.
+def training_size_table(train: DataFrame, test: DataFrame, ks: list[int], seeds: list[int], target_coverage: float = 0.8,
+                        network_seeds: tuple[int, ...] = (0, 1, 2), **network) -> DataFrame:
+    """Scores by training size: pooled and local EMOS, fitted inflation and the network on recent cases, pooled EMOS on random
+    cases, the mean over seeds, and the references that do not depend on size, repeated for each size.
 
-    A size with no training rows emits NULL scores. The whole archive is fitted once and stands for every seed.
+    `n_days` is the span that maps back to exactly k cases, 'full' for the whole archive; `calendar_days` the days that k cases
+    span, NULL for the whole archive. All sizes and seeds of the network are trained together; its scores are means over
+    `network_seeds` with the standard deviation of the population (those of random cases: of the sample). A size with no
+    training rows emits NULL scores. The whole archive is fitted once and stands for every seed. Further arguments go to
+    `fit_networks`.
     """
     cases = train.groupBy(*CASE).agg(F.min("case_date").alias("case_date"))
     n_full = cases.count()
@@ -286,17 +293,64 @@ def training_size_table(train: DataFrame, test: DataFrame, ks: list[int], seeds:
     mean = random_arm(seeded, ["method", "k"], metrics).select(
         "method", F.lit("random_mean").alias("arm"), F.lit(-1).alias("seed"), "k",
         F.lit(None).cast("bigint").alias("n"), *metrics, F.lit(None).cast("bigint").alias("n_stations"), *spread)
+    net = network_scores(panel, inst, sizes, network_seeds, network) if network_seeds else None
     refs = size_independent(train, inst, target_coverage)
     size_rows = refs.withColumn("k", F.explode(F.array(*[F.lit(int(k)) for k in sizes]))).select(
         "method", F.lit("n_independent").alias("arm"), F.lit(-1).alias("seed"), "k", "n", *metrics,
         F.lit(None).cast("bigint").alias("n_stations"), *[F.lit(None).cast("double").alias(s) for s in spread])
     out = base.unionByName(mean).unionByName(full).unionByName(size_rows)
+    if net is not None:
+        out = out.unionByName(random_arm(net, ["k"], metrics, population=True).select(
+            F.lit("network").alias("method"), F.lit("contiguous").alias("arm"), F.lit(-1).alias("seed"), "k",
+            F.lit(None).cast("bigint").alias("n"), *metrics, F.lit(None).cast("bigint").alias("n_stations"), *spread))
     empty = [k for k in ks if k <= 0]
     if empty:
-        methods = ["emos_pooled", "emos_local", "inflation_fitted"]
+        methods = ["emos_pooled", "emos_local", "inflation_fitted", *(["network"] if network_seeds else [])]
         rows = [(m, "contiguous", -1, int(k)) for k in empty for m in methods]
         blanks = train.sparkSession.createDataFrame(rows, "method string, arm string, seed int, k int")
         out = out.unionByName(blanks, allowMissingColumns=True)
+    label = F.when(F.col("k") == n_full, F.lit("full")).otherwise(F.round(exact_days(F.col("k")), 4).cast("string"))
+    return out.withColumns({"n_days": label, "calendar_days": F.when(F.col("k") != n_full, cases_to_days(F.col("k")))})
+
+
+def network_scores(panel: DataFrame, inst: DataFrame, sizes: list[int], seeds: tuple[int, ...], options: dict) -> DataFrame:
+    """Scores of networks on the recent cases of every size and seed, trained in one grouped run."""
+    recent = panel.where("arm = 'contiguous'").drop("seed").withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
+    train = materialise(recent.withColumn("fit_id", F.concat_ws("-", "k", "seed")).select(
+        "fit_id", "station_id", "step_hours", *CASE, "ens_mean", "ens_var", "t2m_obs"))
+    model = fit_networks(train, {f"{k}-{s}": s for k in sizes for s in seeds}, use_lead=False, **options)
+    out = model.transform(inst.withColumnRenamed("obs", "t2m_obs")).groupBy("fit_id").agg(*S.bundle("t2m_obs", "q"))
+    return out.withColumn("k", F.split("fit_id", "-")[0].cast("int"))
+
+
+def fitted_breakpoints(table: DataFrame, reference: str, methods: list[str], keys: list[str] = ()) -> DataFrame:
+    """Where the scores of fitted methods cross those of a reference, on axes of training sizes.
+
+    `table` has rows of `training_size_table`, with a column `axis` ('small', 'main'); both together are the 'combined' axis,
+    the main row counting where both have a size. Rows without covered stations are no points of a curve.
+    """
+    curve = table.where((F.col("arm") == "contiguous") & F.col("method").isin(methods) & (F.col("k") > 0)
+                        & (F.col("n_stations").isNull() | (F.col("n_stations") > 0)))
+    both = curve.groupBy(*keys, "method", "k").agg(*[F.max_by(m, F.col("axis") == "main").alias(m) for m in CROSSED])
+    axes = curve.where("axis = 'main'").select(*keys, "axis", "method", "k", *CROSSED).unionByName(
+        both.withColumn("axis", F.lit("combined")).select(*keys, "axis", "method", "k", *CROSSED))
+    line = table.where((F.col("method") == reference) & (F.col("axis") == "main")).groupBy(*keys).agg(
+        *[F.first(m).alias(f"_ref_{m}") for m in CROSSED])
+    return crossings(axes.join(line, list(keys)) if keys else axes.crossJoin(F.broadcast(line)),      # one row
+                     [*keys, "axis", "method"])
+
+
+CROSSED = ["crps", "coverage_80pct"]
+
+
+def crossings(curve: DataFrame, keys: list[str]) -> DataFrame:
+    """Crossing of each metric with its reference (columns `_ref_<metric>`) over k, with days and verdict."""
+    out = None
+    for m in CROSSED:
+        points = curve.select(*keys, F.col("k").alias("n"), F.col(m).alias("value"), F.col(f"_ref_{m}").alias("ref"))
+        row = G.crossing_with_direction(points, keys, m).join(points.groupBy(*keys).agg(F.first("ref").alias("reference")), keys)
+        row = row.withColumns({"metric": F.lit(m), "days": cases_to_days(F.col("breakpoint"))})
+        out = row if out is None else out.unionByName(row)
     return out
 
 
@@ -312,26 +366,67 @@ def size_independent(train: DataFrame, inst: DataFrame, target_coverage: float)
     return score_models(inst, models, ["method"], q)
 
 
-def seasonal_sweep(train: DataFrame, test: DataFrame, ks: list[int], reference: Column) -> DataFrame:
-    """Season-matched training: per season, size and method, scores and tests of the difference to the reference.
+def seasonal_sweep(train: DataFrame, test: DataFrame, ks: list[int], references: dict[str, Column], seeds: list[int],
+                   min_lead_specific: int = 5) -> DataFrame:
+    """Season-matched training: per season, arm, size and method, scores and tests of the difference to the references.
 
-    Cases are ranked within their season and all seasons, sizes and methods are fitted together.
+    Cases are ranked within their season and all seasons, arms, sizes and methods are fitted together; sizes from the number of
+    cases of a season on stand for all of them. On recent cases: pooled, local and, from `min_lead_specific` cases on, local
+    lead-specific EMOS, tested by day against the first reference and by daily series against each, all references in one
+    pass. On random cases: pooled EMOS, mean and population standard deviation over seeds. Rows of arm 'n_independent' hold the
+    scores of the references themselves.
     """
     tr = train.withColumn("season", P.season(F.month("case_date")))
-    te = P.with_issue_time(test).withColumn("season", P.season(F.month("issue_date")))
+    te = P.with_issue_time(test).withColumn("season", P.season(F.month("issue_date"))).withColumnRenamed("t2m_obs", "obs")
     cases = tr.groupBy("season", *CASE).agg(F.min("case_date").alias("case_date"))
-    sets = sweep_cases(cases, ks, [0], ["season"]).where("arm = 'contiguous'")
-    panel = tr.join(sets.select("season", "k", *CASE), ["season", *CASE])
-    te = te.withColumnRenamed("t2m_obs", "obs")
-    pooled = te.join(fit_emos(panel, ["season", "k"]), "season").withColumn("method", F.lit("emos_pooled"))
-    local = te.join(fit_emos(panel, ["season", "k", "station_id"], min_rows=5), ["season", "station_id"]).withColumn(
-        "method", F.lit("emos_local"))
-    rows = pooled.unionByName(local).withColumn("q", emos_quantiles()).withColumn("crps", S.crps("obs", "q"))
-    rows = rows.withColumn("_ref", reference).withColumn("ref_crps", S.crps("obs", "_ref")).drop("_ref")
-    keys = ["season", "k", "method"]
-    scored = rows.groupBy(*keys).agg(*S.bundle("obs", "q"), F.countDistinct("station_id").alias("n_stations"))
-    diff = F.col("crps") - F.col("ref_crps")
-    day = G.paired_block_test(G.block_means(rows, keys, F.to_date("valid_time"), diff), keys)
-    hac = G.robust_comparison(rows, keys, diff)
-    return scored.join(day, keys, "left").join(
-        hac.select(*keys, *[F.col(c).alias(f"hac_{c}") for c in hac.columns if c not in keys]), keys, "left")
+    fit = ["season", "arm", "seed", "k"]
+    sets = materialise(full_and_smaller(cases, ks, seeds, ["season"]).select(*fit, *CASE))
+    panel = materialise(tr.join(sets, ["season", *CASE]).select(*fit, "station_id", "step_hours", "ens_mean", "ens_var", "t2m_obs"))
+    recent = panel.where("arm = 'contiguous'")
+    parts = [("emos_pooled", fit_emos(panel, fit), []),
+             ("emos_local", fit_emos(recent, [*fit, "station_id"], min_rows=5), ["station_id"]),
+             ("emos_local_leadspec", fit_emos(recent.where(F.col("k") >= min_lead_specific), [*fit, "station_id", "step_hours"],
+                                              min_rows=5), ["station_id", "step_hours"])]
+    rows = None
+    for name, models, own in parts:
+        part = te.join(models.select(*fit, *own, "a", "b", "c", "d"), ["season", *own]).withColumn("method", F.lit(name))
+        rows = part if rows is None else rows.unionByName(part)
+    rows = rows.withColumn("q", emos_quantiles()).withColumn("crps", S.crps("obs", "q"))
+    for name, q in references.items():
+        rows = rows.withColumn("_r", q).withColumn(f"crps_{name}", S.crps("obs", "_r")).drop("_r")
+    keys = ["season", "arm", "seed", "k", "method"]
+    metrics = ["crps", "coverage_80pct", "interval_width"]
+    scored = materialise(rows.groupBy(*keys).agg(*S.bundle("obs", "q"), F.countDistinct("station_id").alias("n_stations")))
+    tested = rows.where("arm = 'contiguous'")
+    diffs = F.explode(F.array(*[F.struct(F.lit(r).alias("ref"), (F.col("crps") - F.col(f"crps_{r}")).alias("d")) for r in references]))
+    each = tested.select(*keys, "valid_time", diffs.alias("_p")).select(*keys, "valid_time", "_p.ref", "_p.d")
+    hac = G.robust_comparison(each, [*keys, "ref"], F.col("d"))
+    names = [c for c in hac.columns if c not in [*keys, "ref"]]
+    wide = hac.groupBy(*keys).agg(*[F.max(F.when(F.col("ref") == r, F.col(c))).alias(f"hac_{r}_{c}") for r in references for c in names])
+    day = G.paired_block_test(G.block_means(each.where(F.col("ref") == list(references)[0]), keys, F.to_date("valid_time"), F.col("d")),
+                              keys)
+    spread = [F.lit(None).cast("double").alias(f"{m}_std") for m in metrics]
+    kept = ["season", "arm", "k", "method", "n", *metrics, *[f"{m}_std" for m in metrics], "n_stations"]
+    out = scored.where("arm = 'contiguous'").select("*", *spread).join(day, keys, "left").join(wide, keys, "left").drop("seed")
+    means = random_arm(scored.where("arm = 'random'"), ["season", "k", "method"], metrics, population=True).withColumns(
+        {"arm": F.lit("random"), "n": F.lit(None).cast("bigint"), "n_stations": F.lit(None).cast("bigint")}).select(*kept)
+    lines = None
+    for name, q in references.items():
+        part = te.withColumn("q", q).groupBy("season").agg(*S.bundle("obs", "q")).withColumn("method", F.lit(name))
+        lines = part if lines is None else lines.unionByName(part)
+    lines = lines.withColumns({"arm": F.lit("n_independent"), "k": F.lit(None).cast("int"), "n_stations": F.lit(None).cast("bigint")}) \
+        .select("*", *spread).select(*kept)
+    return out.unionByName(means, allowMissingColumns=True).unionByName(lines, allowMissingColumns=True)
+
+
+def seasonal_breakpoints(table: DataFrame, reference: str, alpha: float = 0.05) -> DataFrame:
+    """Crossings of a seasonal sweep with a reference by season, method, arm and metric, and the least size from which the CRPS is
+    lower and significantly so (recent cases)."""
+    curve = table.where("arm <> 'n_independent'").select("season", "arm", "method", "k", *CROSSED)
+    line = table.where((F.col("arm") == "n_independent") & (F.col("method") == reference)).select(
+        "season", *[F.col(m).alias(f"_ref_{m}") for m in CROSSED])
+    found = crossings(curve.join(line, "season"), ["season", "arm", "method"])
+    durable = G.first_durable_significance(table.where("arm = 'contiguous'"), ["season", "method"], "k", f"hac_{reference}_mean_diff",
+                                           f"hac_{reference}_dm_pvalue", alpha)
+    durable = durable.withColumns({"arm": F.lit("contiguous"), "metric": F.lit("crps"), "first_days": cases_to_days(F.col("first_k"))})
+    return found.join(durable, ["season", "method", "arm", "metric"], "left")

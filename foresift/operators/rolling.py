@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foresift.operators.emos import BUCKET_ROWS, fit_emos, fit_packed, predict_variants
-from foresift.operators.timeseries import day_number, rolling_pairs
+from foresift.operators.timeseries import day_number, rolling_pairs, window_fits
 from foresift.sources.storage import materialise
 
 # Minimum rows of a history, of a lead-specific, a station, and an adaptive (station, lead) fit.
@@ -25,8 +25,8 @@ VARIANTS = {
 }
 
 
-def local_models(history: DataFrame, issues: DataFrame, windows: list[int], keys: list[str]) -> DataFrame:
-    """Rolling fits per station (and lead).
+def local_models(history: DataFrame, fits: DataFrame, windows: list[int], keys: list[str]) -> DataFrame:
+    """Rolling fits per station (and lead), for the pairs of `at` and `window_days` in `fits`.
 
     History rows are shuffled once, two copies each: by series, window and block of W days, hashed into buckets. The issues
     of a block are joined in place and the fits of a bucket run together, so the pairs (about W per row) exist only inside
@@ -39,9 +39,7 @@ def local_models(history: DataFrame, issues: DataFrame, windows: list[int], keys
     rows = (history.withColumn("window_days", F.explode(sizes))
             .withColumn("_blk", F.explode(F.array(blk, blk + 1)))
             .withColumn("_bucket", F.pmod(F.hash(*keys, "window_days", "_blk"), F.lit(n_buckets))))
-    targets = materialise(issues.select(F.col("issue_time").alias("at")).distinct()
-                          .withColumn("window_days", F.explode(sizes))
-                          .withColumn("_blk", F.floor(day_number("at") / F.col("window_days"))))
+    targets = materialise(fits.select("at", "window_days").withColumn("_blk", F.floor(day_number("at") / F.col("window_days"))))
     # An issue of day t looks back to day t - W, which lies in its own or the previous block. The issue list is one row per
     # issue time and window and has a known size; while it is small the rows stay where the first shuffle put them.
     spread = rows.repartition(F.col("_bucket"))
@@ -49,25 +47,28 @@ def local_models(history: DataFrame, issues: DataFrame, windows: list[int], keys
         (F.col("issue_time") >= F.timestamp_add("DAY", -F.col("window_days"), F.col("at")))
         & (F.col("issue_time") < F.col("at")) & (F.col("valid_time") < F.col("at")))
     cols = pairs.select("_bucket", *keys, *FIT, "ens_mean", "ens_var", "t2m_obs")
-    return materialise(fit_packed(cols, [*keys, *FIT], ["_bucket"], ("ens_mean",), "ens_var", "t2m_obs", 100_000))
+    return materialise(fit_packed(cols, [*keys, *FIT], ["_bucket"], ("ens_mean",), "ens_var", "t2m_obs", 5000))
 
 
 def rolling_predictions(history: DataFrame, test: DataFrame, windows: list[int]) -> DataFrame:
     """All four variants for all windows: columns of `test`, window_days, method, tier, q.
 
     Local variants fall back to the station's all-lead fit, then to the pooled one. Issue times with fewer than
-    MIN_HISTORY verified pairs get no forecast.
+    MIN_HISTORY verified pairs get no forecast. Windows that hold the same rows share one fit.
     """
     hist = history.select("station_id", "step_hours", "issue_time", "valid_time", "ens_mean", "ens_var", "t2m_obs")
-    issues = materialise(test.select("issue_time").distinct())
-    pairs = rolling_pairs(hist, issues, windows)
+    shared = materialise(window_fits(hist, test, windows))
+    fits = materialise(shared.select("at", F.col("fit_days").alias("window_days")).distinct())
+    used = sorted(r["window_days"] for r in fits.select("window_days").distinct().collect())      # some of `windows`
+    pairs = rolling_pairs(hist, fits, used)
     models = {
         "pooled": (fit_emos(pairs, FIT, min_rows=MIN_HISTORY), FIT),
         "lead": (fit_emos(pairs, [*FIT, "step_hours"], min_rows=MIN_LEAD), [*FIT, "step_hours"]),
-        "station": (local_models(hist, issues, windows, ["station_id"]), [*FIT, "station_id"]),
-        "cell": (local_models(hist, issues, windows, ["station_id", "step_hours"]), [*FIT, "station_id", "step_hours"]),
+        "station": (local_models(hist, fits, used, ["station_id"]), [*FIT, "station_id"]),
+        "cell": (local_models(hist, fits, used, ["station_id", "step_hours"]), [*FIT, "station_id", "step_hours"]),
     }
-    rows = test.withColumn("window_days", F.explode(F.array(*[F.lit(w) for w in windows]))).withColumn(
-        "at", F.col("issue_time"))
+    # the models are keyed by the window that was fitted
+    asked = shared.select("at", F.col("window_days").alias("_asked"), F.col("fit_days").alias("window_days"))
+    rows = test.withColumn("at", F.col("issue_time")).join(asked, "at")
     enough = rows.join(models["pooled"][0].select(*FIT), FIT, "left_semi")
-    return predict_variants(enough, models, VARIANTS).drop("at")
+    return predict_variants(enough, models, VARIANTS).drop("at", "window_days").withColumnRenamed("_asked", "window_days")

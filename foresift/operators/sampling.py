@@ -120,3 +120,29 @@ def validation_split(train: DataFrame, seed: int = 0, fraction: float = 0.1, min
     flags = ranked.crossJoin(F.broadcast(size)).select(     # size is one row
         *unit, F.when(none, F.lit(False)).otherwise(F.col("_rank") < n_val).alias("is_val"))
     return train.join(flags, unit)
+
+
+def validation_splits(train: DataFrame, seeds: dict[str, int], fraction: float = 0.1, min_rows: int = 200,
+                      row_key: list[str] = ()) -> DataFrame:
+    """`validation_split` of many sets at once: sets are told apart by `fit_id`, each with its own seed."""
+    unit = CASE if all(c in train.columns for c in CASE) else list(row_key)
+    # one row per fit
+    of_fit = F.broadcast(train.sparkSession.createDataFrame(list(seeds.items()), "fit_id string, _seed int"))
+    units = train.groupBy("fit_id", *unit).agg(F.count(F.lit(1)).alias("_rows")).join(of_fit, "fit_id")
+    h = units.withColumn("_h", hash_key(F.col("_seed"), *[F.col(c) for c in unit]))
+    ranked = position(h, ["fit_id"], F.substring("_h", 1, 2), [F.col("_h"), *[F.col(c) for c in unit]], "_rank")
+    size = units.groupBy("fit_id").agg(F.count(F.lit(1)).alias("_n"), F.sum("_rows").alias("_total"))
+    n_val = F.least(F.greatest(F.lit(1), F.bround(fraction * F.col("_n")).cast("bigint")), F.col("_n") - 1)
+    none = (F.col("_total") < min_rows) | (F.col("_n") < 2)
+    flags = ranked.join(size, "fit_id").select(
+        "fit_id", *unit, F.when(none, F.lit(False)).otherwise(F.col("_rank") < n_val).alias("is_val"))
+    return train.join(flags, ["fit_id", *unit])
+
+
+def full_and_smaller(cases: DataFrame, ks: list[int], seeds: list[int], keys: list[str] = ()) -> DataFrame:
+    """`sweep_cases` for the sizes below the number of cases (of each key group), and the recent set of all cases with that k."""
+    total = cases.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")) if keys else cases.agg(F.count(F.lit(1)).alias("_n"))
+    both = lambda df: df.join(total, list(keys)) if keys else df.crossJoin(F.broadcast(total))      # noqa: E731  one row
+    below = both(sweep_cases(cases, ks, seeds, keys)).where(F.col("k") < F.col("_n")).drop("_n")
+    whole = both(rank_recent(cases, keys)).withColumns({"arm": F.lit("contiguous"), "seed": F.lit(-1), "k": F.col("_n").cast("int")})
+    return below.unionByName(whole.select(*below.columns))

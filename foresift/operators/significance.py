@@ -251,32 +251,63 @@ def last_durable_crossing(curve: DataFrame, keys: list[str], ref: str = "ref", n
                       F.when(status == "crossed", F.col("_cross")).alias("crossing"))
 
 
+def membership_mask(rows: DataFrame, sets: dict[str, DataFrame], keys: list[str], out: str = "members") -> DataFrame:
+    """Adds a bit mask of the key sets that hold the key of a row: bit i for the i-th set. All sets meet the rows in one join."""
+    marked = None
+    for i, df in enumerate(sets.values()):
+        part = df.select(*keys, F.lit(1 << i).cast("bigint").alias("_bit"))
+        marked = part if marked is None else marked.unionByName(part)
+    masks = marked.groupBy(*keys).agg(F.bit_or("_bit").alias(out))
+    return rows.join(masks, keys, "left").withColumn(out, F.coalesce(out, F.lit(0).cast("bigint")))
+
+
 def guarded_scores(rows: DataFrame, keys: list[str], references: list[str], buckets: dict[str, tuple[float, float]],
-                   min_instances: int = MIN_INSTANCES) -> DataFrame:
-    """Score row per method: NULL scores below `min_instances` covered rows, bucket CRPS, tests against references.
+                   min_instances: int | list[int] = MIN_INSTANCES, common: list[str] = (), members: str = "members") -> DataFrame:
+    """Score row per method (and per least number, if several are given, in column `least`): NULL scores below `min_instances` covered rows, bucket CRPS, tests against references.
 
     `rows` has one row per instance: keys, valid_time, step_hours, crps (NULL if uncovered), upper_crps, covered, width, and
-    crps_<reference> columns. All score columns come from one aggregation; the tests work on daily series.
+    crps_<reference> columns. `common` names references that are compared on the instances of their own key set only, bit i of
+    the mask `members` for the i-th: scores of both on that set, mean difference and p-value, NULL below `min_instances` covered
+    rows of the set; `crps_common` is that of the last reference with enough. All score columns come from one aggregation, and
+    the comparisons with all references from one array of differences: one daily series per reference.
     """
     have = F.col("crps").isNotNull()
+    inside_set = {r: have & (F.col(members).bitwiseAND(1 << i) != 0) for i, r in enumerate(common)}
     aggs = [F.count("crps").alias("n_instances"), F.avg(F.when(have, 1.0).otherwise(0.0)).alias("covered_fraction")]
     aggs += [F.avg(F.when(have, F.col(c))).alias(c) for c in ("crps", "upper_crps", "covered", "width")]
     for name, (lo, hi) in buckets.items():
         inside = have & F.col("step_hours").between(lo, hi)
         aggs.append(F.avg(F.when(inside, F.col("crps"))).alias(f"crps_{name}"))
         aggs += [F.avg(F.when(inside, F.col(f"crps_{r}"))).alias(f"crps_{r}_{name}") for r in references]
+    for r, where in inside_set.items():
+        aggs += [F.count(F.when(where, 1)).alias(f"_n_{r}"), F.avg(F.when(where, F.col("crps"))).alias(f"_crps_{r}"),
+                 F.avg(F.when(where, F.col(f"crps_{r}"))).alias(f"crps_{r}_common")]
     out = rows.groupBy(*keys).agg(*aggs)
-    covered = rows.where(have)
-    for r in references:
-        both = covered.where(F.col(f"crps_{r}").isNotNull())
-        diff = F.col("crps") - F.col(f"crps_{r}")
-        rob = robust_comparison(both, keys, diff)
-        names = [c for c in rob.columns if c not in keys]
-        out = out.join(rob.select(*keys, *[F.col(c).alias(f"vs_{r}_{c}") for c in names]), keys, "left")
+    against = lambda name, r, where: F.when(where & F.col(f"crps_{r}").isNotNull(), F.struct(
+        F.lit(name).alias("ref"), (F.col("crps") - F.col(f"crps_{r}")).alias("d")))
+    pairs = [against(r, r, have) for r in references] + [against(f"{r}:common", r, w) for r, w in inside_set.items()]
+    each = rows.select(*keys, "valid_time", F.explode(F.array_compact(F.array(*pairs))).alias("_p")) \
+        .select(*keys, "valid_time", F.col("_p.ref").alias("_ref"), F.col("_p.d").alias("_d"))
+    robust = robust_comparison(each, [*keys, "_ref"], F.col("_d"))
+    measures = [c for c in robust.columns if c not in [*keys, "_ref"]]
+    pick = lambda ref, c, to: F.max(F.when(F.col("_ref") == ref, F.col(c))).alias(to)
+    wide = [pick(r, c, f"vs_{r}_{c}") for r in references for c in measures]
+    wide += [pick(f"{r}:common", c, f"vs_{r}_common_{c}") for r in common for c in ("mean_diff", "dm_pvalue")]
+    out = out.join(robust.groupBy(*keys).agg(*wide), keys, "left")
     first = references[0]
-    day = paired_block_test(block_means(covered.where(F.col(f"crps_{first}").isNotNull()), keys, F.to_date("valid_time"),
-                                        F.col("crps") - F.col(f"crps_{first}")), keys, exact=False)
+    day = paired_block_test(block_means(each.where(F.col("_ref") == first), keys, F.to_date("valid_time"), F.col("_d")), keys,
+                            exact=False)
     out = out.join(day.select(*keys, F.col("t_pvalue").alias(f"vs_{first}_day_t_pvalue")), keys, "left")
-    enough = F.col("n_instances") >= min_instances
-    kept = [*keys, "n_instances", "covered_fraction"]
-    return out.select(*kept, *[F.when(enough, F.col(c)).alias(c) for c in out.columns if c not in kept])
+    several = not isinstance(min_instances, int)
+    out = out.withColumn("least", F.explode(F.array(*[F.lit(n) for n in (min_instances if several else [min_instances])])))
+    last = F.lit(None).cast("double")
+    for r in common:
+        enough = F.col(f"_n_{r}") >= F.col("least")
+        last = F.when(enough, F.col(f"_crps_{r}")).otherwise(last)
+        out = out.withColumns({c: F.when(enough, F.col(c)) for c in
+                               (f"crps_{r}_common", f"vs_{r}_common_mean_diff", f"vs_{r}_common_dm_pvalue")})
+    if common:
+        out = out.withColumn("crps_common", last).drop(*[f"{c}_{r}" for r in common for c in ("_n", "_crps")])
+    enough = F.col("n_instances") >= F.col("least")
+    kept = [*keys, *(["least"] if several else []), "n_instances", "covered_fraction"]
+    return out.select(*kept, *[F.when(enough, F.col(c)).alias(c) for c in out.columns if c not in [*kept, "least"]])

@@ -207,20 +207,31 @@ def asof_contexts(instances: DataFrame, counted: DataFrame, length: int, gap: in
                        F.col("leads.t2m_obs").alias("obs"))
 
 
+def window_fits(history: DataFrame, issues: DataFrame, windows: list[int]) -> DataFrame:
+    """at, window_days, fit_days: all windows of an issue that reach back to the first row of the history hold the same rows,
+    and the shortest of them, `fit_days`, stands for all."""
+    first = history.agg(F.min("issue_time")).first()[0]
+    sizes = F.array(*[F.lit(w) for w in sorted(windows)])
+    whole = F.array_min(F.filter(sizes, lambda w: F.timestamp_add("DAY", -w, F.col("at")) <= F.lit(first)))
+    asked = issues.select(F.col("issue_time").alias("at")).distinct().withColumn("window_days", F.explode(sizes))
+    return asked.withColumn("fit_days", F.least("window_days", whole))
+
+
 def rolling_pairs(history: DataFrame, issues: DataFrame, windows: list[int], keys: list[str] = ()) -> DataFrame:
     """(window, issue, history row) with issue - W <= row's issue < issue and the row verified before the issue.
 
-    A range join made an equi-join: issues and rows are cut into blocks of W days, each issue looks at the two blocks its
-    window can touch, and the exact bounds are applied afterwards.
+    `issues` has an issue_time for all windows, or `at` and `window_days` for the pairs that are wanted. A range join made an
+    equi-join: issues and rows are cut into blocks of W days, each issue looks at the two blocks its window can touch, and the
+    exact bounds are applied afterwards.
     """
     sizes = F.array(*[F.lit(w) for w in windows])
     rows = (history.withColumn("window_days", F.explode(sizes))
             .withColumn("_blk", F.floor(day_number("issue_time") / F.col("window_days"))))
+    if "window_days" not in issues.columns:
+        issues = issues.select(*keys, F.col("issue_time").alias("at")).distinct().withColumn("window_days", F.explode(sizes))
     at = F.floor(day_number("at") / F.col("window_days"))
     # one row per issue time, window and block: stored, so that its size is known when the join is planned
-    targets = materialise(issues.select(*keys, F.col("issue_time").alias("at")).distinct()
-                          .withColumn("window_days", F.explode(sizes))
-                          .withColumn("_blk", F.explode(F.array(at - 1, at))))
+    targets = materialise(issues.select(*keys, "at", "window_days").withColumn("_blk", F.explode(F.array(at - 1, at))))
     lower = F.timestamp_add("DAY", -F.col("window_days"), F.col("at"))
     return (rows.join(targets, [*keys, "window_days", "_blk"])
             .where((F.col("issue_time") >= lower) & (F.col("issue_time") < F.col("at"))

@@ -8,21 +8,28 @@ from __future__ import annotations
 from foresift.functions.normal import INV_SQRT_PI, cdf_sql, phi_sql
 
 TOL, CALM, DAMP_END, BOUND = 1e-13, 3, 1e8, 40.0
-LOC = ("h00", "h01", "h11")
-SUMS = ("g0", "g1", "gc", "gd", "h00", "h01", "h11", "hcc", "hcd", "hdd")
 
 
-def _solve(h00: str, h01: str, h11: str, g0: str, g1: str, out: tuple[str, str]) -> str:
-    """Damped 2 x 2 system by Cramer's rule; lam is the damping."""
-    top = f"(1e-14::DOUBLE*(1+greatest({h00}, {h11})))"
-    m00, m11 = f"({h00}+{h00}*damp+{top})", f"({h11}+{h11}*damp+{top})"
-    det = f"({m00}*{m11}-{h01}*{h01})"
-    return f"({g0}*{m11}-{g1}*{h01})/{det} AS {out[0]}, ({g1}*{m00}-{g0}*{h01})/{det} AS {out[1]}"
+def _solve(names: list[str], out: list[str], ridge: bool = True) -> str:
+    """Symmetric system by Cramer's rule, damped unless without ridge; gradient g<name>, curvature h<name><name>."""
+    n = range(len(names))
+    h = [[f"h{names[min(i, j)]}{names[max(i, j)]}" for j in n] for i in n]
+    top = f"(1e-14::DOUBLE*(1+greatest({', '.join(h[i][i] for i in n)})))"
+    m = [[f"({h[i][i]}+{h[i][i]}*damp+{top})" if ridge and i == j else h[i][j] for j in n] for i in n]
 
+    def det(a: list[list[str]]) -> str:
+        if len(a) == 1:
+            return a[0][0]
+        minors = [[row[:j] + row[j + 1:] for row in a[1:]] for j in range(len(a))]
+        return "(" + "".join(f"{'-' if j % 2 else '+'}{a[0][j]}*{det(x)}" for j, x in enumerate(minors)).lstrip("+") + ")"
 
-def emos_fits(source: str, keys: list[str], min_rows: int = 1, x: str = "ens_mean", v: str = "ens_var",
+    swapped = [[[f"g{names[i]}" if j == k else m[i][j] for j in n] for i in n] for k in n]
+    return ", ".join(f"{det(a)}/{det(m)} AS {name}" for a, name in zip(swapped, out))
+
+
+def emos_fits(source: str, keys: list[str], min_rows: int = 1, predictors=("ens_mean",), v: str = "ens_var",
               y: str = "t2m_obs") -> str:
-    """SELECT of keys, a, b, c, d, n_rows, loss for every group of `source` (a table or a sub-select)."""
+    """SELECT of keys, a, b, c, d[, e], n_rows, loss for every group of `source` (a table or a sub-select)."""
     if not keys:
         source, keys = f"(SELECT *, 0 AS _all FROM {source})", ["_all"]
     k = "".join(f"{c}, " for c in keys)
@@ -31,38 +38,68 @@ def emos_fits(source: str, keys: list[str], min_rows: int = 1, x: str = "ens_mea
     i = f"({INV_SQRT_PI!r})::DOUBLE"
     gm, gs = "(1.0-2.0*cdf)", f"(2.0*pdf-{i})"
     w, jc, jd = f"({i}/sg)", "(ec/(2.0*sg))", "(edv/(2.0*sg))"
-    terms = {"loss": f"sg*(z*(2.0*cdf-1.0)+{gs})", "g0": gm, "g1": f"{gm}*x", "gc": f"{gs}*{jc}", "gd": f"{gs}*{jd}", "h00": w,
-             "h01": f"{w}*x", "h11": f"{w}*x*x", "hcc": f"0.5*{w}*{jc}*{jc}", "hcd": f"0.5*{w}*{jc}*{jd}",
-             "hdd": f"0.5*{w}*{jd}*{jd}"}
-    state = ["a", "b", "c", "d", "ta", "tb", "tc", "td", "loss", "damp", "calm", *SUMS]
+    xs = [f"x{n}" for n in range(len(predictors))]
+    # location parameters with what they multiply, then the log variances
+    of = dict(zip(["a", "b", "e"], ["1.0", *xs]))
+    loc, params = list(of), [*of, "c", "d"]
+    terms = {"loss": f"sg*(z*(2.0*cdf-1.0)+{gs})"} | {f"g{p}": f"{gm}*{x}" for p, x in of.items()}
+    terms |= {"gc": f"{gs}*{jc}", "gd": f"{gs}*{jd}"}
+    terms |= {f"h{p}{q}": f"{w}*{of[p]}*{of[q]}" for n, p in enumerate(loc) for q in loc[n:]}
+    terms |= {"hcc": f"0.5*{w}*{jc}*{jc}", "hcd": f"0.5*{w}*{jc}*{jd}", "hdd": f"0.5*{w}*{jd}*{jd}"}
+    sum_names = list(terms)[1:]
+    state = [*params, *(f"t{p}" for p in params), "loss", "damp", "calm", *sum_names]
     held = ", ".join(f"any_value(s.{c}) AS o_{c}" for c in state)
     sums = ", ".join(f"avg({t}) AS n_{c}" for c, t in terms.items())
-    keep = ", ".join(f"CASE WHEN ok THEN n_{c} ELSE o_{c} END AS {c}" for c in ("loss", *SUMS))
-    best = ", ".join(f"CASE WHEN ok THEN o_t{c} ELSE o_{c} END AS {c}" for c in "abcd")
-    rows = f"SELECT {k}CAST({x} AS DOUBLE) AS x, CAST({v} AS DOUBLE) AS v, CAST({y} AS DOUBLE) AS y FROM {source}"
-    clean = f"SELECT * FROM ({rows}) WHERE x IS NOT NULL AND v IS NOT NULL AND y IS NOT NULL"
-    first = ", ".join([*(f"{b}::DOUBLE AS {c}" for c, b in zip(("a", "b", "c", "d", "ta", "tb", "tc", "td"),
-                                                              (0, 1, 0, 0, 0, 1, 0, 0))),
-                       "'inf'::DOUBLE AS loss", "1e-3::DOUBLE AS damp", "0 AS calm", *(f"0.0::DOUBLE AS {c}" for c in SUMS)])
-    clip = f"greatest(-{BOUND}, least({BOUND}, "
+    finite = " AND ".join(f"isfinite(n_{c})" for c in terms)
+    keep = ", ".join(f"CASE WHEN ok THEN n_{c} ELSE o_{c} END AS {c}" for c in terms)
+    best = ", ".join(f"CASE WHEN ok THEN o_t{c} ELSE o_{c} END AS {c}" for c in params)
+    cells = ", ".join(f"CAST({x} AS DOUBLE) AS {n}" for x, n in zip([*predictors, v, y], [*xs, "v", "y"]))
+    clean = f"SELECT * FROM (SELECT {k}{cells} FROM {source}) WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in [*xs, "v", "y"])
+    start = ", ".join(f"{int(p == 'b')}::DOUBLE AS {t}{p}" for t in ("", "t") for p in params)
+    first = ", ".join([start, "'inf'::DOUBLE AS loss", "1e-3::DOUBLE AS damp", "0 AS calm", *(f"0.0::DOUBLE AS {c}" for c in sum_names)])
+    moved = ", ".join([*(f"{p}-d{p} AS t{p}" for p in loc),
+                       *(f"greatest(-{BOUND}, least({BOUND}, {p}-greatest(-3.0, least(3.0, d{p})))) AS t{p}" for p in "cd")])
+    mu = "s.ta" + "".join(f"+s.t{p}*t.{x}" for p, x in list(of.items())[1:])
+    sg = "sqrt(exp(s.tc)+exp(s.td)*t.v+1e-300::DOUBLE)"
     return f"""(WITH RECURSIVE data AS MATERIALIZED ({clean}), fit AS (
     SELECT {k}0 AS step, 0::BIGINT AS n_rows, true AS going, {first} FROM data GROUP BY {', '.join(keys)}
     UNION ALL
-    SELECT {k}step, n_rows, going, a, b, c, d, a-da AS ta, b-db AS tb, {clip}c-greatest(-3.0, least(3.0, dc)))) AS tc,
-        {clip}d-greatest(-3.0, least(3.0, dd)))) AS td, loss, damp, calm, {', '.join(SUMS)} FROM (
-    SELECT *, {_solve('h00', 'h01', 'h11', 'g0', 'g1', ('da', 'db'))}, {_solve('hcc', 'hcd', 'hdd', 'gc', 'gd', ('dc', 'dd'))} FROM (
+    SELECT {k}step, n_rows, going, {', '.join(params)}, {moved}, loss, damp, calm, {', '.join(sum_names)} FROM (
+    SELECT *, {_solve(loc, [f'd{p}' for p in loc])}, {_solve(['c', 'd'], ['dc', 'dd'])} FROM (
     SELECT *, calm < {CALM} AND damp < {DAMP_END} AS going FROM (
     SELECT {k}step, n_rows, {best}, {keep}, CASE WHEN ok THEN greatest(o_damp*0.2, 1e-8::DOUBLE) ELSE o_damp*8.0 END AS damp,
         CASE WHEN ok AND o_loss-n_loss <= {TOL}::DOUBLE*(1.0+abs(n_loss)) THEN o_calm+1 WHEN ok THEN 0 ELSE o_calm END AS calm FROM (
-    SELECT *, coalesce(isfinite(n_loss) AND isfinite(n_g1) AND isfinite(n_gc) AND isfinite(n_gd) AND isfinite(n_h11)
-        AND isfinite(n_hcc) AND isfinite(n_hdd) AND n_loss <= o_loss, false) AS ok FROM (
+    SELECT *, coalesce({finite} AND n_loss <= o_loss, false) AS ok FROM (
     SELECT {sk}any_value(s.step)+1 AS step, count(*) AS n_rows, {held}, {sums} FROM (
-    SELECT s.*, t.x, e.ec, e.edv, e.sg, e.z, {cdf_sql('e.z')} AS cdf, {phi_sql('e.z')} AS pdf FROM fit s JOIN data t ON {on},
-        LATERAL (SELECT exp(s.tc) AS ec, exp(s.td)*t.v AS edv, sqrt(exp(s.tc)+exp(s.td)*t.v+1e-300::DOUBLE) AS sg,
-                 greatest(-1e150::DOUBLE, least(1e150::DOUBLE, (t.y-(s.ta+s.tb*t.x))/sqrt(exp(s.tc)+exp(s.td)*t.v+1e-300::DOUBLE))) AS z) e
+    SELECT s.*, {', '.join(f't.{x}' for x in xs)}, e.ec, e.edv, e.sg, e.z, {cdf_sql('e.z')} AS cdf, {phi_sql('e.z')} AS pdf
+    FROM fit s JOIN data t ON {on}, LATERAL (SELECT exp(s.tc) AS ec, exp(s.td)*t.v AS edv, {sg} AS sg,
+                 greatest(-1e150::DOUBLE, least(1e150::DOUBLE, (t.y-({mu}))/{sg})) AS z) e
     WHERE s.going) s GROUP BY {', '.join(f's.{c}' for c in keys)}))))))
-    SELECT {k}arg_max(a, step) AS a, arg_max(b, step) AS b, arg_max(c, step) AS c, arg_max(d, step) AS d, max(n_rows) AS n_rows,
-        arg_max(loss, step) AS loss FROM fit GROUP BY {', '.join(keys)} HAVING max(n_rows) >= {min_rows})"""
+    SELECT {k}{', '.join(f'arg_max({p}, step) AS {p}' for p in params)}, max(n_rows) AS n_rows, arg_max(loss, step) AS loss
+    FROM fit GROUP BY {', '.join(keys)} HAVING max(n_rows) >= {min_rows})"""
+
+
+def refined(fits: str, source: str, keys: list[str], steps: int = 2, x: str = "ens_mean", v: str = "ens_var",
+            y: str = "t2m_obs") -> str:
+    """The fits after some undamped Newton steps with the exact curvature: parameters to the last digits."""
+    i = f"({INV_SQRT_PI!r})::DOUBLE"
+    mm, ms, ss, gs = "(2.0*pdf/sg)", "(2.0*pdf*z/sg)", "(2.0*pdf*z*z/sg)", f"(2.0*pdf-{i})"
+    jc, jd = "(ec/(2.0*sg))", "(edv/(2.0*sg))"
+    terms = {"ga": "(1.0-2.0*cdf)", "gb": "(1.0-2.0*cdf)*x", "gc": f"{gs}*{jc}", "gd": f"{gs}*{jd}", "haa": mm, "hab": f"{mm}*x",
+             "hbb": f"{mm}*x*x", "hac": f"{ms}*{jc}", "had": f"{ms}*{jd}", "hbc": f"{ms}*{jc}*x", "hbd": f"{ms}*{jd}*x",
+             "hcc": f"{ss}*{jc}*{jc}+{gs}*({jc}-{jc}*{jc}/sg)", "hcd": f"{ss}*{jc}*{jd}-{gs}*{jc}*{jd}/sg",
+             "hdd": f"{ss}*{jd}*{jd}+{gs}*({jd}-{jd}*{jd}/sg)"}
+    k = ", ".join(keys)
+    for _ in range(steps):
+        fits = f"""(SELECT {k}, n_rows, loss, a-da AS a, b-db AS b, greatest(-{BOUND}, c-dc) AS c, greatest(-{BOUND}, d-dd) AS d FROM (
+            SELECT *, {_solve(list('abcd'), ['da', 'db', 'dc', 'dd'], ridge=False)} FROM (
+            SELECT {k}, any_value(n_rows) AS n_rows, any_value(loss) AS loss, {', '.join(f'any_value({p}) AS {p}' for p in 'abcd')},
+                {', '.join(f'avg({t}) AS {n}' for n, t in terms.items())} FROM (
+            SELECT *, {cdf_sql('z')} AS cdf, {phi_sql('z')} AS pdf FROM (SELECT *, (y-(a+b*x))/sg AS z FROM (
+            SELECT *, sqrt(ec+edv) AS sg FROM (SELECT {', '.join(f'f.{c}' for c in keys)}, f.n_rows, f.loss, f.a, f.b, f.c, f.d,
+                CAST(r.{x} AS DOUBLE) AS x, CAST(r.{y} AS DOUBLE) AS y, exp(f.c) AS ec, exp(f.d)*r.{v} AS edv
+                FROM {fits} f JOIN {source} r ON {' AND '.join(f'f.{c} = r.{c}' for c in keys)})))) GROUP BY {k})))"""
+    return fits
 
 
 def tiered(source: str, tiers: list[tuple[str, list[str], int]]) -> str:

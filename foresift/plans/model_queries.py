@@ -11,6 +11,8 @@ from foresift.operators import panel as P
 from foresift.operators import reports as R
 from foresift.operators import rolling as RO
 from foresift.operators import sampling as SM
+from foresift.operators.leave_one_out import fit_leave_one_out
+from foresift.operators.leave_one_out import refit_in_place as refit_in_place_of
 from foresift.operators.models import Climatology, Emos, RawEnsemble, VarianceInflation
 from foresift.operators.network import fit_networks
 from foresift.plans import ctes as C
@@ -169,7 +171,13 @@ def emos_adaptive(spark, sf):
     return out.groupBy("tier").agg(F.count(F.lit(1)).alias("n"), F.avg(S.crps("t2m_obs", "q")).alias("crps"))
 
 
-@query("m10_emos_last_obs", "predictors:i n_rows:i loss:d")
+C.CTES["event_last"] = f"""SELECT e.*, j.last_obs FROM ei e JOIN (SELECT station_id, issue_time, context[-1] AS last_obs
+    FROM ({C.jobs(4)})) j USING (station_id, issue_time)"""
+
+
+@query("m10_emos_last_obs", "predictors:i n_rows:i loss:d",
+       f"""SELECT 2 AS predictors, n_rows, loss FROM {X.emos_fits('event_last', [], predictors=('ens_mean', 'last_obs'))} UNION ALL
+       SELECT 1, n_rows, loss FROM {X.emos_fits('event_last', [])}""")
 def emos_last_obs(spark, sf):
     """EMOS with and without the last observation on the operational stream."""
     jobs = I.context_jobs(spark, sf, 4)
@@ -211,8 +219,8 @@ def coarse(df, *keys):
 def leave_one_out(spark, sf):
     tr, te = I.train(spark, sf), I.test(spark, sf)
     out = None
-    pooled = E.fit_leave_one_out(tr)
-    leads = E.fit_leave_one_out(tr, lead_specific=True)
+    pooled = fit_leave_one_out(tr)
+    leads = fit_leave_one_out(tr, lead_specific=True)
     for name, tiers in (("loso", [(pooled, ["station_id"], 1)]),
                         ("loso_leadspec", [(leads, ["station_id", "step_hours"], 20), (pooled, ["station_id"], 1)])):
         part = E.predict_tiers(te, tiers).agg(*S.bundle("t2m_obs", "q")).withColumn("variant", F.lit(name))
@@ -322,7 +330,7 @@ def network_seeds(spark, sf):
     return R.random_arm(scored, ["k"], ["crps", "coverage_80pct"], population=True)
 
 
-REFIT = X.tiered(ONE.format("test"), [POOLED])
+REFIT = X.tiered(ONE.format("test"), [(X.refined(POOLED[0], ONE.format("train"), ["_one"]), ["_one"], 1)])
 
 
 @query("m21_refit_in_place", "method:s n:i crps:d mean_abs_change:d",
@@ -333,7 +341,7 @@ REFIT = X.tiered(ONE.format("test"), [POOLED])
 def refit_in_place(spark, sf):
     tr, te = I.train(spark, sf), I.test(spark, sf)
     preds = I.predictions(spark, sf, ("gaussian_ensemble", "inflation_fixed"))
-    out, change = E.refit_in_place(preds, "gaussian_ensemble", te, tr, T.KEY)
+    out, change = refit_in_place_of(preds, "gaussian_ensemble", te, tr, T.KEY)
     scored = out.groupBy("method").agg(F.count(F.lit(1)).alias("n"),
                                        F.avg(S.crps("obs", "q")).alias("crps"))
     return scored.crossJoin(F.broadcast(change.select("mean_abs_change")))     # one row

@@ -12,6 +12,7 @@ from foresift.plans import inputs as I
 from foresift.plans.registry import query
 from foresift.sources import storage
 from foresift.sources import tables as T
+from foresift.sources.storage import materialise
 
 KEYS = "station_id:i valid_time:t step_hours:d"
 WIDE = " ".join(f"q{k}:d" for k in range(10, 100, 10))
@@ -79,6 +80,27 @@ def upsert(spark, sf):
     return out.groupBy("method").agg(F.count(F.lit(1)).alias("n"), F.avg(S.crps("obs", "q")).alias("crps"))
 
 
+@query("s6_stored_replacement", "method:s n:i crps:d same_files:b",
+       f"""SELECT method, count(*) AS n, avg({C.crps()}) AS crps, method <> 'gaussian_ensemble' AS same_files FROM (
+       SELECT method, obs, q FROM preds WHERE method NOT IN ('gaussian_ensemble', 'climatology') UNION ALL
+       SELECT 'gaussian_ensemble', t2m_obs, {C.gaussian('ens_mean', '2.0*sqrt(ens_var)')} FROM test) GROUP BY method""")
+def stored_replacement(spark, sf):
+    """Two methods replaced in storage, one of them by nothing; files of the other methods stay untouched."""
+    path = f"{storage.shared_dir(spark)}/predictions-{uuid.uuid4().hex}"
+    columns = ["method", *T.KEY, "obs", "q"]
+    storage.write_by_method(I.predictions(spark, sf).select(*columns), path)
+    files = lambda: spark.read.parquet(path).groupBy("method").agg(F.sort_array(F.collect_set(F.struct(
+        F.col("_metadata.file_path"), F.col("_metadata.file_modification_time")))).alias("files"))
+    before = materialise(files())
+    te = I.test(spark, sf)
+    new = te.select(F.lit("gaussian_ensemble").alias("method"), *T.KEY, F.col("t2m_obs").alias("obs"),
+                    I.gaussian_quantiles("ens_mean", "2D*sqrt(ens_var)").alias("q"))
+    storage.replace_methods(new, ["gaussian_ensemble", "climatology"], path)
+    scored = spark.read.parquet(path).groupBy("method").agg(F.count(F.lit(1)).alias("n"), F.avg(S.crps("obs", "q")).alias("crps"))
+    after = files().withColumnRenamed("files", "now")
+    return scored.join(after, "method").join(before, "method").withColumn("same_files", F.col("now") == F.col("files"))
+
+
 @query("s7_optional_union", "run:s n:i crps:d",
        f"""SELECT 'ctx4' AS run, count(*) AS n, avg({C.crps()}) AS crps FROM runs r WHERE model = 'context_climatology'
        AND context_steps = 4 AND EXISTS (SELECT 1 FROM runs k WHERE k.model = 'persistence' AND k.context_steps = 8

@@ -12,6 +12,7 @@ from foresift.operators import rolling as RO
 from foresift.operators import sampling as SM
 from foresift.operators import significance as G
 from foresift.operators import timeseries as TS
+from foresift.operators.leave_one_out import fit_leave_one_out
 from foresift.plans import ctes as C
 from foresift.plans import fit_sql as X
 from foresift.plans import inputs as I
@@ -133,17 +134,19 @@ def seasonal_errors(spark, sf):
 
 
 SIZE = ("method:s arm:s seed:i k:i n:i crps:d upper_crps:d coverage_80pct:d interval_width:d n_stations:i crps_std:d "
-        "coverage_80pct_std:d")
+        "coverage_80pct_std:d n_days:s calendar_days:i")
 
 
 @query("r7_training_size", SIZE)
 def training_size(spark, sf):
+    """Main sizes: EMOS, inflation and the network on recent cases, EMOS on random cases, references."""
     tr, te = I.train(spark, sf), I.test(spark, sf)
     return R.training_size_table(tr, te, [0, 7, 17, 50], [0, 1, 2])
 
 
 @query("r8_small_sizes", SIZE)
 def small_sizes(spark, sf):
+    """Small sizes, and the whole archive next to them."""
     tr, te = I.train(spark, sf), I.test(spark, sf)
     return R.training_size_table(tr, te, [1, 2, 3, 5, 7], [0, 1, 2])
 
@@ -193,12 +196,69 @@ def breakpoint_table(spark, sf):
     return out
 
 
-@query("r11_seasonal_sweep", "season:s k:i method:s n:i crps:d coverage_80pct:d interval_width:d n_stations:i n_blocks:i "
-       "t_pvalue:d hac_mean_diff:d hac_dm_pvalue:d hac_ci_low:d hac_ci_high:d")
-def seasonal_sweep(spark, sf):
-    reference = I.gaussian_quantiles("ens_mean", f"{B.LAMBDA_CLIM}D*sqrt(ens_var)")
+SMALL_KS, MAIN_KS = [1, 2, 3, 5, 7], [7, 17, 50]
+_RECENT = """(SELECT year_idx, time_idx, row_number() OVER (ORDER BY case_date DESC, year_idx, time_idx) - 1 AS r,
+    count(*) OVER () AS n_full FROM cases)"""
+C.CTES["fit_sets"] = f"""SELECT DISTINCT least(k, n_full) AS k, year_idx, time_idx FROM {_RECENT}, (SELECT unnest({SMALL_KS + MAIN_KS}
+    || [1000000000]) AS k) WHERE r < k"""
+C.CTES["fit_rows"] = "SELECT s.k, t.* FROM train t JOIN fit_sets s USING (year_idx, time_idx)"
+_scored = f"""avg({C.crps('q', 't2m_obs')}) AS crps, avg({C.cover('q', 't2m_obs')}) AS coverage_80pct"""
+_gauss = C.gaussian("(f.a+f.b*t.ens_mean)", "sqrt(exp(f.c)+exp(f.d)*t.ens_var)")
+for _name, _keys, _least in (("emos_pooled", ["k"], 1), ("emos_local", ["k", "station_id"], 5)):
+    _on = "ON t.station_id = f.station_id" if len(_keys) > 1 else "ON true"
+    C.CTES[f"scored_{_name}"] = f"""SELECT k, {_scored} FROM (SELECT f.k, t.t2m_obs, {_gauss} AS q FROM
+        {X.emos_fits('fit_rows', _keys, _least)} f JOIN test t {_on}) GROUP BY k"""
+C.CTES["fixed_line"] = f"""SELECT {_scored} FROM (SELECT t2m_obs, {C.gaussian('ens_mean', f'{B.LAMBDA_CLIM}*sqrt(ens_var)')} AS q
+    FROM test)"""
+
+
+def fitted_sql(axis: str, method: str) -> str:
+    sizes = f"WHERE k IN (SELECT least(unnest({MAIN_KS} || [1000000000]), (SELECT count(*) FROM cases)))" if axis == "main" else ""
+    c = f"""(SELECT 'crps' AS method, k AS n, s.crps AS value, l.crps AS ref FROM scored_{method} s, fixed_line l {sizes} UNION ALL
+        SELECT 'coverage', k, s.coverage_80pct, l.coverage_80pct FROM scored_{method} s, fixed_line l {sizes})"""
+    return f"""SELECT '{axis}' AS axis, '{method}' AS method, CASE WHEN d.method = 'crps' THEN 'crps' ELSE 'coverage_80pct' END AS metric,
+        (SELECT CASE WHEN d.method = 'crps' THEN crps ELSE coverage_80pct END FROM fixed_line) AS reference, n_points, breakpoint,
+        CAST(round_even(breakpoint * ({SM.CASE_SPAN_DAYS}::DOUBLE/{SM.CASE_INTERVALS}), 0) AS BIGINT) AS days, verdict
+        FROM ({H.DIRECTION_SQL.replace('FROM curves', f'FROM {c}')}) d"""
+
+
+@query("r10_fitted_breakpoints", "axis:s method:s metric:s reference:d n_points:i breakpoint:d days:i verdict:s",
+       " UNION ALL ".join(f"SELECT * EXCLUDE (breakpoint, reference), round(breakpoint, 4) AS breakpoint, round(reference, 4) AS reference "
+                          f"FROM ({fitted_sql(a, m)})" for a in ("main", "combined") for m in ("emos_pooled", "emos_local")))
+def fitted_breakpoints(spark, sf):
+    """Crossings of fitted EMOS with the fixed inflation, on the main sizes and on small and main sizes together."""
     tr, te = I.train(spark, sf), I.test(spark, sf)
-    return R.seasonal_sweep(tr, te, [2, 7, 15], reference)
+    axes = [R.training_size_table(tr, te, ks, [0], network_seeds=()).withColumn("axis", F.lit(axis))
+            for axis, ks in (("small", SMALL_KS), ("main", MAIN_KS))]
+    table = materialise(axes[0].unionByName(axes[1]).where("arm <> 'n_independent' OR method = 'inflation_fixed'"))
+    found = R.fitted_breakpoints(table, "inflation_fixed", ["emos_pooled", "emos_local"])
+    return found.withColumns({c: F.round(c, 4) for c in ("breakpoint", "reference")})
+
+
+SEASON_KS = [1, 2, 3, 5, 7, 9, 13, 26]
+
+
+def _season_table(spark, sf):
+    def build():
+        fixed = I.gaussian_quantiles("ens_mean", f"{B.LAMBDA_CLIM}D*sqrt(ens_var)")
+        tr, te = I.train(spark, sf), I.test(spark, sf, S.LEVELS)
+        return R.seasonal_sweep(tr, te, SEASON_KS, {"fixed": fixed, "raw": F.col("raw_q")}, [0, 1, 2])
+    return I.stored(spark, sf, "seasonal", build)
+
+
+@query("r11_seasonal_sweep", "season:s arm:s k:i method:s n:i crps:d coverage_80pct:d interval_width:d crps_std:d coverage_80pct_std:d "
+       "interval_width_std:d n_stations:i n_blocks:i t_pvalue:d hac_fixed_mean_diff:d hac_fixed_dm_pvalue:d hac_fixed_ci_low:d "
+       "hac_fixed_ci_high:d hac_raw_mean_diff:d hac_raw_dm_pvalue:d hac_raw_ci_low:d hac_raw_ci_high:d")
+def seasonal_sweep(spark, sf):
+    """Recent and random cases of each season, three EMOS variants, tests against two references."""
+    return _season_table(spark, sf)
+
+
+@query("r11_seasonal_breakpoints", "season:s method:s arm:s metric:s reference:d n_points:i breakpoint:d days:i verdict:s first_k:i "
+       "first_days:i")
+def seasonal_breakpoints(spark, sf):
+    """Sizes at which a season's EMOS crosses the fixed inflation, and from which it is significantly better for good."""
+    return R.seasonal_breakpoints(_season_table(spark, sf), "fixed")
 
 
 C.CTES["leadc"] = f"SELECT method, step_hours, count(*) AS n, avg(c) AS crps FROM pl GROUP BY ALL"
@@ -228,28 +288,42 @@ def winning_leads(spark, sf):
 
 
 
-VARIANT = ("method:s k:i n_instances:i covered_fraction:d crps:d covered:d width:d crps_short:d vs_fixed_mean_diff:d "
-           "vs_fixed_dm_pvalue:d vs_fixed_ci_low:d vs_fixed_ci_high:d vs_fixed_day_t_pvalue:d")
+VARIANT = ("method:s k:i least:i n_instances:i covered_fraction:d crps:d covered:d width:d crps_short:d vs_fixed_mean_diff:d "
+           "vs_fixed_dm_pvalue:d vs_fixed_ci_low:d vs_fixed_ci_high:d vs_fixed_day_t_pvalue:d vs_raw_mean_diff:d vs_raw_dm_pvalue:d "
+           "crps_common:d crps_fixed_common:d vs_fixed_common_mean_diff:d vs_fixed_common_dm_pvalue:d crps_raw_common:d "
+           "vs_raw_common_mean_diff:d vs_raw_common_dm_pvalue:d")
+GUARDS = [100, G.MIN_INSTANCES]
 
 
 def scored_rows(df, keys):
-    """Instance rows for the guarded score table: score columns and the reference score, computed side by side."""
+    """Instance rows for the guarded score table: score columns and two reference scores, computed side by side, and the mask of
+    their key sets: instances with at least three and at least four members."""
     df = df.withColumn("fixed", I.gaussian_quantiles("ens_mean", f"{B.LAMBDA_CLIM}D*sqrt(ens_var)"))
+    df = df.withColumn("raw", I.gaussian_quantiles("ens_mean", "sqrt(ens_var)"))
     y, have = "t2m_obs", F.col("q").isNotNull()
+    mask = F.when(F.col("n_members") >= 3, 1).otherwise(0) + F.when(F.col("n_members") >= 4, 2).otherwise(0)
     return df.select(*keys, *T.KEY, F.when(have, S.crps(y, "q")).alias("crps"),
                      F.when(have, S.upper_crps(y, "q")).alias("upper_crps"),
                      F.when(have, S.covered(y, "q")).alias("covered"), F.when(have, S.width("q")).alias("width"),
-                     S.crps(y, "fixed").alias("crps_fixed"))
+                     S.crps(y, "fixed").alias("crps_fixed"), S.crps(y, "raw").alias("crps_raw"),
+                     mask.cast("bigint").alias("members"))
+
+
+def variant_scores(rows, keys):
+    scored = materialise(scored_rows(rows, keys))
+    return G.guarded_scores(scored, keys, ["fixed", "raw"], {"short": (0, 6)}, GUARDS, ["fixed", "raw"])
 
 
 @query("r14_emos_variants", VARIANT)
 def emos_variants(spark, sf):
-    """Four EMOS variants by training size up to the whole archive, and two kinds of leave-one-station-out."""
+    """Four EMOS variants at nine training sizes and the whole archive, and two kinds of leave-one-station-out.
+
+    Rows appear at the least number of instances of the operator and at a lower one, for archives as small as these tables.
+    """
     tr, te = I.train(spark, sf), I.test(spark, sf)
     cases = SM.distinct_cases(tr)
-    n_cases = cases.count()
-    ks = sorted({min(k, n_cases) for k in (7, 50)} | {n_cases})
-    sets = SM.sweep_cases(cases, ks, [0]).where("arm = 'contiguous'")
+    sets = materialise(SM.full_and_smaller(cases, [1, 2, 3, 5, 7, 17, 50, 204, 611], [0]).where("arm = 'contiguous'"))
+    ks = sorted(r["k"] for r in sets.select("k").distinct().collect())      # ten at most
     panel = materialise(SM.sweep_panel(tr, sets).select("k", "station_id", "step_hours", "ens_mean", "ens_var", "t2m_obs"))
     rows = te.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks])))
     k, lead, stn, cell = ["k"], ["k", "step_hours"], ["k", "station_id"], ["k", "station_id", "step_hours"]
@@ -259,20 +333,21 @@ def emos_variants(spark, sf):
     out = E.predict_variants(rows, models, {
         "emos_pooled": [("pooled", 1)], "emos_local": [("local", 5)],
         "emos_pooled_leadspec": [("lead", 20), ("pooled", 1)], "emos_local_leadspec": [("cell", 5)]})
-    one, own = te.withColumn("k", F.lit(-1)), (E.fit_leave_one_out(tr), ["station_id"], 1)
-    by_lead = (E.fit_leave_one_out(tr, lead_specific=True), ["station_id", "step_hours"], 20)
+    one, own = te.withColumn("k", F.lit(-1)), (fit_leave_one_out(tr), ["station_id"], 1)
+    by_lead = (fit_leave_one_out(tr, lead_specific=True), ["station_id", "step_hours"], 20)
     for name, tiers in (("emos_loso", [own]), ("emos_loso_leadspec", [by_lead, own])):
         out = out.unionByName(E.predict_tiers(one, tiers).withColumn("method", F.lit(name)).select(*out.columns))
-    scored = materialise(scored_rows(out, ["method", "k"]))
-    return G.guarded_scores(scored, ["method", "k"], ["fixed"], {"short": (0, 6)}, min_instances=100)
+    return variant_scores(out, ["method", "k"])
+
+
+WINDOWS = [2, 3, 5, 7, 10, 14, 20, 30, 40, 160]
 
 
 @query("r15_rolling_table", VARIANT.replace("k:i", "window_days:i"))
 def rolling_table(spark, sf):
+    """Four rolling variants with ten windows, at both least numbers of instances."""
     ei = I.event_instances(spark, sf)
-    out = RO.rolling_predictions(ei, ei, [5, 10, 20])
-    scored = materialise(scored_rows(out, ["method", "window_days"]))
-    return G.guarded_scores(scored, ["method", "window_days"], ["fixed"], {"short": (0, 6)}, min_instances=100)
+    return variant_scores(RO.rolling_predictions(ei, ei, WINDOWS), ["method", "window_days"])
 
 
 @query("r16_append_runs", f"{RUN} eval_set:s crps:d coverage_80pct:d interval_width:d",

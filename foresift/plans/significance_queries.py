@@ -265,3 +265,31 @@ GUARD = ("method:s n_instances:i covered_fraction:d crps:d upper_crps:d covered:
 def guarded_scores(spark, sf):
     """Scores of methods with at least 100 instances; the operator's own minimum is for archives larger than these tables."""
     return G.guarded_scores(guarded_input(spark, sf), ["method"], ["clim", "fixed"], GUARD_BUCKETS, min_instances=100)
+
+
+# the key sets of the references: instances with at least so many members
+_c_sets = ", ".join(f"EXISTS (SELECT 1 FROM test t WHERE t.station_id = g.station_id AND t.valid_time = g.valid_time AND "
+                    f"t.step_hours = g.step_hours AND t.n_members >= {n}) AS in_{r}" for r, n in (("clim", 3), ("fixed", 4)))
+
+
+@query("h12_common_sets", "method:s least:i n_instances:i crps:d crps_common:d crps_clim_common:d crps_fixed_common:d "
+       "vs_clim_common_mean_diff:d vs_fixed_common_mean_diff:d",
+       f"""WITH gset AS (SELECT g.*, {_c_sets} FROM grows g), s AS (SELECT method, count(crps) AS n_instances, avg(crps) AS crps,
+       count(crps) FILTER (in_clim) AS n_clim, count(crps) FILTER (in_fixed) AS n_fixed, avg(crps) FILTER (in_clim) AS c_clim,
+       avg(crps) FILTER (in_fixed) AS c_fixed, avg(crps_clim) FILTER (in_clim AND crps IS NOT NULL) AS r_clim,
+       avg(crps_fixed) FILTER (in_fixed AND crps IS NOT NULL) AS r_fixed FROM gset GROUP BY method),
+       d AS (SELECT method, avg(a) AS d_clim, avg(b) AS d_fixed FROM (SELECT method, valid_time::DATE AS day,
+       avg(crps-crps_clim) FILTER (in_clim) AS a, avg(crps-crps_fixed) FILTER (in_fixed) AS b FROM gset WHERE crps IS NOT NULL
+       GROUP BY ALL) GROUP BY method)
+       SELECT method, least, n_instances, CASE WHEN n_instances >= least THEN crps END AS crps,
+       CASE WHEN n_instances >= least THEN CASE WHEN n_fixed >= least THEN c_fixed WHEN n_clim >= least THEN c_clim END END AS crps_common,
+       CASE WHEN n_clim >= least THEN r_clim END AS crps_clim_common, CASE WHEN n_fixed >= least THEN r_fixed END AS crps_fixed_common,
+       CASE WHEN n_clim >= least THEN d_clim END AS vs_clim_common_mean_diff,
+       CASE WHEN n_fixed >= least THEN d_fixed END AS vs_fixed_common_mean_diff
+       FROM s JOIN d USING (method), (SELECT unnest([100, 1000]) AS least)""")
+def common_sets(spark, sf):
+    """Scores on the key sets of two references, at a lowered and at the operator's own least number of instances."""
+    te = I.test(spark, sf, S.LEVELS)
+    sets = {r: te.where(F.col("n_members") >= n).select(*T.KEY) for r, n in (("clim", 3), ("fixed", 4))}
+    rows = materialise(G.membership_mask(guarded_input(spark, sf), sets, T.KEY))
+    return G.guarded_scores(rows, ["method"], ["clim", "fixed"], GUARD_BUCKETS, [100, G.MIN_INSTANCES], ["clim", "fixed"])

@@ -49,3 +49,30 @@ def write_result(df: DataFrame, name: str, model_version: str, config: dict, out
 def read_result(spark: SparkSession, name: str, out_dir: str) -> tuple[DataFrame, DataFrame]:
     meta_schema = "model_version string, config string, config_hash string, written_at timestamp"
     return spark.read.parquet(f"{out_dir}/{name}"), spark.read.schema(meta_schema).json(f"{out_dir}/{name}.meta")
+
+
+def write_by_method(df: DataFrame, path: str) -> None:
+    """A prediction table with one folder for each method."""
+    df.write.partitionBy("method").parquet(path)
+
+
+def replace_methods(new: DataFrame, methods: list[str], path: str) -> None:
+    """Replaces the stored rows of the given methods by `new`; the files of all other methods stay as they are.
+
+    Only the folders of the methods in `new` are written (dynamic partition overwrite); a given method without new rows loses its
+    folder. Rows of other methods in `new` are an error, since they would replace what is to stay.
+    """
+    spark = new.sparkSession
+    stored = spark.read.parquet(path)
+    if sorted(stored.columns) != sorted(new.columns):
+        raise ValueError("both tables must have the same columns")
+    found = {r["method"] for r in new.select("method").distinct().limit(len(methods) + 1).collect()}
+    if not found <= set(methods):
+        raise ValueError(f"rows of methods that are not to be replaced: {sorted(map(str, found - set(methods)))}")
+    new.select(*stored.columns).write.partitionBy("method").option("partitionOverwriteMode", "dynamic") \
+        .mode("overwrite").parquet(path)
+    jvm = spark.sparkContext._jvm
+    for gone in sorted(set(methods) - found):
+        name = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString("method", gone)
+        folder = jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foresift.operators import network as NN
+from foresift.operators import sampling as SM
 
 
 def data(n_cases=40, stations=(0, 1, 2), bias=(-2.0, 0.0, 3.0), seed=0):
@@ -59,7 +60,7 @@ def test_tiny_set_takes_fixed_steps_without_validation(spark):
     df = spark.createDataFrame(data(3)).withColumn("fit_id", F.lit("a"))
     model = NN.fit_networks(df, {"a": 0}, rounds=5)
     assert model.history["a"] == []
-    assert np.abs(model.weights["a"] - model.shape.initial(0)).max() > 0
+    assert np.abs(model.shared["a"] - model.shape.initial(0)).max() > 0
 
 
 def test_several_fits_together_equal_single_fits(spark):
@@ -69,3 +70,52 @@ def test_several_fits_together_equal_single_fits(spark):
     alone = NN.fit_networks(df.withColumn("fit_id", F.lit("b")), {"b": 1}, rounds=2)
     np.testing.assert_allclose(model.history["b"], alone.history["b"], rtol=1e-6)
     assert model.history["a"] != model.history["b"]
+
+
+def test_one_shard_equals_numpy(spark, monkeypatch):
+    monkeypatch.setattr(NN, "MIN_SHARD_ROWS", 10 ** 9)
+    pdf = data(60)
+    df = spark.createDataFrame(pdf).withColumn("fit_id", F.lit("a"))
+    model = NN.fit_networks(df, {"a": 3}, rounds=2, local_steps=20)
+    split = SM.validation_split(df, 3, 0.1, row_key=["station_id", "step_hours"]).toPandas()
+    loc, scale = split[["ens_mean", "ens_var", "t2m_obs"]].mean(), split[["ens_mean", "ens_var", "t2m_obs"]].std(ddof=0)
+    x = {"m": (split["ens_mean"] - loc["ens_mean"]) / scale["ens_mean"], "v": (split["ens_var"] - loc["ens_var"]) / scale["ens_var"],
+         "y": (split["t2m_obs"] - loc["t2m_obs"]) / scale["t2m_obs"],
+         "base_mu": (split["ens_mean"] - loc["t2m_obs"]) / scale["t2m_obs"],
+         "base_ls2": np.log(split["ens_var"] / scale["t2m_obs"] ** 2), "s": split["station_id"], "l": (split["step_hours"] > 24).astype(int)}
+    x, held = {k: v.to_numpy() for k, v in x.items()}, split["is_val"].to_numpy()
+    order = np.lexsort((x["y"], x["m"]))
+    shape = NN.Shape(3, 2)
+    flat = np.concatenate([NN.initial_embedding(3, [0, 1, 2]).ravel(), NN.Shape(0, 2).initial(3)])
+    history = []
+    for r in range(3):
+        mu, sg, *_ = NN.forward(shape, flat, {k: v[held] for k, v in x.items()})
+        history.append((NN.losses(mu, sg, x["y"][held]) * scale["t2m_obs"]).mean())
+        fit = order[~held[order]]
+        n = len(fit)
+        flat = NN.adam_steps(shape, flat, {k: v[fit] for k, v in x.items()}, 20, max(256, n // 20), 3000 + r)
+    np.testing.assert_allclose(model.history["a"], history, rtol=1e-6)
+
+
+def test_a_shard_holds_its_stations_only_and_hot_ones_are_split(spark, monkeypatch):
+    pdf = pd.concat([data(150, (0,), (-2.0,)), *[data(12, (s,), (1.0,), s) for s in range(1, 9)]])
+    df = spark.createDataFrame(pdf).withColumn("fit_id", F.lit("a"))
+    monkeypatch.setattr(NN, "MIN_SHARD_ROWS", 60)
+    model = NN.fit_networks(df, {"a": 0}, rounds=2, local_steps=20)
+    rows = model.embeddings.collect()
+    assert sorted(r["s"] for r in rows) == list(range(9)) and all(len(r["value"]) == NN.EMBEDDING for r in rows)
+    assert len(model.shared["a"]) == len(NN.Shape(0, 2).initial(0))       # the driver's part knows no stations
+    shard = pd.DataFrame({"fit_id": "a", "is_val": False, "m": 0.1, "v": 0.2, "y": [0.3, 0.1], "base_mu": 0.1, "base_ls2": 0.0,
+                          "s": [5, 70], "l": 0, "obs_scale": 1.0})
+    own = pd.DataFrame({"fit_id": "a", "s": [70, 5], "value": [[1.0] * 4, [0.0] * 4]})
+    out = NN.train_shard(shard, own, model.shared.copy(), 2, {"a": 0}, 0, set(), 3)
+    assert sorted(out["key"]) == [NN.SHARED, 5, 70]
+
+
+def test_a_station_outside_the_set_of_a_fit_is_unseen_by_it(spark):
+    df = spark.createDataFrame(data(30))
+    both = df.withColumn("fit_id", F.lit("all")).unionByName(df.where("station_id > 0").withColumn("fit_id", F.lit("some")))
+    model = NN.fit_networks(both, {"all": 0, "some": 1}, rounds=1, local_steps=5)
+    out = model.transform(df)
+    assert out.groupBy("fit_id").count().collect() == [out.where("q is not null").groupBy("fit_id").count().collect()[i] for i in (0, 1)]
+    assert out.where("fit_id = 'some'").count() == df.count()
