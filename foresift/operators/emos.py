@@ -72,7 +72,8 @@ class Scoring:
         self.sums[good] = mean[ok]
         self.damp[good] = np.maximum(self.damp[good] * 0.2, 1e-8)
         self.damp[ids[~ok]] *= 8.0
-        small = ok & (gain <= self.tol * (1.0 + np.abs(loss)))
+        # near the minimum the sums of a better step may come out higher by rounding
+        small = np.abs(gain) <= self.tol * (1.0 + np.abs(loss))
         self.near[ids] = ok & (gain <= NEAR * (1.0 + np.abs(loss)))
         self.calm[ids[small]] += 1
         self.calm[ids[ok & ~small]] = 0
@@ -254,6 +255,7 @@ def _lockstep_aggregates(predictors) -> list[Column]:
 def drive(n_fits: int, n_loc: int, evaluate, max_iter: int, start: np.ndarray | None = None) -> Scoring:
     """Lockstep loop on the driver: one distributed evaluation per iteration, only sums come back."""
     state = Scoring(n_fits, n_loc, start=start)
+    state.patience = 2          # each try is a pass over all rows, and near the minimum the steps are Newton's
     with np.errstate(all="ignore"):
         for _ in range(max_iter):
             ids = np.flatnonzero(state.active)

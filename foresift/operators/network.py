@@ -243,12 +243,9 @@ def fit_networks(train: DataFrame, seeds: dict[str, int], use_lead: bool = True,
         score_only = r == rounds
 
         def run(pdf: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-            # a set that has ended leaves its embeddings only
-            if not len(pdf) or pdf["fit_id"].iloc[0] not in weights:
-                return pd.DataFrame({"fit_id": [], "key": [], "value": [], "weight": []})
             return train_shard(pdf, own, weights, n_leads, seeds, r, brief, local_steps, score_only)
 
-        of_shard = embedded.join(places, ["fit_id", "s"])
+        of_shard = embedded.join(places.where(F.col("fit_id").isin(live)), ["fit_id", "s"])
         done = materialise(stored.where(F.col("fit_id").isin(live)).groupBy("fit_id", "shard")
                            .cogroup(of_shard.groupBy("fit_id", "shard")).applyInPandas(run, schema))
         got = _weighted_mean(done.where("key < 0")).toPandas()      # shared layers and the score: two rows per fit
