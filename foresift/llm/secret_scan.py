@@ -39,12 +39,16 @@ PLACEHOLDER = re.compile(r"(?i)^(?:x{3,}|\*+|\.+|changeme|change_me|example|samp
 
 NAME = r"[A-Za-z_$][\w$.\-]*"
 STRING = r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`"
-_PAIR = re.compile(
-    rf"""(?P<name>{NAME})(?P<q>["'\]]{{0,2}})(?:[ \t]*:[ \t]*[A-Za-z_][\w.]*(?:\[[\w., ]*\])?(?=[ \t]*=))?"""
-    rf"""[ \t]*(?P<op>:=|=>|=(?![=~])|:(?![:/]))[ \t]*(?P<rhs>(?:{STRING}|[A-Za-z0-9+/_.=\-$]+)"""
-    rf"""(?:[ \t]*[+.&]?[ \t]*(?:{STRING})|[ \t]*\+[ \t]*{NAME})*)""", re.ASCII)
+# what may follow the run of name characters that a name ends with; nothing here is read twice
+_PAIR_REST = re.compile(
+    rf"""["'\]]{{0,2}}+(?:[ \t]*+:[ \t]*+[A-Za-z_][\w.]*+(?:\[[\w., ]*+\])?+(?=[ \t]*+=))?"""
+    rf"""[ \t]*+(?P<op>:=|=>|=(?![=~])|:(?![:/]))[ \t]*+(?P<rhs>(?:{STRING}|[A-Za-z0-9+/_.=\-$]++)"""
+    rf"""(?:[ \t]*+(?:[+.&][ \t]*+)?(?:{STRING})|[ \t]*+\+[ \t]*+{NAME})*+)""", re.ASCII)
+_NAME_RUN = re.compile(r"[\w$.\-]++", re.ASCII)
+_NAME_START = re.compile(r"[A-Za-z_$]")
 _TAG = re.compile(r"<(?P<name>[A-Za-z_][\w.\-]*)>(?P<rhs>[^<>\s]{6,})</(?P=name)>")
-_FLAG = re.compile(rf"--(?P<name>[a-z][a-z\-]*)[ \t]+(?P<rhs>{STRING}|[A-Za-z0-9+/_.=\-]{{6,}})")
+_FLAG_RUN, _FLAG_START = re.compile(r"[a-z\-]++"), re.compile(r"--(?=[a-z])")
+_FLAG_REST = re.compile(rf"[ \t]++(?P<rhs>{STRING}|[A-Za-z0-9+/_.=\-]{{6,}}+)")
 _ATOM = re.compile(rf"{STRING}|[A-Za-z0-9_$.+/=\-]+", re.ASCII)
 _FIRST = re.compile(r"[:=]|--[a-z]|</")
 
@@ -64,24 +68,82 @@ def name_weight(name: str) -> float:
 
 def literal_weight(value: str, quoted: bool) -> float:
     """How much a literal looks like a secret: length, mixed character classes and entropy; 0 for placeholders and prose."""
-    n = len(value)
-    if n < 6 or PLACEHOLDER.match(value) or any(c.isspace() for c in value):
-        return 0.0
-    digits = sum(c.isdigit() for c in value)
-    if not quoted and (digits == 0 or n < 8):
-        return 0.0
-    entropy = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
-    classes = (digits > 0) + any(c.islower() for c in value) + any(c.isupper() for c in value) + (not value.isalnum())
-    return min(1.0, 0.3 + 0.1 * classes + 0.1 * min(entropy, 4.0) + 0.02 * min(n, 20) - (0.3 if digits == 0 else 0.0))
+    return _Value.literal(0, value, quoted).weight()
+
+
+class _Value:
+    """A literal or a concatenation: what its weight needs, and the literals in it as references.
+
+    Concatenations add up lengths and character counts, so that a chain of names costs no more than its lines, however often
+    literals repeat in it.
+    """
+    EDGE = 64
+
+    def __init__(self, parts: list["_Value"], spans: list[tuple[int, int]], n: int, chars: Counter, edges: tuple[str, str], quoted: bool):
+        self.parts, self.spans, self.n, self.chars, self.edges, self.quoted = parts, spans, n, chars, edges, quoted
+        self.shown = False
+
+    @classmethod
+    def literal(cls, start: int, value: str, quoted: bool) -> "_Value":
+        n = len(value)
+        edges = (value, "") if n <= 2 * cls.EDGE else (value[:cls.EDGE], value[-cls.EDGE:])
+        return cls([], [(start, start + n)], n, Counter(value), edges, quoted)
+
+    @classmethod
+    def joined(cls, parts: list["_Value"]) -> "_Value":
+        if len(parts) == 1:
+            return parts[0]
+        chars: Counter = Counter()
+        for p in parts:
+            for c, k in p.chars.items():
+                chars[c] += k
+        n = sum(p.n for p in parts)
+        whole = "".join("".join(p.edges) for p in parts)
+        edges = (whole, "") if n <= 2 * cls.EDGE else (whole[:cls.EDGE], whole[-cls.EDGE:])
+        return cls(parts, [], n, chars, edges, all(p.quoted for p in parts))
+
+    def weight(self) -> float:
+        n, chars = self.n, self.chars
+        # of long values the edges decide whether they are placeholders
+        if n < 6 or PLACEHOLDER.match("".join(self.edges)) or any(c.isspace() for c in chars):
+            return 0.0
+        digits = sum(k for c, k in chars.items() if c.isdigit())
+        if not self.quoted and (digits == 0 or n < 8):
+            return 0.0
+        entropy = -sum(k / n * math.log2(k / n) for k in chars.values() if k / n > 0)
+        classes = ((digits > 0) + any(c.islower() for c in chars) + any(c.isupper() for c in chars)
+                   + any(not c.isalnum() for c in chars))
+        return min(1.0, 0.3 + 0.1 * classes + 0.1 * min(entropy, 4.0) + 0.02 * min(n, 20) - (0.3 if digits == 0 else 0.0))
+
+    def show(self) -> list[tuple[int, int]]:
+        """The literals in it that no call has shown before."""
+        out, todo = [], [self]
+        while todo:
+            value = todo.pop()
+            if not value.shown:
+                value.shown = True
+                out += value.spans
+                todo += value.parts
+        return out
+
+
+def _runs(text: str, run: re.Pattern, first: re.Pattern, rest: re.Pattern):
+    """Matches of `rest` behind runs that hold a `first`: the name from there to the end of the run, and the match."""
+    at = 0
+    while m := run.search(text, at):
+        at = m.end()
+        begin = first.search(text, m.start(), m.end())
+        if begin and (after := rest.match(text, at)):
+            yield begin, text[begin.end() if first is _FLAG_START else begin.start():at], after
+            at = after.end()
 
 
 def _pairs(text: str) -> list[tuple[int, str, int, int]]:
     """(place, name, start and end of the right-hand side) in text order."""
-    out = []
-    for pattern in (_PAIR, _TAG, _FLAG):
-        if pattern is _TAG and "</" not in text or pattern is _FLAG and "--" not in text:
-            continue
-        out += [(m.start(), m["name"], m.start("rhs"), m.end("rhs")) for m in pattern.finditer(text)]
+    kinds = [(_NAME_RUN, _NAME_START, _PAIR_REST)] + ([(_FLAG_RUN, _FLAG_START, _FLAG_REST)] if "--" in text else [])
+    out = [(b.start(), name, m.start("rhs"), m.end("rhs")) for kind in kinds for b, name, m in _runs(text, *kind)]
+    if "</" in text:
+        out += [(m.start(), m["name"], m.start("rhs"), m.end("rhs")) for m in _TAG.finditer(text)]
     return sorted(out)
 
 
@@ -89,26 +151,26 @@ def lexed_spans(text: str, threshold: float = 0.5) -> list[tuple[int, int, str]]
     """Spans of literals that reach a sensitive name, directly or through names that hold them."""
     if not _FIRST.search(text):
         return []
-    constants: dict[str, list[tuple[int, int, bool]]] = {}
-    found = set()
+    constants: dict[str, _Value] = {}
+    found = []
     for _, name, start, end in _pairs(text):
-        literals = []
+        parts = []
         for m in _ATOM.finditer(text, start, end):
             if m[0][0] in "\"'`":
-                literals.append((m.start() + 1, m.end() - 1, True))
+                parts.append(_Value.literal(m.start() + 1, m[0][1:-1], True))
             elif m[0] in constants:
-                literals += constants[m[0]]
+                parts.append(constants[m[0]])
             elif m[0] not in ("+", "."):
-                literals.append((m.start(), m.end(), False))
-        constants[name] = literals
-        weight = name_weight(name)
-        if not weight or not literals:
+                parts.append(_Value.literal(m.start(), m[0], False))
+        if not parts:
+            constants.pop(name, None)
             continue
         # parts of one concatenation are judged together
-        value = "".join(text[a:b] for a, b, _ in literals)
-        if weight * literal_weight(value, all(q for *_, q in literals)) >= threshold:
-            found |= {(a, b, "lexed") for a, b, _ in literals if b > a}
-    return sorted(found)
+        value = constants[name] = _Value.joined(parts)
+        weight = name_weight(name)
+        if weight and weight * value.weight() >= threshold:
+            found += [(a, b, "lexed") for a, b in value.show() if b > a]
+    return sorted(set(found))
 
 
 def scan(text: str | None, threshold: float = 0.5) -> list[tuple[int, int, str]]:

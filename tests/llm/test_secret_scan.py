@@ -74,3 +74,26 @@ def test_awkward_rows(spark):
     out = S.mask_secrets(docs)
     assert out.columns == docs.columns
     assert [r.text for r in out.orderBy("doc_id").collect()] == [None, "[SECRET]", "[SECRET]"]
+
+
+def test_long_words_and_chained_constants_take_linear_time_and_memory():
+    import time
+    import tracemalloc
+    for text in ("x = 1 " + "a" * 1_000_000, "x = 1" + " " * 1_000_000, "a." * 500_000, "--a" * 300_000, "a: " + "b" * 1_000_000,
+                 "secret_" * 150_000, "a=" * 300_000, "<a" * 300_000 + "</"):
+        t0 = time.time()
+        S.scan(text)
+        assert time.time() - t0 < 2, text[:10]
+    doubling = 'a0 = "9fQ2xLm0pTz"\n' + "\n".join(f"a{i + 1} = a{i} + a{i}" for i in range(1000)) + "\ntoken = a1000"
+    growing = 'token = "9fQ2"\n' + "\n".join(f'token = token + "x{i}Lm0pTz"' for i in range(5000))
+    tracemalloc.start()
+    t0 = time.time()
+    assert found(doubling) == ["9fQ2xLm0pTz"]
+    assert len(found(growing)) == 5001
+    assert time.time() - t0 < 10 and tracemalloc.get_traced_memory()[1] < 100_000_000
+    tracemalloc.stop()
+
+
+def test_long_values_are_judged_by_all_their_characters():
+    assert found('token = "' + "ab12XY" * 100 + '"') and not found('token = "' + "x" * 500 + '"')
+    assert not found('token = "${' + "A1b2" * 100 + '}"')
