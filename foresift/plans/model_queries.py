@@ -96,7 +96,12 @@ def tier_sql(tiers) -> str:
         {X.tiered(ONE.format('test'), tiers)}) GROUP BY tier"""
 
 
-POOLED = (X.emos_fits(ONE.format("train"), ["_one"]), ["_one"], 1)
+def tier(source: str, keys: list[str], least: int) -> tuple[str, list[str], int]:
+    """Fits with exact parameters: their predictions are compared to six digits."""
+    return X.refined(X.emos_fits(source, keys, least), source, keys), keys, least
+
+
+POOLED = tier(ONE.format("train"), ["_one"], 1)
 OTHERS = "(SELECT o.station_id AS target, t.* EXCLUDE (station_id) FROM (SELECT DISTINCT station_id FROM train) o JOIN train t ON t.station_id <> o.station_id)"
 LOSO = (f"(SELECT target AS station_id, * EXCLUDE (target) FROM {X.emos_fits(OTHERS, ['target'])})", STN, 1)
 LOSO_LEAD = (f"(SELECT target AS station_id, * EXCLUDE (target) FROM {X.emos_fits(OTHERS, ['target', 'step_hours'], 20)})", CELL, 20)
@@ -142,7 +147,7 @@ def tiered_scores(spark, sf, tiers):
     return out.groupBy("tier").agg(F.count(F.lit(1)).alias("n"), F.avg(S.crps("t2m_obs", "q")).alias("crps"))
 
 
-@query("m7_emos_lead", "tier:i n:i crps:d", tier_sql([(X.emos_fits("train", ["step_hours"], 20), ["step_hours"], 20), POOLED]))
+@query("m7_emos_lead", "tier:i n:i crps:d", tier_sql([tier("train", ["step_hours"], 20), POOLED]))
 def emos_lead(spark, sf):
     tr = I.train(spark, sf)
     pooled = E.fit_emos(tr.withColumn("_one", F.lit(1)), ["_one"])
@@ -160,7 +165,7 @@ def emos_local_lead(spark, sf):
 
 
 @query("m9_emos_adaptive", "tier:i n:i crps:d",
-       tier_sql([(X.emos_fits("train", CELL, 20), CELL, 20), (X.emos_fits("train", STN, 5), STN, 5), POOLED]))
+       tier_sql([tier("train", CELL, 20), tier("train", STN, 5), POOLED]))
 def emos_adaptive(spark, sf):
     tr = I.train(spark, sf)
     one = tr.withColumn("_one", F.lit(1))
@@ -330,7 +335,7 @@ def network_seeds(spark, sf):
     return R.random_arm(scored, ["k"], ["crps", "coverage_80pct"], population=True)
 
 
-REFIT = X.tiered(ONE.format("test"), [(X.refined(POOLED[0], ONE.format("train"), ["_one"]), ["_one"], 1)])
+REFIT = X.tiered(ONE.format("test"), [POOLED])
 
 
 @query("m21_refit_in_place", "method:s n:i crps:d mean_abs_change:d",
