@@ -2,18 +2,21 @@
 
 Pages become DOM trees. Pages of one host are aligned by simple tree matching: equal labels at the root, then the best
 ordered matching of the children, recursively. Merging all pages of a host this way gives a template whose nodes say whether
-they stand in several distinct pages and whether their text is constant (template) or varies (slot). The text of a page is
-everything in page order but the nodes whose text is constant over the host. A page without a second one to compare loses
-headers without a title and blocks of nothing but links instead. Menus, footers, sidebars, notices, adverts, forms, scripts,
-styles and reader comments are left out by element and class name. An article tag is a hint that the slots confirm: where
-articles hold half of the varying text of a page, nothing inside them is dropped for being repeated.
+they stand in several distinct pages and whether their text is constant (template) or varies (slot). Constant nodes go. Of the slots, the
+template finds the content region: from the root down to the box that holds most of the varying text of all pages. Boxes beside
+that way are menus where their text is links, even when the words vary, and adverts or footers where they are a short text
+without a heading or a paragraph; both go from every page. Everything else stays in page order. Names of elements and classes
+decide only what these measures leave open, such as reader comments, and never about a box on the way to the region. A page
+without a second one to compare has names alone, and loses headers without a title and blocks of nothing but links. An article
+tag is a hint that the slots confirm: where articles hold half of the varying text of a page, nothing inside them is dropped
+for being repeated.
 
 Pages of a host are grouped by their layout, each with a template of its own, from which no node is dropped. Runs of like
 siblings count as one node, which keeps templates small. Every task merges its own pages of a host and layout first, so a host
 with a third of all pages sends one partial template a layout and task; rules meet their pages in a join that Spark may split.
 
 Defined cases: a null or empty html gives an empty text; a null url belongs to the empty host; broken markup is closed at the
-end of the page; copies of pages are extracted alike; extra columns are ignored; an empty table gives an empty result.
+end of the page; elements nested deeper than MAX_DEPTH become siblings; copies of pages are extracted alike; extra columns are ignored; an empty table gives an empty result.
 """
 from __future__ import annotations
 
@@ -46,9 +49,13 @@ SCOPES = frozenset("table td th button article section div body html main aside
 
 # elements that make the layout of a page
 BOXES = frozenset("body div section article main header ul ol table".split())
-# elements and class names that are no main text
-DROP_TAGS = frozenset("head nav aside footer form script style noscript template iframe button select option textarea input "
-                      "dialog svg canvas object audio video noframes xmp menu".split())
+# elements that may lead to the content region, and those that give a box text of its own
+WAY = BOXES | {"form", "tbody", "tr", "td", "center"} - {"ul", "ol", "header"}
+TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figure article main table dl".split())
+# elements that show no text, then elements and class names that are no main text
+HIDDEN = frozenset("head script style noscript template iframe select option textarea input svg canvas object audio video noframes "
+                   "xmp".split())
+DROP_TAGS = HIDDEN | frozenset("nav aside footer form button dialog menu".split())
 DROP_WORDS = frozenset("nav navbar navigation menu breadcrumb breadcrumbs masthead footer sidebar aside ad ads adv advert adverts "
                        "advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice "
                        "notices notification alert popup modal overlay newsletter subscribe subscription signup share sharing "
@@ -59,7 +66,10 @@ DROP_ROLES = frozenset("navigation banner contentinfo complementary search form
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 TEMPLATE_PAGES = 3          # distinct pages that must agree before a text counts as constant; both of a host with two
-LINK_SHARE = 0.8            # share of link text that makes a block a menu, on pages without a template
+LINK_SHARE = 0.8            # share of link text that makes a block a menu
+WAY_SHARE = 0.7             # share of the varying text of all pages with which a box leads to the content region
+SIDE_SHARE = 0.1            # of the text of that box: most that a box beside it may have to count as an advert or a footer
+MAX_DEPTH = 200
 
 
 class Node:
@@ -132,7 +142,8 @@ def parse(html: str | None) -> Node:
             node.items.append(html[at:end.start() if end else n])
             at = end.end() if end else n
             continue
-        stack.append(node)
+        if len(stack) < MAX_DEPTH:
+            stack.append(node)
     return root
 
 
@@ -151,10 +162,12 @@ def is_boilerplate(node: Node) -> bool:
     if not node.attrs or node.tag in ("html", "body", "main", "p", "h1"):
         return False
     a = node.attributes()
-    if a.get("role", "").lower() in DROP_ROLES:
-        return True
-    words = set(re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", f"{a.get('class', '')} {a.get('id', '')}").lower()))
-    return bool(words & DROP_WORDS)
+    return a.get("role", "").lower() in DROP_ROLES or named(f"{a.get('class', '')} {a.get('id', '')}")
+
+
+def named(names: str) -> bool:
+    """Whether a word of the names of an element is one of those that tell boilerplate."""
+    return bool(DROP_WORDS & set(re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", names).lower())))
 
 
 def is_article(node: Node) -> bool:
@@ -176,8 +189,8 @@ def articles(node: Node, outer: bool = True) -> list[Node]:
     return below
 
 
-def blocks(nodes: list[Node], skip=frozenset()) -> str:
-    """Text of the nodes: one line for each block, white space in it turned into one space."""
+def blocks(nodes: list[Node], skip=frozenset(), keep=frozenset()) -> str:
+    """Text of the nodes: one line for each block, white space in it turned into one space; names do not count for those to keep."""
     out, line = [], []
 
     def flush():
@@ -187,7 +200,7 @@ def blocks(nodes: list[Node], skip=frozenset()) -> str:
         line.clear()
 
     def walk(node, root):
-        if id(node) in skip or not root and is_boilerplate(node) or node.tag == "head":
+        if id(node) in skip or not root and id(node) not in keep and is_boilerplate(node) or node.tag == "head":
             line.append(" ")
             return
         block = node.tag in BLOCKS
@@ -303,23 +316,82 @@ def learn(template: list | None, page: list) -> list:
     return page if template is None else merge(template, page)
 
 
-def text_mass(node: Node, skip=frozenset()) -> int:
+def text_mass(node: Node, skip=frozenset(), keep=frozenset()) -> int:
     """Characters of a subtree without what is skipped and without menus and the like."""
-    if id(node) in skip or is_boilerplate(node):
+    if id(node) in skip or id(node) not in keep and is_boilerplate(node):
         return 0
-    return sum(len(" ".join(x.split())) if isinstance(x, str) else text_mass(x, skip) for x in node.items)
+    return sum(len(" ".join(x.split())) if isinstance(x, str) else text_mass(x, skip, keep) for x in node.items)
+
+
+def region(template: list) -> tuple[set[int], set[int]]:
+    """Ids of the template nodes beside the way to the content region that are no content, and of those on the way.
+
+    Measured over all pages of the template: the varying text of a node, how much of it is links, and whether it has a
+    heading, a paragraph or the like of its own. Between boxes that could lead on, one without a boilerplate name is preferred
+    while such boxes hold a tenth of the text.
+    """
+    need = min(TEMPLATE_PAGES, len(template[1]))
+    if need < 2:
+        return set(), set()
+    found: dict[int, tuple[int, int, bool]] = {}
+
+    def measure(t, linked):
+        tag = t[0].partition(".")[0]
+        if tag in HIDDEN:
+            found[id(t)] = 0, 0, False
+            return found[id(t)]
+        linked = linked or tag == "a"
+        own = t[3] if t[2] is None or len(t[1]) < need else 0
+        below = [measure(c, linked) for c in t[4]]
+        mass = own + sum(m for m, _, _ in below)
+        links = own * linked + sum(n for _, n, _ in below)
+        found[id(t)] = mass, links, any(x for _, _, x in below) or tag in TEXT_TAGS and mass > links
+        return found[id(t)]
+
+    def suspect(t):
+        tag, _, names = t[0].partition(".")
+        return tag in DROP_TAGS or tag not in ("html", "body", "main") and named(names)
+
+    def leads(options, total):
+        best = max(options, key=lambda t: found[id(t)][0], default=None)
+        return best if best is not None and found[id(best)][0] >= WAY_SHARE * total > 0 else None
+
+    measure(template, False)
+    side: set[int] = set()
+    way: set[int] = set()
+    at = template
+    while at is not None:
+        way.add(id(at))
+        if at[0].partition(".")[0] in ("article", "main") and not any(c[0].partition(".")[0] == "article" for c in at[4]):
+            break
+        plain = sum(found[id(c)][0] for c in at[4] if not suspect(c))
+        total = sum(found[id(c)][0] for c in at[4])
+        options = [c for c in at[4] if c[0].partition(".")[0] in WAY | {"nav", "aside", "footer"}]
+        on = leads([c for c in options if not suspect(c)], plain) if 10 * plain >= total else leads(options, total)
+        for c in at[4] if on is not None else ():
+            mass, links, text = found[id(c)]
+            tag = c[0].partition(".")[0]
+            if c is on or tag not in BLOCKS or tag in TEXT_TAGS or not mass or 2 * mass >= found[id(on)][0]:
+                continue
+            if links >= LINK_SHARE * mass or not text and tag not in ("ul", "ol") and mass < SIDE_SHARE * found[id(on)][0]:
+                side.add(id(c))
+        at = on
+    return side, way
 
 
-def constant_nodes(root: Node, template: list) -> set[int]:
-    """Ids of the outermost page nodes whose whole text is constant over the host; none when nothing varies.
+def template_nodes(root: Node, template: list, measured: tuple[set[int], set[int]]) -> tuple[set[int], set[int]]:
+    """Ids of the page nodes that the template takes away, and of those on the way to its content region.
 
-    A constant inline element stays where text stands around it, since it is part of a sentence.
+    Away go the outermost nodes whose whole text is constant over the host, none when nothing varies, and the nodes beside the
+    region. A constant inline element stays where text stands around it, since it is part of a sentence.
     """
     page, order = skeleton(root)
     need = min(TEMPLATE_PAGES, len(template[1]))
     if template[0] != page[0] or need < 2:
-        return set()
+        return set(), set()
+    side, way = measured
     skip: set[int] = set()
+    keep: set[int] = set()
     memo: dict = {}
     numbers = iter(range(len(order)))
 
@@ -334,9 +406,13 @@ def constant_nodes(root: Node, template: list) -> set[int]:
         for j, fixed in found:
             if fixed and (not p[3] or p[4][j][0].split(".")[0] in BLOCKS):
                 skip.update(id(n) for n in order[places[1][j][0]])
+        if id(t) in side:
+            skip.update(id(n) for n in order[places[0]])
+        if id(t) in way:
+            keep.update(id(n) for n in order[places[0]])
         return False
 
-    return set() if align(template, page, number(page)) else skip
+    return (set(), set()) if align(template, page, number(page)) else (skip, keep)
 
 
 def page_frame(root: Node) -> set[int]:
@@ -370,17 +446,18 @@ def page_frame(root: Node) -> set[int]:
     return skip
 
 
-def extract(html: str | None, template: list | None) -> str:
-    """Main text of a page by the template of its host: everything outside menus and the like that is not constant.
+def extract(html: str | None, template: list | None, measured: tuple[set[int], set[int]] | None = None) -> str:
+    """Main text of a page by the template of its host and what `region` measures on it.
 
     Articles whose varying text is at least half of that of the page stay whole; other article tags count for nothing.
     """
     root = parse(html)
-    skip = (constant_nodes(root, template) if template else set()) or page_frame(root)
+    skip, keep = template_nodes(root, template, measured or region(template)) if template else (set(), set())
+    skip = skip or page_frame(root)
     found = articles(root)
-    if found and 2 * sum(text_mass(a, skip) for a in found) >= text_mass(root, skip):
+    if found and 2 * sum(text_mass(a, skip, keep) for a in found) >= text_mass(root, skip, keep):
         skip.difference_update(id(n) for a in found for n in subtree(a))
-    return blocks([root], skip)
+    return blocks([root], skip, keep)
 
 
 def subtree(node: Node) -> list[Node]:
@@ -438,7 +515,7 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
         .join(templates, ["host", "layout"], "left")
 
     def make():
-        known: dict[str | None, list | None] = {None: None}
+        known: dict[str | None, tuple] = {None: (None, None)}
 
         def run(cols):
             out = []
@@ -446,9 +523,10 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
                 if text not in known:
                     if len(known) > 1000:
                         known.clear()
-                        known[None] = None
-                    known[text] = json.loads(text)
-                out.append(extract(html, known[text]))
+                        known[None] = None, None
+                    template = json.loads(text)
+                    known[text] = template, region(template)
+                out.append(extract(html, *known[text]))
             return [cols[0], cols[1], out]
         return run
 

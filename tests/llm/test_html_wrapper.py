@@ -23,6 +23,70 @@ def test_given_pages(spark, sf):
     assert got == want
 
 
+def by_layout(pages):
+    """Templates of all pages, learned without Spark."""
+    found = {}
+    for url, page in pages:
+        root = H.parse(page)
+        key = url.split("/")[2], H.layout(root)
+        found[key] = H.learn(found.get(key), H.skeleton(root)[0])
+    return found
+
+
+def test_templates_decide_without_any_names(monkeypatch):
+    import pyarrow.parquet as pq
+    rows = [(r["url"], r["html"]) for r in pq.read_table("/root/testdata/sf0.01/pages.parquet").to_pylist()]
+    monkeypatch.setattr(H, "DROP_TAGS", H.HIDDEN)
+    monkeypatch.setattr(H, "DROP_WORDS", frozenset())
+    monkeypatch.setattr(H, "DROP_ROLES", frozenset())
+    templates = by_layout(rows)
+    lone = [t for t in templates.values() if len(t[1]) < H.TEMPLATE_PAGES]
+    same = differs = 0
+    for url, page in rows:
+        got = H.extract(page, templates[url.split("/")[2], H.layout(H.parse(page))])
+        same += got == brute(page)
+        differs += got != H.extract(page, None)
+    assert same >= 0.99 * (len(rows) - len(lone) * H.TEMPLATE_PAGES) and differs >= 0.99 * same
+
+
+def words(seed, n):
+    """Text that differs from page to page."""
+    return " ".join(f"w{(seed * 7919 + k * 104729) % 9973}" for k in range(n))
+
+
+def extract_site(spark, page, n=6):
+    rows = [(i, "http://a.example/x", page(i)) for i in range(n)]
+    return {r.page_id: r.text for r in H.extract_main_text(spark.createDataFrame(rows, PAGES)).collect()}
+
+
+def test_varying_menus_adverts_and_footers_go_by_measure(spark):
+    def page(i):
+        menu = "".join(f"<li><a href=/{k}>{words(i * 50 + k, 1)}</a></li>" for k in range(6))
+        return (f"<body><div class=xa><ul>{menu}</ul></div><div class=xb>{words(i + 900, 5)}</div><header><h1>{words(i, 6)}</h1></header>"
+                f"<p>{words(i + 50, 12)}</p><div class=xc><h2>{words(i + 70, 4)}</h2><p>{words(i + 100, 150 if i else 3)}</p><ul><li>{words(i + 200, 2)}"
+                f"</ul><div class=xd>{words(i + 300, 3)}</div></div><div class=xe>{words(i + 400, 6)}</div></body>")
+    want = {i: "\n".join([words(i, 6), words(i + 50, 12), words(i + 70, 4), words(i + 100, 150 if i else 3), words(i + 200, 2),
+                          words(i + 300, 3)]) for i in range(6)}
+    assert extract_site(spark, page) == want            # also on the page whose own text is shorter than its advert
+
+
+def test_names_do_not_outweigh_the_text(spark):
+    def named(i):
+        return (f"<body><form><div class=discussion><div class=notice><p>{words(i, 90)}</p><div class=share>{words(i + 9, 2)}</div></div></div></form>"
+                f"<div class=bottom>{words(i + 20, 3)}</div>")
+
+    def commented(i):
+        return f"<body><div class=text><p>{words(i, 40)}</p></div><div class=comments><p>{words(i + 50, 150)}</p></div>"
+    assert extract_site(spark, named) == {i: words(i, 90) for i in range(6)}
+    assert extract_site(spark, commented) == {i: words(i, 40) for i in range(6)}
+
+
+def test_deep_nesting(spark):
+    def page(i):
+        return (f"<body>{'<b>' * 1500}deep {i}{'</b>' * 1500}{'<div>' * 2000}<p>deeper {i}{'</div>' * 2000}<p>end {i}")
+    assert extract_site(spark, page, 3) == {i: f"deep {i}\ndeeper {i}\nend {i}" for i in range(3)}
+
+
 def site(i):
     return (f"<html><body><div class='top'>Our site</div><ul id='menu'><li>Home</ul><div class=content><h2>Title {i}</h2><p>Body &amp; text {i}"
             f"<p>More {i * i} words<br>and a line</div><div class='box'>Always the same</div><div class='comments'><p>Reader {i}</div></body>")
