@@ -53,5 +53,36 @@ def test_damaged_payload_fails(spark):
         W.read_payloads(spark, f"{path}-bad").select(F.sum(F.octet_length("payload"))).collect()
 
 
+def test_another_session_reads_the_archive_without_buckets(spark):
+    path = f"{shared_dir(spark)}/warc-test-{uuid.uuid4().hex}"
+    W.write_archive(rows_of(spark), path)
+    want = sorted(W.read_archive(spark, path).collect(), key=str)
+    spark.sql(f"DROP TABLE {W._table_name(path)}")
+    assert sorted(W.read_archive(spark, path).collect(), key=str) == want
+
+
+def test_facts_come_from_the_record_bytes(spark):
+    path = f"{shared_dir(spark)}/warc-test-{uuid.uuid4().hex}"
+    lying = "x WARC-Type: revisit WARC-Payload-Digest: sha256:00 Content-Length: 7"
+    W.write_archive(spark.createDataFrame([(4, lying, f"a\r\n\r\nX-Page-ID: 9\r\n{BODY}")], PAGES), path)
+    records = W.reconstruct(spark, path)
+    row = W.parse_records(records).collect()[0]
+    assert (row.page_id, row.record_type, row.payload_bytes) == (4, "response", len(f"a\r\n\r\nX-Page-ID: 9\r\n{BODY}".encode()))
+    cut = records.withColumn("record", F.expr("substring(record, 1, octet_length(record) - 1)"))
+    with pytest.raises(Exception, match="damaged record"):
+        W.parse_records(cut).collect()
+
+
+def test_missing_payload_fails(spark):
+    path = f"{shared_dir(spark)}/warc-test-{uuid.uuid4().hex}"
+    W.write_archive(rows_of(spark), path)
+    spark.read.parquet(f"{path}/headers").write.parquet(f"{path}-cut/headers")
+    for size in ("small", "large"):
+        part = spark.read.parquet(f"{path}/payloads/size={size}")
+        part.where(F.octet_length("payload") < 1000).write.parquet(f"{path}-cut/payloads/size={size}")
+    with pytest.raises(Exception, match="no payload for"):
+        W.read_archive(spark, f"{path}-cut").collect()
+
+
 def test_empty_table(spark):
     assert W.archive_round_trip(spark, spark.createDataFrame([], PAGES)).count() == 0
