@@ -284,3 +284,29 @@ def test_fits_that_do_not_converge_keep_their_best_and_say_so(spark):
     assert got.loc[9, "loss"] < 1e-6
     few = E.fit_emos(spark.createDataFrame(rows), ["station_id"], max_iter=3).toPandas()
     assert (few["status"] == E.STOPPED).all() and (few["loss"] < 10).all()
+
+
+def test_small_groups_are_not_fitted(monkeypatch):
+    """Groups under the least number of rows never reach the fit, and a pass over the terms is short."""
+    rng = np.random.default_rng(3)
+    sizes = [2, 6, 1, 9, 4]
+    pdf = pd.DataFrame({"k": np.repeat(np.arange(5), sizes), "ens_mean": rng.normal(size=22), "ens_var": rng.gamma(2.0, size=22),
+                        "t2m_obs": rng.normal(size=22)})
+    seen, fit = [], E.fit_segments
+    monkeypatch.setattr(E, "fit_segments", lambda x, *rest: (seen.append(len(x)), fit(x, *rest))[1])
+    got = E.fit_frame(pdf, ["k"], ("ens_mean",), "ens_var", "t2m_obs", 5000, 5)
+    assert seen == [15] and got["k"].tolist() == [1, 3] and got["n_rows"].tolist() == [6, 9]
+    assert E.fit_frame(pdf, ["k"], ("ens_mean",), "ens_var", "t2m_obs", 5000, 50).empty
+    assert E.CHUNK_ROWS * 8 * 60 <= 4 << 20
+
+
+def test_stages_of_scores_are_compiled(spark):
+    """Wide rows of scores must not become one method that HotSpot never compiles; the session's own setting is kept."""
+    from foresift.sources import storage
+    spark.conf.set(storage.HUGE_METHOD, "50000")
+    try:
+        with storage.compiled_methods(spark):
+            assert spark.conf.get(storage.HUGE_METHOD) == "8000"
+        assert spark.conf.get(storage.HUGE_METHOD) == "50000"
+    finally:
+        spark.conf.unset(storage.HUGE_METHOD)
