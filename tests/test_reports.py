@@ -98,6 +98,20 @@ def test_seasonal_sweep_and_breakpoints(tables):
     assert points[points.arm == "random"]["first_k"].isna().all()
 
 
+def test_seasonal_tests_start_from_daily_rows(tables, monkeypatch):
+    """Scored rows are read once: the tests get one row per comparison and day, not the instances again."""
+    from foresift.operators.emos import gaussian_quantiles
+    seen, robust = [], G.robust_comparison
+
+    def spy(losses, keys, diff):
+        seen.append((losses.count(), losses.select(*keys, "valid_time").distinct().count()))
+        return robust(losses, keys, diff)
+
+    monkeypatch.setattr(G, "robust_comparison", spy)
+    R.seasonal_sweep(*tables, [2], {"raw": gaussian_quantiles("ens_mean", "sqrt(ens_var)")}, [0])
+    assert len(seen) == 1 and seen[0][0] == seen[0][1] > 0
+
+
 def test_common_sets_by_bit_mask(spark):
     keys = ["station_id"]
     rows = spark.createDataFrame([(i, "m", 1.0 + i, 2.0, 3.0 + i, 0.5) for i in range(6)],
