@@ -22,13 +22,14 @@ from foresift.functions.scores import LEVELS
 from foresift.operators.emos import gaussian_quantiles
 from foresift.operators.sampling import CASE, validation_splits
 from foresift.operators.spread import position
-from foresift.sources.storage import materialise
+from foresift.sources.storage import materialise, materialise_bucketed
 
 # Network and training settings of the method.
 EMBEDDING, HIDDEN = 4, 64
 LEARNING_RATE, BATCH, PATIENCE = 1e-3, 4096, 5
 FALLBACK_ROWS, FALLBACK_STEPS = 200, 200
 SHARD_ROWS, MIN_SHARD_ROWS = 500_000, 20_000
+SCORE_ROWS = 16_384
 
 
 @dataclass(frozen=True)
@@ -86,6 +87,10 @@ def losses(mu: np.ndarray, sg: np.ndarray, y: np.ndarray) -> np.ndarray:
     return sg * (z * (2 * cdf_np(z) - 1) + 2 * np.exp(-0.5 * z * z) / SQRT_2PI - INV_SQRT_PI)
 
 
+def _sum_by(index: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    return np.stack([np.bincount(index, rows[:, i], n) for i in range(rows.shape[1])], axis=1)
+
+
 def gradient(shape: Shape, flat: np.ndarray, x: dict) -> np.ndarray:
     """Gradient of the mean standardised CRPS."""
     es, el, w1, _, w2, _, w3, _ = shape.unpack(flat)
@@ -96,10 +101,9 @@ def gradient(shape: Shape, flat: np.ndarray, x: dict) -> np.ndarray:
     d2 = (d_out @ w3.T) * (h2 > 0)
     d1 = (d2 @ w2.T) * (h1 > 0)
     d0 = d1 @ w1.T
-    g_es, g_el = np.zeros_like(es), np.zeros_like(el)
-    np.add.at(g_es, x["s"], d0[:, 2:2 + EMBEDDING])
+    g_es, g_el = _sum_by(x["s"], d0[:, 2:2 + EMBEDDING], len(es)), np.zeros_like(el)
     if shape.leads:
-        np.add.at(g_el, x["l"], d0[:, 2 + EMBEDDING:])
+        g_el = _sum_by(x["l"], d0[:, 2 + EMBEDDING:], len(el))
     grads = [g_es, g_el, x0.T @ d1, d1.sum(0), h1.T @ d2, d2.sum(0), h2.T @ d_out, d_out.sum(0)]
     return np.concatenate([g.ravel() for g in grads])
 
@@ -223,7 +227,9 @@ def fit_networks(train: DataFrame, seeds: dict[str, int], use_lead: bool = True,
         "shard", F.pmod(F.hash("s") + F.pmod(F.hash(*key), parts), n_shards).cast("int"))
     cols = ["fit_id", "shard", "is_val", "m", "v", "y", "base_mu", "base_ls2", "s", *(["l"] if use_lead else []),
             "obs_scale", "fit_rows"]
-    stored = materialise(rows.select(*cols))
+    # every round reads all shards: in buckets they are shuffled once, not once a round
+    n_stored = sum(max(math.ceil(n / SHARD_ROWS), min(cores, math.ceil(n / MIN_SHARD_ROWS))) for n in sizes.values())
+    stored = materialise_bucketed(rows.select(*cols), ["fit_id", "shard"], n_stored)
     places = materialise(stored.select("fit_id", "s", "shard").distinct())
     held = {r["fit_id"] for r in stored.where("is_val").select("fit_id").distinct().collect()}     # one row per fit
     brief = {f for f in sizes if sizes[f] < FALLBACK_ROWS or f not in held}
@@ -256,7 +262,7 @@ def fit_networks(train: DataFrame, seeds: dict[str, int], use_lead: bool = True,
                     best_val[fit], best[fit], best_table[fit], bad[fit] = float(value[0]), current[fit], embedded, 0
                 else:
                     bad[fit] += 1
-        embedded = _weighted_mean(done.where("key >= 0")).select("fit_id", F.col("key").alias("s"), "value")
+        embedded = _mean_embeddings(done.where("key >= 0"))
         for fit, key, value in got[["fit_id", "key", "value"]].itertuples(index=False):
             if key == SHARED:
                 current[fit] = np.array(value)
@@ -283,17 +289,19 @@ def train_shard(pdf: pd.DataFrame, own: pd.DataFrame, weights: dict, n_leads: in
     shape = Shape(len(names), n_leads)
     flat = np.concatenate([np.concatenate(own["value"].to_list()), weights[fit]])
     # in an order of their own: a shard that runs again, elsewhere, takes the same steps
-    pdf = pdf.iloc[np.lexsort((pdf["y"].to_numpy(), pdf["m"].to_numpy()))]
-    pdf = pdf.assign(s=np.searchsorted(names, pdf["s"].to_numpy()))
-    held = pdf["is_val"].to_numpy()
+    order = np.lexsort((pdf["y"].to_numpy(), pdf["m"].to_numpy()))
+    held = pdf["is_val"].to_numpy()[order]
+    whole = _inputs(pdf) | {"s": np.searchsorted(names, pdf["s"].to_numpy())}
+    scale = pdf["obs_scale"].to_numpy()
     out = []
     if held.any():
-        x = _inputs(pdf[held])
-        mu, sg, *_ = forward(shape, flat, x)
-        val = losses(mu, sg, x["y"]) * pdf["obs_scale"].to_numpy()[held]
+        x = {c: a[order[held]] for c, a in whole.items()}
+        # some rows at a time: the hidden layers are many times wider than a row
+        val = np.concatenate([losses(*forward(shape, flat, part)[:2], part["y"]) for part in (
+            {c: a[i:i + SCORE_ROWS] for c, a in x.items()} for i in range(0, len(x["y"]), SCORE_ROWS))]) * scale[order[held]]
         out.append((SCORE, [val.mean()], float(len(val))))
     if not score_only and not held.all():
-        x = _inputs(pdf[~held])
+        x = {c: a[order[~held]] for c, a in whole.items()}
         n = len(x["y"])
         w = adam_steps(shape, flat, x, FALLBACK_STEPS if fit in brief else local_steps,
                        max(1, min(BATCH, max(256, n // 20))), seeds[fit] * 1000 + r)
@@ -319,6 +327,13 @@ def _initial_embeddings(places: DataFrame, seeds: dict[str, int]) -> DataFrame:
     return materialise(pairs.unionByName(zero).distinct().mapInPandas(run, "fit_id string, s bigint, value array<double>"))
 
 
+def _mean_embeddings(rows: DataFrame) -> DataFrame:
+    """Mean embeddings by fit and station, weighted by rows: one aggregation, a sum per element."""
+    total = F.sum("weight")
+    means = [F.sum(F.col("value")[i] * F.col("weight")) / total for i in range(EMBEDDING)]
+    return rows.groupBy("fit_id", F.col("key").alias("s")).agg(F.array(*means).alias("value"))
+
+
 def _weighted_mean(rows: DataFrame) -> DataFrame:
     """Mean vectors by fit and key, element by element."""
     cells = rows.select("fit_id", "key", "weight", F.posexplode("value").alias("pos", "x"))

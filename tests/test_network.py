@@ -119,3 +119,17 @@ def test_a_station_outside_the_set_of_a_fit_is_unseen_by_it(spark):
     out = model.transform(df)
     assert out.groupBy("fit_id").count().collect() == [out.where("q is not null").groupBy("fit_id").count().collect()[i] for i in (0, 1)]
     assert out.where("fit_id = 'some'").count() == df.count()
+
+
+def test_rounds_do_not_shuffle_the_rows(spark):
+    """Shards lie in buckets of their keys: a cogroup with a small table exchanges that table alone."""
+    from foresift.sources.storage import materialise_bucketed
+    rows = spark.range(4000).selectExpr("cast(id % 3 as string) AS fit_id", "cast(id % 7 as int) AS shard", "id / 2D AS y")
+    stored = materialise_bucketed(rows, ["fit_id", "shard"], 3)
+    own = stored.select("fit_id", "shard").distinct()
+    size = lambda pdf, other: pd.DataFrame({"n": [len(pdf)]})       # noqa: E731
+    done = stored.groupBy("fit_id", "shard").cogroup(own.groupBy("fit_id", "shard")).applyInPandas(size, "n bigint")
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and done.groupBy().sum("n").first()[0] == 4000
+    plain = rows.groupBy("fit_id", "shard").cogroup(own.groupBy("fit_id", "shard")).applyInPandas(size, "n bigint")
+    assert "Exchange" in plain._jdf.queryExecution().executedPlan().toString()
