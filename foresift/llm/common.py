@@ -1,6 +1,7 @@
 """Helpers of the training-data operators: tables, row-wise Arrow maps, stored tables, 64-bit hashes of words."""
 from __future__ import annotations
 
+import ctypes
 import gc
 import sys
 from collections.abc import Callable, Iterator
@@ -27,12 +28,21 @@ def arrow_schema(ddl: str) -> tuple[T.StructType, pa.Schema]:
     return spark_schema, to_arrow_schema(spark_schema)
 
 
+def trim_memory() -> None:
+    """Gives free memory back to the system; allocators keep it otherwise, and a worker stays as large as its largest slice."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)      # not every C library has it
+    if trim is not None:
+        trim(0)
+
+
 def release_caches() -> None:
     """Workers serve one operator after another: the chunk cache of the tokenizer goes when another one begins."""
     tokens = sys.modules.get("foresift.llm.tokens")
     if tokens is not None and tokens._loaded:
         tokens._loaded.clear()
         gc.collect()
+    trim_memory()
 
 
 def map_rows(df: DataFrame, cols: list[str], ddl: str, make: Callable[[], Callable[[list[list]], list[list]]],

@@ -14,7 +14,12 @@ from os.path import commonprefix
 
 import numpy as np
 
+from foresift.llm.common import trim_memory
+
 CACHE_CHUNKS = 600_000
+# new chunks that the library sees at once, and calls after which free memory goes back
+LEARN_CHUNKS = 4096
+TRIM_CALLS = 16
 # the pattern and steps that the fast path is made for, as they stand in the tokenizer file
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 STEPS = ["NFC", "Replace", "Lowercase"]
@@ -51,6 +56,7 @@ class TextEncoder:
                          and not spec["model"].get("dropout"))
         self.chunks: dict[str, bytes] = {"": b""}
         self.pieces: dict[str, bytes] = {}
+        self.calls = 0
         if self.fast:
             self.latin = regex.compile(PATTERN)
             self.words = Tokenizer(self.full.model)
@@ -63,6 +69,9 @@ class TextEncoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; a null text has none."""
+        self.calls += 1
+        if self.calls % TRIM_CALLS == 1:
+            trim_memory()
         if not self.fast:
             return [np.array(e.ids, dtype="<u4").tobytes() for e in
                     self.full.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
@@ -72,13 +81,13 @@ class TextEncoder:
             self.chunks = dict(islice(self.chunks.items(), CACHE_CHUNKS // 2))
             self.pieces = dict(islice(self.pieces.items(), CACHE_CHUNKS // 4))
         known = self.chunks
-        new = {w for words in cut for w in words if w not in known}
-        if new:
-            self._learn(new)
+        new = list({w for words in cut for w in words if w not in known})
+        for at in range(0, len(new), LEARN_CHUNKS):
+            self._learn(new[at:at + LEARN_CHUNKS])
         get = known.__getitem__
         return [b"".join(map(get, words)) for words in cut]
 
-    def _learn(self, new: set[str]) -> None:
+    def _learn(self, new: list[str]) -> None:
         cut: dict[str, list[str]] = {}
         for chunk in new:
             plain = chunk.isprintable() and self.mark not in chunk

@@ -27,6 +27,24 @@ def test_encoder_equals_the_library(spark, sf):
     assert [g + b"\2\0\0\0" for g in got] == [p.tobytes() for p in plain(texts)]
 
 
+def test_new_chunks_go_to_the_library_in_parts(monkeypatch):
+    # the encodings of all new chunks at once left a worker larger than the cache itself
+    enc, trims, sizes = K.TextEncoder(K.default_path()), [], []
+    model = enc.words
+
+    class Spy:
+        def encode(self, text, **kw):
+            sizes.append(text.count(" ") + 1)
+            return model.encode(text, **kw)
+
+    enc.words = Spy()
+    monkeypatch.setattr(K, "trim_memory", lambda: trims.append(1))
+    text = " ".join(f"{a}{b}{c}" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz" for c in "abcdefghijklmnop")
+    got = [enc.encode([text])[0] for _ in range(2 * K.TRIM_CALLS)]
+    assert set(got) == {plain([text])[0][:-1].tobytes()}
+    assert max(sizes) <= K.LEARN_CHUNKS < sum(sizes) and len(trims) == 2
+
+
 @pytest.mark.parametrize("n", [0, 1, 2047, 2048, 2049, 9000])
 @pytest.mark.parametrize("kind", ["skewed", "uniform", "constant"])
 def test_range_coder_round_trip(n, kind):
