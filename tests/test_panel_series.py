@@ -9,8 +9,10 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from foresift.operators import panel as P
+from foresift.operators import reports as R
 from foresift.operators import sampling as SM
 from foresift.operators import timeseries as TS
+from foresift.plans import inputs as I
 from foresift.sources import storage
 
 
@@ -237,3 +239,15 @@ def test_stored_tables_use_the_shared_folder(spark):
     stored = storage.materialise(spark.range(5))
     assert all(f.split("file://")[-1].startswith(folder.rstrip("/")) for f in stored.inputFiles())
     assert stored.count() == 5
+
+
+def test_tables_of_rows_are_never_broadcast(spark, sf):
+    # stored tables looked small by their bytes: 600 MB were broadcast on a copy of the events at 60 times sf0.1
+    runs = I.context_runs(spark, sf)
+    event_rows = I.event_instances(spark, sf)
+    counted = TS.asof_positions(event_rows, I.freshest(spark, sf))
+    plans = [counted, TS.asof_contexts(event_rows, counted, 4),
+             P.matched(event_rows, runs), R.context_summary(runs, ["model", "context_steps"], 6),
+             R.common_set_summary(runs, ["model", "context_steps"], 6)]
+    for df in plans:
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
