@@ -268,26 +268,35 @@ def guarded_scores(rows: DataFrame, keys: list[str], references: list[str], buck
     `rows` has one row per instance: keys, valid_time, step_hours, crps (NULL if uncovered), upper_crps, covered, width, and
     crps_<reference> columns. `common` names references that are compared on the instances of their own key set only, bit i of
     the mask `members` for the i-th: scores of both on that set, mean difference and p-value, NULL below `min_instances` covered
-    rows of the set; `crps_common` is that of the last reference with enough. All score columns come from one aggregation, and
-    the comparisons with all references from one array of differences: one daily series per reference.
+    rows of the set; `crps_common` is that of the last reference with enough. The rows are read once: they are summed by day, lead
+    and mask, and all scores and daily series start from these sums.
     """
     have = F.col("crps").isNotNull()
-    inside_set = {r: have & (F.col(members).bitwiseAND(1 << i) != 0) for i, r in enumerate(common)}
-    aggs = [F.count("crps").alias("n_instances"), F.avg(F.when(have, 1.0).otherwise(0.0)).alias("covered_fraction")]
-    aggs += [F.avg(F.when(have, F.col(c))).alias(c) for c in ("crps", "upper_crps", "covered", "width")]
+    inside_set = {r: F.col(members).bitwiseAND(1 << i) != 0 for i, r in enumerate(common)}
+    by = [*keys, F.to_date("valid_time").alias("day"), "step_hours", *([members] if common else [])]
+    sums = [F.count(F.lit(1)).alias("_rows")]
+    for c in ["crps", "upper_crps", "covered", "width", *[f"crps_{r}" for r in references]]:
+        sums += [F.count(F.when(have, F.col(c))).alias(f"n_{c}"), F.sum(F.when(have, F.col(c))).alias(f"s_{c}")]
+    sums += [F.sum(F.when(have, F.col("crps") - F.col(f"crps_{r}"))).alias(f"d_{r}") for r in references]
+    days = materialise(rows.groupBy(*by).agg(*sums))
+    total = lambda c, where: F.sum(F.when(where, F.col(c)))
+    mean = lambda c, where=F.lit(True): total(f"s_{c}", where) / F.nullif(total(f"n_{c}", where), F.lit(0))
+    gap = lambda r, where=F.lit(True): total(f"d_{r}", where) / F.nullif(total(f"n_crps_{r}", where), F.lit(0))
+    aggs = [F.sum("n_crps").alias("n_instances"), (F.sum("n_crps") / F.sum("_rows")).alias("covered_fraction")]
+    aggs += [mean(c).alias(c) for c in ("crps", "upper_crps", "covered", "width")]
     for name, (lo, hi) in buckets.items():
-        inside = have & F.col("step_hours").between(lo, hi)
-        aggs.append(F.avg(F.when(inside, F.col("crps"))).alias(f"crps_{name}"))
-        aggs += [F.avg(F.when(inside, F.col(f"crps_{r}"))).alias(f"crps_{r}_{name}") for r in references]
+        inside = F.col("step_hours").between(lo, hi)
+        aggs.append(mean("crps", inside).alias(f"crps_{name}"))
+        aggs += [mean(f"crps_{r}", inside).alias(f"crps_{r}_{name}") for r in references]
     for r, where in inside_set.items():
-        aggs += [F.count(F.when(where, 1)).alias(f"_n_{r}"), F.avg(F.when(where, F.col("crps"))).alias(f"_crps_{r}"),
-                 F.avg(F.when(where, F.col(f"crps_{r}"))).alias(f"crps_{r}_common")]
-    out = rows.groupBy(*keys).agg(*aggs)
-    against = lambda name, r, where: F.when(where & F.col(f"crps_{r}").isNotNull(), F.struct(
-        F.lit(name).alias("ref"), (F.col("crps") - F.col(f"crps_{r}")).alias("d")))
-    pairs = [against(r, r, have) for r in references] + [against(f"{r}:common", r, w) for r, w in inside_set.items()]
-    each = rows.select(*keys, "valid_time", F.explode(F.array_compact(F.array(*pairs))).alias("_p")) \
-        .select(*keys, "valid_time", F.col("_p.ref").alias("_ref"), F.col("_p.d").alias("_d"))
+        aggs += [F.coalesce(total("n_crps", where), F.lit(0)).alias(f"_n_{r}"), mean("crps", where).alias(f"_crps_{r}"),
+                 mean(f"crps_{r}", where).alias(f"crps_{r}_common")]
+    out = days.groupBy(*keys).agg(*aggs)
+    gaps = {r: gap(r) for r in references} | {f"{r}:common": gap(r, where) for r, where in inside_set.items()}
+    each = days.groupBy(*keys, F.col("day").alias("valid_time")).agg(
+        F.array(*[F.struct(F.lit(name).alias("ref"), d.alias("d")) for name, d in gaps.items()]).alias("_p"))
+    each = each.select(*keys, "valid_time", F.explode("_p").alias("_p")).select(
+        *keys, "valid_time", F.col("_p.ref").alias("_ref"), F.col("_p.d").alias("_d")).where(F.col("_d").isNotNull())
     robust = robust_comparison(each, [*keys, "_ref"], F.col("_d"))
     measures = [c for c in robust.columns if c not in [*keys, "_ref"]]
     pick = lambda ref, c, to: F.max(F.when(F.col("_ref") == ref, F.col(c))).alias(to)

@@ -166,3 +166,31 @@ def test_losses_lie_beside_the_reference(spark, sf):
     from foresift.plans import inputs as I
     plan = I._losses(spark, sf, "raw_ensemble")._jdf.queryExecution().optimizedPlan().toString()
     assert not [line for line in plan.splitlines() if "Join " in line and "station_id" in line]
+
+
+def test_guarded_scores_read_their_rows_once(spark, monkeypatch):
+    """All scores and tests start from sums by day, lead and mask: what is stored grows with the calendar, not with the instances."""
+    rows = spark.range(4000).select(
+        F.lit("a").alias("method"), F.expr("make_timestamp_ntz(2020, 1, 1 + int(id % 20), int(id % 2) * 6, 0, 0)").alias("valid_time"),
+        (F.col("id") % 2 * 6.0).cast("double").alias("step_hours"), F.when(F.col("id") % 7 > 0, F.col("id") % 11 * 1.0).alias("crps"),
+        F.lit(1.0).alias("upper_crps"), F.lit(1.0).alias("covered"), F.lit(2.0).alias("width"),
+        F.when(F.col("id") % 5 > 0, F.col("id") % 3 * 2.0).alias("crps_r"), (F.col("id") % 4).cast("bigint").alias("members"))
+    sizes, store = [], G.materialise
+
+    def spy(df):
+        out = store(df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(G, "materialise", spy)
+    got = G.guarded_scores(rows, ["method"], ["r"], {"short": (0, 0)}, 10, ["r"]).first()
+    assert sizes and max(sizes) <= 20 * 2 * 4
+    pdf = rows.toPandas()
+    have = pdf[pdf["crps"].notna()]
+    assert got["n_instances"] == len(have) and got["covered_fraction"] == pytest.approx(len(have) / len(pdf))
+    assert got["crps_r_short"] == pytest.approx(have[have["step_hours"] == 0]["crps_r"].mean())
+    inside = have[have["members"] % 2 == 1]
+    assert got["crps_common"] == pytest.approx(inside["crps"].mean()) and got["crps_r_common"] == pytest.approx(inside["crps_r"].mean())
+    for part, name in ((have, "vs_r_mean_diff"), (inside, "vs_r_common_mean_diff")):
+        daily = (part["crps"] - part["crps_r"]).groupby(part["valid_time"].dt.date).mean()
+        assert got[name] == pytest.approx(daily.mean())
