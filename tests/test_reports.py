@@ -137,3 +137,26 @@ def test_replacement_in_storage_checks_its_rows(spark):
         storage.replace_methods(old.withColumn("y", F.lit(1)), ["a"], path)
     storage.replace_methods(spark.createDataFrame([("a", 9), ("a", 8)], "method string, x int"), ["a", "c d/e", "absent"], path)
     assert sorted(tuple(r) for r in spark.read.parquet(path).select("method", "x").collect()) == [("a", 8), ("a", 9), ("b", 2)]
+
+
+def test_sizes_on_several_axes_are_fitted_once(tables, monkeypatch):
+    """The rows are those of the whole table, and each size is fitted once, on recent cases only."""
+    train, test = tables
+    fitted, fit = [], R.fit_emos
+
+    def spy(rows, keys, **options):
+        fitted.append(rows.select("arm", "k").distinct().count())
+        return fit(rows, keys, **options)
+
+    monkeypatch.setattr(R, "fit_emos", spy)
+    got = R.emos_by_size(train, test, {"small": [2, 5], "main": [5, 20]}).toPandas()
+    assert fitted == [4, 4]
+    monkeypatch.undo()
+    keys = ["method", "arm", "k", "axis"]
+    for axis, ks in (("small", [2, 5]), ("main", [5, 20])):
+        want = R.training_size_table(train, test, ks, [0], network_seeds=()).toPandas().assign(axis=axis)
+        want = want[(want["method"] == "inflation_fixed") | (want["method"].isin(["emos_pooled", "emos_local"]) & (want["arm"] == "contiguous"))]
+        both = want.merge(got, on=keys, suffixes=("", "_got"))
+        assert len(both) == len(want) == (got["axis"] == axis).sum()
+        for c in ("crps", "coverage_80pct"):
+            np.testing.assert_allclose(both[c], both[f"{c}_got"], atol=1e-9)
