@@ -169,22 +169,22 @@ def test_losses_lie_beside_the_reference(spark, sf):
 
 
 def test_guarded_scores_read_their_rows_once(spark, monkeypatch):
-    """All scores and tests start from sums by day, lead and mask: what is stored grows with the calendar, not with the instances."""
+    """All scores and tests start from sums by day, lead and mask: the tests get one row per comparison and day, not the instances."""
     rows = spark.range(4000).select(
         F.lit("a").alias("method"), F.expr("make_timestamp_ntz(2020, 1, 1 + int(id % 20), int(id % 2) * 6, 0, 0)").alias("valid_time"),
         (F.col("id") % 2 * 6.0).cast("double").alias("step_hours"), F.when(F.col("id") % 7 > 0, F.col("id") % 11 * 1.0).alias("crps"),
         F.lit(1.0).alias("upper_crps"), F.lit(1.0).alias("covered"), F.lit(2.0).alias("width"),
         F.when(F.col("id") % 5 > 0, F.col("id") % 3 * 2.0).alias("crps_r"), (F.col("id") % 4).cast("bigint").alias("members"))
-    sizes, store = [], G.materialise
+    seen, robust = [], G.robust_comparison
 
-    def spy(df):
-        out = store(df)
-        sizes.append(out.count())
-        return out
+    def spy(losses, keys, diff):
+        seen.append((losses.count(), losses.select(*keys, "valid_time").distinct().count()))
+        return robust(losses, keys, diff)
 
-    monkeypatch.setattr(G, "materialise", spy)
+    monkeypatch.setattr(G, "robust_comparison", spy)
     got = G.guarded_scores(rows, ["method"], ["r"], {"short": (0, 0)}, 10, ["r"]).first()
-    assert sizes and max(sizes) <= 20 * 2 * 4
+    # the reference is missing on four of the 20 days, two of them among the ten days with rows of the common set
+    assert seen == [(16 + 8, 16 + 8)]
     pdf = rows.toPandas()
     have = pdf[pdf["crps"].notna()]
     assert got["n_instances"] == len(have) and got["covered_fraction"] == pytest.approx(len(have) / len(pdf))
