@@ -126,17 +126,22 @@ def validation_splits(train: DataFrame, seeds: dict[str, int], fraction: float =
                       row_key: list[str] = ()) -> DataFrame:
     """`validation_split` of many sets at once: sets are told apart by `fit_id`, each with its own seed."""
     unit = CASE if all(c in train.columns for c in CASE) else list(row_key)
+    units = train.groupBy("fit_id", *unit).agg(F.count(F.lit(1)).alias("_rows"))
+    return train.join(held_out(units, seeds, unit, fraction, min_rows), ["fit_id", *unit])
+
+
+def held_out(units: DataFrame, seeds: dict[str, int], unit: list[str], fraction: float = 0.1, min_rows: int = 200) -> DataFrame:
+    """`is_val` of each unit (a case, or a row) of many sets, from the units of every `fit_id` and their numbers of rows (`_rows`)."""
     # one row per fit
-    of_fit = F.broadcast(train.sparkSession.createDataFrame(list(seeds.items()), "fit_id string, _seed int"))
-    units = train.groupBy("fit_id", *unit).agg(F.count(F.lit(1)).alias("_rows")).join(of_fit, "fit_id")
+    of_fit = F.broadcast(units.sparkSession.createDataFrame(list(seeds.items()), "fit_id string, _seed int"))
+    units = units.join(of_fit, "fit_id")
     h = units.withColumn("_h", hash_key(F.col("_seed"), *[F.col(c) for c in unit]))
     ranked = position(h, ["fit_id"], F.substring("_h", 1, 2), [F.col("_h"), *[F.col(c) for c in unit]], "_rank")
     size = units.groupBy("fit_id").agg(F.count(F.lit(1)).alias("_n"), F.sum("_rows").alias("_total"))
     n_val = F.least(F.greatest(F.lit(1), F.bround(fraction * F.col("_n")).cast("bigint")), F.col("_n") - 1)
     none = (F.col("_total") < min_rows) | (F.col("_n") < 2)
-    flags = ranked.join(size, "fit_id").select(
+    return ranked.join(size, "fit_id").select(
         "fit_id", *unit, F.when(none, F.lit(False)).otherwise(F.col("_rank") < n_val).alias("is_val"))
-    return train.join(flags, ["fit_id", *unit])
 
 
 def full_and_smaller(cases: DataFrame, ks: list[int], seeds: list[int], keys: list[str] = ()) -> DataFrame:

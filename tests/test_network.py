@@ -133,3 +133,53 @@ def test_rounds_do_not_shuffle_the_rows(spark):
     assert "Exchange" not in plan and done.groupBy().sum("n").first()[0] == 4000
     plain = rows.groupBy("fit_id", "shard").cogroup(own.groupBy("fit_id", "shard")).applyInPandas(size, "n bigint")
     assert "Exchange" in plain._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sets_of_cases_equal_rows_repeated_by_fit(spark, monkeypatch):
+    """A row that stands in several sets is given once; its copies, packed in cells, train the same networks."""
+    df = spark.createDataFrame(data(60))
+    cases = df.select(*SM.CASE).distinct()
+    sets = cases.withColumn("fit_id", F.lit("all")).unionByName(cases.where("year_idx < 9").withColumn("fit_id", F.lit("some")))
+    monkeypatch.setattr(NN, "MIN_SHARD_ROWS", 120)
+    monkeypatch.setattr(NN, "CELL_ROWS", 50)
+    given, dealt = [], NN._dealt
+    monkeypatch.setattr(NN, "_dealt", lambda rows, *rest: (given.append(rows.count()), dealt(rows, *rest))[1])
+    one = NN.fit_networks(df, {"all": 0, "some": 1}, rounds=2, local_steps=10, sets=sets)
+    many = NN.fit_networks(df.join(sets, SM.CASE), {"all": 0, "some": 1}, rounds=2, local_steps=10)
+    assert given[0] == df.count() and given[1] == df.join(sets, SM.CASE).count() > given[0]
+    for f in ("all", "some"):
+        assert len(one.history[f]) == 3
+        np.testing.assert_allclose(one.history[f], many.history[f], rtol=1e-5)
+    a, b = (m.scales.toPandas().set_index("fit_id").sort_index() for m in (one, many))
+    np.testing.assert_allclose(a[b.columns].astype(float), b.astype(float), rtol=1e-9)
+
+
+def test_predictions_do_not_depend_on_the_buckets(spark, monkeypatch):
+    """Rows meet the embeddings in buckets of stations; the bucket of a station with most rows is split."""
+    pdf = pd.concat([data(100, (0,), (-2.0,)), data(5, (1, 2), (0.0, 3.0))])
+    df = spark.createDataFrame(pdf).withColumn("fit_id", F.explode(F.array(F.lit("a"), F.lit("b"))))
+    model = NN.fit_networks(df, {"a": 0, "b": 1}, rounds=2, local_steps=20)
+    test = df.drop("fit_id").distinct()
+    keys = ["fit_id", "station_id", *SM.CASE, "step_hours"]
+    want = model.transform(test).toPandas().sort_values(keys)
+    monkeypatch.setattr(NN, "PREDICT_ROWS", 40)
+    got = model.transform(test).toPandas().sort_values(keys)
+    assert len(got) == 2 * test.count()
+    np.testing.assert_allclose(got["mu"], want["mu"], rtol=1e-6)
+    rows = NN._indexed(test, model.stations, model.leads)
+    _, parts = NN._dealt(rows, "s", 10, rows.count(), F.xxhash64("ens_mean"))
+    assert parts.agg(F.max("_parts")).first()[0] > 1
+
+
+def test_a_batch_is_taken_in_parts_and_in_single_precision(monkeypatch):
+    rng = np.random.default_rng(1)
+    shape, n = NN.Shape(3, 2), 50
+    w = shape.initial(0) + rng.normal(0, 0.05, len(shape.initial(0)))
+    x = {"m": rng.normal(size=n), "v": rng.normal(size=n), "base_mu": rng.normal(size=n), "base_ls2": rng.normal(0, 0.2, n),
+         "s": rng.integers(0, 3, n), "l": rng.integers(0, 2, n), "y": rng.normal(size=n)}
+    whole = NN.gradient(shape, w, x)
+    monkeypatch.setattr(NN, "GRADIENT_ROWS", 7)
+    np.testing.assert_allclose(NN.gradient(shape, w, x), whole, atol=1e-14)
+    seen, gradient = [], NN.gradient
+    monkeypatch.setattr(NN, "gradient", lambda shape, flat, x, room: (seen.append((flat.dtype, x["m"].dtype)), gradient(shape, flat, x, room))[1])
+    assert NN.adam_steps(shape, w, x, 3, 20, 0).dtype == np.float64 and set(seen) == {(np.dtype("float32"),) * 2}
